@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scans"]
+MODULES = ["scans", "joins", "windows"]
 
 
 def load_all() -> None:
