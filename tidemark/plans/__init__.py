@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scans", "joins", "windows"]
+MODULES = ["scans", "landing", "joins", "windows", "reports"]
 
 
 def load_all() -> None:
