@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scans", "landing", "joins", "windows", "reports"]
+MODULES = ["scans", "landing", "joins", "windows", "reports", "technical"]
 
 
 def load_all() -> None:
