@@ -42,15 +42,27 @@ def position_within(df: DataFrame, group: list[str], value: str, tie: str, out:
             .withColumn(out + "_of", F.col("_of")).drop("_v", "_b", "_before", "_of"))
 
 
-def average_rank(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
-    """Rank with ties averaged (for Spearman).  Equal values are collapsed to one counted row
-    before any ordering, ordering is per value bucket, and ranks come back by an equi join."""
+def rank_table(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
+    """(group, value, rank) with ties averaged.  Equal values are collapsed to one counted row before any
+    ordering, and ordering is per value bucket, so neither a hot group nor a hot value meets in one task."""
     v = F.col(value)
     distinct = (df.where(v.isNotNull()).groupBy(*group, v.alias(value)).agg(F.count("*").alias("_c"))
                 .withColumn("_b", value_bucket(v)))
     before = _offsets(distinct.groupBy(*group, "_b").agg(F.sum("_c").alias("_n")), group).drop("_n")
     w = W.partitionBy(*group, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    ranks = (distinct.join(before, [*group, "_b"])
-             .withColumn(out, F.col("_before") + F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2.0)
-             .select(*group, value, out))
-    return df.join(ranks, [*group, value])
+    return (distinct.join(before, [*group, "_b"])
+            .withColumn(out, F.col("_before") + F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2.0)
+            .select(*group, value, out))
+
+
+def average_rank(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
+    """Rank with ties averaged (for Spearman), joined back to the rows by (group, value)."""
+    return df.join(rank_table(df, group, value, out), [*group, value])
+
+
+def average_ranks(df: DataFrame, group: list[str], values: dict[str, str]) -> DataFrame:
+    """Several ranks at once; each table is built from df itself, not from the joins before it."""
+    out = df
+    for value, name in values.items():
+        out = out.join(rank_table(df, group, value, name), [*group, value])
+    return out

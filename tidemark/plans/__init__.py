@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scans", "landing", "joins", "windows", "reports", "technical"]
+MODULES = ["scans", "landing", "joins", "windows", "reports", "technical", "research", "stats"]
 
 
 def load_all() -> None:

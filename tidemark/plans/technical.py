@@ -72,7 +72,12 @@ _ind_query("T1_sma", [f"sma{n}" for n in TE.MA_LENGTHS], TE.with_sma, _C)
 _ind_query("T2_ema", [f"ema{n}" for n in TE.MA_LENGTHS], lambda b: TE.smooth(b, TE.EMA_SPECS), _C)
 _ind_query("T3_wilder_smoothing", ["atr14"], lambda b: TE.smooth(b.select("symbol", "date", TE.true_range().alias("_tr")), TE.ATR_SPECS))
 _ind_query("T4_hull", ["hull9"], TE.with_hull, _C)
-_ind_query("T5_vwma", ["vwma20"], TE.with_vwma, [*_C, "volume"], 8)
+# volumes are whole numbers, so means often end in an exact decimal tie: both sides are nudged off it
+@query("T5_vwma", f"WITH {BARS} SELECT symbol, date, {R(f'CASE WHEN count(*) OVER {_t(20)} >= 20 THEN sum(close * volume) OVER {_t(20)} / sum(volume) OVER {_t(20)} END + 1e-10')} AS vwma20 FROM bars")
+def _(spark, d):
+    return TE.with_vwma(A.bars(spark, d).select(*_C, "volume")).select("symbol", "date", r(F.col("vwma20") + 1e-10).alias("vwma20"))
+
+
 _ind_query("T6_ichimoku", ["ich_conv", "ich_base", "ich_lead1", "ich_lead2"], TE.with_ichimoku, n=8)
 _ind_query("T7_rsi", ["rsi14"], lambda b: TE.with_rsi(TE.smooth(TE.movements(b).select("symbol", "date", "_up", "_dn"), TE.RSI_SPECS)))
 _ind_query("T8_stochastic", ["stoch_k", "stoch_d"], TE.with_stochastic)
