@@ -38,3 +38,145 @@ def tag_list(text: Column, patterns: dict[str, str], limit: int | None = None) -
 
 def topic_tags(text: Column) -> Column:
     return tag_list(text, TOPIC_PATTERNS, MAX_TOPICS)
+
+
+# --- lexicon sentiment -----------------------------------------------------------------------
+
+BULLISH_FROM, BEARISH_FROM = 0.10, -0.10
+HEADLINE_WEIGHT, SUMMARY_WEIGHT = 0.7, 0.3
+SQUASH = 15.0
+
+# fixed values: finance words and their valence
+FINANCE_LEXICON = {
+    "beat": 2.0, "beats": 2.0, "exceeds": 2.0, "tops": 1.8, "outperform": 2.0, "outperforms": 2.0, "upgrade": 2.5, "upgraded": 2.5, "upgrades": 2.5,
+    "overweight": 1.5, "surge": 2.5, "surges": 2.5, "soar": 3.0, "soars": 3.0, "rally": 2.0, "rallies": 2.0, "jumps": 2.0, "climbs": 1.5, "gains": 1.5,
+    "bullish": 2.5, "buyback": 1.5, "dividend": 1.0, "profitable": 1.8, "breakout": 1.5, "raises": 1.5, "raised": 1.5, "record": 1.2, "beat-and-raise": 3.0, "accretive": 1.5,
+    "miss": -2.0, "misses": -2.0, "missed": -2.0, "shortfall": -2.0, "downgrade": -2.5, "downgraded": -2.5, "downgrades": -2.5, "underperform": -2.0, "underweight": -1.5,
+    "plunge": -3.0, "plunges": -3.0, "tumble": -2.5, "tumbles": -2.5, "slump": -2.2, "slumps": -2.2, "sinks": -2.2, "slides": -1.8, "drops": -1.8, "falls": -1.5,
+    "bearish": -2.5, "selloff": -2.5, "sell-off": -2.5, "lawsuit": -2.0, "probe": -2.0, "investigation": -2.0, "subpoena": -2.5, "recall": -2.0, "bankruptcy": -3.5, "default": -2.5,
+    "layoffs": -2.0, "warns": -2.0, "warning": -1.8, "fraud": -3.0, "halted": -2.0, "delisting": -3.0, "dilution": -1.8, "dilutive": -1.8, "writedown": -2.0, "impairment": -2.0,
+    "cuts": -1.5, "slashes": -2.2, "weak": -1.5, "weakness": -1.5,
+}
+WORD = r"\p{L}[\p{L}'-]*"
+
+
+def score_texts(texts: DataFrame, key: str, parts: dict[str, str], lexicon: DataFrame) -> DataFrame:
+    """Valence per text part from a lexicon table (word, valence).
+
+    Words are exploded and counted per (key, part, word) before the lexicon join, so a long text or a
+    frequent word is small by the time it moves; whole texts are read."""
+    words = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(WORD), F.lit(0)).alias("w")) for p, c in parts.items()]))
+    counted = (texts.select(key, words.alias("p")).select(key, "p.part", F.explode("p.w").alias("word")).groupBy(key, "part", "word").agg(F.count("*").alias("n")))
+    hit = counted.join(lexicon, "word", "left")
+    return hit.groupBy(key, "part").agg(F.coalesce(F.sum(F.col("n") * F.col("valence")), F.lit(0.0)).alias("valence"), F.sum("n").alias("words"), F.sum(F.when(F.col("valence").isNotNull(), F.col("n")).otherwise(0)).alias("hits"))
+
+
+def article_sentiment(texts: DataFrame, key: str, headline: str, summary: str, lexicon: DataFrame) -> DataFrame:
+    """Score in (-1, 1), label and confidence; the headline weighs 0.7 when there is a summary."""
+    per = score_texts(texts, key, {"h": headline, "s": summary}, lexicon)
+    at = lambda p, c: F.max(F.when(F.col("part") == p, F.col(c)))
+    wide = per.groupBy(key).agg(*[at(p, c).alias(f"_{p}{c}") for p in "hs" for c in ("valence", "words", "hits")])
+    d = texts.select(key).join(wide, key, "left")
+    squash = lambda p: F.coalesce(F.col(f"_{p}valence") / F.sqrt(F.col(f"_{p}valence") * F.col(f"_{p}valence") + SQUASH), F.lit(0.0))
+    neutral = lambda p: F.coalesce(1 - F.col(f"_{p}hits") / F.col(f"_{p}words"), F.lit(1.0))
+    mix = lambda f: F.when(F.col("_swords") > 0, HEADLINE_WEIGHT * f("h") + SUMMARY_WEIGHT * f("s")).otherwise(f("h"))
+    # labels are cut on nine digits, so that the order of a float sum cannot decide them
+    d = d.withColumns({"score": F.round(mix(squash), 9), "neutral": mix(neutral)})
+    label = F.when(F.col("score") >= BULLISH_FROM, "bullish").when(F.col("score") <= BEARISH_FROM, "bearish").otherwise("neutral")
+    conf = F.when(label == "neutral", F.col("neutral")).otherwise(F.least(F.lit(1.0), (1 - F.col("neutral")) * 0.5 + F.abs("score") * 0.5))
+    return d.select(key, "score", label.alias("sentiment"), conf.alias("confidence"))
+
+
+def unseen_headlines(articles: DataFrame, cache: DataFrame, headline: str) -> DataFrame:
+    """Distinct headlines that were not scored before."""
+    return articles.select(headline).where(F.col(headline).isNotNull()).distinct().join(cache.select(headline).distinct(), headline, "left_anti")
+
+
+# --- entity mentions and relevance -----------------------------------------------------------
+
+# fixed values: legal suffix of a company name, cashtag and exchange forms
+NAME_SUFFIX = r"(?i)\s+(inc|corp|co|companies|company|corporation|group|international|holdings?)\.?$"
+CASHTAG = r"\$([A-Z]{1,5})\b"
+EXCHANGE_FORM = r"(?i)\((?:NYSE|NASDAQ|AMEX|CBOE)\s*:\s*([A-Z]{1,5}(?:\.[A-Z])?)\)"
+
+
+def alias_dictionary(names: DataFrame, manual: DataFrame | None = None) -> DataFrame:
+    """(symbol, alias) rows: the name, the name without its legal suffix, again without, and manual
+    ones; distinct ignoring case."""
+    strip = lambda c: F.trim(F.regexp_replace(c, NAME_SUFFIX, ""))
+    once = strip(F.col("name"))
+    rows = names.where("name <> ''").select("symbol", F.explode(F.array(F.col("name"), once, strip(once))).alias("alias"))
+    if manual is not None:
+        rows = rows.unionByName(manual.select("symbol", "alias"))
+    return rows.where("alias <> ''").groupBy("symbol", F.lower("alias").alias("_l")).agg(F.min("alias").alias("alias")).drop("_l")
+
+
+SEGMENT = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+
+
+def mentions(texts: DataFrame, key: str, col: str, aliases: DataFrame, max_words: int = 4) -> DataFrame:
+    """(key, symbol) for texts that hold an alias between word boundaries (case-insensitive), a cashtag
+    or an exchange form of a known symbol; bare tickers do not count.
+
+    Texts are cut into words and gaps, every run of up to max_words words keeps its own gaps, and runs
+    meet aliases in an equi join: no text x alias pairs and no growing pattern.  ``max_words`` is the
+    longest alias in words; a longer one is refused."""
+    words_in = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    al = aliases.select(F.col("symbol").cast("string").alias("symbol"), F.lower("alias").alias("gram"),
+                        F.when(words_in(F.col("alias")) > max_words, F.raise_error(F.lit("alias longer than max_words"))).otherwise(0).alias("_ok")).where("_ok = 0").drop("_ok")
+    t = texts.select(key, F.regexp_extract_all(F.lower(F.coalesce(F.col(col), F.lit(""))), F.lit(SEGMENT), F.lit(0)).alias("s")).where(F.size("s") > 0)
+    segs = F.col("s")
+    # words and gaps alternate, so the runs of k words start at every second segment; a run that follows
+    # a gap ending in $ is not at a boundary
+    first = F.when(F.get(segs, F.lit(0)).rlike(r"^[\p{L}\p{N}_]"), 0).otherwise(1)
+    at = F.sequence(first, F.greatest(F.size(segs) - 1, first), F.lit(2))
+    clean = F.filter(at, lambda i: (i < F.size(segs)) & ~F.coalesce(F.endswith(F.get(segs, i - 1), F.lit("$")), F.lit(False)))
+
+    def runs(k):
+        fits = F.filter(F.col("_at"), lambda i: i + 2 * k < F.size(segs))
+        return F.transform(fits, lambda i: F.array_join(F.slice(segs, i + 1, 2 * k + 1), ""))
+
+    grams = t.withColumn("_at", clean).select(key, F.explode(F.array_distinct(F.flatten(F.array(*[runs(k) for k in range(max_words)])))).alias("gram"))
+    by_name = grams.join(al, "gram").select(key, "symbol")
+    forms = F.explode(F.transform(F.concat(F.regexp_extract_all(F.coalesce(F.col(col), F.lit("")), F.lit(CASHTAG), F.lit(1)), F.regexp_extract_all(F.coalesce(F.col(col), F.lit("")), F.lit(EXCHANGE_FORM), F.lit(1))), lambda x: F.upper(x)))
+    by_form = texts.select(key, forms.alias("symbol")).join(al.select("symbol").distinct(), "symbol", "left_semi").select(key, "symbol")
+    return by_name.unionByName(by_form).distinct()
+
+
+# fixed values: driver -> topic pattern
+DRIVER_PATTERNS = {
+    "oil": r"\b(crude|oil price|oil prices|opec|wti|brent|petroleum|oil output|oil supply|oil demand)\b",
+    "natgas": r"\b(natural gas|lng|nat gas)\b",
+    "gasoline": r"\b(gasoline|pump price|fuel price)\b",
+    "gold": r"\bgold (price|prices|futures|rally|slump)|price of gold\b",
+    "copper": r"\bcopper\b",
+    "silver": r"\bsilver (price|prices|futures)\b",
+    "wheat": r"\bwheat\b",
+    "corn": r"\bcorn (price|prices|futures|crop)\b",
+    "soybeans": r"\bsoybeans?\b",
+    "t10y": r"\b(treasury yield|10-year|ten-year|bond yield|interest rate|rate (hike|cut|hikes|cuts)|fed funds|federal reserve|fomc)\b",
+    "eur": r"\b(dollar (strength|weakness|rally|slide)|weaker dollar|stronger dollar|dxy|euro)\b",
+    "vix": r"\b(volatility|vix|market turmoil|market selloff)\b",
+}
+DIRECT_HEADLINE, DIRECT_SUMMARY, INDIRECT_CAP = 1.0, 0.7, 0.6
+T_SIGNIFICANT, T_SATURATION = 3.0, 20.0
+
+
+def indirect_relevance(t: Column) -> Column:
+    """Exposure t to 0..0.6: zero below significance, then from half the cap up to it."""
+    a = F.abs(t)
+    frac = F.least(F.lit(1.0), (a - T_SIGNIFICANT) / (T_SATURATION - T_SIGNIFICANT))
+    return F.when(a >= T_SIGNIFICANT, F.round(INDIRECT_CAP * (0.5 + 0.5 * frac), 3)).otherwise(0.0)
+
+
+def relevance(texts: DataFrame, key: str, headline: str, summary: str, aliases: DataFrame, exposures: DataFrame, patterns: dict[str, str] = DRIVER_PATTERNS, max_words: int = 4) -> DataFrame:
+    """(key, symbol, relevance): the larger of the direct mention and the best driver exposure."""
+    head = mentions(texts, key, headline, aliases, max_words).withColumn("score", F.lit(DIRECT_HEADLINE))
+    body = mentions(texts, key, summary, aliases, max_words).withColumn("score", F.lit(DIRECT_SUMMARY))
+    both = F.concat_ws(" ", F.coalesce(F.col(headline), F.lit("")), F.coalesce(F.col(summary), F.lit("")))
+    tagged = texts.select(key, F.explode(tag_list(both, patterns)).alias("driver"))
+    known = aliases.select(F.col("symbol").cast("string").alias("symbol")).distinct()
+    exp = exposures.select(F.col("symbol").cast("string").alias("symbol"), "driver", indirect_relevance(F.col("t")).alias("score")).where("score > 0").join(known, "symbol", "left_semi")
+    ind = tagged.join(exp, "driver").select(key, "symbol", "score")
+    rows = head.withColumn("direct", F.lit(True)).unionByName(body.withColumn("direct", F.lit(True))).unionByName(ind.withColumn("direct", F.lit(False)))
+    return rows.groupBy(key, "symbol").agg(F.round(F.max("score"), 3).alias("relevance"), F.bool_or("direct").alias("direct"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scans", "landing", "joins", "windows", "reports", "technical", "research", "stats"]
+MODULES = ["scans", "landing", "joins", "windows", "reports", "technical", "research", "stats", "text_options_streams"]
 
 
 def load_all() -> None:
