@@ -102,10 +102,18 @@ def concept_facts(facts: DataFrame, concepts: dict[str, list[str]]) -> DataFrame
     return best.select(*key, F.col("b.concept").alias("concept"), F.col("b.value").alias("value"), route.alias("period")).where("period is not null")
 
 
-def fill_down(lines: DataFrame, file: str, order: str, context: Column, name: str) -> DataFrame:
-    """Carry a section value down the lines below it, file by file (a file is one document)."""
-    w = W.partitionBy(file).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return lines.withColumn(name, F.last(context, ignorenulls=True).over(w))
+def fill_down(lines: DataFrame, file: str, order: str, context: Column, name: str, block: int = 50_000) -> DataFrame:
+    """Carry a section value down the lines below it, file by file.  A file is cut into blocks of line
+    numbers; the last value of each block is carried over the blocks (few rows) and joined back, so one
+    long file is spread over many tasks."""
+    d = lines.withColumns({"_c": context, "_b": F.floor(F.col(order) / block)})
+    last = d.where(F.col("_c").isNotNull()).groupBy(file, "_b").agg(F.max_by("_c", order).alias("_v"))
+    blocks = d.select(file, "_b").distinct().join(last, [file, "_b"], "left")
+    earlier = W.partitionBy(file).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    carry = blocks.select(file, "_b", F.last("_v", ignorenulls=True).over(earlier).alias("_carry"))
+    inside = W.partitionBy(file, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    out = d.withColumn("_in", F.last("_c", ignorenulls=True).over(inside)).join(carry, [file, "_b"])
+    return out.withColumn(name, F.coalesce("_in", "_carry")).select(*lines.columns, name)
 
 
 # fixed values: filing keywords, tried in order

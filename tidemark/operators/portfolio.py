@@ -111,16 +111,16 @@ def drawdown_stop(series: DataFrame, limit: float, ret: str = "ret", key: str =
 
 
 def performance(series: DataFrame, key: str = "strategy", ret: str = "ret", ddof: int = 0) -> DataFrame:
-    """Headline and tail statistics of every strategy in one grouped pass (plus one for the tail mean)."""
+    """Headline and tail statistics of every strategy in one shuffle."""
     x = F.col(ret)
     d = equity_curve(series.where(x.isNotNull()), ret, key)
     sd = F.stddev_pop(x) if ddof == 0 else F.stddev_samp(x)
-    agg = d.groupBy(key).agg(F.count("*").alias("n_days"), F.max_by("equity", "date").alias("_eq"), F.avg(x).alias("_mean"), (sd * ANN ** 0.5).alias("_vol"),
-                             F.min("drawdown").alias("_mdd"), F.avg((x > 0).cast("double")).alias("_hit"), F.sqrt(F.avg(F.when(x < 0, x * x))).alias("_down"),
-                             F.sum(F.when(x > 0, x).otherwise(0.0)).alias("_gain"), F.sum(F.when(x < 0, -x).otherwise(0.0)).alias("_loss"),
-                             F.expr(f"percentile({ret}, 0.05)").alias("_q05"))
-    tail = d.join(agg.select(key, "_q05"), key).where(x <= F.col("_q05")).groupBy(key).agg(F.avg(x).alias("_tail"))
-    a = agg.join(tail, key, "left")
+    # the quantile comes from the same partition as the equity curve, so the tail mean needs no second pass
+    d = d.withColumn("_q", F.expr(f"percentile({ret}, 0.05) over (partition by {key})"))
+    a = d.groupBy(key).agg(F.count("*").alias("n_days"), F.max_by("equity", "date").alias("_eq"), F.avg(x).alias("_mean"), (sd * ANN ** 0.5).alias("_vol"),
+                           F.min("drawdown").alias("_mdd"), F.avg((x > 0).cast("double")).alias("_hit"), F.sqrt(F.avg(F.when(x < 0, x * x))).alias("_down"),
+                           F.sum(F.when(x > 0, x).otherwise(0.0)).alias("_gain"), F.sum(F.when(x < 0, -x).otherwise(0.0)).alias("_loss"),
+                           F.max("_q").alias("_q05"), F.avg(F.when(x <= F.col("_q"), x)).alias("_tail"))
     cagr = F.when(F.col("_eq") > 0, F.pow("_eq", ANN / F.col("n_days")) - 1)
     pos = lambda c: F.when(F.col(c) > SD_FLOOR, F.col(c))
     enough = lambda n, c: F.when(F.col("n_days") >= n, c)

@@ -66,3 +66,26 @@ def average_ranks(df: DataFrame, group: list[str], values: dict[str, str]) -> Da
     for value, name in values.items():
         out = out.join(rank_table(df, group, value, name), [*group, value])
     return out
+
+
+def calendar_ranks(df: DataFrame, group: list[str], values: dict[str, str]) -> DataFrame:
+    """Average ranks by plain windows, for groups that have at most one row per calendar day: one shuffle
+    by group instead of the bucketed joins."""
+    out = df
+    for value, name in values.items():
+        v = F.col(value)
+        ties = F.count("*").over(W.partitionBy(*group, value))
+        out = out.withColumn(name, F.rank().over(W.partitionBy(*group).orderBy(v)) + (ties - 1) / 2.0)
+    return out
+
+
+def exact_quantile(df: DataFrame, group: list[str], value: str, q: float, out: str) -> DataFrame:
+    """(group, quantile) with linear interpolation, from positions: the percentile aggregate keeps all
+    values of a group in one buffer, this keeps two rows of it."""
+    keys = group or ["_all"]
+    pos = position_within(df.select(*group, value) if group else df.select(F.lit(0).alias("_all"), value), keys, value, value, "_p")
+    at = 1 + q * (F.col("_p_of") - 1)
+    near = pos.where((F.col("_p") == F.floor(at)) | (F.col("_p") == F.floor(at) + 1)).withColumn("_w", at - F.floor(at))
+    lo = F.max(F.when(F.col("_p") == F.floor(at), F.col(value)))
+    hi = F.max(F.when(F.col("_p") == F.floor(at) + 1, F.col(value)))
+    return near.groupBy(*keys).agg((lo + F.coalesce((hi - lo) * F.max("_w"), F.lit(0.0))).alias(out)).select(*group, out)

@@ -11,7 +11,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.operators.relational import average_rank, average_ranks, position_within, value_bucket
+from tidemark.operators.relational import average_rank, average_ranks, calendar_ranks, position_within, value_bucket
 
 
 def draw(parts: list, modulus: Column | int) -> Column:
@@ -20,10 +20,11 @@ def draw(parts: list, modulus: Column | int) -> Column:
     return F.conv(F.substring(h, 1, 12), 16, 10).cast("bigint") % modulus
 
 
-def spearman(df: DataFrame, group: list[str], x: str, y: str, min_n: int) -> DataFrame:
-    """Rank correlation per group: average ranks, then a mergeable correlation aggregate."""
+def spearman(df: DataFrame, group: list[str], x: str, y: str, min_n: int, calendar_bound: bool = False) -> DataFrame:
+    """Rank correlation per group: average ranks, then a mergeable correlation aggregate.  Say
+    ``calendar_bound`` for groups of at most one row per day (a symbol at one horizon)."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    d = average_ranks(d, group, {x: "_rx", y: "_ry"})
+    d = (calendar_ranks if calendar_bound else average_ranks)(d, group, {x: "_rx", y: "_ry"})
     agg = (d.groupBy(*group) if group else d.groupBy()).agg(F.count("*").alias("n"), F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"), F.corr("_rx", "_ry").alias("_c"))
     ok = (F.col("n") >= min_n) & (F.col("_x0") < F.col("_x1")) & (F.col("_y0") < F.col("_y1"))
     reason = F.when(F.col("n") < min_n, "too few pairs").when(~ok, "no variance")

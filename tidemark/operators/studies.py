@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from tidemark.operators.asof import asof_join
 from tidemark.operators.features import by_symbol
-from tidemark.operators.relational import average_ranks
+from tidemark.operators.relational import calendar_ranks, exact_quantile
 
 
 # --- event paths -----------------------------------------------------------------------------
@@ -56,12 +56,17 @@ def baseline(bars: DataFrame, horizons: list[int]) -> DataFrame:
     return day.agg(F.array(*cols).alias("a")).select(F.inline("a"))
 
 
+def _with_median(agg: DataFrame, df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    med = exact_quantile(df, keys, value, 0.5, "_md")
+    return agg.join(med, keys) if keys else agg.withColumn("_md", med.scalar())
+
+
 def horizon_table(car: DataFrame, keys: list[str] = (), min_n: int = 1) -> DataFrame:
     """n, mean, median, hit rate and t per horizon (and label)."""
-    c = F.col("car")
-    agg = car.groupBy(*keys, "rel").agg(F.count("*").alias("n"), F.avg(c).alias("_m"), F.expr("percentile(car, 0.5)").alias("_md"), F.avg((c > 0).cast("double")).alias("_h"), F.stddev_samp(c).alias("_s"))
-    return agg.where(F.col("n") >= min_n).select(*keys, "rel", "n", (100 * F.col("_m")).alias("mean_pct"), (100 * F.col("_md")).alias("median_pct"), (100 * F.col("_h")).alias("hit_rate_pct"),
-                                                 F.when(F.col("_s") > 0, F.col("_m") / (F.col("_s") / F.sqrt("n"))).alias("t_stat"))
+    c, keys = F.col("car"), [*keys, "rel"]
+    agg = car.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(c).alias("_m"), F.avg((c > 0).cast("double")).alias("_h"), F.stddev_samp(c).alias("_s")).where(F.col("n") >= min_n)
+    return _with_median(agg, car, keys, "car").select(*keys, "n", (100 * F.col("_m")).alias("mean_pct"), (100 * F.col("_md")).alias("median_pct"), (100 * F.col("_h")).alias("hit_rate_pct"),
+                                                      F.when(F.col("_s") > 0, F.col("_m") / (F.col("_s") / F.sqrt("n"))).alias("t_stat"))
 
 
 def date_level(car: DataFrame, keys: list[str] = ()) -> DataFrame:
@@ -90,12 +95,12 @@ def exit_outcomes(paths: DataFrame, holding: int, stop_pct: float | None, target
 
 
 def outcome_summary(out: DataFrame, keys: list[str] = ()) -> DataFrame:
-    x = F.col("ret")
+    x, keys = F.col("ret"), list(keys)
     a = (out.groupBy(*keys) if keys else out.groupBy()).agg(
-        F.count("*").alias("n_trades"), F.avg((x > 0).cast("double")).alias("_w"), F.avg(x).alias("_m"), F.expr("percentile(ret, 0.5)").alias("_md"), F.max(x).alias("_mx"), F.min(x).alias("_mn"),
+        F.count("*").alias("n_trades"), F.avg((x > 0).cast("double")).alias("_w"), F.avg(x).alias("_m"), F.max(x).alias("_mx"), F.min(x).alias("_mn"),
         F.sum(F.when(x > 0, x).otherwise(0.0)).alias("_g"), F.sum(F.when(x <= 0, -x).otherwise(0.0)).alias("_l"), F.count_if(F.col("exit_reason") == "stop").alias("stops_hit"), F.count_if(F.col("exit_reason") == "target").alias("targets_hit"))
     p = lambda c: 100 * F.col(c)
-    return a.select(*keys, "n_trades", p("_w").alias("win_rate_pct"), p("_m").alias("avg_return_pct"), p("_md").alias("median_return_pct"), p("_mx").alias("best_pct"), p("_mn").alias("worst_pct"),
+    return _with_median(a, out, keys, "ret").select(*keys, "n_trades", p("_w").alias("win_rate_pct"), p("_m").alias("avg_return_pct"), p("_md").alias("median_return_pct"), p("_mx").alias("best_pct"), p("_mn").alias("worst_pct"),
                     F.when(F.col("_l") > 0, F.col("_g") / F.col("_l")).alias("profit_factor"), "stops_hit", "targets_hit")
 
 
@@ -220,7 +225,7 @@ def exposure_map(stock: DataFrame, drivers: DataFrame, market: DataFrame, min_ob
     j = stock.join(market, "date").join(drivers, "date").where("y is not null and x is not null and m is not null")
     sums = j.groupBy("symbol", "driver").agg(*[F.sum(e).alias(k) for k, e in _moments(F.col("y"), F.col("x"), F.col("m")).items()])
     fit = sums.withColumns(ols_columns(min_obs)).where("beta is not null").select("symbol", "driver", "n_obs", "beta", "t_stat", "r2", "beta_ex_mkt", "t_ex_mkt")
-    ranked = average_ranks(j, ["symbol", "driver"], {"y": "_ry", "x": "_rx"})
+    ranked = calendar_ranks(j.select("symbol", "driver", "y", "x"), ["symbol", "driver"], {"y": "_ry", "x": "_rx"})
     corr = ranked.groupBy("symbol", "driver").agg(F.corr("_ry", "_rx").alias("spearman"))
     return fit.join(corr, ["symbol", "driver"])
 

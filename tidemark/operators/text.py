@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.sources.workspace import spread
+
 # fixed values: topic tag -> pattern (case-insensitive), in tag order
 TOPIC_PATTERNS = {
     "earnings": r"\bearnings?\b|\beps\b|\bquarterly results?\b|\bq[1-4]\b",
@@ -66,7 +68,7 @@ def score_texts(texts: DataFrame, key: str, parts: dict[str, str], lexicon: Data
     Words are exploded and counted per (key, part, word) before the lexicon join, so a long text or a
     frequent word is small by the time it moves; whole texts are read."""
     words = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(WORD), F.lit(0)).alias("w")) for p, c in parts.items()]))
-    counted = (texts.select(key, words.alias("p")).select(key, "p.part", F.explode("p.w").alias("word")).groupBy(key, "part", "word").agg(F.count("*").alias("n")))
+    counted = (spread(texts).select(key, words.alias("p")).select(key, "p.part", F.explode("p.w").alias("word")).groupBy(key, "part", "word").agg(F.count("*").alias("n")))
     hit = counted.join(lexicon, "word", "left")
     return hit.groupBy(key, "part").agg(F.coalesce(F.sum(F.col("n") * F.col("valence")), F.lit(0.0)).alias("valence"), F.sum("n").alias("words"), F.sum(F.when(F.col("valence").isNotNull(), F.col("n")).otherwise(0)).alias("hits"))
 
@@ -124,6 +126,7 @@ def mentions(texts: DataFrame, key: str, col: str, aliases: DataFrame, max_words
     words_in = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
     al = aliases.select(F.col("symbol").cast("string").alias("symbol"), F.lower("alias").alias("gram"),
                         F.when(words_in(F.col("alias")) > max_words, F.raise_error(F.lit("alias longer than max_words"))).otherwise(0).alias("_ok")).where("_ok = 0").drop("_ok")
+    texts = spread(texts)
     t = texts.select(key, F.regexp_extract_all(F.lower(F.coalesce(F.col(col), F.lit(""))), F.lit(SEGMENT), F.lit(0)).alias("s")).where(F.size("s") > 0)
     segs = F.col("s")
     # words and gaps alternate, so the runs of k words start at every second segment; a run that follows
@@ -169,14 +172,16 @@ def indirect_relevance(t: Column) -> Column:
     return F.when(a >= T_SIGNIFICANT, F.round(INDIRECT_CAP * (0.5 + 0.5 * frac), 3)).otherwise(0.0)
 
 
-def relevance(texts: DataFrame, key: str, headline: str, summary: str, aliases: DataFrame, exposures: DataFrame, patterns: dict[str, str] = DRIVER_PATTERNS, max_words: int = 4) -> DataFrame:
-    """(key, symbol, relevance): the larger of the direct mention and the best driver exposure."""
-    head = mentions(texts, key, headline, aliases, max_words).withColumn("score", F.lit(DIRECT_HEADLINE))
-    body = mentions(texts, key, summary, aliases, max_words).withColumn("score", F.lit(DIRECT_SUMMARY))
+def relevance(articles: DataFrame, key: str, symbol: str, headline: str, summary: str, aliases: DataFrame, exposures: DataFrame, patterns: dict[str, str] = DRIVER_PATTERNS, max_words: int = 4) -> DataFrame:
+    """(key, symbol, relevance, direct): one row per article and the symbol it was filed under; the larger of
+    the direct mention and the symbol's best exposure to a driver the text speaks of.  All joins are by
+    (key, symbol) or (symbol, driver); an article never meets symbols that are not its own."""
+    own = articles.select(key, F.col(symbol).cast("string").alias("symbol"))
+    found = lambda c, s: mentions(articles, key, c, aliases, max_words).withColumn("score", F.lit(s))
     both = F.concat_ws(" ", F.coalesce(F.col(headline), F.lit("")), F.coalesce(F.col(summary), F.lit("")))
-    tagged = texts.select(key, F.explode(tag_list(both, patterns)).alias("driver"))
-    known = aliases.select(F.col("symbol").cast("string").alias("symbol")).distinct()
-    exp = exposures.select(F.col("symbol").cast("string").alias("symbol"), "driver", indirect_relevance(F.col("t")).alias("score")).where("score > 0").join(known, "symbol", "left_semi")
-    ind = tagged.join(exp, "driver").select(key, "symbol", "score")
-    rows = head.withColumn("direct", F.lit(True)).unionByName(body.withColumn("direct", F.lit(True))).unionByName(ind.withColumn("direct", F.lit(False)))
-    return rows.groupBy(key, "symbol").agg(F.round(F.max("score"), 3).alias("relevance"), F.bool_or("direct").alias("direct"))
+    tagged = spread(articles).select(key, F.col(symbol).cast("string").alias("symbol"), F.explode(tag_list(both, patterns)).alias("driver"))
+    exp = exposures.select(F.col("symbol").cast("string").alias("symbol"), "driver", indirect_relevance(F.col("t")).alias("score"))
+    rows = (found(headline, DIRECT_HEADLINE).unionByName(found(summary, DIRECT_SUMMARY)).withColumn("direct", F.lit(True))
+            .unionByName(tagged.join(exp, ["symbol", "driver"]).select(key, "symbol", "score").withColumn("direct", F.lit(False))))
+    best = rows.groupBy(key, "symbol").agg(F.max("score").alias("score"), F.bool_or("direct").alias("direct"))
+    return own.join(best, [key, "symbol"], "left").select(key, "symbol", F.round(F.coalesce("score", F.lit(0.0)), 3).alias("relevance"), F.coalesce("direct", F.lit(False)).alias("direct"))

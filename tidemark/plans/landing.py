@@ -135,7 +135,7 @@ def _(spark, d):
     o = A.table(spark, d, "orders")
     text = F.when(F.col("o_orderkey") % 5 == 0, F.date_format("o_orderdate", "yyyy")).otherwise(F.concat(F.lit("M"), F.month("o_orderdate"), F.lit(" "), F.col("o_totalprice").cast("decimal(18,2)").cast("string")))
     lines = o.select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("line_no"), text.alias("text"))
-    f = L.fill_down(lines, "file", "line_no", F.when(F.col("text").rlike(r"^\d{4}$"), F.col("text")), "yr")
+    f = L.fill_down(lines, "file", "line_no", F.when(F.col("text").rlike(r"^\d{4}$"), F.col("text")), "yr", block=500)
     return f.where(F.col("text").startswith("M") & F.col("yr").isNotNull()).select("file", "line_no", F.col("yr").cast("int").alias("year_ctx"), F.substring(F.split("text", " ")[0], 2, 2).cast("int").alias("month_no"), F.split("text", " ")[1].cast("double").alias("value"))
 
 

@@ -9,6 +9,7 @@ from tidemark.plans.base import query, r, rounded
 from tidemark.plans.sqlbits import BARS, FACTS, MACRO, NEWS, R
 from tidemark.plans.windows import market
 from tidemark.sources import adapters as A
+from tidemark.sources.workspace import materialise
 
 _W = "(PARTITION BY symbol ORDER BY date)"
 SCORE_SQL = f"""{BARS}, sc AS MATERIALIZED (SELECT symbol, date, close, close / lag(close) OVER {_W} - 1 AS ret, round(close / lag(close, 21) OVER {_W} - 1, 9) AS score FROM bars)"""
@@ -43,7 +44,7 @@ _HELD = """hd AS MATERIALIZED (SELECT c.date, t.symbol, t.weight FROM (SELECT da
 
 def book(spark, d):
     """Calendar, held weights and gross returns of the demo strategy."""
-    s = scored(spark, d)
+    s = materialise(scored(spark, d), "scored")
     days = s.select("date").distinct()
     held = PF.holdings_by_day(days, targets(spark, d, s))
     return days, held, PF.portfolio_returns(days, held, s.select("date", "symbol", "ret"))
@@ -184,7 +185,8 @@ def event_set(spark, d):
 
 def paths(spark, d):
     b = A.bars(spark, d)
-    return ST.event_paths(event_set(spark, d), b, PRE, POST, market(b), entry_lag=1)
+    # summaries read the paths for several aggregates and for the exact median
+    return materialise(ST.event_paths(event_set(spark, d), b, PRE, POST, market(b), entry_lag=1), "paths")
 
 
 def cars(spark, d):

@@ -226,7 +226,7 @@ def _(spark, d):
 
 @query("Q17_symbol_ic", f"WITH {PANEL}, {_ic_sql('ph', 'symbol, horizon', min_n=10)} SELECT symbol, count(*) AS horizons, {R('max(ic)')} AS best_ic, arg_max(horizon, round(ic, 9)) AS best_horizon, {R('min(ic)')} AS worst_ic, arg_min(horizon, round(ic, 9)) AS worst_horizon FROM ic GROUP BY 1")
 def _(spark, d):
-    ic = RS.spearman(long_panel(spark, d), ["symbol", "horizon"], "value", "fwd", 10).where("ic is not null")
+    ic = RS.spearman(long_panel(spark, d), ["symbol", "horizon"], "value", "fwd", 10, calendar_bound=True).where("ic is not null")
     return rounded(ic.groupBy("symbol").agg(F.count("*").alias("horizons"), F.max("ic").alias("best_ic"), F.max_by("horizon", F.round("ic", 9)).alias("best_horizon"), F.min("ic").alias("worst_ic"), F.min_by("horizon", F.round("ic", 9)).alias("worst_horizon")), ["best_ic", "worst_ic"])
 
 

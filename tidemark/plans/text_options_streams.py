@@ -75,12 +75,14 @@ DEMO_DRIVERS = {"oil": r"\bthe\b", "gold": r"\bles\b", "vix": r"\bund\b"}
 
 @query("X13_relevance", f"""WITH {_TXT}, {_AL}, di AS (SELECT doc_id, symbol, 1.0 AS s, true AS d FROM tx JOIN al ON alias <> '' AND {_HIT('headline')} UNION ALL SELECT doc_id, symbol, 0.7, true FROM tx JOIN al ON alias <> '' AND {_HIT('summary')}),
   ex AS (SELECT symbol, dv, abs(t) AS a FROM (SELECT CAST(item_id AS VARCHAR) AS symbol, 'oil' AS dv, item_id % 9 * 3.0 AS t FROM benchmark UNION ALL SELECT CAST(item_id AS VARCHAR), 'gold', -(item_id % 7) * 2.0 FROM benchmark)), pat(dv, p) AS (VALUES {', '.join(f"('{k}', '(^|[^\\p{{L}}\\p{{N}}_])' || '{v[2:-2]}' || '($|[^\\p{{L}}\\p{{N}}_])')" for k, v in DEMO_DRIVERS.items())}),
-  tg AS (SELECT doc_id, dv FROM tx JOIN pat ON regexp_matches(lower(headline || ' ' || summary), p)), ii AS (SELECT doc_id, symbol, round(0.6 * (0.5 + 0.5 * least(1, (a - 3) / 17)), 3) AS s, false AS d FROM tg JOIN ex USING (dv) WHERE a >= 3 AND symbol IN (SELECT symbol FROM al WHERE alias <> ''))
-  SELECT doc_id, symbol, CAST(round(max(s), 3) AS DOUBLE) AS relevance, bool_or(d) AS direct FROM (SELECT * FROM di UNION ALL SELECT * FROM ii) GROUP BY 1, 2""")
+  tg AS (SELECT doc_id, dv FROM tx JOIN pat ON regexp_matches(lower(headline || ' ' || summary), p)), ow AS (SELECT doc_id, CAST(doc_id % 40 AS VARCHAR) AS symbol FROM tx), ii AS (SELECT doc_id, symbol, CASE WHEN a >= 3 THEN round(0.6 * (0.5 + 0.5 * least(1, (a - 3) / 17)), 3) ELSE 0 END AS s, false AS d FROM tg JOIN ow USING (doc_id) JOIN ex USING (symbol, dv)),
+  bs AS (SELECT doc_id, symbol, max(s) AS s, bool_or(d) AS d FROM (SELECT * FROM di UNION ALL SELECT * FROM ii) GROUP BY 1, 2)
+  SELECT doc_id, symbol, CAST(round(coalesce(s, 0), 3) AS DOUBLE) AS relevance, coalesce(d, false) AS direct FROM ow LEFT JOIN bs USING (doc_id, symbol)""")
 def _(spark, d):
     b = A.table(spark, d, "benchmark")
     ex = b.select(F.col("item_id").alias("symbol"), F.lit("oil").alias("driver"), (F.col("item_id") % 9 * 3.0).alias("t")).unionByName(b.select(F.col("item_id").alias("symbol"), F.lit("gold").alias("driver"), (-(F.col("item_id") % 7) * 2.0).alias("t")))
-    return TX.relevance(texts(spark, d), "doc_id", "headline", "summary", aliases(spark, d), ex, DEMO_DRIVERS, 3)
+    art = texts(spark, d).withColumn("symbol", F.col("doc_id") % 40)
+    return TX.relevance(art, "doc_id", "symbol", "headline", "summary", aliases(spark, d), ex, DEMO_DRIVERS, 3)
 
 
 @query("X14_direct_mention_signals", f"""WITH {_X10}, {_AL}, m AS (SELECT DISTINCT doc_id, symbol FROM documents JOIN al ON alias <> '' AND {_HIT('text')}) SELECT symbol, {R('sum(score * greatest(0.5, 0.05)) / sum(greatest(0.5, 0.05))')} AS sent_score, count(*) AS n_articles FROM m JOIN sn USING (doc_id) GROUP BY 1""")

@@ -10,6 +10,7 @@ from tidemark.operators.relational import position_within
 from tidemark.plans.base import query, r, rounded
 from tidemark.plans.sqlbits import BARS, FACTS, HOLDINGS, INSIDER, MACRO, NEWS, R, SHORT
 from tidemark.sources import adapters as A
+from tidemark.sources.workspace import materialise
 
 _W = "PARTITION BY symbol ORDER BY date"
 
@@ -322,7 +323,8 @@ PANEL_SQL = f"""{RAW_SQL}, z AS (SELECT symbol, date, {", ".join(_Z(c) for c in
 
 
 def panel(spark, d):
-    return FA.signal_panel(FA.raw_factors(feature_matrix(spark, d, macro=False)), WEIGHTS)
+    # z-scores and ranks read the factors several times: write them once rather than redo every join
+    return FA.signal_panel(materialise(FA.raw_factors(feature_matrix(spark, d, macro=False)), "factors"), WEIGHTS)
 
 
 @query("P3_signal_panel", f"WITH {PANEL_SQL} SELECT symbol, date, {', '.join(f'{R(c, 5)} AS {c}' for c in [*FA.FACTORS, 'composite'])} FROM panel")
