@@ -134,7 +134,7 @@ def _(spark, d):
   c AS (SELECT rep, h, id, exp(sum(ln(1 + pnl)) OVER w) AS eq FROM x WINDOW w AS (PARTITION BY rep ORDER BY h, id)), dd AS (SELECT rep, eq / greatest(1, max(eq) OVER (PARTITION BY rep ORDER BY h, id)) - 1 AS dd FROM c) SELECT rep, {R('100 * least(min(dd), 0)', 5)} AS mdd_pct FROM dd GROUP BY 1""")
 def _(spark, d):
     t = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), ((F.col("o_totalprice") - 250000) / 2e7).alias("pnl"))
-    return RS.order_shuffle_drawdown(t, "id", "pnl", 20).select("rep", r("mdd_pct", 5).alias("mdd_pct"))
+    return RS.order_shuffle_drawdown(t, "id", "pnl", 20).select(F.col("rep").cast("bigint").alias("rep"), r("mdd_pct", 5).alias("mdd_pct"))
 
 
 _PBO = f"""{MACRO}, gd AS (SELECT s.series_id AS config, dt.date, coalesce((m.value - 50) / 1000, 0) AS ret FROM (SELECT DISTINCT series_id FROM macro) s CROSS JOIN (SELECT DISTINCT date FROM macro) dt LEFT JOIN macro m ON m.series_id = s.series_id AND m.date = dt.date),
