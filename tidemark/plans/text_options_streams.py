@@ -147,7 +147,7 @@ MNY, DTES = [0.8, 0.9, 1.0, 1.1, 1.2], [7, 30, 90]
 _GRID = f"""{BARS}, lr AS (SELECT symbol, date, close, ln(close / lag(close) OVER w) AS lr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
   vs AS (SELECT symbol, date, close AS spot, round(CASE WHEN count(lr) OVER t >= 30 THEN stddev_samp(lr) OVER t END * sqrt(252), 6) AS sigma FROM lr WINDOW t AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
   lt AS (SELECT * FROM vs WHERE sigma IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1),
-  gd AS (SELECT symbol, date, spot, sigma, m AS moneyness, n AS dte, c AS contract_type, round(m * spot, 2) AS strike, n / 365.0::DOUBLE AS t, CASE c WHEN 'CALL' THEN 1 ELSE -1 END AS s FROM lt, (VALUES {', '.join(f'({m}::DOUBLE)' for m in MNY)}) a(m), (VALUES {', '.join(f'({n})' for n in DTES)}) b(n), (VALUES ('CALL'), ('PUT')) c(c)),
+  gd AS (SELECT symbol, date, spot, sigma, m AS moneyness, n AS dte, c AS contract_type, round(m * spot + 1e-9, 2) AS strike, n / 365.0::DOUBLE AS t, CASE c WHEN 'CALL' THEN 1 ELSE -1 END AS s FROM lt, (VALUES {', '.join(f'({m}::DOUBLE)' for m in MNY)}) a(m), (VALUES {', '.join(f'({n})' for n in DTES)}) b(n), (VALUES ('CALL'), ('PUT')) c(c)),
   gr AS (SELECT *, {_rate_sql('t')} AS r FROM gd), g1 AS (SELECT *, (ln(spot / strike) + (r - 0.01 + sigma * sigma / 2) * t) / (sigma * sqrt(t)) AS d1 FROM gr), g2 AS (SELECT *, d1 - sigma * sqrt(t) AS d2, exp(-d1 * d1 / 2) / 2.506628274631::DOUBLE AS pdf FROM g1),
   g3 AS (SELECT *, {_CDF('(s * d1)')} AS n1, {_CDF('(s * d2)')} AS n2 FROM g2)"""
 
