@@ -1,8 +1,8 @@
 """Where intermediate tables go.
 
 On a cluster the folder named by ``spark.checkpoint.dir`` is shared by all executors and
-outlives any of them; it is read from the session.  Only where it is unset (tests on one
-machine) is a fresh temporary folder made and recorded in the session.
+outlives any of them; it is read from the session.  Only where it is unset on a local master
+(tests on one machine) is a fresh temporary folder made and recorded in the context.
 """
 
 from __future__ import annotations
@@ -16,12 +16,13 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    base = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
+    context = spark.sparkContext
+    base = spark.conf.get(_KEY, None) or context.getConf().get(_KEY) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError(f"set {_KEY} to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="run-tidemark-")
-        spark.conf.set(_KEY, base)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-tidemark-"))
+        base = context.getCheckpointDir()
     return base.rstrip("/")
 
 
