@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, packing
+from tidemark.llm import bpe, minhash, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,6 +32,11 @@ def op1(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path(VOCABULARY), 4096)
 
 
+@query("op2_minhash_near_dedup")
+def op2(spark, sf_dir):
+    return minhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), size=2)
+
+
 @query("op8_bpe_codec")
 def op8(spark, sf_dir):
     coded = bpe.encode(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path(VOCABULARY), decoded=True)
