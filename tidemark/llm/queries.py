@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, minhash, packing
+from tidemark.llm import bpe, minhash, packing, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,3 +42,17 @@ def op8(spark, sf_dir):
     coded = bpe.encode(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path(VOCABULARY), decoded=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op9_substring_dedup", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+m AS (SELECT v, min(doc_id) AS least FROM s GROUP BY v),
+c AS (SELECT DISTINCT doc_id, p FROM (SELECT s.doc_id, unnest(range(s.i, s.i + 13)) AS p FROM s JOIN m USING (v) WHERE s.doc_id > m.least)),
+k AS (SELECT d.doc_id, d.p, d.x FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d) d ANTI JOIN c ON c.doc_id = d.doc_id AND c.p = d.p),
+t AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(t.n, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)""")
+def op9(spark, sf_dir):
+    left = substrings.without_repeats(documents(spark, sf_dir, "doc_id", "text"), joined=True)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -25,9 +25,10 @@ def fields(ddl: str) -> list[StructField]:
     return StructType.fromDDL(ddl).fields
 
 
-def over_texts(df: DataFrame, text: str, keep: list[str], new: str, prepare: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
+def over_texts(df: DataFrame, text: str, keep: list[str], new: str, prepare: Callable[[], Callable[..., list]], beside: tuple[str, ...] = (), limit: int = bt.SLICE) -> DataFrame:
     """Columns ``keep`` and the columns of DDL ``new``, which prepare()(texts) gives for each slice of whole texts.
 
+    Columns ``beside`` are read and given to that function after the texts, and are not returned.
     A kept column with the name of a new one gives way to it; other columns of ``df`` are not read.
     """
     added = fields(new)
@@ -42,11 +43,11 @@ def over_texts(df: DataFrame, text: str, keep: list[str], new: str, prepare: Cal
         for b in batches:
             work = work or prepare()
             texts = b.column(len(keep))
-            for lo, hi in bt.slices(texts):
-                arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in work(texts.slice(lo, hi - lo))]
+            for lo, hi in bt.slices(texts, limit):
+                arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in work(*(c.slice(lo, hi - lo) for c in b.columns[len(keep):]))]
                 arrays = [x if x.type == k else x.cast(k) for x, k in zip(arrays, kinds)]
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(len(keep))), *arrays], names=schema.names)
-    return df.select(*(df[c] for c in keep), df[text].cast("string").alias("__text")).mapInArrow(run, schema)
+    return df.select(*(df[c] for c in keep), df[text].cast("string").alias("__text"), *(df[c].alias(f"__{c}") for c in beside)).mapInArrow(run, schema)
 
 
 def lists(values, offsets) -> pa.Array:
