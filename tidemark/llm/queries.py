@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, minhash, packing, substrings
+from tidemark.llm import bpe, labelled, minhash, packing, quality, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,6 +37,19 @@ def op2(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), size=2)
 
 
+@query("op5_toxicity")
+def op5(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).select("doc_id", labelled.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_quality_rules")
+def op7(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return quality.judge(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 @query("op8_bpe_codec")
 def op8(spark, sf_dir):
     coded = bpe.encode(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path(VOCABULARY), decoded=True)
