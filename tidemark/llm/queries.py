@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, labelled, minhash, packing, quality, substrings, toxicity
+from tidemark.llm import bpe, hilbert, labelled, licenses, minhash, packing, quality, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,6 +37,11 @@ def op2(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), size=2)
 
 
+@query("op3_license_scan")
+def op3(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir, "doc_id", "text")).drop("spans")
+
+
 @query("op5_toxicity")
 def op5(spark, sf_dir):
     docs = documents(spark, sf_dir, "doc_id", "text")
@@ -44,6 +49,11 @@ def op5(spark, sf_dir):
     return toxicity.score(docs, model).select("doc_id", labelled.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op6_hilbert_neighbours")
+def op6(spark, sf_dir):
+    return hilbert.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 @query("op7_quality_rules")
 def op7(spark, sf_dir):
     docs = documents(spark, sf_dir, "doc_id", "text")
