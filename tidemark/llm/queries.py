@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, hilbert, labelled, licenses, minhash, packing, quality, substrings, toxicity
+from tidemark.llm import bpe, hilbert, htmltext, importance, labelled, licenses, minhash, packing, quality, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +42,15 @@ def op3(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir, "doc_id", "text")).drop("spans")
 
 
+@query("op4_importance_resampling")
+def op4(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality IN (0, 1)")
+    target = docs.join(labels.where("quality = 1"), "doc_id", "left_semi")
+    share = labels.agg(F.avg("quality").alias("s")).head()["s"]  # as many as the labels say are like the target
+    return importance.resample(docs, target, 1.0 if share is None else share)
+
+
 @query("op5_toxicity")
 def op5(spark, sf_dir):
     docs = documents(spark, sf_dir, "doc_id", "text")
@@ -79,3 +88,8 @@ FROM d LEFT JOIN t USING (doc_id)""")
 def op9(spark, sf_dir):
     left = substrings.without_repeats(documents(spark, sf_dir, "doc_id", "text"), joined=True)
     return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op10_html_extraction")
+def op10(spark, sf_dir):
+    return htmltext.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), keep=("page_id", "url"))
