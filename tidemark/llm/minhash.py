@@ -3,8 +3,9 @@
 Method: every text is a set of word shingles; for each of bands x rows hash functions its minimum is taken.  Rows of a
 band together form the band's key, and texts that share a key are candidates.  The low b bits of the minima are packed
 into four longs; the bits in which two signatures agree, corrected for chance agreement, estimate the similarity, and
-candidates that are clearly too far apart go no further.  What is left is decided on the full shingle sets, so every
-link is exact.
+candidates that are clearly too far apart go no further.  Beside them a table of parities of all shingles bounds the
+symmetric difference of two sets from below, which dismisses most other pairs under the threshold for certain.  What is
+left is decided on the full shingle sets, so every link is exact.
 
 Pairs inside a group are never all formed.  Texts with the same set are one node.  First the members of a bucket meet
 the bucket's centres only (the least member under a few orders); confirmed links are joined to components; then only
@@ -32,8 +33,11 @@ from tidemark.sources.workspace import materialise
 
 BANDS, ROWS = 40, 5
 BITS, SIGNED = 2, 128
+#: Longs of the parity table: bit i says whether an odd number of shingles falls on i.
+PARITY = 16
 #: Orders of the members of a bucket, each with its own centre.
 ORDERS = 4
+SIGNATURE = [*(f"s{k}" for k in range(4)), *(f"p{k}" for k in range(PARITY))]
 #: Pairs of alternating bits.
 _ODD_BITS = 0x5555555555555555
 
@@ -66,25 +70,27 @@ def minima(shingles: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketches(df: DataFrame, text: str, key: str, size: int, lower: bool) -> DataFrame:
-    """key, n_shingles, node (identity of the set), bands array<bigint>, s0 to s3 (packed low bits of the minima)."""
+    """key, n_shingles, node (identity of the set), bands array<bigint>, s0 to s3 (packed low bits of the minima), p0, p1, ... (parities)."""
     def prepare():
         band = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         place = np.tile(np.arange(0, 64, BITS, dtype=np.uint64), (4, 1))
 
         def work(texts):
             sets = shingle_sets(bt.split(texts, lower=lower), size)
-            keys, packed = np.zeros((len(sets), BANDS), np.uint64), np.zeros((len(sets), 4), np.uint64)
+            keys, packed, odd = np.zeros((len(sets), BANDS), np.uint64), np.zeros((len(sets), 4), np.uint64), np.zeros((len(sets), PARITY), np.int64)
             for i, s in enumerate(sets):
                 if len(s):
                     m = minima(s, BANDS * ROWS)
                     keys[i] = bt.run_hashes(m, np.arange(0, len(m), ROWS), np.arange(ROWS, len(m) + 1, ROWS))
                     packed[i] = ((bt.mix(m[:SIGNED]).reshape(4, -1) & np.uint64((1 << BITS) - 1)) << place).sum(1, dtype=np.uint64)
+                    odd[i] = np.packbits((np.bincount((s >> np.uint64(8) & np.uint64(PARITY * 64 - 1)).astype(np.int64), minlength=PARITY * 64) & 1).astype(bool)).view(np.int64)
             full = np.array([len(s) > 0 for s in sets], bool)
             at = np.append(0, np.cumsum(full * BANDS))
             return [np.array([len(s) for s in sets], np.int64), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
-                    lists(bt.signed(bt.mix(keys ^ band)[full].ravel()), at), *(np.ascontiguousarray(bt.signed(packed)[:, k]) for k in range(4))]
+                    lists(bt.signed(bt.mix(keys ^ band)[full].ravel()), at), *(np.ascontiguousarray(bt.signed(packed)[:, k]) for k in range(4)),
+                    *(np.ascontiguousarray(odd[:, k]) for k in range(PARITY))]
         return work
-    return over_texts(df, text, [key], "n_shingles bigint, node bigint, bands array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint", prepare)
+    return over_texts(df, text, [key], "n_shingles bigint, node bigint, bands array<bigint>, " + ", ".join(f"{c} bigint" for c in SIGNATURE), prepare)
 
 
 def estimate(a: str, b: str):
@@ -95,12 +101,14 @@ def estimate(a: str, b: str):
 
 
 def near(a: str, b: str, percent: int):
-    """What cannot be excluded by sizes (exact) or by the estimate (five standard deviations below the threshold)."""
+    """What cannot be excluded by sizes and parities (exact bounds) or by the estimate (five standard deviations below)."""
     chance = 2.0 ** -BITS
     agree = chance + (1 - chance) * percent / 100
     least = percent / 100 - 5.3 * (agree * (1 - agree) / SIGNED) ** 0.5 / (1 - chance)
     small, large = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-    return (small * 100 >= large * percent) & (estimate(a, b) >= least)
+    # an odd parity of the difference takes at least one shingle that only one set has; similar sets have few of those
+    differ = sum((F.bit_count(F.col(f"{a}.p{k}").bitwiseXOR(F.col(f"{b}.p{k}"))) for k in range(PARITY)), F.lit(0))
+    return (small * 100 >= large * percent) & (estimate(a, b) >= least) & (differ * (100 + percent) <= (small + large) * (100 - percent))
 
 
 def confirmed(pairs: DataFrame, df: DataFrame, nodes: DataFrame, text: str, key: str, size: int, lower: bool, percent: int) -> DataFrame:
@@ -126,7 +134,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, text: str =
     """key, n_shingles, component_id (smallest key that links reach), kept (key is component_id), one row for each row."""
     s = materialise(sketches(df, text, key, size, lower), "sketches")
     nodes = materialise(s.where("node is not null").groupBy("node").agg(F.min(key).alias(key)), "nodes")
-    first = s.where("node is not null").dropDuplicates(["node"]).select("node", "n_shingles", "s0", "s1", "s2", "s3", "bands")
+    first = s.where("node is not null").dropDuplicates(["node"]).select("node", "n_shingles", *SIGNATURE, "bands")
     filed = first.select("node", F.posexplode("bands").alias("band", "k"))
     turn = F.element_at(F.array(*(F.lit(int(x)) for x in bt.signed(bt.mix(np.arange(1, ORDERS + 1, dtype=np.uint64))))), F.col("band") % ORDERS + 1)
     centres = filed.groupBy("k", "band").agg(F.min(F.col("node").bitwiseXOR(turn)).alias("m"), F.count("*").alias("n")).where("n > 1").select("k", F.col("m").bitwiseXOR(turn).alias("centre"))
