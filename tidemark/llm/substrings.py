@@ -9,6 +9,8 @@ share one, and so one row carries all of them.  Where a run is so frequent that
 lengthened to all ``size`` words; such a group is a single node.  Edges below a run carry hashes of their words.  Each node
 at the depth keeps its least document; merging the covered places of a document gives its maximal repeats.
 
+Rows of a slice that go to one group travel as one parcel, so the shuffle moves few large rows.
+
 Skew: equal suffixes within a task are merged before the shuffle, and only the least document of each goes on, so a
 passage that a third of all documents share costs one row a task.  How full the groups get is counted over all
 documents, in a table of fixed size.
@@ -33,30 +35,44 @@ RUN = 5
 #: Rows of a group: what one task holds at once.
 GROUP_ROWS = 50_000
 _COUNTERS = 1 << 16
-_SLICE = 8 << 20
+_SLICE = 4 << 20
+
+
+def _least_run(run: np.ndarray, width: int) -> np.ndarray:
+    """For each place the place of the least of ``width`` values from it on; the earlier one of equal values."""
+    bits = np.uint64(max(21, int(len(run)).bit_length()))
+    u = run >> bits << bits | np.arange(len(run), dtype=np.uint64)
+    step = 1
+    while step < width:
+        by = min(step, width - step)
+        u = np.minimum(u[:-by], u[by:])
+        step += by
+    return (u & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
 
 
-def _suffixes(texts: pa.Array, keys: pa.Array, size: int):
-    """Windows of a slice: hash, whether an earlier document of the slice has it, rows (first window, end), run hash of each row."""
+def _suffixes(texts: pa.Array, keys: pa.Array, size: int, resolve: bool):
+    """Windows of a slice: words, hash, first word, text, key, whether an earlier document of the slice has it (if asked),
+    rows (first window, end), run hash of each row, place of the run of each window."""
     words = bt.split(texts)
     h = words.hashes()
     w, at, doc = bt.windows(words, size, h)
-    valid = ~np.asarray(keys.is_null())
-    own = valid[doc]
-    w, at, doc = w[own], at[own], doc[own]
-    if not len(w):
-        return words, w, at, doc, np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), w, w
+    if keys.null_count:
+        own = ~np.asarray(keys.is_null())[doc]
+        w, at, doc = w[own], at[own], doc[own]
     key = np.asarray(keys.fill_null(0)).astype(np.int64)[doc]
-    order = np.argsort(w, kind="stable")
-    first = np.flatnonzero(np.append(True, w[order][1:] != w[order][:-1]))
-    least = np.repeat(np.minimum.reduceat(key[order], first), np.diff(np.append(first, len(order))))
     known = np.zeros(len(w), bool)
-    known[order] = key[order] > least
+    if not len(w):
+        return words, w, at, doc, key, known, np.zeros(0, np.int64), np.zeros(0, np.int64), w, at
+    if resolve:
+        order = np.argsort(w)
+        first = np.flatnonzero(np.append(True, w[order][1:] != w[order][:-1]))
+        least = np.repeat(np.minimum.reduceat(key[order], first), np.diff(np.append(first, len(order))))
+        known[order] = key[order] > least
     n = np.arange(len(h) - RUN + 1)
     run = bt.run_hashes(h, n, n + RUN)
-    place = at + np.lib.stride_tricks.sliding_window_view(run, size - RUN + 1)[at].argmin(1)
+    place = _least_run(run, size - RUN + 1)[at]
     start = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])))
-    return words, w, at, doc, known, start, np.append(start[1:], len(w)), run[place[start]], place
+    return words, w, at, doc, key, known, start, np.append(start[1:], len(w)), run[place[start]], place
 
 
 def _counter(run: np.ndarray) -> np.ndarray:
@@ -66,9 +82,7 @@ def _counter(run: np.ndarray) -> np.ndarray:
 def _fill(df: DataFrame, text: str, key: str, size: int) -> np.ndarray:
     """How many rows fall on each counter: all documents count, the table has a fixed size."""
     def count(texts, keys):
-        _, _, _, _, known, start, end, run, _ = _suffixes(texts, keys, size)
-        open_ = np.add.reduceat(~known, start) > 0 if len(start) else np.zeros(0, bool)
-        n = np.bincount(_counter(run[open_]), minlength=_COUNTERS)
+        n = np.bincount(_counter(_suffixes(texts, keys, size, False)[8]), minlength=_COUNTERS)
         some = np.flatnonzero(n)
         at = np.zeros(len(texts) + 1, np.int64)
         at[1:] = len(some)
@@ -80,62 +94,90 @@ def _fill(df: DataFrame, text: str, key: str, size: int) -> np.ndarray:
     return total
 
 
-def _rows(df: DataFrame, text: str, key: str, size: int, crowded: np.ndarray) -> DataFrame:
-    """key, place (tag of the text and first window), run, meta (windows and their place in the run), known, tails."""
+#: Arrays of a parcel: the rows that one slice sends to one group. meta: windows, their place in the run, known ones, single.
+_PARCEL = (("run", np.int64), ("key", np.int64), ("place", np.int64), ("meta", np.int32))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of an array, all first bytes first: numbers that are alike compress well so."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _unpacked(parcels: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    found, tails = {c: [] for c, _ in _PARCEL}, []
+    for p in parcels:
+        n, at = int.from_bytes(p[:4], "little"), 4
+        for c, kind in _PARCEL:
+            size = np.dtype(kind).itemsize
+            found[c].append(np.ascontiguousarray(np.frombuffer(p, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel())
+            at += n * size
+        tails.append(np.frombuffer(p, "<u4", -1, at))
+    return {c: np.concatenate(x) for c, x in found.items()}, np.concatenate(tails)
+
+
+def _rows(df: DataFrame, text: str, key: str, size: int, crowded: np.ndarray, groups: int) -> DataFrame:
+    """g, parcel: the suffix rows of each slice, by group."""
     def work(texts, keys):
-        words, w, at, doc, known, start, end, run, place = _suffixes(texts, keys, size)
-        n = len(texts)
+        words, w, at, doc, own, known, start, end, run, place = _suffixes(texts, keys, size, True)
+        ends = np.zeros(len(texts) + 1, np.int64)
         if not len(w):
-            return [lists(np.zeros(0, np.int64), np.zeros(n + 1))] * 3 + [lists(pa.array([], pa.binary()), np.zeros(n + 1))]
+            return [lists(np.zeros(0, np.int32), ends), lists(pa.array([], pa.binary()), ends)]
         data, offsets = memoryview(np.ascontiguousarray(words.data)), words.offsets
-        tag = np.array([zlib.crc32(data[a:b]) >> 1 for a, b in zip(offsets[:-1], offsets[1:])], np.int64)
+        tag = np.array([zlib.crc32(data[a:b]) & 0xFFFF for a, b in zip(offsets[:-1], offsets[1:])], np.int64)
         full = crowded[_counter(run)]
         # rows of crowded runs fall apart into their windows
         each = np.where(full, end - start, 1)
         row = np.repeat(np.arange(len(start)), each)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
-        s = start[row] + np.where(full[row], step, 0)
+        step = np.where(full[row], np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each), 0)
+        s = start[row] + step
         e = np.where(full[row], s + 1, end[row])
+        bit = np.int64(1) << (np.arange(len(w)) - np.repeat(start, end - start))
+        flags = np.add.reduceat(np.where(known, bit, 0), s) >> step
+        open_ = np.add.reduceat((~known).astype(np.int64), s)
         k = np.where(full[row], w[s], run[row])
-        bit = np.int64(1) << (np.arange(len(w)) - start[np.searchsorted(start, np.arange(len(w)), "right") - 1])
-        flags = np.add.reduceat(np.where(known, bit, 0), s) >> np.where(full[row], step, 0)
-        done = np.add.reduceat((~known).astype(np.int64), s) == 0
-        k = np.where(done, bt.mix((tag[doc[s]] + at[s]).astype(np.uint64)), k)  # nothing open: any group will do
-        meta = e - s | (place[s] - at[s]) << 4 | flags << 8 | full[row].astype(np.int64) << 20
-        tail = (w >> np.uint64(32)).astype("<u4")
-        live = ~known & ~full[np.repeat(np.arange(len(start)), end - start)]
+        k = np.where(open_ == 0, bt.mix((own[s] + at[s]).astype(np.uint64)), k)  # nothing open: any group will do
+        live = ~known & ~np.repeat(full, end - start)
         sums = np.append(0, np.cumsum(live))
-        tails = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(np.append(sums[s] * 4, sums[-1] * 4).astype(np.int32)), pa.py_buffer(tail[live].tobytes())])
-        per = np.searchsorted(doc[s], np.arange(n + 1))
-        return [lists(tag[doc[s]] << 32 | at[s] - words.first[doc[s]], per), lists(bt.signed(k), per), lists(meta, per), lists(tails, per)]
-    found = over_texts(df, text, [key], "place array<bigint>, run array<bigint>, meta array<bigint>, tails array<binary>", lambda: work, beside=(key,), limit=_SLICE)
-    return found.select(key, F.explode(F.arrays_zip("place", "run", "meta", "tails")).alias("r")).select(F.col(key).cast("long").alias("key"), "r.place", "r.run", F.col("r.meta").cast("int").alias("meta"), "r.tails")
+        tail = (w >> np.uint64(32)).astype("<u4")[live]
+        g = (k % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(g, kind="stable")
+        count = np.where(full[row], 0, open_)[order]
+        first_tail = sums[s][order]
+        n_tails = np.cumsum(count)
+        tails = tail[np.repeat(first_tail - (n_tails - count), count) + np.arange(int(n_tails[-1]))]
+        columns = {"run": bt.signed(k)[order], "key": own[s][order], "place": (tag[doc[s]] << 40 | at[s] - words.first[doc[s]])[order],
+                   "meta": (e - s | (place[s] - at[s]) << 4 | flags << 8 | full[row].astype(np.int64) << 20)[order].astype(np.int32)}
+        names, first = np.unique(g[order], return_index=True)
+        bounds, t_at = np.append(first, len(order)), np.append(0, n_tails)
+        parcels = [b"".join([int(y - x).to_bytes(4, "little"), *(_planes(columns[c][x:y]) for c, _ in _PARCEL), tails[t_at[x]:t_at[y]].tobytes()]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        ends[1:] = len(names)
+        return [lists(names.astype(np.int32), ends), lists(pa.array(parcels, pa.binary()), ends)]
+    found = over_texts(df, text, [], "g array<int>, parcel array<binary>", lambda: work, beside=(key,), limit=_SLICE)
+    return found.select(F.explode(F.arrays_zip("g", "parcel")).alias("r")).select("r.g", "r.parcel")
 
 
 def _nodes(table: pa.Table) -> pa.Table:
     """The tree below each run of a group: nodes at full depth, their least document, and the suffixes of later ones."""
-    run, key, meta = (np.asarray(table.column(c).combine_chunks()).astype(np.int64) for c in ("run", "key", "meta"))
+    c, tails = _unpacked([p.as_py() for p in table.column("parcel")])
+    run, key, meta = c["run"], c["key"], c["meta"].astype(np.int64)
     n, start, known, single = meta & 15, meta >> 4 & 15, meta >> 8 & 0xFFF, meta >> 20 > 0
     row = np.repeat(np.arange(len(n)), n)
     j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    was = (known[row] >> j & 1) > 0
-    row_open, j_open = row[~was], j[~was]
-    edge = np.zeros(len(row_open), np.int64)
-    edge[~single[row_open]] = np.frombuffer(b"".join(x for x in table.column("tails").to_pylist() if x), "<u4")
-    depth = np.where(single[row_open], 0, start[row_open] - j_open)
-    order = np.lexsort((key[row_open], edge, depth, run[row_open]))
-    r, e, d, k = run[row_open][order], edge[order], depth[order], key[row_open][order]
-    late = np.zeros(len(row), bool)
-    if len(order):
-        first = np.append(True, (r[1:] != r[:-1]) | (e[1:] != e[:-1]) | (d[1:] != d[:-1]))
-        least = k[np.flatnonzero(first)][np.cumsum(first) - 1]
-        hit = np.zeros(len(order), bool)
-        hit[order] = k > least
-        late[~was] = hit
-    late |= was
+    late = (known[row] >> j & 1) > 0
+    at = np.flatnonzero(~late)
+    if len(at):
+        r = row[at]
+        edge = np.zeros(len(at), np.uint64)
+        edge[~single[r]] = tails
+        depth = np.where(single[r], 0, start[r] - j[at]).astype(np.uint64)
+        node = bt.mix(run[r].view(np.uint64) + bt.mix(edge << np.uint64(8) | depth))
+        order = np.argsort(node)
+        first = np.flatnonzero(np.append(True, node[order][1:] != node[order][:-1]))
+        k = key[r][order]
+        late[at[order]] = k > np.repeat(np.minimum.reduceat(k, first), np.diff(np.append(first, len(order))))
     mask = np.bincount(row, weights=np.where(late, 1 << j, 0), minlength=len(n)).astype(np.int64)
     some = mask > 0
-    return pa.table({"key": key[some], "place": np.asarray(table.column("place").combine_chunks())[some], "mask": pa.array(mask[some], pa.int32())})
+    return pa.table({"key": key[some], "place": c["place"][some], "mask": pa.array(mask[some], pa.int32())})
 
 
 def repeats(df: DataFrame, size: int = 13, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -143,8 +185,7 @@ def repeats(df: DataFrame, size: int = 13, text: str = "text", key: str = "doc_i
     total = _fill(df, text, key, size)
     crowded = total > max(GROUP_ROWS, 4 * total.mean())
     groups = max(-(-int(total.sum()) // GROUP_ROWS), 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = _rows(df, text, key, size, crowded).withColumn("g", F.pmod("run", F.lit(groups)))
-    return rows.groupBy("g").applyInArrow(_nodes, "key bigint, place bigint, mask int")
+    return _rows(df, text, key, size, crowded, groups).groupBy("g").applyInArrow(_nodes, "key bigint, place bigint, mask int")
 
 
 def without_repeats(df: DataFrame, size: int = 13, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = (), joined: bool = False) -> DataFrame:
@@ -169,8 +210,8 @@ def without_repeats(df: DataFrame, size: int = 13, text: str = "text", key: str
             hidden = np.zeros(b - a, bool)
             if c.is_valid and b > a:
                 place, mask = (np.asarray(c.values.field(i)) for i in (0, 1))
-                own = place >> 32 == zlib.crc32(data[lo:hi]) >> 1
-                place, mask = place[own] & 0xFFFFFFFF, mask[own]
+                own = place >> 40 == zlib.crc32(data[lo:hi]) & 0xFFFF
+                place, mask = place[own] & (1 << 40) - 1, mask[own]
                 at = np.concatenate([place[mask >> j & 1 > 0] + j for j in range(12)])
                 hidden = bt.covered(b - a, at, size)
             gone.append(int(hidden.sum()))
