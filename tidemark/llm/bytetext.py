@@ -146,5 +146,11 @@ def covered(n: int, at: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(d[:n]) > 0
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    s = np.sort(x)
+    return s[np.append(True, s[1:] != s[:-1])] if len(s) else s
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)

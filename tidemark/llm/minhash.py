@@ -49,7 +49,7 @@ def shingle_sets(words: bt.Words, size: int) -> list[np.ndarray]:
     bounds = np.searchsorted(doc, np.arange(len(words.counts) + 1))
     short = np.flatnonzero((words.counts > 0) & (words.counts < size))
     whole = bt.run_hashes(h, words.first[short], words.first[short + 1])
-    sets = [np.unique(w[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+    sets = [bt.distinct(w[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
     for d, x in zip(short, whole):
         sets[d] = np.array([x], np.uint64)
     return sets
