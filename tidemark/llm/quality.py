@@ -22,6 +22,7 @@ from tidemark.llm import bytetext as bt, labelled
 from tidemark.llm.textmap import over_texts
 
 SAMPLE = 8000
+_SLICE = 1 << 19
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 #: Feature and direction: -1 where more of it may only lower the verdict, 0 where the trees are free.
@@ -171,6 +172,6 @@ def judge(df: DataFrame, trees: Trees | None, text: str = "text", keep: tuple[st
         counts, f = statistics(texts)
         margin = np.zeros(len(f)) if trees is None else trees.margin(f)
         return [*(np.ascontiguousarray(counts[:, i]) for i in range(len(COUNTS))), 1.0 / (1 + np.exp(-margin))]
-    out = over_texts(df, text, list(keep), ", ".join(f"{c} bigint" for c in COUNTS) + ", score double", lambda: work)
+    out = over_texts(df, text, list(keep), ", ".join(f"{c} bigint" for c in COUNTS) + ", score double", lambda: work, limit=_SLICE)
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
