@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tidemark.llm import bytetext as bt
-from tidemark.llm.textmap import lists, over_texts
+from tidemark.llm.textmap import over_texts, total_counts
 from tidemark.sources.workspace import materialise
 
 BITS = 16
@@ -39,18 +39,8 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counts(df: DataFrame, text: str) -> np.ndarray:
-    """n-grams of all texts in each bucket; every batch sends one table of fixed size."""
-    def work(texts):
-        n = np.bincount(grams(texts)[0], minlength=1 << BITS)
-        some = np.flatnonzero(n)
-        at = np.zeros(len(texts) + 1, np.int64)
-        at[1:] = len(some)
-        return [lists(some, at), lists(n[some], at)]
-    rows = over_texts(df, text, [], "b array<bigint>, n array<bigint>", lambda: work, limit=16 << 20)
-    total = np.zeros(1 << BITS)
-    for r in rows.select(F.explode(F.arrays_zip("b", "n")).alias("x")).groupBy("x.b").agg(F.sum("x.n").alias("n")).collect():  # at most 1 << BITS rows
-        total[r["b"]] = r["n"]
-    return total
+    """n-grams of all texts in each bucket."""
+    return total_counts(df, text, 1 << BITS, lambda texts: np.bincount(grams(texts)[0], minlength=1 << BITS)).astype(float)
 
 
 def model(raw: DataFrame, target: DataFrame, text: str = "text", smoothing: float = 1.0) -> np.ndarray:
@@ -70,11 +60,9 @@ def _ordered(v: np.ndarray) -> np.ndarray:
 
 def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
     """The k-th largest value of a long column, exactly, from four tables of at most 65,536 counts; None if there are fewer."""
-    high = F.shiftright(column, 48)
     shown = df.select(F.col(column).alias("x"))
     for level in range(4):
-        part = high if level == 0 else F.shiftright("x", 48 - 16 * level).bitwiseAND(F.lit(0xFFFF))
-        part = F.shiftright("x", 48) if level == 0 else part
+        part = F.shiftright("x", 48) if level == 0 else F.shiftright("x", 48 - 16 * level).bitwiseAND(F.lit(0xFFFF))  # the first keeps the sign
         n = sorted(((r["p"], r["n"]) for r in shown.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()), reverse=True)
         for p, c in n:
             if k <= c:

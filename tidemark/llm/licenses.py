@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from tidemark.llm import bytetext as bt
-from tidemark.llm.textmap import lists, over_texts
+from tidemark.llm.textmap import over_texts, total_counts
 
 # Phrases and labels of the base scan.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -89,17 +89,14 @@ def document_frequency(df: DataFrame, text: str) -> tuple[int, np.ndarray]:
     """Number of documents, and in how many of them each template word occurs; a table of fixed size."""
     index = Index()
 
-    def work(texts):
+    size = len(index.vocabulary)
+
+    def count(texts):
         words = bt.split(texts, bt.ALNUM, lower=True)
         code = index.code(words.hashes())
-        has = np.unique(words.doc[code >= 0].astype(np.int64) * len(index.vocabulary) + code[code >= 0]) % len(index.vocabulary)
-        n = np.append(np.bincount(has, minlength=len(index.vocabulary)), len(texts))
-        at = np.zeros(len(texts) + 1, np.int64)
-        at[1:] = len(n)
-        return [lists(n.astype(np.int64), at)]
-    rows = over_texts(df, text, [], "n array<bigint>", lambda: work)
-    counts = {r["pos"]: r["n"] for r in rows.select(F.posexplode("n").alias("pos", "n")).groupBy("pos").agg(F.sum("n").alias("n")).collect()}
-    n = np.array([counts.get(i, 0) for i in range(len(index.vocabulary) + 1)], np.int64)
+        has = bt.distinct(words.doc[code >= 0].astype(np.int64) * size + code[code >= 0]) % size
+        return np.append(np.bincount(has, minlength=size), len(texts))
+    n = total_counts(df, text, size + 1, count)
     return int(n[-1]), n[:-1]
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import bytetext as bt
-from tidemark.llm.textmap import lists, over_texts
+from tidemark.llm.textmap import lists, over_texts, total_counts
 
 RUN = 5
 #: Rows of a group: what one task holds at once.
@@ -81,17 +81,7 @@ def _counter(run: np.ndarray) -> np.ndarray:
 
 def _fill(df: DataFrame, text: str, key: str, size: int) -> np.ndarray:
     """How many rows fall on each counter: all documents count, the table has a fixed size."""
-    def count(texts, keys):
-        n = np.bincount(_counter(_suffixes(texts, keys, size, False)[8]), minlength=_COUNTERS)
-        some = np.flatnonzero(n)
-        at = np.zeros(len(texts) + 1, np.int64)
-        at[1:] = len(some)
-        return [lists(some, at), lists(n[some], at)]
-    rows = over_texts(df, text, [], "c array<bigint>, n array<bigint>", lambda: count, beside=(key,), limit=_SLICE)
-    total = np.zeros(_COUNTERS, np.int64)
-    for r in rows.select(F.explode(F.arrays_zip("c", "n")).alias("x")).groupBy("x.c").agg(F.sum("x.n").alias("n")).collect():  # at most _COUNTERS rows
-        total[r["c"]] = r["n"]
-    return total
+    return total_counts(df, text, _COUNTERS, lambda texts, keys: np.bincount(_counter(_suffixes(texts, keys, size, False)[8]), minlength=_COUNTERS), (key,), _SLICE)
 
 
 #: Arrays of a parcel: the rows that one slice sends to one group. meta: windows, their place in the run, known ones, single.

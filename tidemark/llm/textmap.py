@@ -6,8 +6,9 @@ import sys
 import types
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from tidemark.llm import bytetext as bt
@@ -50,5 +51,21 @@ def over_texts(df: DataFrame, text: str, keep: list[str], new: str, prepare: Cal
     return df.select(*(df[c] for c in keep), df[text].cast("string").alias("__text"), *(df[c].alias(f"__{c}") for c in beside)).mapInArrow(run, schema)
 
 
+def total_counts(df: DataFrame, text: str, size: int, count: Callable[..., np.ndarray], beside: tuple[str, ...] = (), limit: int = bt.SLICE) -> np.ndarray:
+    """Sum of count(texts, ...), an array of ``size`` numbers, over all texts: a task adds up its slices and sends one table."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            for lo, hi in bt.slices(b.column(0), limit):
+                total += count(*(c.slice(lo, hi - lo) for c in b.columns))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["b", "n"])
+    tables = df.select(df[text].cast("string").alias("__text"), *(df[c].alias(f"__{c}") for c in beside)).mapInArrow(run, "b bigint, n bigint")
+    rows = tables.groupBy("b").agg(F.sum("n").alias("n")).toArrow()  # at most ``size`` rows
+    out = np.zeros(size, np.int64)
+    out[np.asarray(rows.column("b"))] = np.asarray(rows.column("n"))
+    return out
+
+
 def lists(values, offsets) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
