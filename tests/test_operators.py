@@ -382,3 +382,134 @@ def test_catalog_rejects_unknown_names(spark):
     from tidemark.sources.catalog import Catalog
     with pytest.raises(KeyError):
         Catalog.warehouse(spark, "/root/testdata/sf0.001").load("nope")
+
+# --- hostile inputs --------------------------------------------------------------------------
+
+def test_positions_and_ranks_survive_nan_infinities_and_one_value(spark):
+    rnd = random.Random(4)
+    vals = [float("nan"), float("inf"), float("-inf"), None, -0.0, 0.0, 100.25, 100.26, *([7.0] * 300), *(rnd.uniform(100, 101) for _ in range(200))]
+    rows = [("g", f"s{i:04d}", v) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "g string, s string, v double").repartition(5)
+    real = sorted((v, s) for _, s, v in rows if v is not None and not math.isnan(v))
+    got = {r.s: (r.p, r.p_of) for r in U.position_within(df, ["g"], "v", "s", "p").collect()}
+    assert got == {s: (i + 1, len(real)) for i, (_, s) in enumerate(real)}
+    want = pd.Series([v for v, _ in real]).rank()
+    ranks = {r.s: r.r for r in U.average_rank(df, ["g"], "v", "r").collect()}
+    assert ranks == {s: x for (_, s), x in zip(real, want)}
+
+
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.9, 1.0])
+def test_exact_quantile_of_repeated_values(spark, q):
+    vals = [1.0, 2.0, 2.0, 2.0, 5.0, 9.0, 9.0, None, float("nan")]
+    df = spark.createDataFrame([("a", v) for v in vals] + [("b", 3.0)], "k string, v double")
+    got = {r.k: r.x for r in U.exact_quantile(df, ["k"], "v", q, "x").collect()}
+    assert got == pytest.approx({"a": np.quantile([v for v in vals if v is not None and not math.isnan(v)], q), "b": 3.0})
+
+
+@pytest.mark.parametrize("forward,strict,repeated", [(False, False, False), (True, False, False), (False, True, True), (True, True, True)])
+def test_null_keys_match_nothing(spark, forward, strict, repeated):
+    L = spark.createDataFrame([(None, day(5), 1), ("a", day(5), 2), ("a", day(5), 3), ("a", None, 4)], "k string, t date, id int")
+    R = spark.createDataFrame([(None, day(5), 8), (None, day(4), 9), ("a", day(4), 10), ("a", day(6), 11)], "k string, rt date, v int")
+    got = {r.id: r.v for r in AS.asof_join(L, R, ["k"], "t", "rt", ["v"], forward=forward, strict=strict, repeated=repeated).collect()}
+    assert len(got) == 4 and got[1] is None and got[2] == got[3] == (11 if forward else 10)
+    p = spark.createDataFrame([(None, day(9)), ("a", day(9))], "symbol string, date date")
+    e = spark.createDataFrame([(None, day(9), 1.0), ("a", day(9), 2.0)], "symbol string, d date, x double")
+    out = {r.symbol: (r.s, r.n) for r in AS.trailing_range_agg(p, e, "symbol", "date", "d", {"s": F.col("x")}, 9, {"n": F.col("x")}).collect()}
+    assert out == {None: (None, 0), "a": (2.0, 1)}
+
+
+def test_latest_row_with_a_map_column_and_null_recency(spark):
+    df = spark.createDataFrame([(1, None, {"a": 1}), (1, 5, {"b": 2}), (1, 5, {"a": 2}), (2, None, None), (None, 1, {"c": 1})], "k int, t int, m map<string,int>")
+    assert {r.k: r.m for r in D.keep_latest(df, ["k"], ["t"]).collect()} == {1: {"b": 2}, 2: None, None: {"c": 1}}
+
+
+def test_every_topic_and_long_aliases_are_found(spark):
+    text = "Earnings guidance: analysts see a merger, a dividend and a buyback; lawsuits over tariffs"
+    tags = spark.createDataFrame([(text,)], "t string").select(TX.topic_tags(F.col("t")).alias("x")).first().x
+    assert tags == ["earnings", "guidance", "analyst", "merger", "dividend", "buyback", "legal", "regulation"]
+    name = "The Very Old (and Quite Long) International Bank of Something \\E & Sons, Ltd."
+    al = spark.createDataFrame([("L", name), ("I", "IBM"), ("P", "(x) Co"), ("E", "")], "symbol string, alias string")
+    tx = spark.createDataFrame([(1, f"so {name.upper()} fell"), (2, name[:-3]), (3, "ibm"), (4, "the very old"), (5, "my (X) CO is"), (6, "the very old ibmx")], "id int, t string")
+    assert sorted((r.id, r.symbol) for r in TX.mentions(tx, "id", "t", al).collect()) == [(1, "L"), (3, "I"), (5, "P")]
+
+
+def test_bands_and_stops_equal_the_bar_by_bar_rule(spark):
+    b = bars_frame(spark, 150).where("NOT (symbol = 'B' AND date < date'2020-01-20')")
+    st = TE.supertrend(b).toPandas().sort_values(["symbol", "date"])
+    tr = TE.trailing_stop(b, 2.0).toPandas().sort_values(["symbol", "date"])
+    atr = TE.simple_atr(b, 10, "a").toPandas().sort_values(["symbol", "date"])
+    for s in "AB":
+        g = st[st.symbol == s]
+        mid, band = (g.high + g.low).to_numpy() / 2, 3 * g.st_atr.to_numpy()
+        c, side, lo, hi = g.close.to_numpy(), 1, math.nan, math.nan
+        for i in range(len(g)):
+            low, high = mid[i] - band[i], mid[i] + band[i]
+            lo = max(low, lo) if i and c[i - 1] > mid[i - 1] - band[i - 1] else low
+            hi = min(high, hi) if i and c[i - 1] < mid[i - 1] + band[i - 1] else high
+            side = 1 if c[i] > hi else -1 if c[i] < lo else side
+            want = lo if side > 0 else hi
+            assert g.direction.iloc[i] == -side and (math.isnan(want) and pd.isna(g.st_line.iloc[i]) or g.st_line.iloc[i] == pytest.approx(want))
+        t, loss = tr[tr.symbol == s], 2 * atr[atr.symbol == s].a.fillna(0).to_numpy()
+        stop = c[0]
+        for i in range(1, len(t)):
+            above, was = c[i] > stop, c[i - 1] > stop
+            if above:
+                stop = max(stop, c[i] - loss[i]) if was else c[i] - loss[i]
+            else:
+                stop = min(stop, c[i] + loss[i]) if c[i] < stop and c[i - 1] < stop else c[i] + loss[i]
+            assert t.trail.iloc[i] == pytest.approx(stop)
+
+
+def test_dividend_score_of_missing_metrics(spark):
+    cols = "symbol string, category string, yield_ttm double, growth double, payout double, payout_annual double, beta double, roe double, margin double, dps double"
+    df = spark.createDataFrame([("a", "Other", 5.0, *[None] * 7), ("b", "Other", 5.0, None, 0.0, 50.0, None, None, None, 1.0)], cols)
+    got = {r.symbol: r for r in RP.dividend_score(df).collect()}
+    assert (got["a"].score, got["b"].score) == (0.0, 35.0) and got["a"].beta is None and got["b"].payout == 0.0
+
+
+def test_option_source_falls_back_for_each_symbol(spark):
+    broker = spark.createDataFrame([("A", day(1), day(9), "call", 1.0, 0.5)], "symbol string, date date, expiration date, put_call string, strike double, implied_volatility double")
+    vendor = spark.createDataFrame([("A", day(5), day(9), "put", 1.0, 0.1), ("B", day(5), day(9), "put", 1.0, 0.2), ("B", day(4), day(9), "put", 1.0, 0.3)], "symbol string, date date, expiration date, contract_type string, strike_price double, volatility double")
+    got = {(r.symbol, r.source, r.date, r.iv) for r in OP.iv_source({"broker_chain": broker, "vendor_chain": vendor}).collect()}
+    assert got == {("A", "broker_chain", day(1), 0.5), ("B", "vendor_chain", day(5), 0.2)}
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    from tidemark.streaming import feeds as SF
+    t0, schema = dt.datetime(2024, 1, 1), "key bigint, ts timestamp_ntz, value double"
+    files = [[(1, 0, 150.0), (2, 0, 1.0)], [(1, 1, 160.0), (3, 5, 120.0)], [(1, 2, 90.0), (1, 3, 170.0), (2, 1, 2.0)]]
+    out, ck, table, ck2 = (str(tmp_path / x) for x in ("out", "ck", "table", "ck2"))
+    seen = []
+    for part in files:
+        spark.createDataFrame([(k, t0 + dt.timedelta(hours=h), v) for k, h, v in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        src = lambda: SF.file_stream(spark, str(tmp_path / "in"), "*.parquet", schema, 1)
+        alerts = SF.drain(SF.crossing_alerts(src(), 100.0), target=out, checkpoint=ck)
+        latest = SF.upsert_latest(src(), ["key"], ["ts"], table, ck2, buckets=2)
+        seen.append((sorted(r.value for r in alerts.collect()), {r.key: r.value for r in latest.collect()}))
+    assert seen == [([150.0], {1: 150.0, 2: 1.0}), ([120.0, 150.0], {1: 160.0, 2: 1.0, 3: 120.0}), ([120.0, 150.0, 170.0], {1: 170.0, 2: 2.0, 3: 120.0})]
+    again = SF.upsert_latest(src(), ["key"], ["ts"], table, ck2, buckets=2)  # nothing new arrived
+    assert {r.key: r.value for r in again.collect()} == seen[-1][1]
+
+
+def test_late_rows_and_sliding_windows(spark, tmp_path):
+    from tidemark.streaming import feeds as SF
+    t0, schema = dt.datetime(2024, 1, 1), "mmsi bigint, ts timestamp, zone string, speed double, nav_status string"
+    files = [[(1, 10), (2, 20), (1, 40)], [(3, 400)], [(3, 405)], [(9, 15), (3, 410)]]  # minutes; the last file holds a row behind the watermark
+    for part in files:
+        rows = [(m, t0 + dt.timedelta(minutes=x), "z", 1.0, "Under way") for m, x in part]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = SF.file_stream(spark, str(tmp_path / "in"), "*.parquet", schema, 1)
+    parts = SF.drain(SF.zone_windows(src, "1 hour", "30 minutes"), "update")
+    got = {(r.window_start - t0).total_seconds() / 60: (r.position_reports, r.vessels) for r in SF.zone_summary(SF.latest_update(parts, ["window_start", "zone", "mmsi"])).collect()}
+    assert got == {-30: (2, 2), 0: (3, 2), 30: (1, 1), 360: (3, 1), 390: (3, 1)}
+
+
+def test_snapshot_comes_back_when_the_move_fails(spark, tmp_path, monkeypatch):
+    from tidemark.sources import sinks
+    path = str(tmp_path / "t")
+    sinks.write_snapshot(spark.range(3), path)
+    sinks.write_snapshot(spark.read.parquet(path).where("id < 2"), path)
+    assert spark.read.parquet(path).count() == 2
+    with pytest.raises(Exception):
+        sinks._swap(spark, str(tmp_path / "absent"), path)
+    assert spark.read.parquet(path).count() == 2

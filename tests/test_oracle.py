@@ -1,6 +1,4 @@
-"""Registered queries against their SQL on the smallest tables.  TIDEMARK_ALL=1 runs every one."""
-
-import os
+"""Registered queries against their SQL on the smallest tables.  """
 
 import duckdb
 import pytest
@@ -9,11 +7,7 @@ import __spark_entry__ as entry
 from oracle_check import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["S4_filtered_load", "S12_replace_slice", "S15_delimited_scan", "S17_xml_scan", "N2_period_strings", "N12_concept_facts", "N26_transaction_legs", "D1_keep_latest", "D3_full_row_fallback", "D8_prefer_first_source",
-          "F6_business_day_shift", "F7_hash_split", "J3_sector_overweight", "J5_asof_fundamentals", "J8_trailing_insider_sum", "J10_forward_entry", "J15_layered_reference", "A10_top_n_per_group", "A12_snapshot_change",
-          "A20_wide_latest_filing", "W9_change_levels", "W12_drawdown_episodes", "W16_decluster", "P1_feature_matrix", "P3_rank_symbols", "P8_turnover_and_costs", "T7_rsi", "T22_supertrend", "E1_event_study_paths", "E8_pair_trades",
-          "X1_exposure_map", "Q2_daily_ic", "Q9_order_shuffle_drawdown", "Q12_bh_fdr", "R1_compare", "X12_entity_mentions", "O1_option_grid_european", "X24_stream_latest_upsert", "V1_validate_events", "U2_symmetric_difference"]
-NAMES = list(entry.queries()) if os.environ.get("TIDEMARK_ALL") else SAMPLE
+NAMES = list(entry.oracle_sql())
 
 
 @pytest.fixture(scope="module")

@@ -8,18 +8,32 @@ all rows is spread over as many tasks as it has buckets.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 _R, _L = 1, 2  # side order at equal time: right rows first when equality matches
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str],
-              *, forward: bool = False, strict: bool = False, split: str | None = "quarter") -> DataFrame:
+              *, forward: bool = False, strict: bool = False, split: str | None = "quarter", repeated: bool = False) -> DataFrame:
     """Every left row with the nearest right row at or before it (``forward``: at or after it;
     ``strict``: equality does not match), NULLs when there is none.
 
-    ``right`` has one row per (by, right_on).  Output columns: those of left, then ``values``.
+    ``right`` has one row per (by, right_on).  Output columns: those of left, then ``values``.  A NULL key matches
+    nothing.  ``repeated``: left may have any number of rows per (by, left_on); its distinct pairs are matched and the rows
+    joined back, so no pair is sorted with all its rows.
     """
+    if repeated:
+        points = left.select(*by, left_on).distinct()
+        hits = asof_join(points, right, by, left_on, right_on, values, forward=forward, strict=strict, split=split)
+        hits = hits.where(reduce(and_, (F.col(c).isNotNull() for c in [*by, left_on])))
+        plain = [left[c] == hits[c] for c in [*by, left_on]]
+        return left.join(hits, plain, "left").select(*(left[c] for c in left.columns), *(hits[v] for v in values))
+    nothing = reduce(or_, (F.col(b).isNull() for b in by))
+    alone = left.where(nothing).select(*left.columns, *(F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values))
+    left, right = left.where(~nothing), right.where(~nothing)
     clash = set(values) & set(left.columns)
     if clash:
         raise ValueError(f"value columns {sorted(clash)} exist on the left side")
@@ -49,7 +63,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
         part = [*keys, "_b"]
     w = W.partitionBy(*part).orderBy(time, F.col("_side")).rowsBetween(W.unboundedPreceding, 0)
     hit = rows.withColumn("_hit", F.last("_r", ignorenulls=True).over(w)).where(F.col("_l").isNotNull())
-    return hit.select("_l.*", *[F.col("_hit")[v].alias(v) for v in values])
+    return hit.select("_l.*", *[F.col("_hit")[v].alias(v) for v in values]).unionByName(alone)
 
 
 def trailing_range_agg(panel: DataFrame, events: DataFrame, by: str, date: str, event_date: Column | str,
@@ -58,22 +72,24 @@ def trailing_range_agg(panel: DataFrame, events: DataFrame, by: str, date: str,
     """Per panel row, aggregates of the events with date in (row date - days, row date].
 
     Events are combined per (key, day) before the shuffle; then a range window over day numbers
-    reads them.  A row without events gets NULL sums and means and zero counts."""
+    reads them.  A row without events, or without a key, gets NULL sums and means and zero counts."""
     counts, means = counts or {}, means or {}
     ed = F.col(event_date) if isinstance(event_date, str) else event_date
     aggs = [F.sum(c).alias(f"_s_{n}") for n, c in {**sums, **means}.items()] + [F.count(c).alias(f"_n_{n}") for n, c in {**counts, **means}.items()]
-    daily = events.groupBy(F.col(by).alias("_k"), ed.alias("_d")).agg(*aggs)
-    base = panel.select(F.col(by).alias("_k"), F.col(date).alias("_d"), F.struct(*panel.columns).alias("_l"))
+    daily = events.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("_k"), ed.alias("_d")).agg(*aggs)
+    base = panel.where(F.col(by).isNotNull()).select(F.col(by).alias("_k"), F.col(date).alias("_d"), F.struct(*panel.columns).alias("_l"))
     w = W.partitionBy("_k").orderBy("_day").rangeBetween(-(days - 1), 0)
     rows = base.unionByName(daily, allowMissingColumns=True).withColumn("_day", F.unix_date("_d"))
     for n in [*sums, *means]:
         rows = rows.withColumn(f"_ws_{n}", F.sum(f"_s_{n}").over(w))
     for n in [*counts, *means]:
         rows = rows.withColumn(f"_wn_{n}", F.sum(f"_n_{n}").over(w))
-    return rows.where(F.col("_l").isNotNull()).select(
+    out = rows.where(F.col("_l").isNotNull()).select(
         "_l.*", *[F.col(f"_ws_{n}").alias(n) for n in sums],
         *[(F.col(f"_ws_{n}") / F.when(F.col(f"_wn_{n}") > 0, F.col(f"_wn_{n}"))).alias(n) for n in means],
         *[F.coalesce(F.col(f"_wn_{n}"), F.lit(0)).alias(n) for n in counts])
+    keyless = panel.where(F.col(by).isNull())
+    return out.unionByName(keyless.select(*keyless.columns, *[F.lit(0 if n in counts else None).cast(out.schema[n].dataType).alias(n) for n in [*sums, *means, *counts]]))
 
 
 def latest_period_facts(facts: DataFrame, metrics: list[str], form: str | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 # fixed values: columns that describe the load, not the record; recency order, strongest first
 BOOKKEEPING = ["fetched_at", "year", "month"]
@@ -12,13 +12,19 @@ RECENCY = ["fetched_at", "filed", "filing_date", "filed_date", "last_refreshed"]
 def keep_latest(df: DataFrame, keys: list[str], recency: list[str | Column]) -> DataFrame:
     """One row per key: greatest recency tuple (NULL is oldest), whole row as tie-break.
 
-    max over a struct has map-side partial aggregation, so a key that holds a third of all rows
-    reaches its reducer as one row per map task; a row_number window would sort it in one task."""
-    rest = [c for c in df.columns if c not in keys]
-    order = [F.col(c) if isinstance(c, str) else c for c in recency]
-    packed = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(c) for c in rest])
-    return (df.groupBy(*keys).agg(F.max(packed).alias("_row"))
-            .select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns]))
+    A first-row filter on row_number is planned as a limit per key on both sides of the shuffle, so a key that holds a
+    third of all rows reaches its reducer as one row per map task, and rows travel as they are (columns that cannot
+    be ordered, such as maps, break ties by their JSON)."""
+    ordered = lambda c: F.to_json(F.struct(c)) if _has_map(df.schema[c].dataType) else F.col(c)
+    order = [*(F.col(c) if isinstance(c, str) else c for c in recency), *(ordered(c) for c in df.columns if c not in keys)]
+    w = W.partitionBy(*keys).orderBy(*(o.desc_nulls_last() for o in order))
+    return df.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first")
+
+
+def _has_map(t: T.DataType) -> bool:
+    if isinstance(t, T.ArrayType):
+        return _has_map(t.elementType)
+    return isinstance(t, T.MapType) or isinstance(t, T.StructType) and any(_has_map(f.dataType) for f in t.fields)
 
 
 def dedup_key(columns: list[str], natural_key: list[str] | None) -> list[str]:

@@ -270,7 +270,7 @@ def return_panel(signal: DataFrame, bars: DataFrame, benchmark: DataFrame | None
         usable, signal = usable.where(F.col("symbol") != exclude), signal.where(F.col("symbol") != exclude)
     fwd = forward_returns(usable, benchmark, horizons).select("symbol", F.col("date").alias("entry_date"), *[f"fwd_{h}d" for h in horizons])
     kept = signal.join(usable.select("symbol").distinct(), "symbol", "left_semi")
-    return asof_join(kept, fwd, ["symbol"], "date", "entry_date", ["entry_date", *[f"fwd_{h}d" for h in horizons]], forward=True, strict=True)
+    return asof_join(kept, fwd, ["symbol"], "date", "entry_date", ["entry_date", *[f"fwd_{h}d" for h in horizons]], forward=True, strict=True, repeated=True)
 
 
 def carry_targets(daily: DataFrame, targets: DataFrame, weight: str = "weight") -> DataFrame:
@@ -311,4 +311,4 @@ def event_window_stats(events: DataFrame, bars: DataFrame, horizons=(1, 3, 5, 10
     right = bars.select("symbol", "date", "close").withColumn("_base", base)
     right = right.select("symbol", F.col("date").alias("anchor_date"), change(F.col("close")).alias("day0"),
                          *[change(F.lead("close", h).over(w)).alias(f"cum_{h}d") for h in horizons])
-    return asof_join(events, right, ["symbol"], "date", "anchor_date", ["anchor_date", "day0", *[f"cum_{h}d" for h in horizons]], forward=True)
+    return asof_join(events, right, ["symbol"], "date", "anchor_date", ["anchor_date", "day0", *[f"cum_{h}d" for h in horizons]], forward=True, repeated=True)

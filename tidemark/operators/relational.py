@@ -18,8 +18,24 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def value_bucket(v: Column) -> Column:
     """A pure monotone function double -> bigint that cuts any magnitude range into many
-    buckets.  Pure, so every recomputation (a lost executor, a second branch) agrees."""
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v) * 1e6) * 512)).cast("bigint")
+    buckets, a hundred-thousandth of a value wide.  Pure, so every recomputation (a lost executor, a second
+    branch) agrees.  The infinities fall into the outermost buckets; NaN has none and is to be left out."""
+    v = v.cast("double")
+    return (F.signum(v) * F.floor(F.log1p(F.least(F.abs(v), F.lit(1e300)) * 1e6) * 65536)).cast("bigint")
+
+
+def number(v: Column) -> Column:
+    """Neither NULL nor NaN."""
+    return v.isNotNull() & ~F.isnan(v.cast("double"))
+
+
+def tie_bucket(df: DataFrame, tie: str) -> Column:
+    """A pure monotone bucket of the tie-break column: so equal values, however many, are split as well."""
+    kind = df.schema[tie].dataType.typeName()
+    c = F.col(tie)
+    if kind in ("string", "varchar", "char"):
+        return F.coalesce(F.substring(c, 1, 4), F.lit(""))
+    return F.coalesce(F.unix_date(c).cast("bigint") if kind == "date" else value_bucket(c), F.lit(-(1 << 62)))
 
 
 def _offsets(counts: DataFrame, group: list[str]) -> DataFrame:
@@ -29,30 +45,34 @@ def _offsets(counts: DataFrame, group: list[str]) -> DataFrame:
 
 
 def position_within(df: DataFrame, group: list[str], value: str, tie: str, out: str, descending: bool = False) -> DataFrame:
-    """1-based position by (value, tie) inside each group, NULL values excluded, plus the group
-    size as ``<out>_of``.  Rows are counted per value bucket first; only one bucket of a group is
-    sorted in one task, so one group may hold any share of the rows."""
+    """1-based position by (value, tie) inside each group, NULL and NaN values excluded, plus the group
+    size as ``<out>_of``.  Rows are counted per value and tie bucket first; only rows of one value and one
+    tie bucket are sorted in one task, so one group and one value may hold any share of the rows."""
     v = -F.col(value) if descending else F.col(value)
-    keyed = df.where(F.col(value).isNotNull()).withColumn("_v", v.cast("double")).withColumn("_b", value_bucket(F.col("_v")))
-    before = _offsets(keyed.groupBy(*group, "_b").agg(F.count("*").alias("_n")), group)
-    sizes = W.partitionBy(*group)
-    before = before.withColumn("_of", F.sum("_n").over(sizes)).drop("_n")
-    w = W.partitionBy(*group, "_b").orderBy("_v", tie)
-    return (keyed.join(before, [*group, "_b"]).withColumn(out, (F.row_number().over(w) + F.col("_before")).cast("bigint"))
-            .withColumn(out + "_of", F.col("_of")).drop("_v", "_b", "_before", "_of"))
-
-
-def rank_table(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
+    keyed = df.where(number(F.col(value))).withColumn("_v", v.cast("double")).withColumns({"_b": value_bucket(F.col("_v")), "_t": tie_bucket(df, tie)})
+    cell = [*group, "_b", "_v", "_t"]
+    counts = keyed.groupBy(*cell).agg(F.count("*").alias("_n"))
+    per = _offsets(counts.groupBy(*group, "_b").agg(F.sum("_n").alias("_n")), group)
+    per = per.withColumn("_of", F.sum("_n").over(W.partitionBy(*group))).drop("_n")
+    inside = W.partitionBy(*group, "_b").orderBy("_v", "_t").rowsBetween(W.unboundedPreceding, -1)
+    before = (counts.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(per, [*group, "_b"])
+              .withColumn("_before", F.col("_before") + F.col("_in")).drop("_n", "_in"))
+    w = W.partitionBy(*cell).orderBy(tie)
+    return (keyed.join(before, cell).withColumn(out, (F.row_number().over(w) + F.col("_before")).cast("bigint"))
+            .withColumn(out + "_of", F.col("_of")).drop("_v", "_b", "_t", "_before", "_of"))
+
+
+def rank_table(df: DataFrame, group: list[str], value: str, out: str, counted: bool = False) -> DataFrame:
     """(group, value, rank) with ties averaged.  Equal values are collapsed to one counted row before any
     ordering, and ordering is per value bucket, so neither a hot group nor a hot value meets in one task."""
     v = F.col(value)
-    distinct = (df.where(v.isNotNull()).groupBy(*group, v.alias(value)).agg(F.count("*").alias("_c"))
+    distinct = (df.where(number(v)).groupBy(*group, v.alias(value)).agg(F.count("*").alias("_c"))
                 .withColumn("_b", value_bucket(v)))
     before = _offsets(distinct.groupBy(*group, "_b").agg(F.sum("_c").alias("_n")), group).drop("_n")
     w = W.partitionBy(*group, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     return (distinct.join(before, [*group, "_b"])
             .withColumn(out, F.col("_before") + F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2.0)
-            .select(*group, value, out))
+            .select(*group, value, out, *["_c"] * counted))
 
 
 def average_rank(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
@@ -80,12 +100,16 @@ def calendar_ranks(df: DataFrame, group: list[str], values: dict[str, str]) -> D
 
 
 def exact_quantile(df: DataFrame, group: list[str], value: str, q: float, out: str) -> DataFrame:
-    """(group, quantile) with linear interpolation, from positions: the percentile aggregate keeps all
-    values of a group in one buffer, this keeps two rows of it."""
+    """(group, quantile) with linear interpolation, from counted distinct values: the percentile
+    aggregate keeps all values of a group in one buffer, this keeps two rows of it."""
     keys = group or ["_all"]
-    pos = position_within(df.select(*group, value) if group else df.select(F.lit(0).alias("_all"), value), keys, value, value, "_p")
-    at = 1 + q * (F.col("_p_of") - 1)
-    near = pos.where((F.col("_p") == F.floor(at)) | (F.col("_p") == F.floor(at) + 1)).withColumn("_w", at - F.floor(at))
-    lo = F.max(F.when(F.col("_p") == F.floor(at), F.col(value)))
-    hi = F.max(F.when(F.col("_p") == F.floor(at) + 1, F.col(value)))
-    return near.groupBy(*keys).agg((lo + F.coalesce((hi - lo) * F.max("_w"), F.lit(0.0))).alias(out)).select(*group, out)
+    rows = df.select(*group, value) if group else df.select(F.lit(0).alias("_all"), value)
+    ranks = rank_table(rows, keys, value, "_r", counted=True)  # equal values are one row, whatever their number
+    sizes = ranks.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    d = ranks.join(sizes, keys).withColumn("_at", 1 + q * (F.col("_n") - 1))
+    first, last = F.col("_r") - (F.col("_c") - 1) / 2.0, F.col("_r") + (F.col("_c") - 1) / 2.0
+    low, high = F.floor("_at"), F.floor("_at") + 1
+    at = lambda p: F.max(F.when((first <= p) & (p <= last), F.col(value)))
+    near = d.where((first <= high) & (low <= last))
+    lo, hi = at(low), at(high)
+    return near.groupBy(*keys).agg((lo + F.coalesce((hi - lo) * F.max(F.col("_at") - low), F.lit(0.0))).alias(out)).select(*group, out)

@@ -244,6 +244,13 @@ NO_PAYOUT_CHECK = ["Covered_Call_ETF", "Dividend_ETF"]
 
 
 def dividend_score(df: DataFrame) -> DataFrame:
+    """Score of each row.  Missing metrics count as 0 and a missing or zero beta as 1, so a missing dividend costs its
+    points; payout_annual, where there is such a column, stands in for a missing or zero payout."""
+    own = ["yield_ttm", "growth", "payout", "beta", "roe", "margin", "dps"]
+    given, nonzero = df, lambda c: F.when(F.col(c) != 0, F.col(c))
+    payout = F.coalesce(nonzero("payout"), F.col("payout_annual"), F.lit(0.0)) if "payout_annual" in df.columns else F.coalesce("payout", F.lit(0.0))
+    filled = {c: F.coalesce(c, F.lit(0.0)) for c in own} | {"beta": F.coalesce(nonzero("beta"), F.lit(1.0)), "payout": payout}
+    df = df.select(*(F.col(c).alias(f"_given_{c}") for c in given.columns), *(filled[c].alias(c) if c in filled else F.col(c) for c in given.columns))
     def band(metric, rules):
         x, out = F.col(metric), None
         for lo, lo_in, hi, hi_in, pts in rules:
@@ -261,4 +268,4 @@ def dividend_score(df: DataFrame) -> DataFrame:
     bonus = F.lit(0)
     for c, p in CATEGORY_POINTS.items():
         bonus = F.when(F.col("category") == c, p).otherwise(bonus)
-    return df.withColumn("score", F.round(s + bonus, 1))
+    return df.select(*(F.col(f"_given_{c}").alias(c) for c in given.columns if c != "score"), F.round(s + bonus, 1).alias("score"))

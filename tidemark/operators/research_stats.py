@@ -161,7 +161,7 @@ def pbo(series: DataFrame, config: str = "config", n_splits: int = 8) -> DataFra
     perf = agg.select("combo", config, F.round(ratio("i"), 10).alias("is_perf"), F.round(ratio("o"), 10).alias("oos_perf"))
     # configurations per combination are few (they are the trials of one search)
     ranked = average_rank(perf, ["combo"], "oos_perf", "_r")
-    best = ranked.groupBy("combo").agg(F.max(F.struct(F.col("is_perf").alias("p"), (-F.col(config)).alias("c"), "_r")).alias("b"), F.count("*").alias("n_conf"))
+    best = ranked.groupBy("combo").agg(F.min(F.struct((-F.col("is_perf")).alias("p"), F.col(config).alias("c"), "_r")).alias("b"), F.count("*").alias("n_conf"))
     w = F.greatest(F.least(F.col("b._r") / (F.col("n_conf") + 1.0), F.lit(1 - 1e-12)), F.lit(1e-12))
     return best.withColumn("logit", F.log(w / (1 - w))).agg(F.avg((F.col("logit") <= 1e-12).cast("double")).alias("pbo"), F.expr("percentile(logit, 0.5)").alias("median_logit"), F.count("*").alias("n_combinations"))
 

@@ -29,7 +29,7 @@ def event_paths(events: DataFrame, bars: DataFrame, pre: int, post: int, benchma
     w = by_symbol()
     full = lambda p: F.when(~F.exists(p, lambda x: x.isNull()), p)
     b = bars.select("symbol", "date", "close").withColumn("path", full(_path(w, "close", pre, post, entry_lag))).withColumn("day0", F.lag("date", -entry_lag).over(w) if entry_lag else F.col("date"))
-    hit = asof_join(events, b.select("symbol", F.col("date").alias("_d"), "day0", "path"), ["symbol"], "date", "_d", ["day0", "path"], forward=True)
+    hit = asof_join(events, b.select("symbol", F.col("date").alias("_d"), "day0", "path"), ["symbol"], "date", "_d", ["day0", "path"], forward=True, repeated=True)
     hit = hit.where(F.col("path").isNotNull() & (F.datediff("day0", "date") <= 10 + 5 * entry_lag))
     if benchmark is not None:
         days = benchmark.withColumn("_k", F.lit(0))

@@ -6,8 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.sources.workspace import spread
-
 # fixed values: topic tag -> pattern (case-insensitive), in tag order
 TOPIC_PATTERNS = {
     "earnings": r"\bearnings?\b|\beps\b|\bquarterly results?\b|\bq[1-4]\b",
@@ -28,22 +26,21 @@ TOPIC_PATTERNS = {
     "bankruptcy": r"\bbankruptcy\b|\bchapter 11\b|\bdefault\b|\bdelisting\b",
     "workforce": r"\blayoffs?\b|\bjob cuts\b|\bhiring\b|\brestructuring\b",
 }
-MAX_TOPICS = 5
 
 
-def tag_list(text: Column, patterns: dict[str, str], limit: int | None = None) -> Column:
-    """Tags whose pattern occurs, in dictionary order.  (?U) makes word boundaries Unicode-aware, so an
+def tag_list(text: Column, patterns: dict[str, str]) -> Column:
+    """All tags whose pattern occurs, in dictionary order.  (?U) makes word boundaries Unicode-aware, so an
     accented letter next to a word is part of the word."""
-    tags = F.array_compact(F.array(*[F.when(text.rlike("(?iU)" + p), t) for t, p in patterns.items()]))
-    return F.slice(tags, 1, limit) if limit else tags
+    return F.array_compact(F.array(*[F.when(text.rlike("(?iU)" + p), t) for t, p in patterns.items()]))
 
 
 def topic_tags(text: Column) -> Column:
-    return tag_list(text, TOPIC_PATTERNS, MAX_TOPICS)
+    return tag_list(text, TOPIC_PATTERNS)
 
 
 # --- lexicon sentiment -----------------------------------------------------------------------
 
+# fixed values: label cuts, part weights and the squash constant
 BULLISH_FROM, BEARISH_FROM = 0.10, -0.10
 HEADLINE_WEIGHT, SUMMARY_WEIGHT = 0.7, 0.3
 SQUASH = 15.0
@@ -68,7 +65,7 @@ def score_texts(texts: DataFrame, key: str, parts: dict[str, str], lexicon: Data
     Words are exploded and counted per (key, part, word) before the lexicon join, so a long text or a
     frequent word is small by the time it moves; whole texts are read."""
     words = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(WORD), F.lit(0)).alias("w")) for p, c in parts.items()]))
-    counted = (spread(texts).select(key, words.alias("p")).select(key, "p.part", F.explode("p.w").alias("word")).groupBy(key, "part", "word").agg(F.count("*").alias("n")))
+    counted = (texts.select(key, words.alias("p")).select(key, "p.part", F.explode("p.w").alias("word")).groupBy(key, "part", "word").agg(F.count("*").alias("n")))
     hit = counted.join(lexicon, "word", "left")
     return hit.groupBy(key, "part").agg(F.coalesce(F.sum(F.col("n") * F.col("valence")), F.lit(0.0)).alias("valence"), F.sum("n").alias("words"), F.sum(F.when(F.col("valence").isNotNull(), F.col("n")).otherwise(0)).alias("hits"))
 
@@ -114,33 +111,32 @@ def alias_dictionary(names: DataFrame, manual: DataFrame | None = None) -> DataF
 
 
 SEGMENT = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+BEFORE, AFTER = r"(?<![\p{L}\p{N}_$])", r"(?![\p{L}\p{N}_])"
 
 
-def mentions(texts: DataFrame, key: str, col: str, aliases: DataFrame, max_words: int = 4) -> DataFrame:
+def mentions(texts: DataFrame, key: str, col: str, aliases: DataFrame) -> DataFrame:
     """(key, symbol) for texts that hold an alias between word boundaries (case-insensitive), a cashtag
     or an exchange form of a known symbol; bare tickers do not count.
 
-    Texts are cut into words and gaps, every run of up to max_words words keeps its own gaps, and runs
-    meet aliases in an equi join: no text x alias pairs and no growing pattern.  ``max_words`` is the
-    longest alias in words; a longer one is refused."""
-    words_in = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    al = aliases.select(F.col("symbol").cast("string").alias("symbol"), F.lower("alias").alias("gram"),
-                        F.when(words_in(F.col("alias")) > max_words, F.raise_error(F.lit("alias longer than max_words"))).otherwise(0).alias("_ok")).where("_ok = 0").drop("_ok")
-    texts = spread(texts)
-    t = texts.select(key, F.regexp_extract_all(F.lower(F.coalesce(F.col(col), F.lit(""))), F.lit(SEGMENT), F.lit(0)).alias("s")).where(F.size("s") > 0)
-    segs = F.col("s")
-    # words and gaps alternate, so the runs of k words start at every second segment; a run that follows
-    # a gap ending in $ is not at a boundary
-    first = F.when(F.get(segs, F.lit(0)).rlike(r"^[\p{L}\p{N}_]"), 0).otherwise(1)
-    at = F.sequence(first, F.greatest(F.size(segs) - 1, first), F.lit(2))
-    clean = F.filter(at, lambda i: (i < F.size(segs)) & ~F.coalesce(F.endswith(F.get(segs, i - 1), F.lit("$")), F.lit(False)))
-
-    def runs(k):
-        fits = F.filter(F.col("_at"), lambda i: i + 2 * k < F.size(segs))
-        return F.transform(fits, lambda i: F.array_join(F.slice(segs, i + 1, 2 * k + 1), ""))
-
-    grams = t.withColumn("_at", clean).select(key, F.explode(F.array_distinct(F.flatten(F.array(*[runs(k) for k in range(max_words)])))).alias("gram"))
-    by_name = grams.join(al, "gram").select(key, "symbol")
+    An alias is looked up by its head, its first word or its first two words with the gap between them; texts offer their
+    distinct words and word pairs, so heads meet in an equi join and there are no text x alias pairs.  The whole alias,
+    however long, is then verified in the text of the candidate."""
+    pieces = lambda c: F.regexp_extract_all(c, F.lit(SEGMENT), F.lit(0))
+    starts_in_word = lambda p: F.get(p, F.lit(0)).rlike(r"^[\p{L}\p{N}_]")
+    al = aliases.select(F.col("symbol").cast("string").alias("symbol"), F.lower("alias").alias("alias")).where("alias <> ''").distinct()
+    body = F.when(starts_in_word(F.col("_p")), F.col("_p")).otherwise(F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0))))
+    al = al.withColumn("_p", pieces(F.col("alias"))).withColumn("_p", body).withColumn(
+        "head", F.when(F.size("_p") >= 3, F.array_join(F.slice("_p", 1, 3), "")).otherwise(F.get("_p", F.lit(0)))).where("head is not null").drop("_p")
+    low = texts.select(key, F.lower(F.coalesce(F.col(col), F.lit(""))).alias("text"))
+    t = low.select(key, pieces(F.col("text")).alias("s"))
+    s = F.col("s")
+    first = F.when(starts_in_word(s), 0).otherwise(1)
+    at = F.filter(F.sequence(first, F.greatest(F.size(s), first), F.lit(2)), lambda i: i < F.size(s))
+    pairs = F.transform(F.filter(at, lambda i: i + 2 < F.size(s)), lambda i: F.array_join(F.slice(s, i + 1, 3), ""))
+    heads = t.select(key, F.explode(F.array_distinct(F.concat(F.transform(at, lambda i: F.get(s, i)), pairs))).alias("head"))
+    asked = heads.join(al, "head").select(key, "symbol", "alias").distinct()
+    quoted = F.concat(F.lit(BEFORE + r"\Q"), F.replace("alias", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E" + AFTER))
+    by_name = asked.join(low, key).where(F.regexp_like("text", quoted)).select(key, "symbol")
     forms = F.explode(F.transform(F.concat(F.regexp_extract_all(F.coalesce(F.col(col), F.lit("")), F.lit(CASHTAG), F.lit(1)), F.regexp_extract_all(F.coalesce(F.col(col), F.lit("")), F.lit(EXCHANGE_FORM), F.lit(1))), lambda x: F.upper(x)))
     by_form = texts.select(key, forms.alias("symbol")).join(al.select("symbol").distinct(), "symbol", "left_semi").select(key, "symbol")
     return by_name.unionByName(by_form).distinct()
@@ -161,6 +157,7 @@ DRIVER_PATTERNS = {
     "eur": r"\b(dollar (strength|weakness|rally|slide)|weaker dollar|stronger dollar|dxy|euro)\b",
     "vix": r"\b(volatility|vix|market turmoil|market selloff)\b",
 }
+# fixed values: relevance of direct mentions, cap of indirect ones, range of t
 DIRECT_HEADLINE, DIRECT_SUMMARY, INDIRECT_CAP = 1.0, 0.7, 0.6
 T_SIGNIFICANT, T_SATURATION = 3.0, 20.0
 
@@ -172,14 +169,14 @@ def indirect_relevance(t: Column) -> Column:
     return F.when(a >= T_SIGNIFICANT, F.round(INDIRECT_CAP * (0.5 + 0.5 * frac), 3)).otherwise(0.0)
 
 
-def relevance(articles: DataFrame, key: str, symbol: str, headline: str, summary: str, aliases: DataFrame, exposures: DataFrame, patterns: dict[str, str] = DRIVER_PATTERNS, max_words: int = 4) -> DataFrame:
+def relevance(articles: DataFrame, key: str, symbol: str, headline: str, summary: str, aliases: DataFrame, exposures: DataFrame, patterns: dict[str, str] = DRIVER_PATTERNS) -> DataFrame:
     """(key, symbol, relevance, direct): one row per article and the symbol it was filed under; the larger of
     the direct mention and the symbol's best exposure to a driver the text speaks of.  All joins are by
     (key, symbol) or (symbol, driver); an article never meets symbols that are not its own."""
     own = articles.select(key, F.col(symbol).cast("string").alias("symbol"))
-    found = lambda c, s: mentions(articles, key, c, aliases, max_words).withColumn("score", F.lit(s))
+    found = lambda c, s: mentions(articles, key, c, aliases).withColumn("score", F.lit(s))
     both = F.concat_ws(" ", F.coalesce(F.col(headline), F.lit("")), F.coalesce(F.col(summary), F.lit("")))
-    tagged = spread(articles).select(key, F.col(symbol).cast("string").alias("symbol"), F.explode(tag_list(both, patterns)).alias("driver"))
+    tagged = articles.select(key, F.col(symbol).cast("string").alias("symbol"), F.explode(tag_list(both, patterns)).alias("driver"))
     exp = exposures.select(F.col("symbol").cast("string").alias("symbol"), "driver", indirect_relevance(F.col("t")).alias("score"))
     rows = (found(headline, DIRECT_HEADLINE).unionByName(found(summary, DIRECT_SUMMARY)).withColumn("direct", F.lit(True))
             .unionByName(tagged.join(exp, ["symbol", "driver"]).select(key, "symbol", "score").withColumn("direct", F.lit(False))))

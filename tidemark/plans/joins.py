@@ -170,14 +170,14 @@ def _(spark, d):
 def _(spark, d):
     right = A.bars(spark, d).select("symbol", F.col("date").alias("entry_date"), F.col("close").alias("entry_close"))
     return AS.asof_join(A.news(spark, d).select("article_id", "symbol", "date"), right, ["symbol"], "date", "entry_date",
-                        ["entry_date", "entry_close"], forward=True, strict=True).withColumn("entry_date", F.col("entry_date").cast("string"))
+                        ["entry_date", "entry_close"], forward=True, strict=True, repeated=True).withColumn("entry_date", F.col("entry_date").cast("string"))
 
 
 @query("J10_forward_align_guarded", f"""WITH {BARS}, {NEWS}, j AS (SELECT n.article_id, n.symbol, n.date, b.d0 FROM news n
   ASOF LEFT JOIN (SELECT symbol, date AS d0 FROM bars) b ON n.symbol = b.symbol AND n.date <= b.d0) SELECT * FROM j WHERE d0 - date <= 5""")
 def _(spark, d):
     right = A.bars(spark, d).select("symbol", F.col("date").alias("d0"))
-    j = AS.asof_join(A.news(spark, d).select("article_id", "symbol", "date"), right, ["symbol"], "date", "d0", ["d0"], forward=True)
+    j = AS.asof_join(A.news(spark, d).select("article_id", "symbol", "date"), right, ["symbol"], "date", "d0", ["d0"], forward=True, repeated=True)
     return j.where(F.datediff("d0", "date") <= 5)
 
 

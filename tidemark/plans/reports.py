@@ -88,7 +88,7 @@ def _topic_sql(col):
     # RE2 word boundaries know ASCII only: letters of other alphabets become an ASCII letter first
     col = f"regexp_replace({col}, '[À-ÖØ-öø-ɏ\\p{{Greek}}\\p{{Cyrillic}}\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Arabic}}\\p{{Hebrew}}\\p{{Hangul}}]', 'x', 'g')"
     parts = ", ".join(f"CASE WHEN regexp_matches({col}, '(?i){p}') THEN '{t}' END" for t, p in TX.TOPIC_PATTERNS.items())
-    return f"array_to_string(list_slice(list_filter([{parts}], lambda t: t IS NOT NULL), 1, 5), ',')"
+    return f"array_to_string(list_filter([{parts}], lambda t: t IS NOT NULL), ',')"
 
 
 @query("F11_topic_tags", f"SELECT conv_id, turn, {_topic_sql('text')} AS topics FROM conversations")
@@ -260,14 +260,14 @@ def _(spark, d):
     return RP.mention_counts(p, "tickers")
 
 
-_MEMBERS = """members AS (SELECT l_partkey AS ticker, CASE l_linenumber WHEN 1 THEN 'SPX' WHEN 2 THEN 'NDX' WHEN 3 THEN 'RUT3000' WHEN 4 THEN 'W5000' WHEN 5 THEN 'RUT2000' END AS index_code, 'Co ' || l_linenumber || '-' || l_partkey AS company_name,
-  'S' || l_partkey % 11 AS gics_sector, CAST(date_trunc('year', l_shipdate) AS DATE) AS snapshot_date FROM lineitem WHERE l_linenumber <= 5)"""
+_MEMBERS = """members AS (SELECT l_partkey AS ticker, CASE l_linenumber WHEN 1 THEN 'SPX' WHEN 2 THEN 'NDX' WHEN 3 THEN 'RUT3000' WHEN 4 THEN 'W5000' ELSE 'RUT2000' END AS index_code, 'Co ' || l_linenumber || '-' || l_partkey AS company_name,
+  'S' || l_partkey % 11 AS gics_sector, CAST(date_trunc('year', l_shipdate) AS DATE) AS snapshot_date FROM lineitem)"""
 
 
 def _members(spark, d):
     codes = {1: "SPX", 2: "NDX", 3: "RUT3000", 4: "W5000", 5: "RUT2000"}
-    li = A.table(spark, d, "lineitem").where("l_linenumber <= 5")
-    return li.select(F.col("l_partkey").alias("ticker"), A.lookup(F.col("l_linenumber"), codes).alias("index_code"), F.concat(F.lit("Co "), F.col("l_linenumber"), F.lit("-"), F.col("l_partkey")).alias("company_name"),
+    li = A.table(spark, d, "lineitem")
+    return li.select(F.col("l_partkey").alias("ticker"), A.lookup(F.least(F.col("l_linenumber"), F.lit(5)), codes).alias("index_code"), F.concat(F.lit("Co "), F.col("l_linenumber"), F.lit("-"), F.col("l_partkey")).alias("company_name"),
                      F.concat(F.lit("S"), F.col("l_partkey") % 11).alias("gics_sector"), F.to_date(F.date_trunc("year", "l_shipdate")).alias("snapshot_date"))
 
 
@@ -317,17 +317,18 @@ def _(spark, d):
     return RP.wide_latest_filing(_facts20(spark, d), ["eps", "revenue"])
 
 
-@query("A21_facts_union", """SELECT 'annual' AS period, o_custkey AS symbol, CAST(o_orderdate AS DATE) AS filed, o_totalprice AS value FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'quarterly', o_custkey, CAST(o_orderdate AS DATE), NULL FROM orders WHERE o_orderstatus = 'O'""")
+@query("A21_facts_union", """SELECT 'annual' AS period, o_custkey AS symbol, CAST(o_orderdate AS DATE) AS filed, o_totalprice AS value FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'quarterly', o_custkey, CAST(o_orderdate AS DATE), NULL FROM orders WHERE o_orderstatus <> 'F'""")
 def _(spark, d):
     o = A.table(spark, d, "orders")
     iso = F.date_format("o_orderdate", "yyyy-MM-dd")
     a = o.where("o_orderstatus = 'F'").select(F.lit("annual").alias("period"), F.col("o_custkey").alias("symbol"), iso.alias("filed"), F.col("o_totalprice").cast("string").alias("value"))
-    q = o.where("o_orderstatus = 'O'").select(F.lit("quarterly").alias("period"), F.col("o_custkey").alias("symbol"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("filed"))
+    q = o.where("o_orderstatus <> 'F'").select(F.lit("quarterly").alias("period"), F.col("o_custkey").alias("symbol"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("filed"))
     return union_all([a, q]).select("period", "symbol", F.to_date(F.substring("filed", 1, 10)).alias("filed"), X.to_number("value").alias("value"))
 
 
 _DIV = """dv AS (SELECT p_partkey AS symbol, CASE p_size % 7 WHEN 0 THEN 'Dividend_Aristocrat' WHEN 1 THEN 'Covered_Call_ETF' WHEN 2 THEN 'Dividend_ETF' WHEN 3 THEN 'REIT' WHEN 4 THEN 'BDC' WHEN 5 THEN 'MLP' ELSE 'Other' END AS category,
-  p_size % 15 + 0.25::DOUBLE AS yield_ttm, p_partkey % 17 - 3.0::DOUBLE AS growth, p_partkey % 13 * 10.0::DOUBLE AS payout, p_partkey % 19 / 10.0::DOUBLE AS beta, p_size - 10.0::DOUBLE AS roe, p_partkey % 31 - 5.0::DOUBLE AS margin, p_partkey % 5 * 1.0::DOUBLE AS dps FROM part),
+  p_size % 15 + 0.25::DOUBLE AS yield_ttm, coalesce(CASE WHEN p_partkey % 23 <> 0 THEN p_partkey % 17 - 3.0::DOUBLE END, 0) AS growth, coalesce(nullif(CASE WHEN p_partkey % 7 <> 0 THEN p_partkey % 13 * 10.0::DOUBLE END, 0), p_partkey % 11 * 10.0::DOUBLE) AS payout,
+   coalesce(nullif(CASE WHEN p_partkey % 29 <> 0 THEN p_partkey % 19 / 10.0::DOUBLE END, 0), 1) AS beta, p_size - 10.0::DOUBLE AS roe, p_partkey % 31 - 5.0::DOUBLE AS margin, coalesce(CASE WHEN p_partkey % 37 <> 0 THEN p_partkey % 5 * 1.0::DOUBLE END, 0) AS dps FROM part),
   sc AS (SELECT symbol, category, yield_ttm, round(CASE WHEN yield_ttm >= 3 THEN least(yield_ttm * 3, 25) ELSE 0 END + CASE WHEN yield_ttm > 12 THEN -10 WHEN yield_ttm > 9 THEN -5 ELSE 0 END
    + CASE WHEN growth >= 10 THEN 20 WHEN growth >= 5 THEN 12 WHEN growth >= 2 THEN 6 WHEN growth < 0 THEN -15 ELSE 0 END
    + CASE WHEN category IN ('Covered_Call_ETF','Dividend_ETF') THEN 0 WHEN payout > 0 AND payout <= 60 THEN 15 WHEN payout > 60 AND payout <= 80 THEN 8 WHEN payout > 100 THEN -10 ELSE 0 END
@@ -339,9 +340,10 @@ _DIV = """dv AS (SELECT p_partkey AS symbol, CASE p_size % 7 WHEN 0 THEN 'Divide
 @query("A23_dividend_score", f"WITH {_DIV} SELECT symbol, category, score FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, symbol DESC) AS rn FROM sc WHERE yield_ttm > 0) WHERE rn <= 3")
 def _(spark, d):
     p, k = A.table(spark, d, "part"), F.col("p_partkey")
+    some = lambda n, x: F.when(k % n != 0, x)  # some rows lack the metric
     cats = {0: "Dividend_Aristocrat", 1: "Covered_Call_ETF", 2: "Dividend_ETF", 3: "REIT", 4: "BDC", 5: "MLP"}
-    m = p.select(k.alias("symbol"), A.lookup(F.col("p_size") % 7, cats, "Other").alias("category"), (F.col("p_size") % 15 + 0.25).alias("yield_ttm"), (k % 17 - 3.0).alias("growth"), (k % 13 * 10.0).alias("payout"),
-                 (k % 19 / 10.0).alias("beta"), (F.col("p_size") - 10.0).alias("roe"), (k % 31 - 5.0).alias("margin"), (k % 5 * 1.0).alias("dps"))
+    m = p.select(k.alias("symbol"), A.lookup(F.col("p_size") % 7, cats, "Other").alias("category"), (F.col("p_size") % 15 + 0.25).alias("yield_ttm"), some(23, k % 17 - 3.0).alias("growth"), some(7, k % 13 * 10.0).alias("payout"), (k % 11 * 10.0).alias("payout_annual"),
+                 some(29, k % 19 / 10.0).alias("beta"), (F.col("p_size") - 10.0).alias("roe"), (k % 31 - 5.0).alias("margin"), some(37, k % 5 * 1.0).alias("dps"))
     return RP.top_per_group(RP.dividend_score(m).where("yield_ttm > 0"), "category", ["score", "symbol"], 3).select("symbol", "category", "score")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features as FE, portfolio as PF, studies as ST, technical as TE
 from tidemark.plans.base import query, r, rounded
-from tidemark.plans.sqlbits import BARS, FACTS, MACRO, NEWS, R
+from tidemark.plans.sqlbits import BARS, FACTS, MACRO, NEWS, R, normal_tail
 from tidemark.plans.windows import market
 from tidemark.sources import adapters as A
 from tidemark.sources.workspace import materialise
@@ -245,7 +245,7 @@ def _(spark, d):
     return outcomes(spark, d).select("article_id", "exit_rel", "exit_reason", r("ret").alias("ret"))
 
 
-_OS = f"count(*) AS n_trades, {R('100 * avg((ret > 0)::INT)', 4)} AS win_rate_pct, {R('100 * avg(ret)', 4)} AS avg_return_pct, {R('100 * quantile_cont(ret, 0.5)', 4)} AS median_return_pct, {R('100 * max(ret)', 4)} AS best_pct, {R('100 * min(ret)', 4)} AS worst_pct, {R('sum(ret) FILTER (ret > 0) / -sum(ret) FILTER (ret <= 0)', 4)} AS profit_factor, count(*) FILTER (exit_reason = 'stop') AS stops_hit, count(*) FILTER (exit_reason = 'target') AS targets_hit"
+_OS = f"count(*) AS n_trades, {R('100 * avg((ret > 0)::INT)', 4)} AS win_rate_pct, {R('100 * avg(ret)', 4)} AS avg_return_pct, {R('100 * quantile_cont(ret, 0.5)', 4)} AS median_return_pct, {R('100 * max(ret)', 4)} AS best_pct, {R('100 * min(ret)', 4)} AS worst_pct, {R('coalesce(sum(ret) FILTER (ret > 0), 0) / -sum(ret) FILTER (ret <= 0)', 4)} AS profit_factor, count(*) FILTER (exit_reason = 'stop') AS stops_hit, count(*) FILTER (exit_reason = 'target') AS targets_hit"
 _OSC = ["win_rate_pct", "avg_return_pct", "median_return_pct", "best_pct", "worst_pct", "profit_factor"]
 
 
@@ -259,13 +259,15 @@ def _(spark, d):
     return rounded(ST.date_level(cars(spark, d)), ["mean_pct", "t_stat"], 4)
 
 
-@query("E6_date_level_p_values")
+@query("E6_date_level_p_values", f"""WITH {EV_SQL}, p AS (SELECT rel, date, avg(car) AS m FROM car GROUP BY 1, 2), t AS (SELECT rel, avg(m) / (stddev_samp(m) / sqrt(count(*))) AS t FROM p GROUP BY 1), pv AS (SELECT rel, round(2 * {normal_tail('t')}, 9) AS p FROM t WHERE t IS NOT NULL AND NOT isnan(t)),
+  rk AS (SELECT *, row_number() OVER (ORDER BY p, rel) AS rk, count(*) OVER () AS m FROM pv), ad AS (SELECT *, least(1, min(p * m / rk) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_adj FROM rk)
+  SELECT rel, {R('p')} AS p, {R('p_adj')} AS p_adj, rk <= coalesce((SELECT max(rk) FROM ad WHERE p <= 0.1 * rk / m), 0) AS reject FROM ad""")
 def _(spark, d):
-    from tidemark.functions.distributions import t_two_sided
+    from tidemark.functions.pricing import two_sided
     from tidemark.operators.research_stats import bh_fdr
     t = ST.date_level(cars(spark, d)).where("t_stat is not null")
-    p = t.withColumn("p", t_two_sided(F.col("t_stat"), F.col("n_dates") - 1)).withColumn("name", F.format_string("h%03d", F.col("rel") - PRE))
-    return bh_fdr(p)
+    p = t.select("rel", F.round(two_sided("t_stat"), 9).alias("p"), F.format_string("h%03d", F.col("rel") - PRE).alias("name"))
+    return rounded(bh_fdr(p).select("rel", "p", "p_adj", "reject"), ["p", "p_adj"])
 
 
 @query("E7_signal_health", f"""WITH {_OUT}, w AS (SELECT oc.*, unnest(CASE WHEN date >= DATE '2000-12-31' - 180 THEN ['full','3y','1y','180d'] WHEN date >= DATE '2000-12-31' - 365 THEN ['full','3y','1y'] WHEN date >= DATE '2000-12-31' - 1095 THEN ['full','3y'] ELSE ['full'] END) AS "window" FROM oc),
@@ -292,12 +294,6 @@ def _(spark, d):
     return rounded(t, ["pnl_pct"]).drop("side", "exit_reason")
 
 
-@query("E8_pair_trades_with_risk")
-def _(spark, d):
-    t = ST.pair_trades(rule_flags(A.bars(spark, d).select("symbol", "date", "close")), stop_pct=15, target_pct=20, max_days=30, cost_rate=0.002)
-    return rounded(t, ["pnl_pct"])
-
-
 @query("E8_trade_summary", f"""WITH RECURSIVE {BARS}, {_CR}, p AS (SELECT *, 100 * (exit_price / entry_price - 1) AS pnl FROM pr) SELECT count(*) AS n_trades, count(*) AS n_long, CAST(0 AS BIGINT) AS n_short, {R('sum(pnl)', 4)} AS total_pnl_pct,
   {R('100 * avg((pnl > 0)::INT)', 4)} AS win_rate_pct, {R('avg(pnl)', 4)} AS avg_pnl_pct, quantile_cont(days_held, 0.5)::DOUBLE AS median_days_held, count(DISTINCT symbol) AS n_keys FROM p""")
 def _(spark, d):

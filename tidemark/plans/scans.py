@@ -8,7 +8,7 @@ from tidemark.operators import dedup as D, quality as V, relational as U
 from tidemark.plans.base import query, r
 from tidemark.plans.sqlbits import BARS, CONTRACTS, FACTS, HOLDINGS, INSIDER, NEWS, SECURITIES
 from tidemark.sources import adapters as A, readers as RD, sinks as SK
-from tidemark.sources.catalog import Catalog, WAREHOUSE_KEYS, read_drifting, storage_stats
+from tidemark.sources.catalog import Catalog, WAREHOUSE_KEYS, read_drifting
 from tidemark.sources.workspace import fresh_path
 
 AS_OF = "2024-02-01"
@@ -66,11 +66,13 @@ def _(spark, d):
     return Catalog.warehouse(spark, d).tables()
 
 
-@query("S7_describe", """SELECT CAST(o AS INTEGER) - 1 AS "position", c AS "column", t AS "type", true AS "nullable" FROM
-  (VALUES (1,'o_orderkey','bigint'),(2,'o_custkey','bigint'),(3,'o_orderstatus','string'),(4,'o_totalprice','double'),
-  (5,'o_orderdate','timestamp_ntz'),(6,'o_orderpriority','string')) v(o, c, t)""")
+_ORDERS = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
+
+
+@query("S7_describe", " UNION ALL ".join(f"""SELECT {i} AS "position", '{c}' AS "column", '{t}' AS "type", true AS "nullable", count(*) AS n_rows, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct FROM orders"""
+                                         for i, (c, t) in enumerate(_ORDERS.items())))
 def _(spark, d):
-    return Catalog.warehouse(spark, d).schema("orders")
+    return Catalog.warehouse(spark, d).describe("orders")
 
 
 @query("S8_symbols", "SELECT DISTINCT l_suppkey AS symbol FROM lineitem")
@@ -187,25 +189,17 @@ def _(spark, d):
     return RD.parse_form_index(o.select(line.alias("value")))
 
 
-@query("S19_storage_stats")
-def _(spark, d):
-    return storage_stats(spark, d)
-
-
 # --- deduplication ---------------------------------------------------------------------------
 
-@query("D1_keep_latest", """SELECT user_id, event_type, event_id, ts, value FROM (SELECT *, row_number() OVER
-  (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+@query("D1_keep_latest", """SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def _(spark, d):
-    e = A.table(spark, d, "events").select("user_id", "event_type", "event_id", "ts", "value")
-    return D.keep_latest(e, ["user_id", "event_type"], ["ts", "event_id"])
+    return D.keep_latest(A.table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"])
 
 
-@query("D2_compact_line_items", """SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey, l_extendedprice FROM (SELECT *, row_number() OVER
-  (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM lineitem) WHERE rn = 1""")
+@query("D2_compact_line_items", """SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC,
+  l_quantity DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC) AS rn FROM lineitem) WHERE rn = 1""")
 def _(spark, d):
-    li = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")
-    return D.keep_latest(li, ["l_orderkey", "l_linenumber"], ["l_shipdate"])
+    return D.keep_latest(A.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_shipdate"])
 
 
 @query("D3_full_row_fallback", """SELECT text, lang, source, max(doc_id) AS fetched_at FROM documents GROUP BY 1, 2, 3""")
@@ -265,10 +259,9 @@ def _(spark, d):
 
 
 @query("D9_duplicate_rate", """SELECT 'lineitem' AS "table", (SELECT count(*) FROM lineitem) AS "rows", (SELECT count(*) FROM lineitem) -
-  (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey FROM lineitem)) AS duplicates""")
+  (SELECT count(*) FROM (SELECT DISTINCT * EXCLUDE l_partkey FROM lineitem)) AS duplicates""")
 def _(spark, d):
-    li = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
-    return D.duplicate_rate(li, ["l_partkey"], "lineitem")
+    return D.duplicate_rate(A.table(spark, d, "lineitem"), ["l_partkey"], "lineitem")
 
 
 @query("D10_longest_source", f"""WITH {FACTS}, n AS (SELECT symbol, form, count(*) AS n FROM facts GROUP BY 1, 2),

@@ -1,5 +1,7 @@
 """The adapters once more, as SQL, for the independent check."""
 
+from tidemark.functions.pricing import HART_DEN, HART_NUM
+
 TRADES = """trades AS (SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date,
   CAST(round(ln(l_extendedprice / l_quantity) * 1000) AS BIGINT) AS cents, l_quantity AS qty, l_discount AS d, l_tax AS t,
   (l_orderkey * 8 + l_linenumber) * 32768 + CAST(round(ln(l_extendedprice / l_quantity) * 1000) AS BIGINT) AS seq FROM lineitem)"""
@@ -45,3 +47,14 @@ POSITIONS = """positions AS (SELECT event_id, user_id AS mmsi, ts, value % 40 +
 def R(expr: str, n: int = 6) -> str:
     """Rounded, with negative zero made positive."""
     return f"(round({expr}, {n}) + 0.0::DOUBLE)"
+
+
+def normal_tail(x):
+    """SQL for the chance beyond |x| on one side."""
+    a = f"abs({x})"
+    num, den = "", ""
+    for i, c in enumerate(HART_NUM):
+        num = f"{c!r}::DOUBLE" if i == 0 else f"({num} * {a} + {c!r}::DOUBLE)"
+    for i, c in enumerate(HART_DEN):
+        den = f"{c!r}::DOUBLE" if i == 0 else f"({den} * {a} + {c!r}::DOUBLE)"
+    return f"exp(-{a} * {a} / 2) * {num} / {den}"

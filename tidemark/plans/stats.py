@@ -8,11 +8,12 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
+from tidemark.functions.pricing import two_sided
 from tidemark.operators import features as FE, portfolio as PF, registry as RG, research_stats as RS, studies as ST, technical as TE
 from tidemark.operators.relational import union_all
 from tidemark.plans.base import query, r, rounded
 from tidemark.plans.research import STRAT_SQL, _CR, rule_flags, strategies
-from tidemark.plans.sqlbits import BARS, MACRO, NEWS, R
+from tidemark.plans.sqlbits import BARS, MACRO, NEWS, R, normal_tail
 from tidemark.plans.windows import FWD, fwd_sql, market
 from tidemark.sources import adapters as A
 from tidemark.sources.workspace import materialise
@@ -88,10 +89,11 @@ def _(spark, d):
     return _round_spread(RS.quantile_spread(long_panel(spark, d), "value", "fwd", ["horizon"]))
 
 
-@query("Q3_spread_p_values")
+@query("Q3_spread_p_values", f"WITH {PANEL}, {_spread_sql('ph', ['horizon'])}, t AS (SELECT horizon, (mt - mb) / sqrt(vt / top_n + vb / bottom_n) AS t FROM q4) SELECT horizon, {R('2 * ' + normal_tail('t'))} AS p FROM t")
 def _(spark, d):
-    from tidemark.functions.distributions import t_two_sided
-    return RS.quantile_spread(long_panel(spark, d), "value", "fwd", ["horizon"]).withColumn("p", t_two_sided("spread_t", "spread_df"))
+    # both sides have hundreds of rows: the normal tail
+    s = RS.quantile_spread(long_panel(spark, d), "value", "fwd", ["horizon"])
+    return s.select("horizon", r(two_sided("spread_t")).alias("p"))
 
 
 @query("Q4_ic_by_horizon", f"WITH {PANEL}, {_ic_sql('ph', 'horizon, date')} {_sum_sql('horizon')}")
@@ -118,18 +120,6 @@ def _(spark, d):
     return rounded(RS.bootstrap_sharpe(strategies(spark, d), n_boot=20), ["sharpe", "sharpe_ci_lo", "sharpe_ci_hi"], 4)
 
 
-@query("Q7_permutation_null")
-def _(spark, d):
-    return RS.permutation_null(rule_flags(A.bars(spark, d).select("symbol", "date", "close")), 10)
-
-
-@query("Q8_price_nulls")
-def _(spark, d):
-    b = A.bars(spark, d)
-    obs = ST.pair_trades(rule_flags(b))
-    return RS.price_null(b, rule_flags, ST.pair_trades, obs, 10, "noise").unionByName(RS.price_null(b, rule_flags, ST.pair_trades, obs, 10, "shuffle"))
-
-
 @query("Q9_order_shuffle_drawdown", f"""WITH t AS (SELECT o_orderkey AS id, (o_totalprice - 250000) / 2e7 AS pnl FROM orders), x AS (SELECT rep, pnl, md5('0-' || rep || '-' || id) AS h, id FROM t, (SELECT unnest(range(20)) AS rep)),
   c AS (SELECT rep, h, id, exp(sum(ln(1 + pnl)) OVER w) AS eq FROM x WINDOW w AS (PARTITION BY rep ORDER BY h, id)), dd AS (SELECT rep, eq / greatest(1, max(eq) OVER (PARTITION BY rep ORDER BY h, id)) - 1 AS dd FROM c) SELECT rep, {R('100 * least(min(dd), 0)', 5)} AS mdd_pct FROM dd GROUP BY 1""")
 def _(spark, d):
@@ -157,8 +147,7 @@ def config_returns(spark, d):
 @query("Q10_pbo", f"WITH {_PBO} SELECT {R('avg((l <= 1e-12)::INT)')} AS pbo, {R('quantile_cont(l, 0.5)')} AS median_logit, count(*) AS n_combinations FROM lg")
 def _(spark, d):
     s = config_returns(spark, d)
-    ids = {n: i for i, n in enumerate(["click", "error", "purchase", "signup", "view"])}
-    return rounded(RS.pbo(s.withColumn("config", A.lookup(F.col("config"), ids))), ["pbo", "median_logit"])
+    return rounded(RS.pbo(s), ["pbo", "median_logit"])
 
 
 @query("Q11_cpcv_folds", f"""WITH {BARS}, dy AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM bars)), g AS (SELECT *, CASE WHEN i < (n % 6) * (n // 6 + 1) THEN i // (n // 6 + 1) ELSE n % 6 + (i - (n % 6) * (n // 6 + 1)) // (n // 6) END AS g, i + 5 AS reach, CAST(floor(n * 0.01) AS BIGINT) AS emb FROM dy),
@@ -214,11 +203,6 @@ def _sharpes(spark, d):
     return strategies(spark, d).groupBy("strategy").agg(F.round(F.avg("ret") / F.stddev_pop("ret") * 252 ** 0.5, 8).alias("s"), F.count("*").alias("n_days"))
 
 
-@query("Q15_deflated_sharpe")
-def _(spark, d):
-    return rounded(RS.deflated_sharpe(_sharpes(spark, d), "strategy", "s", "n_days"), ["dsr_prob", "sr0_ann"], 4)
-
-
 @query("Q16_significance_tier", f"WITH {_BH} SELECT name, CASE WHEN p IS NULL THEN 'n/a' WHEN p < 0.01 THEN 'significant' WHEN p < 0.05 THEN 'weak' ELSE 'noise' END AS tier FROM pp")
 def _(spark, d):
     return _pvalues(spark, d).select("name", X.significance_tier("p").alias("tier"))
@@ -230,20 +214,6 @@ def _(spark, d):
     return rounded(ic.groupBy("symbol").agg(F.count("*").alias("horizons"), F.max("ic").alias("best_ic"), F.max_by("horizon", F.round("ic", 9)).alias("best_horizon"), F.min("ic").alias("worst_ic"), F.min_by("horizon", F.round("ic", 9)).alias("worst_horizon")), ["best_ic", "worst_ic"])
 
 
-@query("Q18_sensitivity_grid")
-def _(spark, d):
-    b = A.bars(spark, d).select("symbol", "date", "close")
-    cells = F.explode(F.array(*[F.struct(F.lit(float(u)).alias("up"), F.lit(float(v)).alias("down")) for u in (75, 80, 85, 90, 95) for v in (55, 60, 65, 70, 74)]))
-    c, w = F.col("close"), FE.by_symbol()
-    p = F.lag("close").over(w)
-    g = b.withColumn("_p", p).withColumn("g", cells)
-    f = lambda x: F.coalesce(x, F.lit(False))
-    flags = g.select(F.concat_ws("|", F.col("g.up").cast("string"), F.col("g.down").cast("string"), F.col("symbol").cast("string")).alias("key"), "date", "close",
-                     f((c > F.col("g.up")) & (F.col("_p") <= F.col("g.up"))).alias("entry"), f((c < F.col("g.down")) & (F.col("_p") >= F.col("g.down"))).alias("exit"))
-    t = ST.pair_trades(flags).withColumns({"up": F.split("key", r"\|")[0].cast("double"), "down": F.split("key", r"\|")[1].cast("double")})
-    return rounded(ST.trade_summary(t, ["up", "down"]), ["total_pnl_pct", "win_rate_pct", "avg_pnl_pct"], 4)
-
-
 # --- registry --------------------------------------------------------------------------------
 
 _REGS = """rg AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS run_id, 'c' || o_custkey AS input_name, 'signal' AS input_type, CASE o_orderstatus WHEN 'F' THEN 'ic' WHEN 'O' THEN 'spread' ELSE 'sharpe' END AS evaluation, CASE WHEN o_orderkey % 2 = 0 THEN 5 ELSE -1 END AS horizon,

@@ -8,7 +8,7 @@ from tidemark.functions import pricing as PR
 from tidemark.operators import dedup as D, features as FE, options as OP, reports as RP, text as TX
 from tidemark.plans.base import query, r, rounded
 from tidemark.plans.reports import _DTE, _MNY, _ZONE, _binned
-from tidemark.plans.sqlbits import BARS, CONTRACTS, NEWS, POSITIONS, R
+from tidemark.plans.sqlbits import BARS, CONTRACTS, NEWS, POSITIONS, R, normal_tail as _TAIL
 from tidemark.sources import adapters as A
 from tidemark.sources.workspace import fresh_path
 from tidemark.streaming import feeds as SF
@@ -54,19 +54,18 @@ def _(spark, d):
     return TX.alias_dictionary(A.table(spark, d, "customer").select(F.col("c_custkey").alias("symbol"), name.alias("name")), manual)
 
 
-# aliases: the first three words of each benchmark passage, which documents quote
-_AL = "al AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS symbol, regexp_extract(text, '^[\\p{L}\\p{N}_]+[^\\p{L}\\p{N}_]+[\\p{L}\\p{N}_]+[^\\p{L}\\p{N}_]+[\\p{L}\\p{N}_]+') AS alias FROM benchmark)"
+# aliases: the whole benchmark passages, which documents quote
+_AL = "al AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS symbol, text AS alias FROM benchmark)"
 _HIT = lambda col: f"regexp_matches(lower({col}), '(^|[^\\p{{L}}\\p{{N}}_$])' || regexp_escape(lower(alias)) || '($|[^\\p{{L}}\\p{{N}}_])')"
 
 
 def aliases(spark, d):
-    word, gap = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+"
-    return A.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("symbol"), F.regexp_extract("text", f"^{word}{gap}{word}{gap}{word}", 0).alias("alias")).where("alias <> ''")
+    return A.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("symbol"), F.col("text").alias("alias"))
 
 
 @query("X12_entity_mentions", f"WITH {_AL} SELECT DISTINCT doc_id, symbol FROM documents JOIN al ON alias <> '' AND {_HIT('text')}")
 def _(spark, d):
-    return TX.mentions(A.table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", aliases(spark, d), 3)
+    return TX.mentions(A.table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", aliases(spark, d))
 
 
 # fixed values: demo drivers for the invented prose
@@ -82,12 +81,12 @@ def _(spark, d):
     b = A.table(spark, d, "benchmark")
     ex = b.select(F.col("item_id").alias("symbol"), F.lit("oil").alias("driver"), (F.col("item_id") % 9 * 3.0).alias("t")).unionByName(b.select(F.col("item_id").alias("symbol"), F.lit("gold").alias("driver"), (-(F.col("item_id") % 7) * 2.0).alias("t")))
     art = texts(spark, d).withColumn("symbol", F.col("doc_id") % 40)
-    return TX.relevance(art, "doc_id", "symbol", "headline", "summary", aliases(spark, d), ex, DEMO_DRIVERS, 3)
+    return TX.relevance(art, "doc_id", "symbol", "headline", "summary", aliases(spark, d), ex, DEMO_DRIVERS)
 
 
 @query("X14_direct_mention_signals", f"""WITH {_X10}, {_AL}, m AS (SELECT DISTINCT doc_id, symbol FROM documents JOIN al ON alias <> '' AND {_HIT('text')}) SELECT symbol, {R('sum(score * greatest(0.5, 0.05)) / sum(greatest(0.5, 0.05))')} AS sent_score, count(*) AS n_articles FROM m JOIN sn USING (doc_id) GROUP BY 1""")
 def _(spark, d):
-    m = TX.mentions(A.table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", aliases(spark, d), 3)
+    m = TX.mentions(A.table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", aliases(spark, d))
     s = TX.article_sentiment(texts(spark, d), "doc_id", "headline", "summary", lexicon(spark)).withColumn("score", F.round("score", 9))
     j = m.join(s, "doc_id").select("symbol", F.lit("2024-01-01").cast("date").alias("date"), "score", F.lit(0.5).alias("confidence"))
     return RP.daily_signals(j).select("symbol", r("sent_score").alias("sent_score"), "n_articles")
@@ -105,16 +104,6 @@ _CURVE = [(0.25, 3.0), (0.5, 3.2), (1.0, 3.6), (2.0, 4.0), (10.0, 4.6)]  # tenor
 _CDF = lambda x: f"(CASE WHEN {x} > 0 THEN 1 - ({_TAIL(x)}) ELSE {_TAIL(x)} END)"
 
 
-def _TAIL(x):
-    a = f"abs({x})"
-    num, den = "", ""
-    for i, c in enumerate(PR.HART_NUM):
-        num = f"{c!r}::DOUBLE" if i == 0 else f"({num} * {a} + {c!r}::DOUBLE)"
-    for i, c in enumerate(PR.HART_DEN):
-        den = f"{c!r}::DOUBLE" if i == 0 else f"({den} * {a} + {c!r}::DOUBLE)"
-    return f"exp(-{a} * {a} / 2) * {num} / {den}"
-
-
 def curve_column(spark_date):
     """A small curve whose level moves with the year."""
     lift = (F.year(spark_date) - 1995) / 10.0
@@ -136,57 +125,37 @@ def _(spark, d):
 
 
 def option_base(spark, d):
-    """Newest bar of each symbol with its volatility estimates."""
+    """Every bar that has its volatility estimates."""
     b = FE.yang_zhang(A.bars(spark, d), 30).withColumn("_lr", F.log(F.col("close") / F.lag("close").over(FE.by_symbol())))
     b = b.withColumn("sigma_cc", FE.full(F.col("_lr"), F.stddev_samp("_lr"), FE.trailing(30), 30) * 252 ** 0.5).where("sigma_cc is not null")
-    b = D.latest_slice(b, "date", ["symbol"])
     return b.select("symbol", "date", F.col("close").alias("spot"), F.round("sigma_cc", 6).alias("sigma_cc"), F.round("yz_vol", 6).alias("sigma_yz"), F.lit(0.01).alias("q"), curve_column("date").alias("curve"))
 
 
 MNY, DTES = [0.8, 0.9, 1.0, 1.1, 1.2], [7, 30, 90]
 _GRID = f"""{BARS}, lr AS (SELECT symbol, date, close, ln(close / lag(close) OVER w) AS lr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
   vs AS (SELECT symbol, date, close AS spot, round(CASE WHEN count(lr) OVER t >= 30 THEN stddev_samp(lr) OVER t END * sqrt(252), 6) AS sigma FROM lr WINDOW t AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
-  lt AS (SELECT * FROM vs WHERE sigma IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1),
+  lt AS (SELECT * FROM vs WHERE sigma IS NOT NULL),
   gd AS (SELECT symbol, date, spot, sigma, m AS moneyness, n AS dte, c AS contract_type, round(m * spot + 1e-9, 2) AS strike, n / 365.0::DOUBLE AS t, CASE c WHEN 'CALL' THEN 1 ELSE -1 END AS s FROM lt, (VALUES {', '.join(f'({m}::DOUBLE)' for m in MNY)}) a(m), (VALUES {', '.join(f'({n})' for n in DTES)}) b(n), (VALUES ('CALL'), ('PUT')) c(c)),
   gr AS (SELECT *, {_rate_sql('t')} AS r FROM gd), g1 AS (SELECT *, (ln(spot / strike) + (r - 0.01 + sigma * sigma / 2) * t) / (sigma * sqrt(t)) AS d1 FROM gr), g2 AS (SELECT *, d1 - sigma * sqrt(t) AS d2, exp(-d1 * d1 / 2) / 2.506628274631::DOUBLE AS pdf FROM g1),
   g3 AS (SELECT *, {_CDF('(s * d1)')} AS n1, {_CDF('(s * d2)')} AS n2 FROM g2)"""
 
 
-@query("O1_option_grid_european", f"""WITH {_GRID} SELECT symbol, moneyness, dte, contract_type, {R('s * (spot * exp(-0.01 * t) * n1 - strike * exp(-r * t) * n2)')} AS theo_price, {R('s * exp(-0.01 * t) * n1')} AS delta, {R('exp(-0.01 * t) * pdf / (spot * sigma * sqrt(t))', 8)} AS gamma,
+@query("O1_option_grid_european", f"""WITH {_GRID} SELECT symbol, date, moneyness, dte, contract_type, {R('s * (spot * exp(-0.01 * t) * n1 - strike * exp(-r * t) * n2)')} AS theo_price, {R('s * exp(-0.01 * t) * n1')} AS delta, {R('exp(-0.01 * t) * pdf / (spot * sigma * sqrt(t))', 8)} AS gamma,
   {R('(-(spot * pdf * sigma * exp(-0.01 * t)) / (2 * sqrt(t)) - s * r * strike * exp(-r * t) * n2 + s * 0.01 * spot * exp(-0.01 * t) * n1) / 365')} AS theta, {R('spot * exp(-0.01 * t) * pdf * sqrt(t) / 100')} AS vega, {R('s * strike * t * exp(-r * t) * n2 / 100')} AS rho FROM g3""")
 def _(spark, d):
     g = OP.option_grid(option_base(spark, d), MNY, DTES).withColumn("sigma", F.col("sigma_cc"))
     p = PR.european(g)
-    return p.select("symbol", "moneyness", "dte", "contract_type", *[r(c, 8 if c == "gamma" else 6).alias(c) for c in ("theo_price", "delta", "gamma", "theta", "vega", "rho")])
-
-
-@query("O1_option_grid_american")
-def _(spark, d):
-    g = OP.by_vol_method(OP.option_grid(option_base(spark, d), MNY, DTES), {"close_to_close": "sigma_cc", "yang_zhang": "sigma_yz"})
-    p = OP.price_american(g)
-    return rounded(p.select("symbol", "vol_method", "moneyness", "dte", "contract_type", "theo_price", "delta", "gamma", "theta", "vega", "rho"), ["theo_price", "delta", "gamma", "theta", "vega", "rho"])
+    return p.select("symbol", "date", "moneyness", "dte", "contract_type", *[r(c, 8 if c == "gamma" else 6).alias(c) for c in ("theo_price", "delta", "gamma", "theta", "vega", "rho")])
 
 
-@query("O3_model_versus_market")
-def _(spark, d):
-    """Observed marks (one per line item) against the model at 25 % volatility, with implied volatility."""
-    c = _binned(spark, d).where("expiration > snapshot_date").select("symbol", "spot", (F.col("strike5") * 5).cast("double").alias("strike"), F.col("put_call").alias("contract_type"), "iv", "moneyness", "dte_bucket",
-                                                                    (F.datediff("expiration", "snapshot_date") / 365.0).alias("t_years"), F.lit(0.03).alias("r"), F.lit(0.0).alias("q"))
-    seen = PR.european(c.withColumn("sigma", F.col("iv"))).select(*c.columns, F.col("theo_price").alias("mark"))
-    m = PR.european(seen.withColumn("sigma", F.lit(0.25)))
-    m = m.withColumn("implied", PR.implied_vol("mark", "spot", "strike", "t_years", "r", "q", "contract_type"))
-    err = RP.error_metrics(m, ["moneyness", "dte_bucket"], F.col("theo_price") - F.col("mark"))
-    iv = m.where(F.col("implied").isNotNull() & ~F.isnan("implied")).groupBy("moneyness", "dte_bucket").agg(F.count("*").alias("inverted"), r(F.avg(F.abs(F.col("implied") - F.col("iv"))), 4).alias("iv_mae"))
-    return err.join(iv, ["moneyness", "dte_bucket"], "left")
-
-
-@query("O4_iv_source_fallback", f"""WITH {CONTRACTS}, n AS (SELECT symbol, max(snapshot_date) AS date FROM contracts GROUP BY 1) SELECT c.symbol, c.snapshot_date AS date, expiration, put_call AS contract_type, 'vendor_chain' AS source, {R('avg(iv)', 4)} AS avg_iv, {R('min(iv)', 4)} AS min_iv, {R('max(iv)', 4)} AS max_iv, count(strike5) AS n_contracts
-  FROM contracts c JOIN n ON c.symbol = n.symbol AND c.snapshot_date = n.date GROUP BY ALL""")
+@query("O4_iv_source_fallback", f"""WITH {CONTRACTS}, c AS (SELECT *, CASE WHEN symbol % 3 = 0 THEN 'broker_chain' ELSE 'vendor_chain' END AS source, CASE WHEN symbol % 3 = 0 THEN iv * 2 ELSE iv END AS vol FROM contracts), n AS (SELECT symbol, max(snapshot_date) AS date FROM contracts GROUP BY 1)
+  SELECT c.symbol, c.snapshot_date AS date, expiration, put_call AS contract_type, source, {R('avg(vol)', 4)} AS avg_iv, {R('min(vol)', 4)} AS min_iv, {R('max(vol)', 4)} AS max_iv, count(strike5) AS n_contracts FROM c JOIN n ON c.symbol = n.symbol AND c.snapshot_date = n.date GROUP BY ALL""")
 def _(spark, d):
+    """The first source covers every third symbol only; all others come from the second."""
     c = A.contracts(spark, d)
     vendor = c.select("symbol", F.col("snapshot_date").alias("date"), "expiration", F.lower("put_call").alias("contract_type"), F.col("strike5").alias("strike_price"), F.col("iv").alias("volatility"))
-    broken = c.select("symbol", F.col("snapshot_date").alias("date"), "expiration", "put_call")  # lacks its volatility column
-    return OP.iv_summary(OP.iv_source({"broker_chain": broken, "vendor_chain": vendor}))
+    broker = c.where("symbol % 3 = 0").select("symbol", F.col("snapshot_date").alias("date"), "expiration", "put_call", F.col("strike5").alias("strike"), (F.col("iv") * 2).alias("implied_volatility"))
+    return OP.iv_summary(OP.iv_source({"broker_chain": broker, "vendor_chain": vendor}))
 
 
 # --- streams ---------------------------------------------------------------------------------
@@ -222,11 +191,27 @@ def _(spark, d):
 _UW = "100.0::DOUBLE * count(*) FILTER (nav_status = 'Under way') / count(nav_status)"
 
 
-@query("X23_stream_zone_windows", f"WITH {POSITIONS} SELECT date_trunc('hour', ts) AS window_start, {_ZONE} AS zone, count(*) AS position_reports, {R('avg(speed)', 8)} AS avg_speed, {R(_UW, 4)} AS pct_underway FROM positions GROUP BY 1, 2")
+_HOUR = "date_trunc('hour', ts)"
+
+
+def _zone_sql(start):
+    return f"SELECT {start} AS window_start, {_ZONE} AS zone, count(*) AS position_reports, count(DISTINCT mmsi) AS vessels, {R('avg(speed)', 8)} AS avg_speed, {R(_UW, 4)} AS pct_underway"
+
+
+def _zone_report(spark, d, slide=None):
+    parts = SF.drain(SF.zone_windows(SF.tag_zones(position_stream(spark, d)), slide=slide), "update")
+    out = SF.zone_summary(SF.latest_update(parts, ["window_start", "zone", "mmsi"]))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "zone", "position_reports", "vessels", r("avg_speed", 8).alias("avg_speed"), r("pct_underway", 4).alias("pct_underway"))
+
+
+@query("X23_stream_zone_windows", f"WITH {POSITIONS} {_zone_sql(_HOUR)} FROM positions GROUP BY 1, 2")
+def _(spark, d):
+    return _zone_report(spark, d)
+
+
+@query("X23_stream_sliding_windows", f"WITH {POSITIONS}, w AS (SELECT *, time_bucket(INTERVAL 30 MINUTE, ts) - unnest([INTERVAL 0 MINUTE, INTERVAL 30 MINUTE]) AS start FROM positions) {_zone_sql('start')} FROM w GROUP BY 1, 2")
 def _(spark, d):
-    s = SF.zone_windows(SF.tag_zones(position_stream(spark, d)))
-    out = SF.latest_update(SF.drain(s, "update"), ["window_start", "zone"])
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "zone", "position_reports", r("avg_speed", 8).alias("avg_speed"), r("pct_underway", 4).alias("pct_underway"))
+    return _zone_report(spark, d, "30 minutes")
 
 
 @query("X24_stream_latest_upsert", """SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")

@@ -97,6 +97,15 @@ class Catalog:
         rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(self.read(name).schema)]
         return self.spark.createDataFrame(rows, "position int, column string, type string, nullable boolean")
 
+    def describe(self, name: str) -> DataFrame:
+        """The schema with what the rows hold: per column the rows, NULLs and distinct values (two-level, no set of values in one buffer)."""
+        df = self.read(name)
+        cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "true"}).alias("v"), F.col(c).isNull().alias("null")) for c in df.columns])).alias("x")).select("x.*")
+        per = cells.groupBy("column", "v", "null").agg(F.count("*").alias("n"))
+        stats = per.groupBy("column").agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("null"), F.col("n")).otherwise(0)).alias("n_null"), F.count(F.when(~F.col("null"), 1)).alias("n_distinct"))
+        zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+        return self.schema(name).join(stats, "column", "left").select("position", "column", "type", "nullable", *[zero(c) for c in ("n_rows", "n_null", "n_distinct")])
+
     def symbols(self, name: str) -> DataFrame:
         c = self.specs[name].symbol_col
         return self.read(name).select(F.col(c).alias("symbol")).distinct().orderBy("symbol")

@@ -20,8 +20,8 @@ def write_partitioned(df: DataFrame, path: str, stamp: str = "fetched_at") -> No
 
 
 def write_snapshot(df: DataFrame, path: str, cluster: list[str] | None = None, partitions: int | None = None) -> None:
-    """Curated snapshot clustered for row-group pruning.  Written beside the target and renamed,
-    so a job that reads the old snapshot never overwrites its own input."""
+    """Curated snapshot clustered for row-group pruning.  Written beside the target; the old
+    snapshot is put aside before the new one takes its place, so a failure in between loses nothing."""
     spark = df.sparkSession
     if cluster:
         cols = [F.col(c) for c in cluster]
@@ -35,9 +35,20 @@ def _swap(spark: SparkSession, staging: str, path: str) -> None:
     Path = spark._jvm.org.apache.hadoop.fs.Path
     src, dst = Path(staging), Path(path)
     fs = dst.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    fs.delete(dst, True)
-    if not fs.rename(src, dst):
+    old = Path(path + ".replaced")
+    fs.delete(old, True)
+    there = fs.exists(dst)
+    if there and not fs.rename(dst, old):
+        raise OSError(f"cannot put {path} aside")
+    moved = False
+    try:
+        moved = fs.rename(src, dst)
+    finally:
+        if not moved and there:
+            fs.rename(old, dst)
+    if not moved:
         raise OSError(f"cannot move {staging} to {path}")
+    fs.delete(old, True)
 
 
 def replace_slice(df: DataFrame, path: str, slice_col: str) -> None:
@@ -53,11 +64,8 @@ def append_unseen(df: DataFrame, path: str, keys: list[str]) -> None:
 def replace_from(spark: SparkSession, source: str, target: str) -> bool:
     """Full replacement from another snapshot; True when the schema changed."""
     new = spark.read.parquet(source)
-    try:
-        changed = spark.read.parquet(target).schema != new.schema
-    except Exception as e:  # an absent target counts as changed
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        changed = True
+    at = spark._jvm.org.apache.hadoop.fs.Path(target)
+    there = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+    changed = not there or spark.read.parquet(target).schema != new.schema  # an absent target counts as changed
     write_snapshot(new, target)
     return changed

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -15,18 +16,17 @@ from tidemark.operators.landing import vessel_type
 from tidemark.sources.workspace import fresh_path
 
 
-def file_stream(spark: SparkSession, directory: str, pattern: str, schema, files_per_trigger: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-    if files_per_trigger:
-        r = r.option("maxFilesPerTrigger", files_per_trigger)
-    return r.parquet(directory)
+def file_stream(spark: SparkSession, directory: str, pattern: str, schema, files_per_trigger: int = 64) -> DataFrame:
+    """A stream of files; a micro-batch takes at most ``files_per_trigger`` of them."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).parquet(directory)
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", target: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Process what is available and return the result as a table.  Each batch is written under its own
-    id (a replayed batch overwrites itself), so the sink is exactly-once."""
+    id (a replayed batch overwrites itself), so the sink is exactly-once.  With ``target`` and ``checkpoint`` of an
+    earlier call the stream goes on where that one stopped; without them both are new folders."""
     spark = stream.sparkSession
-    out, ckpt = fresh_path(spark, "stream-out"), fresh_path(spark, "stream-ckpt")
+    out, ckpt = target or fresh_path(spark, "stream-out"), checkpoint or fresh_path(spark, "stream-ckpt")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
@@ -62,53 +62,96 @@ def tag_zones(stream: DataFrame) -> DataFrame:
 
 
 def zone_windows(stream: DataFrame, width: str = "1 hour", slide: str | None = None, delay: str = "2 hours") -> DataFrame:
-    """Zone summary per event-time window.  Distinct vessels are approximate, since exact distinct state is
-    unbounded in a stream; the batch summary is exact."""
+    """Per event-time window, zone and vessel the sums of its reports; ``zone_summary`` makes the report of them.  Counts
+    by vessel keep distinct vessels exact; the watermark bounds the state to the vessels of the open windows."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    n = F.count("nav_status")
-    return (stream.withWatermark("ts", delay).groupBy(w.alias("w"), "zone")
-            .agg(F.count("*").alias("position_reports"), F.approx_count_distinct("mmsi").alias("vessels"), F.avg("speed").alias("avg_speed"), (100 * F.count_if(F.col("nav_status") == "Under way") / n).alias("pct_underway"))
-            .select(F.col("w.start").alias("window_start"), "zone", "position_reports", "vessels", "avg_speed", "pct_underway"))
-
-
-def upsert_latest(stream: DataFrame, keys: list[str], recency: list[str], target: str) -> DataFrame:
-    """Append-only feed to a latest-per-key table.  Each micro-batch is reduced to its newest row per key and
-    merged with the snapshot before it into a new one; the highest snapshot number is current."""
+    return (stream.withWatermark("ts", delay).groupBy(w.alias("w"), "zone", "mmsi")
+            .agg(F.count("*").alias("n"), F.sum("speed").alias("speed"), F.count("speed").alias("n_speed"), F.count_if(F.col("nav_status") == "Under way").alias("under_way"), F.count("nav_status").alias("n_status"))
+            .select(F.col("w.start").alias("window_start"), "zone", "mmsi", "n", "speed", "n_speed", "under_way", "n_status"))
+
+
+def zone_summary(parts: DataFrame) -> DataFrame:
+    """(window_start, zone): reports, exact distinct vessels, mean speed and share under way."""
+    total = lambda c: F.sum(c)
+    return parts.groupBy("window_start", "zone").agg(
+        total("n").alias("position_reports"), F.count("mmsi").alias("vessels"), (total("speed") / F.nullif(total("n_speed"), F.lit(0))).alias("avg_speed"),
+        (100 * total("under_way") / F.nullif(total("n_status"), F.lit(0))).alias("pct_underway"))
+
+
+def _current(spark: SparkSession, target: str, before: int | None = None) -> dict[int, str]:
+    """Folder of the newest version of each bucket (below version ``before``); at most as many as there are buckets."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/bucket=*/version=*")
+    found: dict[int, tuple[int, str]] = {}
+    for f in at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(at) or []:
+        path = f.getPath().toString()
+        bucket, version = (int(x.split("=")[1]) for x in path.split("/")[-2:])
+        if (before is None or version < before) and version > found.get(bucket, (-1, ""))[0]:
+            found[bucket] = (version, path)
+    return {b: p for b, (_, p) in found.items()}
+
+
+def upsert_latest(stream: DataFrame, keys: list[str], recency: list[str], target: str, checkpoint: str | None = None, buckets: int = 32) -> DataFrame:
+    """Append-only feed to a latest-per-key table, kept in hash buckets of the key.  A micro-batch is reduced to its newest
+    row per key and merged with the buckets it touches only, each into a new version; the highest version of a bucket is
+    current, and a replayed batch writes its version again.  Give target and checkpoint again to go on later."""
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        newest = keep_latest(batch, keys, recency)
-        if batch_id > 0:
-            newest = keep_latest(spark.read.parquet(f"{target}/v{batch_id - 1}").unionByName(newest), keys, recency)
-        newest.write.mode("overwrite").parquet(f"{target}/v{batch_id}")
-
-    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", fresh_path(spark, "upsert-ckpt")).trigger(availableNow=True).start()
+        newest = keep_latest(batch, keys, recency).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        newest.persist()
+        old = _current(spark, target, batch_id)
+        touched = [r["bucket"] for r in newest.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        parts = [p for b, p in old.items() if b in touched]
+        if parts:
+            before = spark.read.schema(stream.schema).parquet(*parts).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+            merged = keep_latest(before.unionByName(newest), [*keys, "bucket"], recency)
+        else:
+            merged = newest
+        if touched:
+            merged.withColumn("version", F.lit(batch_id)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(target)
+        newest.unpersist()
+
+    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint or fresh_path(spark, "upsert-ckpt")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{target}/v{q.lastProgress['batchId']}")
+    now = list(_current(spark, target).values())
+    return spark.read.schema(stream.schema).parquet(*now) if now else spark.createDataFrame([], stream.schema)
 
 
 ALERT_SCHEMA = "key bigint, ts timestamp_ntz, value double"
 ALERT_STATE = "above boolean, last_kept double"
 
 
-def crossing_alerts(stream: DataFrame, level: float, min_gap_hours: float = 0.0) -> DataFrame:
+def crossing_alerts(stream: DataFrame, level: float, min_gap_hours: float = 0.0, expire_hours: float | None = None) -> DataFrame:
     """An alert when a key's value crosses the level upwards; it re-arms after falling back, and alerts of one
-    key keep a minimum gap.  State per key: last side and last kept time.  (key, ts, value) in, alerts out."""
+    key keep a minimum gap.  State per key: last side and last kept time; with ``expire_hours`` the state of a
+    key without rows for so long is dropped (for streams that keep running: a drain would wait for the timeouts).  (key, ts, value) in, alerts out.  A micro-batch is bounded by the
+    stream's files per trigger; of a key's rows only time and value are held."""
     gap = min_gap_hours * 3600
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         above, last = state.get if state.exists else (False, None)
-        rows = pd.concat(list(frames)).sort_values(["ts", "value"])
-        up = (rows["value"] > level).to_numpy()
-        prev = [above, *up[:-1]]
-        crossed = rows[up & ~pd.Series(prev, index=rows.index, dtype=bool).to_numpy()]
-        keep = []
-        for ts in crossed["ts"]:
-            sec = ts.timestamp()
-            ok = last is None or sec - last >= gap
-            keep.append(ok)
-            last = sec if ok else last
+        parts = [(f["ts"].to_numpy(), f["value"].to_numpy()) for f in frames]
+        ts, value = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((value, ts))
+        ts, value = ts[order], value[order]
+        up = value > level
+        at = np.flatnonzero(up & ~np.append(above, up[:-1]))
+        seconds = ts[at].astype("datetime64[us]").astype(np.int64) / 1e6
+        kept = []
+        while len(at):  # one step for each alert that is kept
+            i = 0 if last is None else int(np.searchsorted(seconds, last + gap, "left"))
+            if i >= len(at):
+                break
+            kept.append(at[i])
+            last, at, seconds = float(seconds[i]), at[i + 1:], seconds[i + 1:]
         state.update((bool(up[-1]), last))
-        yield crossed[keep][["key", "ts", "value"]]
+        if expire_hours:
+            state.setTimeoutDuration(int(expire_hours * 3_600_000))
+        if kept:
+            yield pd.DataFrame({"key": np.repeat(key[0], len(kept)), "ts": ts[kept], "value": value[kept]})
 
-    return stream.groupBy("key").applyInPandasWithState(step, ALERT_SCHEMA, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_hours else GroupStateTimeout.NoTimeout
+    return stream.groupBy("key").applyInPandasWithState(step, ALERT_SCHEMA, ALERT_STATE, "append", timeout)
