@@ -5,7 +5,8 @@ and once over all raw texts; with additive smoothing each is a bag-of-n-grams ge
 of a text is the sum of log p_target - log p_raw over its n-grams.  Adding standard Gumbel noise and taking the k
 largest samples k texts without replacement in proportion to the weights.
 
-Both models are counted over all texts; the tables have a fixed size.  The k-th largest key is found by four counting
+The raw model is counted over all texts, the target model over the target texts given; ``labelled_target`` takes at most
+``TARGET`` labelled texts for that (documented bound).  The tables have a fixed size.  The k-th largest key is found by four counting
 passes over 16 bits of the key each, so the cut is exact, nothing is sorted and nothing grows on the driver.  The noise is a
 hash of seed, key and text, so that a repeated task draws it again.
 
@@ -28,6 +29,14 @@ from tidemark.sources.workspace import materialise
 
 BITS = 16
 ORDERS = (1, 2)
+#: Most labelled texts that the target model of ``labelled_target`` is counted on.
+TARGET = 20_000
+
+
+def labelled_target(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TARGET, key: str = "doc_id") -> DataFrame:
+    """At most ``rows`` of the documents with label 1, in the order of a hash of the key; null keys and labels are left out."""
+    ids = labels.where((F.col(label) == 1) & F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key), key).limit(rows)
+    return docs.join(F.broadcast(ids), key, "left_semi")  # a bounded number of keys
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ from tidemark.llm import bytetext as bt, labelled
 from tidemark.llm.textmap import over_texts
 
 SAMPLE = 8000
-_SLICE = 1 << 19
+_SLICE = 1 << 18
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 #: Feature and direction: -1 where more of it may only lower the verdict, 0 where the trees are free.

@@ -46,7 +46,7 @@ def op3(spark, sf_dir):
 def op4(spark, sf_dir):
     docs = documents(spark, sf_dir, "doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality IN (0, 1)")
-    target = docs.join(labels.where("quality = 1"), "doc_id", "left_semi")
+    target = importance.labelled_target(docs, labels)
     share = labels.agg(F.avg("quality").alias("s")).head()["s"]  # as many as the labels say are like the target
     return importance.resample(docs, target, 1.0 if share is None else share)
 

@@ -35,7 +35,7 @@ RUN = 5
 #: Rows of a group: what one task holds at once.
 GROUP_ROWS = 50_000
 _COUNTERS = 1 << 16
-_SLICE = 3 << 20
+_SLICE = 2 << 20
 
 
 def _least_run(run: np.ndarray, width: int) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -22,6 +23,15 @@ def worker_cache(key: str, make: Callable):
     return kept[key]
 
 
+def trim() -> None:
+    """Give freed memory back to the system; workers stay alive between tasks and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 def fields(ddl: str) -> list[StructField]:
     return StructType.fromDDL(ddl).fields
 
@@ -48,6 +58,9 @@ def over_texts(df: DataFrame, text: str, keep: list[str], new: str, prepare: Cal
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in work(*(c.slice(lo, hi - lo) for c in b.columns[len(keep):]))]
                 arrays = [x if x.type == k else x.cast(k) for x, k in zip(arrays, kinds)]
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(len(keep))), *arrays], names=schema.names)
+                arrays = None
+            texts = None
+            trim()
     return df.select(*(df[c] for c in keep), df[text].cast("string").alias("__text"), *(df[c].alias(f"__{c}") for c in beside)).mapInArrow(run, schema)
 
 
@@ -58,6 +71,7 @@ def total_counts(df: DataFrame, text: str, size: int, count: Callable[..., np.nd
         for b in batches:
             for lo, hi in bt.slices(b.column(0), limit):
                 total += count(*(c.slice(lo, hi - lo) for c in b.columns))
+            trim()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["b", "n"])
     tables = df.select(df[text].cast("string").alias("__text"), *(df[c].alias(f"__{c}") for c in beside)).mapInArrow(run, "b bigint, n bigint")

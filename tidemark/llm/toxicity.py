@@ -27,7 +27,7 @@ from tidemark.sources.workspace import materialise
 
 ORDERS = (4, 5, 6)
 BITS = 20
-_COUNT_SLICE, _SCORE_SLICE = 1 << 20, 1 << 19
+_COUNT_SLICE, _SCORE_SLICE = 1 << 19, 1 << 18
 #: Most labelled texts of each class that the fit reads.
 SAMPLE = 2500
 
