@@ -326,6 +326,15 @@ def test_importance_weights_by_hand(spark):
     assert not importance.model(df, df.where("doc_id < 0")).any()
 
 
+def test_labelled_target_is_bounded_and_repeatable(spark):
+    df = spark.range(50).selectExpr("id AS doc_id", "'x' AS text")
+    labels = spark.createDataFrame([*((i, i % 2) for i in range(40)), (None, 1), (3, None), (77, 1)], "doc_id long, quality int")
+    every = {r["doc_id"] for r in importance.labelled_target(df, labels).collect()}
+    some = sorted(r["doc_id"] for r in importance.labelled_target(df, labels, rows=5).collect())
+    assert every == set(range(1, 40, 2)) and len(some) <= 5 and set(some) <= every
+    assert some == sorted(r["doc_id"] for r in importance.labelled_target(df.repartition(3), labels.repartition(2), rows=5).collect())
+
+
 @pytest.mark.parametrize("k", [1, 2, 50, 99, 100, 101])
 def test_kth_largest(spark, k):
     values = importance._ordered(np.random.default_rng(1).normal(size=100)).tolist()
