@@ -335,7 +335,8 @@ def _(spark, d):
 @query("P3_rank_symbols", f"""WITH {PANEL_SQL} SELECT symbol, date, round(composite, 5) + 0.0::DOUBLE AS composite, row_number() OVER (PARTITION BY date ORDER BY round(composite, 8) DESC, symbol) AS rank
   FROM panel WHERE composite IS NOT NULL""")
 def _(spark, d):
-    p = panel(spark, d).select("symbol", "date", "composite", F.round("composite", 8).alias("c"))
+    # positions read the scored panel three times
+    p = materialise(panel(spark, d).select("symbol", "date", "composite", F.round("composite", 8).alias("c")), "composites")
     return position_within(p, ["date"], "c", "symbol", "rank", descending=True).select("symbol", "date", r("composite", 5).alias("composite"), "rank")
 
 

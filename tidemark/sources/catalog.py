@@ -16,6 +16,7 @@ class TableSpec:
     key: tuple[str, ...] = ()
     date_col: str | None = None
     symbol_col: str | None = None
+    drifts: bool = False                   # files differ in their columns: every footer is read to merge them
 
 
 # fixed values: natural keys of the hosted tables
@@ -54,7 +55,7 @@ class Catalog:
 
     def read(self, name: str) -> DataFrame:
         path, s = self.resolve(name), self.specs[name]
-        reader = self.spark.read.option("mergeSchema", "true" if path == s.raw else "false")
+        reader = self.spark.read.option("mergeSchema", "true" if s.drifts and path == s.raw else "false")
         if s.prefix and path == s.raw:
             reader = reader.option("pathGlobFilter", f"{s.prefix}*.parquet").option("recursiveFileLookup", "true")
         return reader.parquet(path)
