@@ -1,10 +1,11 @@
 """License scan: which licence texts or notices a document holds, and where.
 
 Method: a positional index of rare words.  Templates are word sequences; the weight of a template word is its inverse
-document frequency over all scanned documents.  In a file the ``LOOKUPS`` places with the rarest licence words are looked
-up; each posting of such a word says where the template would start, and the start on which postings agree with enough
-weight is a candidate.  At the candidate start the whole template is laid over the file, the share of its weight that
-matches is the score, and every mandatory key phrase of the template must stand in the file near its place.
+document frequency over all scanned documents.  Of each template the rarest words that together hold more than 1 - ``LEAST`` of
+its weight are looked up at every place of a file where they stand: a start that matches enough has at least one of them in
+its place, so each such posting makes its start a candidate and none is lost.  At a candidate start the whole template is laid over the
+file, the share of its weight that matches is the score, and every mandatory key phrase of the template must stand in the
+file near its place.
 
 Fixed phrases (base) are found everywhere by comparing word hashes at consecutive places; their labels always stay.
 
@@ -45,10 +46,10 @@ TEMPLATES = {
 #: Labels that a notice shares with the full text.
 SAME = {"apache-2-short": "apache-2", "mit-notice": "mit"}
 
-#: Places of a file that are looked up, those with the rarest licence words first; ties go to the earlier place.
-LOOKUPS = 64
-#: Share of a template's weight that must match, and share that the agreeing postings must bring.
-LEAST, AGREE = 0.8, 0.4
+#: Share of a template's weight that must match.
+LEAST = 0.8
+#: Starts that are compared at once.
+CANDIDATES = 1 << 15
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
@@ -56,7 +57,7 @@ def word_hashes(words: list[str]) -> np.ndarray:
 
 
 class Index:
-    """Postings of all template words, by word hash."""
+    """Words, codes and key phrases of all templates, by word hash."""
 
     def __init__(self):
         self.names = list(TEMPLATES)
@@ -64,13 +65,16 @@ class Index:
         self.hashes = [word_hashes(w) for w in self.words]
         self.vocabulary = np.unique(np.concatenate(self.hashes))
         self.codes = [np.searchsorted(self.vocabulary, h) for h in self.hashes]
-        self.postings: list[list[tuple[int, int]]] = [[] for _ in self.vocabulary]
-        for t, c in enumerate(self.codes):
-            for p, v in enumerate(c):
-                self.postings[v].append((t, p))
         self.keys = [[(k, word_hashes(k.split())) for k in keys] for _, keys in TEMPLATES.values()]
         self.phrases = [(label, word_hashes(p.split())) for p, label in PHRASES.items()]
 
+    def rarest(self, t: int, idf: np.ndarray) -> list[tuple[int, int]]:
+        """(code, place) of the template's rarest words, as many as together weigh more than what may be missing."""
+        w = idf[self.codes[t]]
+        order = np.argsort(-w, kind="stable")
+        n = int(np.searchsorted(np.cumsum(w[order]), (1 - LEAST) * w.sum() * (1 + 1e-9), "right")) + 1
+        return [(int(self.codes[t][q]), int(q)) for q in order[:n]]
+
     def code(self, h: np.ndarray) -> np.ndarray:
         """Number of each word in the vocabulary, -1 for other words."""
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
@@ -110,30 +114,34 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",))
         weights = [idf[c] for c in index.codes]
         sums = [float(w.sum()) for w in weights]
 
-        def templates(h: np.ndarray, code: np.ndarray) -> list[tuple[str, int, int, float]]:
+        rarest = [index.rarest(t, idf) for t in range(len(index.names))]
+
+        def templates(words: bt.Words, h: np.ndarray, code: np.ndarray) -> dict[int, list[tuple[str, int, int, float]]]:
+            """label, place, words and score of the best start of each template, by text."""
             places = np.flatnonzero(code >= 0)
-            if not len(places):
-                return []
-            rare = places[np.lexsort((places, -idf[code[places]]))][:LOOKUPS]
-            votes: dict[tuple[int, int], float] = {}
-            for p in rare.tolist():
-                for t, q in index.postings[code[p]]:
-                    votes[t, p - q] = votes.get((t, p - q), 0.0) + float(idf[code[p]])
-            found: dict[int, tuple[float, int]] = {}
-            for (t, s), weight in sorted(votes.items()):
-                if weight < AGREE * sums[t]:
-                    continue
-                own = np.arange(len(index.codes[t])) + s
-                inside = (own >= 0) & (own < len(h))
-                same = np.zeros(len(own), bool)
-                same[inside] = code[own[inside]] == index.codes[t][inside]
-                share = float(weights[t][same].sum() / sums[t])
-                if share < LEAST or share <= found.get(t, (0.0, 0))[0]:
-                    continue
-                near = h[max(0, s - 8):s + len(own) + 8]
-                if all(len(stands_at(near, k)) for _, k in index.keys[t]):
-                    found[t] = (share, s)
-            return [(SAME.get(index.names[t], index.names[t]), s, len(index.codes[t]), share) for t, (share, s) in found.items()]
+            places = places[np.argsort(code[places], kind="stable")]
+            bounds = np.searchsorted(code[places], np.arange(len(index.vocabulary) + 1))
+            found: dict[int, list[tuple[str, int, int, float]]] = {}
+            for t, own in enumerate(index.codes):
+                at = [(places[bounds[v]:bounds[v + 1]], q) for v, q in rarest[t]]
+                # a start may lie before its text; texts follow one another, so text and start are told apart by one number
+                wide = len(code) + 2 * len(own)
+                starts = bt.distinct(np.concatenate([words.doc[x].astype(np.int64) * wide + x - q + len(own) for x, q in at]))
+                good = []
+                for k in range(0, len(starts), CANDIDATES):
+                    doc, s = starts[k:k + CANDIDATES] // wide, starts[k:k + CANDIDATES] % wide - len(own)
+                    pos = s[:, None] + np.arange(len(own))
+                    same = (pos >= words.first[doc][:, None]) & (pos < words.first[doc + 1][:, None])
+                    same &= code[np.clip(pos, 0, len(code) - 1)] == own
+                    share = (same * weights[t]).sum(1) / sums[t]
+                    good += [(d, -x, at) for d, x, at in zip(doc[share >= LEAST].tolist(), share[share >= LEAST].tolist(), s[share >= LEAST].tolist())]
+                done = -1
+                for d, less, s in sorted(good):
+                    first, end = int(words.first[d]), int(words.first[d + 1])
+                    if d != done and all(len(stands_at(h[max(first, s - 8):min(end, s + len(own) + 8)], k)) for _, k in index.keys[t]):
+                        done = d
+                        found.setdefault(d, []).append((SAME.get(index.names[t], index.names[t]), s - first, len(own), -less))
+            return found
 
         def work(texts):
             words = bt.split(texts, bt.ALNUM, lower=True)
@@ -146,11 +154,11 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",))
             for label, at in base:
                 for a in at.tolist():
                     own[doc_of[a]].append((label, a - int(words.first[doc_of[a]])))
-            licence = np.add.reduceat(np.append(code >= 0, False), words.first[:-1]) * (words.counts > 0) if n else []
+            placed = templates(words, h, code)
             rows = []
             for d in range(n):
                 a, b = words.first[d], words.first[d + 1]
-                more = templates(h[a:b], code[a:b]) if licence[d] >= 3 else []
+                more = placed.get(d, [])
                 starts = [s for _, s in own[d]]
                 plain = sorted({x for x, _ in own[d]})
                 spans = sorted([*((x, s, len(next(p for p, y in PHRASES.items() if y == x).split()), 1.0) for x, s in own[d]), *more], key=lambda r: (r[1], r[0]))
