@@ -6,8 +6,9 @@ split by a run of their own words into groups that fit in memory, and each group
 below its run.  The splitting run has variable length: normally it is the one run of ``RUN`` words, among those in the
 suffix's first ``size`` words, whose hash is least.  Equal suffixes choose the same run, neighbouring suffixes mostly
 share one, and so one row carries all of them.  Where a run is so frequent that its group would not fit, the run is
-lengthened to all ``size`` words; such a group is a single node.  Edges below a run carry hashes of their words.  Each node
-at the depth keeps its least document; merging the covered places of a document gives its maximal repeats.
+lengthened to all ``size`` words; such a group is a single node.  Below a run a node is told by the whole 64-bit hash of its
+``size`` words, which every open window sends.  Each node at the depth keeps its least document; merging the covered places of
+a document gives its maximal repeats.
 
 Rows of a slice that go to one group travel as one parcel, so the shuffle moves few large rows.
 
@@ -84,8 +85,8 @@ def _fill(df: DataFrame, text: str, key: str, size: int) -> np.ndarray:
     return total_counts(df, text, _COUNTERS, lambda texts, keys: np.bincount(_counter(_suffixes(texts, keys, size, False)[8]), minlength=_COUNTERS), (key,), _SLICE)
 
 
-#: Arrays of a parcel: the rows that one slice sends to one group. meta: windows, their place in the run, known ones, single.
-_PARCEL = (("run", np.int64), ("key", np.int64), ("place", np.int64), ("meta", np.int32))
+#: Arrays of a parcel: the rows that one slice sends to one group. meta: windows, known ones. The hashes of the open windows follow.
+_PARCEL = (("key", np.int64), ("place", np.int64), ("meta", np.int32))
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -101,14 +102,14 @@ def _unpacked(parcels: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray]:
             size = np.dtype(kind).itemsize
             found[c].append(np.ascontiguousarray(np.frombuffer(p, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel())
             at += n * size
-        tails.append(np.frombuffer(p, "<u4", -1, at))
+        tails.append(np.frombuffer(p, "<u8", -1, at))
     return {c: np.concatenate(x) for c, x in found.items()}, np.concatenate(tails)
 
 
 def _rows(df: DataFrame, text: str, key: str, size: int, crowded: np.ndarray, groups: int) -> DataFrame:
     """g, parcel: the suffix rows of each slice, by group."""
     def work(texts, keys):
-        words, w, at, doc, own, known, start, end, run, place = _suffixes(texts, keys, size, True)
+        words, w, at, doc, own, known, start, end, run, _ = _suffixes(texts, keys, size, True)
         ends = np.zeros(len(texts) + 1, np.int64)
         if not len(w):
             return [lists(np.zeros(0, np.int32), ends), lists(pa.array([], pa.binary()), ends)]
@@ -126,17 +127,16 @@ def _rows(df: DataFrame, text: str, key: str, size: int, crowded: np.ndarray, gr
         open_ = np.add.reduceat((~known).astype(np.int64), s)
         k = np.where(full[row], w[s], run[row])
         k = np.where(open_ == 0, bt.mix((own[s] + at[s]).astype(np.uint64)), k)  # nothing open: any group will do
-        live = ~known & ~np.repeat(full, end - start)
-        sums = np.append(0, np.cumsum(live))
-        tail = (w >> np.uint64(32)).astype("<u4")[live]
+        sums = np.append(0, np.cumsum(~known))
+        tail = w.astype("<u8")[~known]
         g = (k % np.uint64(groups)).astype(np.int64)
         order = np.argsort(g, kind="stable")
-        count = np.where(full[row], 0, open_)[order]
+        count = open_[order]
         first_tail = sums[s][order]
         n_tails = np.cumsum(count)
         tails = tail[np.repeat(first_tail - (n_tails - count), count) + np.arange(int(n_tails[-1]))]
-        columns = {"run": bt.signed(k)[order], "key": own[s][order], "place": (tag[doc[s]] << 40 | at[s] - words.first[doc[s]])[order],
-                   "meta": (e - s | (place[s] - at[s]) << 4 | flags << 8 | full[row].astype(np.int64) << 20)[order].astype(np.int32)}
+        columns = {"key": own[s][order], "place": (tag[doc[s]] << 40 | at[s] - words.first[doc[s]])[order],
+                   "meta": (e - s | flags << 4)[order].astype(np.int32)}
         names, first = np.unique(g[order], return_index=True)
         bounds, t_at = np.append(first, len(order)), np.append(0, n_tails)
         parcels = [b"".join([int(y - x).to_bytes(4, "little"), *(_planes(columns[c][x:y]) for c, _ in _PARCEL), tails[t_at[x]:t_at[y]].tobytes()]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
@@ -149,21 +149,16 @@ def _rows(df: DataFrame, text: str, key: str, size: int, crowded: np.ndarray, gr
 def _nodes(table: pa.Table) -> pa.Table:
     """The tree below each run of a group: nodes at full depth, their least document, and the suffixes of later ones."""
     c, tails = _unpacked([p.as_py() for p in table.column("parcel")])
-    run, key, meta = c["run"], c["key"], c["meta"].astype(np.int64)
-    n, start, known, single = meta & 15, meta >> 4 & 15, meta >> 8 & 0xFFF, meta >> 20 > 0
+    key, meta = c["key"], c["meta"].astype(np.int64)
+    n, known = meta & 15, meta >> 4 & 0xFFF
     row = np.repeat(np.arange(len(n)), n)
     j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     late = (known[row] >> j & 1) > 0
     at = np.flatnonzero(~late)
     if len(at):
-        r = row[at]
-        edge = np.zeros(len(at), np.uint64)
-        edge[~single[r]] = tails
-        depth = np.where(single[r], 0, start[r] - j[at]).astype(np.uint64)
-        node = bt.mix(run[r].view(np.uint64) + bt.mix(edge << np.uint64(8) | depth))
-        order = np.argsort(node)
-        first = np.flatnonzero(np.append(True, node[order][1:] != node[order][:-1]))
-        k = key[r][order]
+        order = np.argsort(tails)
+        first = np.flatnonzero(np.append(True, tails[order][1:] != tails[order][:-1]))
+        k = key[row[at]][order]
         late[at[order]] = k > np.repeat(np.minimum.reduceat(k, first), np.diff(np.append(first, len(order))))
     mask = np.bincount(row, weights=np.where(late, 1 << j, 0), minlength=len(n)).astype(np.int64)
     some = mask > 0
