@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, decontaminate, hilbert, htmltext, importance, labelled, licenses, minhash, packing, quality, substrings, toxicity
+from tidemark.llm import alignment, bpe, decontaminate, hilbert, htmltext, importance, labelled, licenses, minhash, packing, quality, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -108,3 +108,9 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)""")
 def op11(spark, sf_dir):
     found = decontaminate.scan(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op13_cross_tokenizer_alignment")
+def op13(spark, sf_dir):
+    a, ranks, b = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
+    return alignment.align(documents(spark, sf_dir, "doc_id", "text"), a, b, ranks).withColumnRenamed("groups", "groups_sha256")
