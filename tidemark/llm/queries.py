@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import alignment, bpe, decontaminate, hilbert, htmltext, importance, labelled, licenses, minhash, packing, quality, substrings, toxicity
+from tidemark.llm import alignment, bpe, decontaminate, hilbert, htmltext, importance, labelled, licenses, minhash, packing, quality, substrings, toxicity, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -110,6 +110,26 @@ def op11(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query("op12_conversation_trie", r"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT c, c - c % 20 AS b, n, xor(4294967295, list_reduce(range(0, 8 * len(c::VARCHAR)), lambda a, i: CASE WHEN xor(a, CASE WHEN i % 8 = 0 THEN ascii(substr(c::VARCHAR, (i // 8 + 1)::BIGINT, 1)) ELSE 0 END) % 2 = 1
+  THEN xor(xor(a, CASE WHEN i % 8 = 0 THEN ascii(substr(c::VARCHAR, (i // 8 + 1)::BIGINT, 1)) ELSE 0 END) // 2, 3988292384) ELSE xor(a, CASE WHEN i % 8 = 0 THEN ascii(substr(c::VARCHAR, (i // 8 + 1)::BIGINT, 1)) ELSE 0 END) // 2 END, 4294967295::BIGINT)) % 4 AS h
+  FROM (SELECT c, count(*) AS n FROM t GROUP BY c)),
+k AS (SELECT g.c, g.b, g.h, least(g.h, coalesce(o.n, 0)) AS k, least(g.h, coalesce(o.n, 0)) + greatest(g.n - g.h, 0) AS size FROM g LEFT JOIN g o ON o.c = g.b),
+r AS (SELECT k.c, t.p AS d, t.role, t.text FROM k JOIN t ON t.c = k.b AND t.p <= k.k UNION ALL SELECT k.c, t.p - k.h + k.k, t.role, t.text FROM k JOIN t ON t.c = k.c AND t.p > k.h),
+s AS (SELECT c, d, text, string_agg(len(role)::VARCHAR || ':' || role || len(text)::VARCHAR || ':' || text, '') OVER (PARTITION BY c ORDER BY d) AS v FROM r UNION ALL SELECT c, 0, '', '' FROM k),
+v AS (SELECT d, v, min(c) AS c, count(*) AS n, min(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS w FROM s GROUP BY d, v),
+e AS (SELECT s.d, s.v, string_agg(s.c::VARCHAR, ',' ORDER BY s.c) AS ids FROM s JOIN k ON k.c = s.c AND k.size = s.d GROUP BY s.d, s.v),
+m AS (SELECT s.c, s.d, v.c AS least FROM s JOIN v ON v.d = s.d AND v.v = s.v),
+q AS (SELECT v.c, v.d, v.n, v.w, m.least AS parent FROM v LEFT JOIN m ON m.c = v.c AND m.d = v.d - 1),
+f AS (SELECT parent AS c, d - 1 AS d, count(*) AS n FROM q WHERE parent IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT m.least AS c, m.d, sum((f.n IS NULL)::INT) AS leaves, sum((q.n - 1) * q.w) AS saved FROM q LEFT JOIN f ON f.c = q.c AND f.d = q.d JOIN m ON m.c = q.c AND m.d <= q.d GROUP BY 1, 2)
+SELECT q.c AS conv_id, q.d::BIGINT AS depth, q.parent AS parent_conv_id, q.n AS n_convs, coalesce(f.n, 0)::BIGINT AS n_children, x.leaves::BIGINT AS n_leaves, x.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM q LEFT JOIN f ON f.c = q.c AND f.d = q.d JOIN x ON x.c = q.c AND x.d = q.d JOIN v ON v.c = q.c AND v.d = q.d LEFT JOIN e ON e.d = v.d AND e.v = v.v""")
+def op12(spark, sf_dir):
+    return trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("enter", "exit")
+
+
 @query("op13_cross_tokenizer_alignment")
 def op13(spark, sf_dir):
     a, ranks, b = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
