@@ -55,7 +55,7 @@ def brute(texts):
     return [(n_a, n_b, len(links), len(links), sum(counts[x] == most[x[1]] for x in links), sum(counts[x] for x in links), g) for n_a, n_b, links, g in docs], counts, most
 
 
-@pytest.mark.parametrize("group, fan, piece", [(4_000_000, 16, 2 << 20), (40, 2, 600)])
+@pytest.mark.parametrize("group, fan, piece", [(1_000_000, 16, 2 << 20), (40, 2, 600)])
 def test_alignment_equals_brute_force(spark, monkeypatch, group, fan, piece):
     """With tiny groups every radix is split by slice and merged in levels; results do not change."""
     for name, v in (("GROUP", group), ("FAN", fan), ("SLICE", piece), ("BLOCK", 64 if group < 100 else alignment.BLOCK)):

@@ -43,7 +43,7 @@ from tidemark.sources.workspace import materialise
 
 #: Bytes of text sorted together, records of a group, runs merged at once, entries of a block.
 SLICE = 2 << 20
-GROUP = 4_000_000
+GROUP = 1_000_000
 FAN = 16
 BLOCK = 1 << 16
 _A_BITS, _RADIX_BITS = 17, 6
