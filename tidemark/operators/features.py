@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # fixed values: feature conventions
@@ -206,14 +208,19 @@ def rolling_metrics(df: DataFrame, n: int = 63, ret: str = "ret_1d") -> DataFram
 def decluster(events: DataFrame, gap_days: int, key: str = "symbol", date: str = "date") -> DataFrame:
     """Keep an event only if it is at least gap_days after the last kept one of its key.
 
-    Each kept event depends on the one before, so this is a fold over the key's ordered distinct
-    days: at most one element per calendar day, whatever the number of rows."""
-    days = events.select(key, date).distinct().groupBy(key).agg(F.array_sort(F.collect_list(F.unix_date(date))).alias("_d"))
-    start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("kept"))
-    step = lambda acc, x: F.when(acc["last"].isNull() | (x - acc["last"] >= gap_days),
-                                 F.struct(x.alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
-    kept = days.select(key, F.explode(F.aggregate("_d", start, step)["kept"]).alias("_k"))
-    return kept.select(key, F.date_from_unix_date("_k").alias(date))
+    Each kept event depends on the one before, so a key's ordered distinct days are walked from kept day to kept day,
+    one search for each: at most one day per calendar day, whatever the number of rows.  Null keys form one
+    key, null days are left out."""
+    days = events.where(F.col(date).isNotNull()).select(key, F.unix_date(date).alias("_d")).distinct()
+    kind = days.schema[key].dataType.simpleString()
+
+    def walk(t: pa.Table) -> pa.Table:
+        d, kept, at = np.sort(np.asarray(t.column("_d"))), [], 0
+        while at < len(d):
+            kept.append(at)
+            at = max(at + 1, int(np.searchsorted(d, d[at] + gap_days)))
+        return pa.table({key: pa.chunked_array([t.column(key).combine_chunks()[:1].take(pa.array([0] * len(kept)))], t.schema.field(key).type), "_k": pa.array(d[kept], pa.int32())})
+    return days.groupBy(key).applyInArrow(walk, f"`{key}` {kind}, _k int").select(key, F.date_from_unix_date("_k").alias(date))
 
 
 # fixed values: rating buckets in order

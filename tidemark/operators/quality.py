@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -12,6 +13,7 @@ class TableSchema:
     required: tuple[str, ...] = ()
     critical: tuple[str, ...] = ()
     date_col: str | None = None
+    stamp: str = "fetched_at"
     ranges: dict[str, tuple[float, float]] = field(default_factory=dict)
 
 
@@ -26,8 +28,11 @@ def _long(agg: DataFrame, rows: list[tuple[str, Column, Column]], table: str) ->
     return agg.select(F.lit(table).alias("table"), F.explode(entries).alias("e")).select("table", "e.check", "e.severity", "e.measure")
 
 
-def validate(df: DataFrame, schema: TableSchema, table: str, as_of, previous_rows: int | None = None) -> DataFrame:
-    """All checks of a table as rows, from a single aggregate."""
+def validate(df: DataFrame, schema: TableSchema, table: str, as_of, previous_rows: int | None = None, max_age_hours: float | None = None) -> DataFrame:
+    """All checks of a table as rows, from a single aggregate.
+
+    With ``max_age_hours`` the newest ingestion time (``schema.stamp``) must be so near to ``as_of``: an absent column is
+    ok, a column without a time a warning.  The measure is the age in hours."""
     missing = [c for c in schema.required if c not in df.columns]
     aggs = [F.count("*").alias("n")]
     critical = [c for c in schema.critical if c in df.columns]
@@ -36,6 +41,8 @@ def validate(df: DataFrame, schema: TableSchema, table: str, as_of, previous_row
     if schema.date_col in df.columns:
         aggs.append(F.count_if(F.to_date(schema.date_col) > F.lit(as_of).cast("date")).alias("future"))
     aggs += [F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(f"out_{c}") for c, (lo, hi) in ranges.items()]
+    if max_age_hours is not None and schema.stamp in df.columns:
+        aggs.append(F.max(F.try_to_timestamp(F.col(schema.stamp).cast("string")).cast("timestamp_ntz")).alias("newest"))
     n = F.col("n")
     rows = [("not_empty", F.when(n > 0, "ok").otherwise("error"), n),
             ("required_cols", F.lit("error" if missing else "ok"), F.lit(len(missing)))]
@@ -48,6 +55,11 @@ def validate(df: DataFrame, schema: TableSchema, table: str, as_of, previous_row
         rows.append((f"range:{c}", F.when(F.col(f"out_{c}") > 0, "warning").otherwise("ok"), F.col(f"out_{c}")))
     if previous_rows is not None:
         rows.append(("row_count", F.when(n < SHRINK * previous_rows, "warning").otherwise("ok"), n))
+    if max_age_hours is not None and schema.stamp in df.columns:
+        age = F.timestamp_diff("MICROSECOND", F.col("newest"), F.lit(as_of).cast("timestamp_ntz")) / 3.6e9
+        rows.append((schema.stamp, F.when(age <= max_age_hours, "ok").otherwise("warning"), age))
+    elif max_age_hours is not None:
+        rows.append((schema.stamp, F.lit("ok"), F.lit(None).cast("double")))
     return _long(df.agg(*aggs), rows, table)
 
 
@@ -59,6 +71,49 @@ def verdict(checks: DataFrame) -> DataFrame:
                                        errors.alias("errors"), warnings.alias("warnings"))
 
 
+# --- files behind a table ----------------------------------------------------------------------
+
+
+def files(df: DataFrame) -> DataFrame:
+    """(file, folder, modified, rows) of the files that a scan reads, from its metadata columns: one partial aggregate, no shuffle of rows."""
+    path = F.col("_metadata.file_path")
+    return df.groupBy(path.alias("file"), F.col("_metadata.file_modification_time").alias("modified")).agg(F.count("*").alias("rows")).select(
+        "file", F.regexp_extract("file", "^(.*)/[^/]*$", 1).alias("folder"), "modified", "rows")
+
+
+def newest_files(df: DataFrame, by: str = "folder") -> DataFrame:
+    """All rows of the newest file of a scan (by="file"), or of all files of the folder that holds it.  The newest is the one last
+    modified, the greater name of equal times; its name comes from the file listing alone, and the scan is cut to it."""
+    parts = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified")).groupBy("file").agg(F.max("modified").alias("modified"))
+    newest = parts.agg(F.max_by("file", F.struct("modified", "file"))).head()[0]  # one name
+    if newest is None:
+        return df
+    path = F.col("_metadata.file_path")
+    return df.where(path == newest) if by == "file" else df.where(F.regexp_extract(path, "^(.*)/[^/]*$", 1) == newest.rsplit("/", 1)[0])
+
+
+def validate_latest(tables: dict[str, tuple[DataFrame, TableSchema]], as_of, by: str = "folder") -> DataFrame:
+    """(table, status, errors, warnings, rows) of the newest file of each table; an old file's age is no fault here."""
+    parts = []
+    for name, (df, schema) in tables.items():
+        checks = validate(newest_files(df, by), schema, name, as_of)
+        rows = checks.where("check = 'not_empty'").select("table", F.col("measure").cast("long").alias("rows"))
+        parts.append(verdict(checks).join(rows, "table"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def stale_snapshots(tables: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(table, raw_rows, curated_rows, stale, status) for (raw, curated) scans: a snapshot last written before the newest raw file is stale."""
+    parts = []
+    for name, (raw, curated) in tables.items():
+        a, b = (files(x).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias(f"{c}_rows"), F.max("modified").alias(f"{c}_at")) for x, c in ((raw, "raw"), (curated, "curated")))
+        both = a.select(F.lit(name).alias("table"), "*").join(b.select(F.lit(name).alias("table"), "*"), "table")  # one row each
+        stale = F.coalesce(F.col("curated_at") < F.col("raw_at"), F.lit(False))
+        parts.append(both.select("table", "raw_rows", "curated_rows", stale.alias("stale"), F.when(stale, "snapshot_older_than_raw").when(F.col("curated_rows") > F.col("raw_rows"), "curated_exceeds_raw")
+                                 .when(F.col("curated_rows") == 0, "missing_in_curated").otherwise("ok").alias("status")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def row_count_anomaly(df: DataFrame, table_col: str, snapshot: str, min_snapshots: int = 5) -> DataFrame:
     """z-score of the newest snapshot's row count against all snapshots of its table."""
     counts = df.groupBy(table_col, snapshot).agg(F.count("*").alias("rows"))
@@ -129,6 +184,41 @@ def publication_checks(df: DataFrame, keys: list[str], date: str, as_of: str, mi
                        ("duplicate_key", bad(F.col("dup") > 0), F.col("dup")), ("stale", bad(F.col("age") > max_age_days), F.col("age"))], table)
 
 
+def wide_key(df: DataFrame, keys: list[str], table: str) -> DataFrame:
+    """(table, rows, symbols, duplicate_keys, status): rows beyond the first of each key of a wide table; null parts of a key are values."""
+    per = df.groupBy(*keys).agg(F.count("*").alias("c"))
+    symbol = per.groupBy(keys[0]).agg(F.sum("c").alias("n"), F.sum(F.col("c") - 1).alias("d"))
+    out = symbol.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(keys[0]).alias("symbols"), F.coalesce(F.sum("d"), F.lit(0)).alias("duplicate_keys"))
+    return out.select(F.lit(table).alias("table"), "rows", "symbols", "duplicate_keys", F.when(F.col("duplicate_keys") > 0, "fail").otherwise("pass").alias("status"))
+
+
+def count_coherence(declared: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Row counts that a manifest (table, rows) declares against the counts of the tables; a table missing on one side counts as null."""
+    actual = reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("actual")).select(F.lit(n).alias("table"), "actual") for n, df in tables.items()])
+    both = declared.select("table", F.col("rows").cast("long").alias("declared")).join(actual, "table", "full")
+    return both.select("table", "declared", "actual", F.when(F.col("declared").eqNullSafe(F.col("actual")), "pass").otherwise("fail").alias("status"))
+
+
+def schema_check(tables: dict[str, DataFrame], registry: dict[str, dict[str, str]]) -> DataFrame:
+    """(table, column, expected, found, nulls, bad_casts, status) for every registered column of every table.
+
+    A column that is absent is an error, one with values that do not cast to the registered type a warning; one pass a table."""
+    parts = []
+    for name, columns in registry.items():
+        df = tables.get(name)
+        found = {} if df is None else {f.name: f.dataType.simpleString() for f in df.schema}
+        aggs = [F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in columns if c in found]
+        aggs += [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias(f"b_{c}") for c, t in columns.items() if c in found]
+        entries = []
+        for c, t in columns.items():
+            nulls, bad = (F.col(f"{p}_{c}").cast("long") if c in found else F.lit(None).cast("long") for p in "nb")
+            status = F.when(bad > 0, "warning").otherwise("ok") if c in found else F.lit("error")
+            entries.append(F.struct(F.lit(c).alias("column"), F.lit(t).alias("expected"), F.lit(found.get(c)).cast("string").alias("found"), nulls.alias("nulls"), bad.alias("bad_casts"), status.alias("status")))
+        one = df.agg(*aggs) if aggs else df.sparkSession.range(1) if df is not None else next(iter(tables.values())).sparkSession.range(1)
+        parts.append(one.select(F.lit(name).alias("table"), F.explode(F.array(*entries)).alias("e")).select("table", "e.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def missing_members(expected: DataFrame, chunks: list[str], present: DataFrame, member: str, chunk: str) -> DataFrame:
     """Expected (member, chunk) pairs that are not there; the chunk list is configuration."""
     grid = expected.select(member).distinct().withColumn(chunk, F.explode(F.array(*[F.lit(c) for c in chunks])))
@@ -136,7 +226,7 @@ def missing_members(expected: DataFrame, chunks: list[str], present: DataFrame,
 
 
 def alignment(spark: SparkSession, registries: dict[str, list[str]]) -> DataFrame:
-    """Names known to one configuration registry but not to the others."""
+    """Names known to one configuration registry but not to the others; the registries are configuration, not data."""
     rows = [(reg, name) for reg, names in registries.items() for name in names]
     df = spark.createDataFrame(rows, "registry string, name string")
     seen = df.groupBy("name").agg(F.array_sort(F.collect_set("registry")).alias("have"))

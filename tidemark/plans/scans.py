@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import dedup as D, quality as V, relational as U
 from tidemark.plans.base import query, r
 from tidemark.plans.sqlbits import BARS, CONTRACTS, FACTS, HOLDINGS, INSIDER, NEWS, SECURITIES
-from tidemark.sources import adapters as A, readers as RD, sinks as SK
-from tidemark.sources.catalog import Catalog, WAREHOUSE_KEYS, read_drifting
+from tidemark.sources import adapters as A, readers as RD, sinks as SK, snapshots as SN
+from tidemark.sources.catalog import Catalog, WAREHOUSE_DATES, WAREHOUSE_KEYS, WAREHOUSE_SYMBOLS, read_drifting
 from tidemark.sources.workspace import fresh_path
 
 AS_OF = "2024-02-01"
@@ -101,7 +101,7 @@ def _(spark, d):
     path = fresh_path(spark, "curated-events")
     for _i in range(2):  # the second write replaces the first
         SK.write_snapshot(D.keep_latest(A.table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]), path, ["user_id"])
-    return spark.read.parquet(path).select("user_id", "event_type", "event_id")
+    return SN.read(spark, path).select("user_id", "event_type", "event_id")
 
 
 @query("S12_replace_slice", f"""WITH {HOLDINGS} SELECT snapshot, count(*) AS n, CAST(sum(market_value) AS DOUBLE) *
@@ -128,7 +128,7 @@ def _(spark, d):
     A.table(spark, d, "supplier").write.parquet(dst)
     A.table(spark, d, "customer").write.parquet(src)
     changed = SK.replace_from(spark, src, dst)
-    return spark.read.parquet(dst).groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.lit(changed).alias("schema_changed"))
+    return SN.read(spark, dst).groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.lit(changed).alias("schema_changed"))
 
 
 @query("S15_delimited_scan", """SELECT o_orderkey AS order_id, CAST(o_orderdate AS DATE) AS traded,
@@ -307,6 +307,40 @@ def _checks(spark, d):
     return V.validate(e, schema, "events", "2024-01-25", previous_rows=100_000)
 
 
+@query("V1_ingestion_age", """WITH e AS (SELECT max(ts) AS newest FROM events), h AS (SELECT epoch_us(TIMESTAMP '2024-02-01') - epoch_us(newest) AS us FROM e),
+  o AS (SELECT epoch_us(TIMESTAMP '2024-02-01') - epoch_us(max(o_orderdate)) AS us FROM orders)
+  SELECT 'events' AS "table", CASE WHEN us <= 48 * 3.6e9 THEN 'ok' ELSE 'warning' END AS severity, round(us / 3.6e9::DOUBLE, 6) AS age_hours FROM h UNION ALL
+  SELECT 'orders', CASE WHEN us <= 48 * 3.6e9 THEN 'ok' ELSE 'warning' END, round(us / 3.6e9::DOUBLE, 6) FROM o UNION ALL SELECT 'lineitem', CASE WHEN count(*) >= 0 THEN 'warning' END, NULL FROM lineitem UNION ALL SELECT 'part', CASE WHEN count(*) >= 0 THEN 'ok' END, NULL FROM part""")
+def _(spark, d):
+    """Fresh rows, old rows, rows whose ingestion time does not parse, and a table without one."""
+    t = lambda n: A.table(spark, d, n)
+    cases = {"events": t("events").withColumnRenamed("ts", "fetched_at"), "orders": t("orders").withColumnRenamed("o_orderdate", "fetched_at"),
+             "lineitem": t("lineitem").withColumn("fetched_at", F.concat(F.lit("batch "), F.col("l_orderkey"))), "part": t("part")}
+    parts = [V.validate(df, V.TableSchema(), n, AS_OF, max_age_hours=48).where("check = 'fetched_at'") for n, df in cases.items()]
+    return U.union_all(parts).select("table", "severity", r("measure").alias("age_hours"))
+
+
+def _batches(spark, df, cuts):
+    """Ingestion folders of a table, one for each range of days, written one after the other."""
+    base = fresh_path(spark, "raw-batches")
+    for i, cut in enumerate(cuts):
+        df.where(cut).write.parquet(f"{base}/batch={i}")
+    return base
+
+
+_EVENT_CUTS = ["ts < timestamp_ntz'2024-01-12'", "ts >= timestamp_ntz'2024-01-20'", "ts >= timestamp_ntz'2024-01-12' AND ts < timestamp_ntz'2024-01-20'"]
+
+
+@query("V2_latest_file", """SELECT 'events' AS "table", CASE WHEN count(*) = 0 THEN 'NO DATA' ELSE 'PASS' END AS status, CAST(count(*) = 0 AS BIGINT) AS errors,
+   CAST(count(*) FILTER (value < 0 OR value > 200) > 0 AS BIGINT) AS warnings, count(*) AS "rows" FROM events WHERE ts >= TIMESTAMP '2024-01-12' AND ts < TIMESTAMP '2024-01-20' UNION ALL
+  SELECT 'orders', CASE WHEN count(*) = 0 THEN 'NO DATA' ELSE 'FAIL' END, 1 + CAST(count(*) = 0 AS BIGINT), 0, count(*) FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'""")
+def _(spark, d):
+    """The newest folder of events holds days of the middle; orders lacks a column that its schema asks for."""
+    e = spark.read.option("basePath", (b := _batches(spark, A.table(spark, d, "events"), _EVENT_CUTS))).parquet(b)
+    o = spark.read.parquet(_batches(spark, A.table(spark, d, "orders"), ["o_orderdate < timestamp_ntz'1997-01-01'", "o_orderdate >= timestamp_ntz'1997-01-01'"]))
+    return V.validate_latest({"events": (e, V.TableSchema(("event_id",), ("value",), "ts", ranges={"value": (0, 200)})), "orders": (o, V.TableSchema(("o_orderkey", "o_channel")))}, AS_OF)
+
+
 @query("V2_verdict", """SELECT 'events' AS "table", 'FAIL' AS status, CAST(1 AS BIGINT) AS errors, 1 + (SELECT CAST(count(*) FILTER (CAST(ts AS DATE) > DATE '2024-01-25') > 0 AS BIGINT)
    + CAST(count(*) FILTER (value < 0 OR value > 200) > 0 AS BIGINT) + CAST(count(*) < 50000 AS BIGINT) FROM events) AS warnings UNION ALL
   SELECT 'orders', 'PASS', 0, 0""")
@@ -315,12 +349,36 @@ def _(spark, d):
     return V.verdict(_checks(spark, d).unionByName(o))
 
 
-@query("V3_schema_registry", """SELECT 'orders' AS "table", 'o_totalprice' AS "column", count(*) FILTER (o_totalprice IS NULL) AS nulls FROM orders UNION ALL
-  SELECT 'events', 'value', count(*) FILTER (value IS NULL) FROM events UNION ALL SELECT 'lineitem', 'l_shipdate', count(*) FILTER (l_shipdate IS NULL) FROM lineitem""")
+# columns and types that queries of this library rely on; ``o_channel`` and a numeric text stand for what an upstream change breaks
+SCHEMAS = {"orders": {"o_orderkey": "bigint", "o_totalprice": "double", "o_orderdate": "date", "o_channel": "string"}, "events": {"event_id": "bigint", "value": "double", "ts": "timestamp_ntz"},
+           "lineitem": {"l_shipdate": "date", "l_quantity": "double"}, "customer": {"c_custkey": "bigint", "c_phone": "bigint"}, "documents": {"doc_id": "bigint", "text": "string", "lang": "string"},
+           "part": {"p_name": "int"}, "conversations": {"conv_id": "bigint", "turn": "int", "role": "string"}}
+_DUCK = {"bigint": "BIGINT", "double": "DOUBLE", "date": "DATE", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP", "int": "INTEGER"}
+
+
+def _schema_sql():
+    rows = []
+    for t, cols in SCHEMAS.items():
+        for c, k in cols.items():
+            rows.append(f"SELECT '{t}', '{c}', '{k}', NULL::BIGINT, NULL::BIGINT, 'error'" if c in ("o_channel", "c_phone") else
+                        f"SELECT '{t}', '{c}', '{k}', count(*) FILTER ({c} IS NULL), count(*) FILTER ({c} IS NOT NULL AND try_cast({c} AS {_DUCK[k]}) IS NULL), CASE WHEN count(*) FILTER ({c} IS NOT NULL AND try_cast({c} AS {_DUCK[k]}) IS NULL) > 0 THEN 'warning' ELSE 'ok' END FROM {t}")
+    return f"""WITH s("table", "column", expected, nulls, bad_casts, status) AS ({" UNION ALL ".join(rows)}) SELECT * FROM s"""
+
+
+@query("V3_schema_registry", _schema_sql())
 def _(spark, d):
-    reg = {"orders": "o_totalprice", "events": "value", "lineitem": "l_shipdate"}
-    return U.union_all([A.table(spark, d, t).agg(F.count_if(F.col(c).isNull()).alias("nulls")).select(
-        F.lit(t).alias("table"), F.lit(c).alias("column"), "nulls") for t, c in reg.items()])
+    """Every registered column of every hosted table: there, and castable."""
+    return V.schema_check({t: A.table(spark, d, t) for t in SCHEMAS}, SCHEMAS).drop("found")
+
+
+@query("V4_row_count_by_file", """WITH c AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), s AS (SELECT count(*) AS snapshots, arg_max(n, day) AS latest, avg(n) AS mean, stddev_pop(n) AS std FROM c)
+  SELECT 'events' AS "table", snapshots, latest, round(mean, 6) AS mean, round(std, 6) AS std, round((latest - mean) / std, 6) + 0.0::DOUBLE AS z, CASE WHEN abs((latest - mean) / std) > 3 THEN 'high' WHEN abs((latest - mean) / std) > 2 THEN 'medium' END AS severity FROM s WHERE snapshots >= 5 AND std > 0""")
+def _(spark, d):
+    """Snapshots are the folders of the scan, one a day; counts come from the files' metadata, no data column is read."""
+    base = fresh_path(spark, "daily")
+    A.table(spark, d, "events").withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(base)
+    e = spark.read.parquet(base).select(F.lit("events").alias("table"), F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1).alias("folder"))
+    return V.row_count_anomaly(e, "table", "folder").select("table", "snapshots", "latest", r("mean").alias("mean"), r("std").alias("std"), r("z").alias("z"), "severity")
 
 
 @query("V4_row_count_anomaly", """WITH c AS (SELECT event_type, CAST(ts AS DATE) AS snap, count(*) AS n FROM events GROUP BY 1, 2),
@@ -369,6 +427,19 @@ def _(spark, d):
     return V.reconcile(e, D.keep_latest(e.where("event_type <> 'view'"), ["user_id", "event_type"], ["ts", "event_id"]), "event_type")
 
 
+@query("V8_stale_snapshot", """SELECT 'events' AS "table", count(*) AS raw_rows, count(*) FILTER (ts < TIMESTAMP '2024-01-12' OR ts >= TIMESTAMP '2024-01-20') AS curated_rows, true AS stale, 'snapshot_older_than_raw' AS status FROM events UNION ALL
+  SELECT 'orders', count(*), count(DISTINCT o_custkey), false, 'ok' FROM orders UNION ALL SELECT 'supplier', count(*), 2 * count(*), false, 'curated_exceeds_raw' FROM supplier""")
+def _(spark, d):
+    """Events got another raw folder after their snapshot; the snapshot of orders is newer than its files; that of supplier holds rows twice."""
+    e, o, p = (A.table(spark, d, t) for t in ("events", "orders", "supplier"))
+    raw, snap = _batches(spark, e, _EVENT_CUTS[:2]), [fresh_path(spark, "curated") for _i in range(3)]
+    SK.write_snapshot(spark.read.option("basePath", raw).parquet(raw), snap[0])
+    e.where(_EVENT_CUTS[2]).write.parquet(f"{raw}/batch=2")
+    SK.write_snapshot(D.keep_latest(o, ["o_custkey"], ["o_orderdate", "o_orderkey"]), snap[1])
+    SK.write_snapshot(p.unionAll(p), snap[2])
+    return V.stale_snapshots({"events": (spark.read.parquet(raw), SN.read(spark, snap[0])), "orders": (o, SN.read(spark, snap[1])), "supplier": (p, SN.read(spark, snap[2]))})
+
+
 @query("V9_constant_columns", """SELECT 'event_type' AS "column", count(DISTINCT event_type) AS distinct_values, false AS suspicious FROM events UNION ALL
   SELECT 'year', count(DISTINCT year(ts)), count(DISTINCT year(ts)) <= 2 FROM events UNION ALL SELECT 'month', count(DISTINCT month(ts)), count(DISTINCT month(ts)) <= 2 FROM events""")
 def _(spark, d):
@@ -385,6 +456,25 @@ def _(spark, d):
     return V.publication_checks(A.table(spark, d, "orders"), ["o_custkey", "o_orderdate"], "o_orderdate", AS_OF, 1000, 30, "orders")
 
 
+@query("V10_wide_key", """SELECT 'orders' AS "table", count(*) AS "rows", count(DISTINCT o_custkey) AS symbols, count(*) - count(DISTINCT (o_custkey, o_orderdate)) AS duplicate_keys,
+   CASE WHEN count(*) > count(DISTINCT (o_custkey, o_orderdate)) THEN 'fail' ELSE 'pass' END AS status FROM orders UNION ALL
+  SELECT 'lineitem', count(*), count(DISTINCT l_suppkey), 0, 'pass' FROM (SELECT DISTINCT l_suppkey, CAST(l_shipdate AS DATE) AS day FROM lineitem)""")
+def _(spark, d):
+    days = A.table(spark, d, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("day")).distinct()
+    return V.wide_key(A.table(spark, d, "orders"), ["o_custkey", "o_orderdate"], "orders").unionByName(V.wide_key(days, ["l_suppkey", "day"], "lineitem"))
+
+
+@query("V10_count_coherence", """WITH m AS (SELECT 'orders' AS "table", count(DISTINCT o_orderkey) AS declared FROM orders UNION ALL SELECT 'customer', count(*) + 1 FROM customer UNION ALL SELECT 'parts', count(*) FROM part),
+  a AS (SELECT 'orders' AS "table", count(*) AS actual FROM orders UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'part', count(*) FROM part)
+  SELECT "table", declared, actual, CASE WHEN declared = actual THEN 'pass' ELSE 'fail' END AS status FROM m FULL JOIN a USING ("table")""")
+def _(spark, d):
+    """A manifest with one right count, one wrong count and one wrong name."""
+    t = lambda n: A.table(spark, d, n)
+    manifest = U.union_all([t("orders").agg(F.count_distinct("o_orderkey").alias("rows")).withColumn("table", F.lit("orders")), t("customer").agg((F.count("*") + 1).alias("rows")).withColumn("table", F.lit("customer")),
+                            t("part").agg(F.count("*").alias("rows")).withColumn("table", F.lit("parts"))])
+    return V.count_coherence(manifest, {n: t(n) for n in ("orders", "customer", "part")})
+
+
 @query("V11_missing_members", """SELECT s_suppkey AS member, y AS chunk FROM supplier, (VALUES (1995),(1998),(2001),(2002)) v(y)
   WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND year(l_shipdate) = y)""")
 def _(spark, d):
@@ -393,12 +483,18 @@ def _(spark, d):
     return V.missing_members(expected, [1995, 1998, 2001, 2002], present, "member", "chunk")
 
 
-@query("V12_registry_alignment", """WITH k AS (SELECT DISTINCT 'p' || p_size AS name FROM part), c AS (SELECT DISTINCT 'p' || l_linenumber * 9 AS name FROM lineitem)
-  SELECT name, 'catalog' AS present_in FROM k WHERE name NOT IN (SELECT name FROM c) UNION ALL SELECT name, 'keys' FROM c WHERE name NOT IN (SELECT name FROM k)""")
+def _alignment_sql():
+    have = {"keys": set(WAREHOUSE_KEYS), "dates": set(WAREHOUSE_DATES), "schemas": set(SCHEMAS), "symbols": set(WAREHOUSE_SYMBOLS)}
+    rows = [(n, ",".join(k for k in sorted(have) if n in have[k])) for n in sorted(set().union(*have.values())) if any(n not in have[k] for k in have)]
+    return " UNION ALL ".join(f"SELECT '{n}' AS name, '{p}' AS present_in, count(*) AS \"rows\" FROM {n}" for n, p in rows)
+
+
+@query("V12_registry_alignment", _alignment_sql())
 def _(spark, d):
-    k = A.table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_size")).alias("name"))
-    c = A.table(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_linenumber") * 9).alias("name"))
-    return U.symmetric_difference(k, c).select("name", F.when(F.col("side") == "left_only", "catalog").otherwise("keys").alias("present_in"))
+    """Names of the key, date, symbol and schema registries that another registry lacks, with the rows of the table behind each."""
+    odd = V.alignment(spark, {"keys": list(WAREHOUSE_KEYS), "dates": list(WAREHOUSE_DATES), "symbols": list(WAREHOUSE_SYMBOLS), "schemas": list(SCHEMAS)})
+    sizes = U.union_all([A.table(spark, d, n).agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n in _NAMES])
+    return odd.join(sizes, "name")
 
 
 # --- set operations --------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from tidemark.plans.reports import _DTE, _MNY, _ZONE, _binned
 from tidemark.plans.sqlbits import BARS, CONTRACTS, NEWS, POSITIONS, R, normal_tail as _TAIL
 from tidemark.sources import adapters as A
 from tidemark.sources.workspace import fresh_path
-from tidemark.streaming import feeds as SF
+from tidemark.streaming import alerts as AL, feeds as SF
 
 # fixed values: everyday words given a valence, so that the invented prose has something to score
 DEMO_LEXICON = {"the": 0.5, "of": 0.25, "that": -1.0, "les": 1.0, "des": -0.5, "une": 0.75, "der": 1.25, "die": -0.75, "und": 0.5, "el": 1.0, "la": -1.5, "que": 0.5}
@@ -221,8 +221,10 @@ def _(spark, d):
     return SF.upsert_latest(s, ["user_id", "event_type"], ["ts", "event_id"], fresh_path(spark, "upsert")).select("user_id", "event_type", "event_id")
 
 
-@query("X25_stream_crossing_alerts", """SELECT user_id AS key, ts, value FROM (SELECT user_id, ts, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, value) AS p FROM events) WHERE value > 100 AND NOT coalesce(p > 100, false)""")
+@query("X25_stream_crossing_alerts", """SELECT key, ts, value FROM (SELECT user_id AS key, ts, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, value) AS p FROM events
+  WHERE ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)) WHERE value > 100 AND NOT coalesce(p > 100, false)""")
 def _(spark, d):
+    """Alerts up to the watermark; the last hour waits in the state for the next run."""
     schema = A.table(spark, d, "events").schema
     s = SF.file_stream(spark, d, "events.parquet", schema).select(F.col("user_id").alias("key"), "ts", "value")
-    return SF.drain(SF.crossing_alerts(s, 100.0)).select("key", "ts", "value")
+    return SF.drain(AL.crossing_alerts(s, 100.0, delay="1 hour")).select("key", F.col("ts").cast("timestamp_ntz").alias("ts"), "value")

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.sources import snapshots
+
 
 @dataclass(frozen=True)
 class TableSpec:
@@ -51,7 +53,9 @@ class Catalog:
         if name not in self.specs:
             raise KeyError(f"unknown table {name!r}; known: {sorted(self.specs)}")
         s = self.specs[name]
-        return s.curated if self.use_curated and s.curated and self._exists(s.curated) else s.raw
+        if self.use_curated and s.curated and snapshots.exists(self.spark, s.curated):
+            return snapshots.current(self.spark, s.curated)
+        return s.raw
 
     def read(self, name: str) -> DataFrame:
         path, s = self.resolve(name), self.specs[name]

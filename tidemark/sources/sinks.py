@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.dedup import unseen
+from tidemark.sources import snapshots
 
 
 def write_partitioned(df: DataFrame, path: str, stamp: str = "fetched_at") -> None:
@@ -19,36 +20,13 @@ def write_partitioned(df: DataFrame, path: str, stamp: str = "fetched_at") -> No
        .write.mode("append").partitionBy("year", "month").option("compression", "snappy").parquet(path))
 
 
-def write_snapshot(df: DataFrame, path: str, cluster: list[str] | None = None, partitions: int | None = None) -> None:
-    """Curated snapshot clustered for row-group pruning.  Written beside the target; the old
-    snapshot is put aside before the new one takes its place, so a failure in between loses nothing."""
-    spark = df.sparkSession
+def write_snapshot(df: DataFrame, path: str, cluster: list[str] | None = None, partitions: int | None = None, grace_seconds: float = 3600.0) -> None:
+    """Curated snapshot clustered for row-group pruning, committed in one step (``snapshots``): readers see the version before
+    or this one, never none."""
     if cluster:
         cols = [F.col(c) for c in cluster]
         df = (df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)).sortWithinPartitions(*cols)
-    staging = path + ".staging"
-    df.write.mode("overwrite").option("compression", "snappy").parquet(staging)
-    _swap(spark, staging, path)
-
-
-def _swap(spark: SparkSession, staging: str, path: str) -> None:
-    Path = spark._jvm.org.apache.hadoop.fs.Path
-    src, dst = Path(staging), Path(path)
-    fs = dst.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    old = Path(path + ".replaced")
-    fs.delete(old, True)
-    there = fs.exists(dst)
-    if there and not fs.rename(dst, old):
-        raise OSError(f"cannot put {path} aside")
-    moved = False
-    try:
-        moved = fs.rename(src, dst)
-    finally:
-        if not moved and there:
-            fs.rename(old, dst)
-    if not moved:
-        raise OSError(f"cannot move {staging} to {path}")
-    fs.delete(old, True)
+    snapshots.write(df, path, grace_seconds)
 
 
 def replace_slice(df: DataFrame, path: str, slice_col: str) -> None:
@@ -63,9 +41,7 @@ def append_unseen(df: DataFrame, path: str, keys: list[str]) -> None:
 
 def replace_from(spark: SparkSession, source: str, target: str) -> bool:
     """Full replacement from another snapshot; True when the schema changed."""
-    new = spark.read.parquet(source)
-    at = spark._jvm.org.apache.hadoop.fs.Path(target)
-    there = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
-    changed = not there or spark.read.parquet(target).schema != new.schema  # an absent target counts as changed
+    new = snapshots.read(spark, source)
+    changed = not snapshots.exists(spark, target) or snapshots.read(spark, target).schema != new.schema  # an absent target counts as changed
     write_snapshot(new, target)
     return changed

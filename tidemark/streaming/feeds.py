@@ -1,14 +1,9 @@
-"""Structured Streaming versions of position deduplication, enrichment, zone summaries, latest-per-key
-upserts and threshold alerts.  Transformations take a stream or a batch alike."""
+"""Structured Streaming versions of position deduplication, enrichment, zone summaries and
+latest-per-key upserts.  Transformations take a stream or a batch alike."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.dedup import keep_latest
 from tidemark.operators.joins import zone_of
@@ -115,43 +110,3 @@ def upsert_latest(stream: DataFrame, keys: list[str], recency: list[str], target
     q.awaitTermination()
     now = list(_current(spark, target).values())
     return spark.read.schema(stream.schema).parquet(*now) if now else spark.createDataFrame([], stream.schema)
-
-
-ALERT_SCHEMA = "key bigint, ts timestamp_ntz, value double"
-ALERT_STATE = "above boolean, last_kept double"
-
-
-def crossing_alerts(stream: DataFrame, level: float, min_gap_hours: float = 0.0, expire_hours: float | None = None) -> DataFrame:
-    """An alert when a key's value crosses the level upwards; it re-arms after falling back, and alerts of one
-    key keep a minimum gap.  State per key: last side and last kept time; with ``expire_hours`` the state of a
-    key without rows for so long is dropped (for streams that keep running: a drain would wait for the timeouts).  (key, ts, value) in, alerts out.  A micro-batch is bounded by the
-    stream's files per trigger; of a key's rows only time and value are held."""
-    gap = min_gap_hours * 3600
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        above, last = state.get if state.exists else (False, None)
-        parts = [(f["ts"].to_numpy(), f["value"].to_numpy()) for f in frames]
-        ts, value = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((value, ts))
-        ts, value = ts[order], value[order]
-        up = value > level
-        at = np.flatnonzero(up & ~np.append(above, up[:-1]))
-        seconds = ts[at].astype("datetime64[us]").astype(np.int64) / 1e6
-        kept = []
-        while len(at):  # one step for each alert that is kept
-            i = 0 if last is None else int(np.searchsorted(seconds, last + gap, "left"))
-            if i >= len(at):
-                break
-            kept.append(at[i])
-            last, at, seconds = float(seconds[i]), at[i + 1:], seconds[i + 1:]
-        state.update((bool(up[-1]), last))
-        if expire_hours:
-            state.setTimeoutDuration(int(expire_hours * 3_600_000))
-        if kept:
-            yield pd.DataFrame({"key": np.repeat(key[0], len(kept)), "ts": ts[kept], "value": value[kept]})
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_hours else GroupStateTimeout.NoTimeout
-    return stream.groupBy("key").applyInPandasWithState(step, ALERT_SCHEMA, ALERT_STATE, "append", timeout)
