@@ -232,8 +232,12 @@ def metric_dictionary(df: DataFrame, concept_lists: str, name: str) -> DataFrame
     return df.select(name, F.array_join(F.array_sort(F.array_distinct(concept_lists)), ",").alias("concepts"), F.size(F.array_distinct(concept_lists)).alias("n_concepts"))
 
 
-def broad_universe(holdings: DataFrame, n: int, extras: list) -> DataFrame:
-    """The n largest holdings of a fund plus listed extras, distinct."""
-    top = holdings.orderBy(F.desc("market_value"), "ticker").limit(n).select("ticker")
+def broad_universe(holdings: DataFrame, n: int, extras: list, fallback: DataFrame | None = None) -> DataFrame:
+    """The n largest holdings of a fund plus listed extras, distinct; where the fund has none, the fallback list (ticker)
+    instead of them.  Null tickers are left out."""
+    top = holdings.where("ticker IS NOT NULL").orderBy(F.desc("market_value"), "ticker").limit(n).select("ticker")
     extra = holdings.sparkSession.createDataFrame([(e,) for e in extras], top.schema)
+    if fallback is not None:
+        none = holdings.where("ticker IS NOT NULL").limit(1).agg(F.count("*").alias("_n")).where("_n = 0")  # one row, or none
+        top = top.unionByName(fallback.select(F.col("ticker").cast(top.schema["ticker"].dataType).alias("ticker")).withColumn("_n", F.lit(0).cast("bigint")).join(none, "_n", "left_semi").select("ticker"))
     return top.unionByName(extra).distinct()

@@ -49,6 +49,13 @@ def campaign(registry: DataFrame, stats: list[str], group: Column) -> DataFrame:
     return latest.groupBy("input_name").agg(*[F.max(F.when(F.col("statistic") == s, F.col("value"))).alias(s) for s in stats]).withColumn("split", group)
 
 
+def survivors(table: DataFrame, p: str = "p_value", alpha: float = 0.1) -> DataFrame:
+    """Inputs of a campaign whose p-value passes the false-discovery control over the whole campaign; without p-values none."""
+    from tidemark.operators.research_stats import bh_fdr
+    known = table.where(F.col(p).isNotNull()).select(F.col("input_name").alias("name"), F.col(p).alias("p"))
+    return bh_fdr(known, alpha=alpha).where("reject").select(F.col("name").alias("input_name"), "p", "p_adj")
+
+
 # --- contracts -------------------------------------------------------------------------------
 
 def _check(df: DataFrame, keys: list[str], no_null: list[str], what: str) -> None:
@@ -70,6 +77,38 @@ def _check(df: DataFrame, keys: list[str], no_null: list[str], what: str) -> Non
         raise ValueError(f"{what}: no rows")
 
 
+# fixed values: columns of the contracts, and the number of dates under which daily statistics are unreliable
+CONTRACTS = {"signal": (("symbol", "date"), ("symbol", "date", "value")), "event_set": (("symbol", "date", "label"), ("symbol", "date", "label"))}
+MIN_DATES = 250
+
+
+def contract_violations(df: DataFrame, kind: str, name: str, lag_days: int = 0, direction: int = 1) -> DataFrame:
+    """(contract, check, severity, n) rows: what keeps a table from being a signal or an event set, in one aggregate.
+
+    Checks: missing columns, rows with NULL or NaN, keys with several rows (signals only), dates with a time zone, negative lag, direction, and
+    (a warning) too few distinct dates.  A check whose columns are missing is not made."""
+    keys, needed = CONTRACTS[kind]
+    types = dict(df.dtypes)
+    have = [c for c in needed if c in types]
+    bad = F.lit(False)
+    for c in have:
+        bad = bad | F.col(c).isNull() | (F.isnan(c) if types[c] in ("double", "float") else F.lit(False))
+    entry = lambda check, n, severity="error": F.struct(F.lit(check).alias("check"), F.when(n > 0, severity).otherwise("ok").alias("severity"), n.cast("bigint").alias("n"))
+    fixed = [entry("missing_columns", F.lit(len(needed) - len(have))), entry("negative_lag", F.lit(int(lag_days < 0))), entry("time_zone", F.lit(int(types.get("date") == "timestamp")))]
+    if kind == "signal":
+        fixed.append(entry("direction", F.lit(int(direction not in (-1, 0, 1)))))
+    if not set(keys) <= set(have):
+        one = df.agg(F.count("*").alias("_n"))
+        return one.select(F.lit(name).alias("contract"), F.explode(F.array(*fixed)).alias("e")).select("contract", "e.*")
+    per = df.withColumn("_bad", bad).groupBy(*keys).agg(F.count("*").alias("_c"), F.count_if("_bad").alias("_b"))
+    by_date = per.groupBy("date").agg(F.sum("_b").alias("_b"), F.count_if(F.col("_c") > 1).alias("_d"))
+    one = by_date.agg(F.coalesce(F.sum("_b"), F.lit(0)).alias("_b"), F.coalesce(F.sum("_d"), F.lit(0)).alias("_d"), F.count("date").alias("_n"))
+    found = [*fixed, entry("missing_values", F.col("_b")), entry("few_dates", F.when(F.col("_n") < MIN_DATES, F.col("_n")).otherwise(0), "warning")]
+    if kind == "signal":
+        found.append(entry("duplicate_keys", F.col("_d")))
+    return one.select(F.lit(name).alias("contract"), F.explode(F.array(*found)).alias("e")).select("contract", "e.*")
+
+
 @dataclass(frozen=True)
 class Signal:
     """(symbol, date, value), unique by key, no missing values."""
@@ -89,8 +128,12 @@ class EventSet:
     """(symbol, date, label), no missing key part."""
     frame: DataFrame
     name: str
+    lag_days: int = 0
+    min_events: int = 5
 
     def __post_init__(self):
+        if self.lag_days < 0:
+            raise ValueError(f"event set {self.name}: lag_days is not negative")
         if "label" not in self.frame.columns:
             raise ValueError(f"event set {self.name}: missing columns ['label']")
         _check(self.frame, ["symbol", "date", "label"], ["symbol", "date", "label"], f"event set {self.name}")

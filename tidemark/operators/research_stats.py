@@ -7,10 +7,12 @@ gives the same numbers.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidemark.functions.distributions import normal_probability, normal_quantile
 from tidemark.operators.relational import average_rank, average_ranks, calendar_ranks, position_within, value_bucket
 
 
@@ -212,71 +214,6 @@ def walk_forward(panel: DataFrame, value: str, fwd: str, n_folds: int = 4, min_t
     return daily_ic(d.join(days, "date"), value, fwd, ["fold"])
 
 
-def permutation_null(flags: DataFrame, n_perm: int, seed: int = 0) -> DataFrame:
-    """Null for paired trades: per key and replicate the same number of entries at random bars.  The k
-    smallest hashes of a (key, replicate) are its entries; all replicates pair in one grouped job."""
-    from tidemark.operators.studies import pair_trades
-    key = F.col("key").cast("string")
-    reps = flags.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(n_perm - 1)))).withColumn("k2", F.concat_ws("|", F.col("rep").cast("string"), key))
-    pos = W.partitionBy("k2")  # a key's bars in one replicate: bounded by the calendar
-    h = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("k2"), F.col("date").cast("string")).cast("binary"))
-    d = reps.withColumn("_r", F.row_number().over(pos.orderBy(h))).withColumn("_k", F.sum(F.col("entry").cast("int")).over(pos))
-    d = d.select(F.col("k2").alias("key"), "date", "close", F.when(F.col("rep") < 0, F.col("entry")).otherwise(F.col("_r") <= F.col("_k")).alias("entry"), "exit")
-    return empirical_p(pair_trades(d))
-
-
-def empirical_p(trades: DataFrame) -> DataFrame:
-    """Observed (replicate -1) total and win rate against the replicates, with the +1 correction."""
-    rep = F.split("key", r"\|")[0].cast("int")
-    t = trades.withColumn("rep", rep).groupBy("rep").agg(F.sum("pnl_pct").alias("pnl"), F.avg((F.col("pnl_pct") > 0).cast("double")).alias("win"))
-    obs = t.where("rep = -1").select(F.col("pnl").alias("obs_pnl"), F.col("win").alias("obs_win"), F.lit(1).alias("_k"))
-    j = t.where("rep >= 0").withColumn("_k", F.lit(1)).join(obs, "_k")
-    p = lambda a, b: (F.count_if(F.col(a) >= F.col(b)) + 1) / (F.count("*") + 1)
-    return j.groupBy("obs_pnl", "obs_win").agg(F.count("*").alias("n_perm"), p("pnl", "obs_pnl").alias("pnl_p"), p("win", "obs_win").alias("win_rate_p"))
-
-
-def unit_draw(parts: list) -> Column:
-    """Uniform double in (0, 1) from md5."""
-    return (draw(parts, 2 ** 40) + 0.5) / float(2 ** 40)
-
-
-def noisy_bars(bars: DataFrame, n: int, sigma_bps: float, seed: int = 0) -> DataFrame:
-    """n copies of the bars, each bar's prices times one lognormal factor: bar geometry stays intact."""
-    d = bars.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    u, v = unit_draw([seed, "u", F.col("rep"), F.col("symbol"), F.col("date")]), unit_draw([seed, "v", F.col("rep"), F.col("symbol"), F.col("date")])
-    shock = F.exp(F.sqrt(-2 * F.log(u)) * F.cos(2 * 3.141592653589793 * v) * (sigma_bps / 1e4))
-    return d.withColumn("_f", shock).withColumns({c: F.col(c) * F.col("_f") for c in ("open", "high", "low", "close")}).drop("_f")
-
-
-def shuffled_bars(bars: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n copies with each symbol's log returns reordered and the path rebuilt from the first price; the
-    ratios of a bar to its close travel with the return that made it."""
-    w = W.partitionBy("symbol").orderBy("date")
-    b = bars.withColumns({"_g": F.log(F.col("close") / F.lag("close").over(w)), "_i": F.row_number().over(w), "_c0": F.first("close").over(w)})
-    d = b.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    h = F.when(F.col("_i") == 1, F.lit("")).otherwise(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("rep").cast("string"), F.col("symbol").cast("string"), F.col("date").cast("string")).cast("binary")))
-    # the shuffled order gives each old return a new slot; slots keep the calendar
-    slot = F.row_number().over(W.partitionBy("rep", "symbol").orderBy(h))
-    moved = d.withColumn("_slot", slot).select("rep", "symbol", F.col("_slot").alias("_i"), F.col("_g").alias("_ng"), *[(F.col(c) / F.col("close")).alias(f"_q_{c}") for c in ("open", "high", "low")])
-    cal = d.select("rep", "symbol", "_i", "date", "volume", "_c0")
-    j = cal.join(moved, ["rep", "symbol", "_i"])
-    up = W.partitionBy("rep", "symbol").orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
-    j = j.withColumn("close", F.col("_c0") * F.exp(F.coalesce(F.sum("_ng").over(up), F.lit(0.0))))
-    return j.select("rep", "symbol", "date", *[(F.col("close") * F.col(f"_q_{c}")).alias(c) for c in ("open", "high", "low")], "close", "volume")
-
-
-def price_null(bars: DataFrame, flags_of, pair, observed: DataFrame, n: int, kind: str) -> DataFrame:
-    """The rule end to end on perturbed or shuffled bars; every (replicate, symbol) is its own key."""
-    from tidemark.operators.features import by_symbol  # noqa: F401  (flags_of uses windows by symbol)
-    reps = noisy_bars(bars, n, 5.0) if kind == "noise" else shuffled_bars(bars, n)
-    keyed = reps.withColumn("symbol", F.concat_ws("|", F.col("rep").cast("string"), F.col("symbol").cast("string"))).drop("rep")
-    trades = pair(flags_of(keyed)).withColumn("rep", F.split("key", r"\|")[0].cast("int")).groupBy("rep").agg(F.sum("pnl_pct").alias("pnl"))
-    obs = observed.agg(F.sum("pnl_pct").alias("obs")).scalar()
-    q = lambda x: F.expr(f"percentile(pnl, {x})")
-    return trades.withColumn("obs", obs).groupBy("obs").agg(F.count("*").alias("n_trials"), F.avg("pnl").alias("mean_pnl"), q(0.05).alias("p5_pnl"), q(0.95).alias("p95_pnl"),
-        (100 * F.avg((F.col("pnl") > 0).cast("double"))).alias("pct_profitable"), ((F.count_if(F.col("pnl") >= F.col("obs")) + 1) / (F.count("*") + 1)).alias("p")).withColumn("kind", F.lit(kind))
-
-
 def population_percentile(df: DataFrame, key: str, value: str) -> DataFrame:
     """Share of the population at or below each value, from collapsed value counts."""
     ranked = average_rank(df.where(F.col(value).isNotNull()), [], value, "_r")
@@ -289,18 +226,27 @@ def population_percentile(df: DataFrame, key: str, value: str) -> DataFrame:
 EULER_GAMMA = 0.5772156649015329
 
 
-def deflated_sharpe(df: DataFrame, key: str, sharpe: str, days: str, skew: float = 0.0, kurt: float = 3.0) -> DataFrame:
-    """Probability that a Sharpe beats the best expected of all trials; the trial population is df itself."""
-    import math
-    from tidemark.functions.distributions import norm_cdf, norm_ppf
+def deflated_sharpe(series: DataFrame, population: DataFrame, key: str = "strategy", ret: str = "ret", value: str = "value") -> DataFrame:
+    """Probability that a strategy's Sharpe beats the best expected of as many null trials as the population holds.
+
+    ``series`` (key, ret) gives each strategy's days, annual Sharpe, skew and kurtosis in one aggregate; ``population`` (value)
+    holds the annual Sharpes recorded so far, reduced to their number and variance.  Returns key, sharpe_ann, n_days, n_trials,
+    sr0_ann, dsr_prob and dsr_reason (why there is no probability).  Null, NaN and infinite trials are left out."""
     daily = 1 / math.sqrt(252)
-    pop = df.where(F.col(sharpe).isNotNull()).agg(F.count("*").alias("n"), F.var_samp(F.col(sharpe) * daily).alias("v")).where((F.col("n") >= 2) & (F.col("v") > 0))
-    pop = pop.withColumn("sr0", F.sqrt("v") * ((1 - EULER_GAMMA) * norm_ppf(1 - 1 / F.col("n")) + EULER_GAMMA * norm_ppf(1 - 1 / (F.col("n") * math.e)))).withColumn("_k", F.lit(1))
-    sr = F.col(sharpe) * daily
-    denom = 1 - skew * sr + (kurt - 1) / 4 * sr * sr
-    j = df.where((F.col(days) >= 30) & F.col(sharpe).isNotNull()).withColumn("_k", F.lit(1)).join(pop, "_k")
-    stat = F.when(denom > 0, (sr - F.col("sr0")) * F.sqrt(F.col(days) - 1) / F.sqrt(denom))
-    return j.select(key, sharpe, norm_cdf(stat).alias("dsr_prob"), (F.col("sr0") / daily).alias("sr0_ann"), F.col("n").alias("n_trials"))
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value)) < float("inf"))
+    trials = population.where(known).agg(F.count("*").alias("n_trials"), F.var_samp(F.col(value) * daily).alias("_v"))  # one row
+    n = F.col("n_trials")
+    best = (1 - EULER_GAMMA) * normal_quantile("1 - 1 / n_trials") + EULER_GAMMA * normal_quantile("1 - 1 / (n_trials * e())")
+    trials = trials.withColumn("_sr0", F.when((n >= 2) & (F.col("_v") > 0), F.sqrt("_v") * best)).withColumn("_one", F.lit(1))
+    r = F.col(ret)
+    own = series.where(r.isNotNull()).groupBy(key).agg(F.count("*").alias("n_days"), (F.avg(r) / F.when(F.stddev_pop(r) > 0, F.stddev_pop(r))).alias("_sr"), F.skewness(r).alias("_skew"), (F.kurtosis(r) + 3).alias("_kurt")).withColumn("_one", F.lit(1))
+    sr, days = F.col("_sr"), F.col("n_days")
+    denom = 1 - F.col("_skew") * sr + (F.col("_kurt") - 1) / 4 * sr * sr
+    reason = (F.when(sr.isNull() | F.isnan(sr), "no observed Sharpe").when(n < 2, F.format_string("registry population too small (n=%d < 2)", n)).when(days < 30, F.format_string("only %d days (< 30)", days))
+              .when(~(F.col("_v") > 0), "zero variance across trial Sharpes").when(~(denom > 0), "invalid skew/kurtosis adjustment"))
+    stat = (sr - F.col("_sr0")) * F.sqrt(days - 1) / F.sqrt(F.when(denom > 0, denom))
+    j = own.join(trials, "_one").withColumns({"dsr_reason": reason, "_stat": stat})  # the one row of the population meets each strategy
+    return j.select(key, (sr / daily).alias("sharpe_ann"), "n_days", "n_trials", (F.col("_sr0") / daily).alias("sr0_ann"), F.when(F.col("dsr_reason").isNull(), normal_probability("_stat")).alias("dsr_prob"), "dsr_reason")
 
 
 def evaluation_rows(ic: DataFrame, spread: DataFrame) -> DataFrame:

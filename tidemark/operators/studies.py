@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tidemark.operators.asof import asof_join
-from tidemark.operators.features import by_symbol
+from tidemark.operators.features import by_symbol, decluster
 from tidemark.operators.relational import calendar_ranks, exact_quantile
 
 
@@ -108,22 +108,51 @@ def outcome_summary(out: DataFrame, keys: list[str] = ()) -> DataFrame:
 MONITOR_WINDOWS = {"full": None, "3y": 1095, "1y": 365, "180d": 180}
 
 
-def signal_health(out: DataFrame, as_of: str, drop_pts: float = 10, pf_floor: float = 1.0, min_trades: int = 10) -> DataFrame:
-    """Outcome metrics per trailing window and whether the last year fell behind the whole history."""
+def signal_health(out: DataFrame, as_of: str, drop_pts: float = 10, pf_floor: float = 1.0, min_trades: int = 10, car: str | None = None, side: int = 1) -> DataFrame:
+    """Outcome metrics per trailing window and whether the last year fell behind the whole history.
+
+    ``car`` names a column with each event's abnormal return at a longer horizon, of the same path: its mean in percent and
+    its t, signed by the side, come as car_mean_pct and car_tstat of the same windows."""
     wins = F.array_compact(F.array(*[F.when(F.lit(True) if n is None else F.col("date") >= F.date_sub(F.lit(as_of).cast("date"), n), name) for name, n in MONITOR_WINDOWS.items()]))
-    m = outcome_summary(out.withColumn("window", F.explode(wins)), ["signal", "window"])
+    seen = out.withColumn("window", F.explode(wins))
+    m = outcome_summary(seen, ["signal", "window"])
+    if car is not None:
+        x, sd = side * F.col(car), F.stddev_samp(F.col(car))
+        m = m.join(seen.groupBy("signal", "window").agg((100 * F.avg(x)).alias("car_mean_pct"), F.when(sd > 0, F.avg(x) / (sd / F.sqrt(F.count(F.col(car))))).alias("car_tstat")), ["signal", "window"])
     pick = lambda w, c: F.max(F.when(F.col("window") == w, F.col(c)))
     flag = m.groupBy("signal").agg(pick("1y", "n_trades").alias("_n"), (pick("full", "win_rate_pct") - pick("1y", "win_rate_pct")).alias("_d"), pick("1y", "profit_factor").alias("_pf"))
     flag = flag.select("signal", F.coalesce((F.col("_n") >= min_trades) & ((F.col("_d") > drop_pts) | (F.col("_pf") < pf_floor)), F.lit(False)).alias("degraded"))
     return m.join(flag, "signal")
 
 
+def evaluate_events(events: DataFrame, bars: DataFrame, benchmark: DataFrame | None = None, post: int = 21, horizons: list[int] = (1, 5, 10, 21), min_events: int = 5, lag_days: int = 0, min_gap_days: int = 0) -> DataFrame:
+    """Event-set battery as long rows (evaluation, horizon, statistic, value, n): per label and horizon the mean, median, hit
+    rate and t of abnormal returns entered on the bar after the event.
+
+    Dates move by ``lag_days`` to when the event was known; with ``min_gap_days`` events of one label and symbol are
+    de-clustered first.  A label of fewer than ``min_events`` events, or without a whole path, gives one row
+    "skipped" whose n is its number of events.  Rows with a null part of the key take no part; repeated events count once."""
+    known = events.where("symbol IS NOT NULL AND date IS NOT NULL AND label IS NOT NULL").select("symbol", F.date_add("date", lag_days).alias("date"), "label").distinct()
+    if min_gap_days:
+        who = known.withColumn("_who", F.to_json(F.struct("label", "symbol")))
+        known = who.join(decluster(who, min_gap_days, "_who"), ["_who", "date"], "left_semi").drop("_who")
+    sizes = known.groupBy("label").agg(F.count("*").alias("_events"))
+    enough = known.join(sizes.where(F.col("_events") >= min_events).select("label"), "label", "left_semi")
+    car = car_rows(event_paths(enough, bars, 0, post, benchmark, entry_lag=1), 0, ["label", "symbol", "date"])
+    table = horizon_table(car.where(F.col("rel").isin(list(horizons))), ["label"])
+    cols = ["mean_pct", "median_pct", "hit_rate_pct", "t_stat"]
+    name = F.concat(F.lit("events:"), F.col("label")).alias("evaluation")
+    rows = table.unpivot(["label", "rel", "n"], cols, "statistic", "value").select(name, F.col("rel").alias("horizon"), "statistic", "value", "n")
+    skipped = sizes.join(table.select("label").distinct(), "label", "left_anti")
+    return rows.unionByName(skipped.select(name, F.lit(None).cast("int").alias("horizon"), F.lit("skipped").alias("statistic"), F.lit(None).cast("double").alias("value"), F.col("_events").alias("n")))
+
+
 # --- entry / exit pairing --------------------------------------------------------------------
 
 TRADE_SCHEMA = "key string, side string, entry_date date, entry_price double, exit_date date, exit_price double, days_held int, pnl_pct double, exit_reason string"
 
 
-def pair_trades(flags: DataFrame, key: str = "key", stop_pct: float | None = None, target_pct: float | None = None, max_days: int | None = None, trailing: bool = False, cost_rate: float = 0.0) -> DataFrame:
+def pair_trades(flags: DataFrame, key: str = "key", cost_rate: float = 0.0) -> DataFrame:
     """Ordered matching of entry and exit flags into closed positions: one open position per key, orders
     execute on the next bar, an unclosed position blocks later entries.
 
@@ -131,7 +160,6 @@ def pair_trades(flags: DataFrame, key: str = "key", stop_pct: float | None = Non
     before, so a key is one group: at most one row per calendar day.  Keys (and replicates) run in parallel."""
     short = "short_entry" in flags.columns
     cols = [F.col(key).cast("string").alias("key"), "date", "close", "entry", "exit"] + (["short_entry", "short_exit"] if short else [])
-    risk = any(x is not None for x in (stop_pct, target_pct, max_days))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
@@ -147,22 +175,7 @@ def pair_trades(flags: DataFrame, key: str = "key", stop_pct: float | None = Non
             a = i + 1
             if i < free or a >= n or not good[a]:
                 continue
-            stop_at, why = (nxt[side][a + 1] if a + 1 < n else n), "rule"
-            if risk:
-                last = n - 1 if max_days is None else min(n - 1, a + max_days - 1)
-                seg = np.arange(a + 1, last + 1)
-                p = px[seg]
-                best = np.maximum.accumulate(np.r_[px[a], p])[1:] if sg > 0 else np.minimum.accumulate(np.r_[px[a], p])[1:]
-                ref = best if trailing else px[a]
-                hit = {"rule": seg[seg == stop_at]}
-                if stop_pct is not None:
-                    hit["stop"] = seg[good[seg] & (sg * (p / ref - 1) <= -abs(stop_pct) / 100)]
-                if target_pct is not None:
-                    hit["target"] = seg[good[seg] & (sg * (p / px[a] - 1) >= abs(target_pct) / 100)]
-                if max_days is not None and len(seg):
-                    hit["time"] = seg[-1:]
-                firsts = [(h[0], o, w) for o, (w, h) in enumerate(hit.items()) if len(h)]
-                stop_at, why = (min(firsts)[0], min(firsts)[2]) if firsts else (n, None)
+            stop_at = nxt[side][a + 1] if a + 1 < n else n
             z = stop_at + 1
             if z >= n:
                 free = n
@@ -171,7 +184,7 @@ def pair_trades(flags: DataFrame, key: str = "key", stop_pct: float | None = Non
             if not good[z]:
                 continue
             pct = sg * (px[z] / px[a] - 1.0) - cost_rate
-            rows.append((pdf["key"].iloc[0], side, day[a], px[a], day[z], px[z], int(z - a), 100 * pct, why))
+            rows.append((pdf["key"].iloc[0], side, day[a], px[a], day[z], px[z], int(z - a), 100 * pct, "rule"))
         return pd.DataFrame(rows, columns=["key", "side", "entry_date", "entry_price", "exit_date", "exit_price", "days_held", "pnl_pct", "exit_reason"])
 
     return flags.select(*cols).groupBy("key").applyInPandas(run, TRADE_SCHEMA)
@@ -233,17 +246,37 @@ def exposure_map(stock: DataFrame, drivers: DataFrame, market: DataFrame, min_ob
 def trailing_exposure(stock: DataFrame, driver: DataFrame, market: DataFrame, event_dates: DataFrame, years: int = 3, min_obs: int = 120, min_t: float = 3.0) -> DataFrame:
     """Market-controlled exposure of each symbol as of each event date, from the trailing years only.
 
-    The OLS sums are additive, so they are range-window sums over day numbers; event dates enter as rows
-    without values.  No event x return pairs are made."""
-    j = stock.join(market, "date").join(driver, "date")
-    base = j.select("symbol", "date", *[e.alias(f"s_{k}") for k, e in _moments(F.col("y"), F.col("x"), F.col("m")).items()], F.lit(False).alias("mark"))
-    dates = event_dates.agg(F.array_sort(F.collect_set("date")).alias("d"))  # at most one entry per calendar day
-    marks = stock.select("symbol").distinct().withColumn("date", F.explode(dates.scalar())).withColumn("mark", F.lit(True))
-    rows = base.unionByName(marks, allowMissingColumns=True).withColumn("_day", F.unix_date("date"))
-    w = W.partitionBy("symbol").orderBy("_day").rangeBetween(-365 * years + 1, 0)
+    The OLS sums are additive: each symbol keeps running sums by day, and a window's sums are those at its end less
+    those at its start.  Both ends are as-of look-ups from the day rows' side: a row holds until the symbol's next row, so it
+    names the event days that fall into that span.  A symbol without a return in an event's window never meets the event.
+    Event days (at most one a calendar day) come to the driver, as two short arrays."""
+    span = 365 * years
+    events = [r[0] for r in event_dates.where("date IS NOT NULL").select(F.unix_date("date")).distinct().orderBy(1).collect()]
     keys = list(_moments(F.lit(1.0), F.lit(1.0), F.lit(1.0)))
-    at = rows.withColumns({k: F.sum(f"s_{k}").over(w) for k in keys}).where("mark").withColumns(ols_columns(min_obs))
-    return at.where(F.abs("t_ex_mkt") > min_t).select("date", "symbol", F.when(F.col("beta_ex_mkt") > 0, 1).otherwise(-1).alias("sign"), "beta_ex_mkt", "t_ex_mkt", "n_obs")
+    if not events:
+        events = [0]
+        stock = stock.limit(0)
+    low, high = events[0], events[-1]
+    before, at = [], 0  # number of events before each day from the first to one past the last
+    for day in range(low, high + 2):
+        while at < len(events) and events[at] < day:
+            at += 1
+        before.append(at)
+    table, days = (F.array(*[F.lit(x) for x in v]) for v in (before, events))
+    count = lambda d: F.element_at(table, F.least(F.greatest(d, F.lit(low)), F.lit(high + 1)) - (low - 1))
+    j = stock.join(market, "date").join(driver, "date").where("y IS NOT NULL AND x IS NOT NULL AND m IS NOT NULL")
+    w = W.partitionBy("symbol").orderBy("_day")
+    run = j.select("symbol", F.unix_date("date").alias("_day"), *[e.alias(f"s_{k}") for k, e in _moments(F.col("y"), F.col("x"), F.col("m")).items()]).groupBy("symbol", "_day").agg(*[F.sum(f"s_{k}").alias(f"s_{k}") for k in keys])
+    run = run.select("symbol", "_day", F.lead("_day").over(w).alias("_next"), *[F.sum(f"s_{k}").over(w).alias(k) for k in keys])
+
+    def seen(lo: Column, hi: Column, sign: int) -> DataFrame:
+        """A row for each event day in [lo, hi), with the running sums so far."""
+        found = run.withColumns({"_lo": count(lo), "_hi": count(hi)}).where("_hi > _lo")
+        return found.select("symbol", F.explode(F.slice(days, F.col("_lo") + 1, F.col("_hi") - F.col("_lo"))).alias("_event"), *[(sign * F.col(k)).alias(k) for k in keys])
+    ends = seen(F.col("_day"), F.least(F.coalesce("_next", F.lit(high + 1)), F.col("_day") + span), 1)
+    starts = seen(F.greatest(F.col("_day") + span, F.col("_next")), F.col("_next") + span, -1)  # a later row is in the window, or the event has none
+    sums = ends.unionByName(starts).groupBy("symbol", "_event").agg(*[F.sum(k).alias(k) for k in keys]).withColumns(ols_columns(min_obs))
+    return sums.where(F.abs("t_ex_mkt") > min_t).select(F.date_from_unix_date("_event").alias("date"), "symbol", F.when(F.col("beta_ex_mkt") > 0, 1).otherwise(-1).alias("sign"), "beta_ex_mkt", "t_ex_mkt", "n_obs")
 
 
 def shock_factor(moves: DataFrame, pct: float, reach: int = 3) -> DataFrame:

@@ -240,3 +240,10 @@ def _(spark, d):
 @query("N30_broad_universe", f"WITH {HOLDINGS} SELECT ticker FROM (SELECT ticker FROM holdings WHERE fund = 1 AND snapshot = 1998 ORDER BY market_value DESC, ticker LIMIT 50) UNION SELECT unnest([1, 2, 999999])")
 def _(spark, d):
     return L.broad_universe(A.holdings(spark, d).where("fund = 1 and snapshot = 1998"), 50, [1, 2, 999999])
+
+
+@query("N30_universe_fallback", f"WITH {HOLDINGS} SELECT DISTINCT s_suppkey AS ticker FROM supplier WHERE NOT EXISTS (SELECT 1 FROM holdings WHERE fund = -1) UNION SELECT unnest([1, 2, 999999])")
+def _(spark, d):
+    """A fund without holdings: the listed names stand in."""
+    names = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("ticker"))
+    return L.broad_universe(A.holdings(spark, d).where("fund = -1"), 50, [1, 2, 999999], names)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features as FE, portfolio as PF, studies as ST, technical as TE
 from tidemark.plans.base import query, r, rounded
-from tidemark.plans.sqlbits import BARS, FACTS, MACRO, NEWS, R, normal_tail
+from tidemark.plans.sqlbits import BARS, FACTS, MACRO, NEWS, R, t_tail
 from tidemark.plans.windows import market
 from tidemark.sources import adapters as A
 from tidemark.sources.workspace import materialise
@@ -259,22 +259,31 @@ def _(spark, d):
     return rounded(ST.date_level(cars(spark, d)), ["mean_pct", "t_stat"], 4)
 
 
-@query("E6_date_level_p_values", f"""WITH {EV_SQL}, p AS (SELECT rel, date, avg(car) AS m FROM car GROUP BY 1, 2), t AS (SELECT rel, avg(m) / (stddev_samp(m) / sqrt(count(*))) AS t FROM p GROUP BY 1), pv AS (SELECT rel, round(2 * {normal_tail('t')}, 9) AS p FROM t WHERE t IS NOT NULL AND NOT isnan(t)),
+@query("E6_date_level_p_values", f"""WITH {EV_SQL}, p AS (SELECT rel, date, avg(car) AS m FROM car GROUP BY 1, 2), t AS (SELECT rel, avg(m) / nullif(stddev_samp(m) / sqrt(count(*)), 0) AS t, count(*) - 1 AS v FROM p GROUP BY 1), pv AS (SELECT rel, round(p, 9) AS p FROM {t_tail('t', 't', 'v', 'rel')}),
   rk AS (SELECT *, row_number() OVER (ORDER BY p, rel) AS rk, count(*) OVER () AS m FROM pv), ad AS (SELECT *, least(1, min(p * m / rk) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_adj FROM rk)
   SELECT rel, {R('p')} AS p, {R('p_adj')} AS p_adj, rk <= coalesce((SELECT max(rk) FROM ad WHERE p <= 0.1 * rk / m), 0) AS reject FROM ad""")
 def _(spark, d):
-    from tidemark.functions.pricing import two_sided
+    from tidemark.functions.distributions import t_two_sided
     from tidemark.operators.research_stats import bh_fdr
     t = ST.date_level(cars(spark, d)).where("t_stat is not null")
-    p = t.select("rel", F.round(two_sided("t_stat"), 9).alias("p"), F.format_string("h%03d", F.col("rel") - PRE).alias("name"))
-    return rounded(bh_fdr(p).select("rel", "p", "p_adj", "reject"), ["p", "p_adj"])
+    p = t.select("rel", F.round(t_two_sided("t_stat", "n_dates - 1"), 9).alias("p"), F.format_string("h%03d", F.col("rel") - PRE).alias("name"))
+    return rounded(bh_fdr(materialise(p, "p-values")).select("rel", "p", "p_adj", "reject"), ["p", "p_adj"])  # the control reads its few rows several times
 
 
-@query("E7_signal_health", f"""WITH {_OUT}, w AS (SELECT oc.*, unnest(CASE WHEN date >= DATE '2000-12-31' - 180 THEN ['full','3y','1y','180d'] WHEN date >= DATE '2000-12-31' - 365 THEN ['full','3y','1y'] WHEN date >= DATE '2000-12-31' - 1095 THEN ['full','3y'] ELSE ['full'] END) AS "window" FROM oc),
-  m AS (SELECT signal, "window", {_OS} FROM w GROUP BY 1, 2), f AS (SELECT signal, max(n_trades) FILTER ("window" = '1y') AS n, max(win_rate_pct) FILTER ("window" = 'full') - max(win_rate_pct) FILTER ("window" = '1y') AS dr, max(profit_factor) FILTER ("window" = '1y') AS pf FROM m GROUP BY 1)
+_OUT21 = _OUT.replace("dd.i + 10", "dd.i + 21").replace("count(*) = 13", "count(*) = 24")
+
+
+@query("E7_signal_health", f"""WITH {_OUT21}, o21 AS (SELECT oc.*, car.car AS far FROM oc JOIN car ON car.article_id = oc.article_id AND car.rel = 21), w AS (SELECT o21.*, unnest(CASE WHEN date >= DATE '2000-12-31' - 180 THEN ['full','3y','1y','180d'] WHEN date >= DATE '2000-12-31' - 365 THEN ['full','3y','1y'] WHEN date >= DATE '2000-12-31' - 1095 THEN ['full','3y'] ELSE ['full'] END) AS "window" FROM o21),
+  m AS (SELECT signal, "window", {_OS}, {R('100 * avg(round(far, 9))', 4)} AS car21_mean_pct, {R('avg(round(far, 9)) / (stddev_samp(round(far, 9)) / sqrt(count(*)))', 4)} AS car21_tstat FROM w GROUP BY 1, 2), f AS (SELECT signal, max(n_trades) FILTER ("window" = '1y') AS n, max(win_rate_pct) FILTER ("window" = 'full') - max(win_rate_pct) FILTER ("window" = '1y') AS dr, max(profit_factor) FILTER ("window" = '1y') AS pf FROM m GROUP BY 1)
   SELECT m.*, coalesce(n >= 10 AND (dr > 10 OR pf < 1), false) AS degraded FROM m JOIN f USING (signal)""")
 def _(spark, d):
-    return rounded(ST.signal_health(outcomes(spark, d), "2000-12-31"), _OSC, 4)
+    """One path table of 21 bars gives the exit outcomes and the 21-bar abnormal return of every window."""
+    b = A.bars(spark, d)
+    p = materialise(ST.event_paths(event_set(spark, d), b, PRE, 21, market(b), entry_lag=1), "paths")
+    p = p.withColumn("path", F.slice(F.transform("path", lambda x: F.round(x, 9)), 1 - PRE, 22))
+    out = ST.exit_outcomes(p.withColumnRenamed("label", "signal").withColumn("far", F.get("path", F.lit(21))), POST, 5, 8, 1, 0.001)
+    h = ST.signal_health(out, "2000-12-31", car="far").withColumnsRenamed({"car_mean_pct": "car21_mean_pct", "car_tstat": "car21_tstat"})
+    return rounded(h, [*_OSC, "car21_mean_pct", "car21_tstat"], 4)
 
 
 _CR = f"""rf AS MATERIALIZED (SELECT symbol, date, close, row_number() OVER {_W} AS i, count(*) OVER (PARTITION BY symbol) AS n, coalesce(close > 85 AND lag(close) OVER {_W} <= 85, false) AS en, coalesce(close < 70 AND lag(close) OVER {_W} >= 70, false) AS ex FROM bars),
@@ -351,7 +360,16 @@ def _(spark, d):
     return ST.shock_factor(m, 200).select("driver", "date", r("factor", 4).alias("factor"))
 
 
-@query("X3_shock_study_grid")
+_LEGS = f"""ed AS (SELECT DISTINCT date FROM macro WHERE series_id = 'click' AND value > 120), jj AS (SELECT * FROM j WHERE driver = 'click'), a AS (SELECT ed.date, symbol, {_FIT} FROM ed JOIN jj ON jj.date > ed.date - 1095 AND jj.date <= ed.date GROUP BY 1, 2 HAVING count(*) >= 40),
+  ev AS (SELECT date, symbol, CASE WHEN {_B2} > 0 THEN 1 ELSE -1 END AS sign, {_T2} AS tx FROM a WHERE abs({_T2}) > 1.0)"""
+
+
+@query("X3_shock_study_grid", f"""WITH {EX_SQL}, {_LEGS}, bx AS MATERIALIZED (SELECT symbol, date, close, row_number() OVER {_W} AS i FROM bars), bm AS MATERIALIZED (SELECT date, row_number() OVER (ORDER BY date) AS i, sum(CAST(close * 10000 AS BIGINT)) / count(*)::DOUBLE / 10000 AS bench FROM bars GROUP BY 1),
+  d0 AS (SELECT ev.*, bx.i FROM ev ASOF JOIN bx ON ev.symbol = bx.symbol AND ev.date <= bx.date), dd AS (SELECT d0.symbol, d0.date, d0.sign, d0.tx, d0.i + 1 AS i, bx.date AS day0 FROM d0 JOIN bx ON bx.symbol = d0.symbol AND bx.i = d0.i + 1 WHERE bx.date - d0.date <= 15),
+  pt AS (SELECT dd.symbol, dd.date, dd.sign, dd.tx, CAST(p.i - dd.i AS INTEGER) AS rel, p.close / q.close - 1 - (bp.bench / bq.bench - 1) AS car FROM dd JOIN bx p ON p.symbol = dd.symbol AND p.i BETWEEN dd.i AND dd.i + 5 JOIN bx q ON q.symbol = dd.symbol AND q.i = dd.i - 1
+     JOIN bm b0 ON b0.date = dd.day0 JOIN bm bp ON bp.i = b0.i + (p.i - dd.i) JOIN bm bq ON bq.i = b0.i - 1), car AS (SELECT *, count(*) OVER (PARTITION BY symbol, date) AS bars FROM pt),
+  pd AS (SELECT sign, min_t, rel, date, avg(car) AS m FROM (SELECT *, unnest([1.0, 1.5, 2.0]) AS min_t FROM car WHERE bars = 6) WHERE abs(tx) > min_t GROUP BY 1, 2, 3, 4), cl AS (SELECT sign, min_t, rel, 100 * avg(m) AS e FROM pd GROUP BY 1, 2, 3)
+  SELECT sign, rel, count(*) AS cells, {R('greatest(avg((e > 0)::INT), 1 - avg((e > 0)::INT))')} AS stability, {R('avg(e)')} AS mean_effect FROM cl WHERE rel >= 1 GROUP BY 1, 2""")
 def _(spark, d):
     """Legs by trailing exposure sign, event paths per leg, over a grid of exposure thresholds."""
     stock, drv, mkt = exposure_inputs(spark, d)
@@ -362,3 +380,18 @@ def _(spark, d):
     grid = p.withColumn("min_t", F.explode(F.array(*[F.lit(x) for x in (1.0, 1.5, 2.0)]))).where(F.abs("t_ex_mkt") > F.col("min_t"))
     cells = ST.date_level(ST.car_rows(grid, 0, ["sign", "min_t", "date"]), ["sign", "min_t"])
     return rounded(ST.sign_stability(cells.where("rel >= 1"), ["sign", "rel"], "mean_pct"), ["stability", "mean_effect"])
+
+
+@query("R2_evaluate_events", f"""WITH {EV_SQL.replace("dd.i + 10", "dd.i + 21").replace("dd.i - 2 AND", "dd.i AND").replace("count(*) = 13", "count(*) = 22")
+    .replace("SELECT article_id, symbol, date, topic AS label FROM news WHERE score > 0.2", "SELECT row_number() OVER () AS article_id, symbol, date, label FROM es WHERE label IN (SELECT label FROM es GROUP BY 1 HAVING count(*) >= 30)")
+    .replace("ev AS (", "es AS MATERIALIZED (SELECT DISTINCT symbol, date + 2 AS date, CASE WHEN symbol = 1 AND score > 0.2 THEN 'rare' WHEN symbol % 5 = 0 THEN topic END AS label FROM news WHERE score > 0.2 AND (symbol = 1 OR symbol % 5 = 0)), ev AS (", 1)},
+  h AS (SELECT label, rel, {_HT} FROM car WHERE rel IN (1, 5, 10, 21) GROUP BY 1, 2)
+  SELECT 'events:' || label AS evaluation, rel AS horizon, unnest(['mean_pct', 'median_pct', 'hit_rate_pct', 't_stat']) AS statistic, unnest([mean_pct, median_pct, hit_rate_pct, t_stat]) AS value, n FROM h UNION ALL
+  SELECT 'events:' || label, NULL, 'skipped', NULL, count(*) FROM es GROUP BY label HAVING label NOT IN (SELECT label FROM h)""")
+def _(spark, d):
+    """An event set of several labels, one of them too small, known two days after its dates."""
+    from tidemark.operators import registry as RG
+    n, s = A.news(spark, d).where("score > 0.2 AND (symbol = 1 OR symbol % 5 = 0)"), F.col("symbol")
+    ev = RG.EventSet(n.select("symbol", "date", F.when(s == 1, "rare").otherwise(F.col("topic")).alias("label")).distinct(), "news", lag_days=2, min_events=30)
+    b = A.bars(spark, d)
+    return rounded(ST.evaluate_events(ev.frame, b, market(b), min_events=ev.min_events, lag_days=ev.lag_days), ["value"], 4)

@@ -58,3 +58,16 @@ def normal_tail(x):
     for i, c in enumerate(HART_DEN):
         den = f"{c!r}::DOUBLE" if i == 0 else f"({den} * {a} + {c!r}::DOUBLE)"
     return f"exp(-{a} * {a} / 2) * {num} / {den}"
+
+
+def t_tail(src: str, t: str, df: str, keep: str) -> str:
+    """SQL table (keep, p): two-sided Student tails, by Simpson's rule on the cosine form of the density (independent of the library's)."""
+    hi = f"CASE WHEN {df} > 20 THEN least(pi() / 2, atan((abs({t}) + 60) / sqrt({df}))) ELSE pi() / 2 END"
+    lo = f"atan(abs({t}) / sqrt({df}))"
+    return f"""(SELECT {keep}, 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(pi()) * h / 3 * list_sum(list_transform(range(0, 4001), lambda k: (CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(lo + k * h), v - 1))) AS p
+  FROM (SELECT {keep}, {df}::DOUBLE AS v, {lo} AS lo, ({hi} - {lo}) / 4000 AS h FROM {src} WHERE {t} IS NOT NULL AND NOT isnan({t}) AND {df} > 0))"""
+
+
+def normal_quantile(p: str) -> str:
+    """SQL for the normal quantile, by halving an interval fifty times."""
+    return f"list_reduce(list_transform(range(1, 51), lambda k: 8.0::DOUBLE / pow(2, k - 1)), lambda x, w: x + CASE WHEN (CASE WHEN x > 0 THEN 1 - {normal_tail('x')} ELSE {normal_tail('x')} END) < {p} THEN w / 2 ELSE -w / 2 END, 0.0::DOUBLE)"

@@ -8,12 +8,12 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
-from tidemark.functions.pricing import two_sided
+from tidemark.functions.distributions import t_two_sided
 from tidemark.operators import features as FE, portfolio as PF, registry as RG, research_stats as RS, studies as ST, technical as TE
 from tidemark.operators.relational import union_all
 from tidemark.plans.base import query, r, rounded
 from tidemark.plans.research import STRAT_SQL, _CR, rule_flags, strategies
-from tidemark.plans.sqlbits import BARS, MACRO, NEWS, R, normal_tail
+from tidemark.plans.sqlbits import BARS, MACRO, NEWS, R, normal_quantile, normal_tail, t_tail
 from tidemark.plans.windows import FWD, fwd_sql, market
 from tidemark.sources import adapters as A
 from tidemark.sources.workspace import materialise
@@ -89,11 +89,11 @@ def _(spark, d):
     return _round_spread(RS.quantile_spread(long_panel(spark, d), "value", "fwd", ["horizon"]))
 
 
-@query("Q3_spread_p_values", f"WITH {PANEL}, {_spread_sql('ph', ['horizon'])}, t AS (SELECT horizon, (mt - mb) / sqrt(vt / top_n + vb / bottom_n) AS t FROM q4) SELECT horizon, {R('2 * ' + normal_tail('t'))} AS p FROM t")
+@query("Q3_spread_p_values", f"""WITH {PANEL}, {_spread_sql('ph', ['horizon'])}, t AS (SELECT horizon, (mt - mb) / sqrt(vt / top_n + vb / bottom_n) AS t, pow(vt / top_n + vb / bottom_n, 2) / (pow(vt / top_n, 2) / (top_n - 1) + pow(vb / bottom_n, 2) / (bottom_n - 1)) AS v FROM q4)
+  SELECT horizon, {R('p')} AS p FROM {t_tail('t', 't', 'v', 'horizon')}""")
 def _(spark, d):
-    # both sides have hundreds of rows: the normal tail
     s = RS.quantile_spread(long_panel(spark, d), "value", "fwd", ["horizon"])
-    return s.select("horizon", r(two_sided("spread_t")).alias("p"))
+    return s.select("horizon", r(t_two_sided("spread_t", "spread_df")).alias("p"))
 
 
 @query("Q4_ic_by_horizon", f"WITH {PANEL}, {_ic_sql('ph', 'horizon, date')} {_sum_sql('horizon')}")
@@ -203,6 +203,27 @@ def _sharpes(spark, d):
     return strategies(spark, d).groupBy("strategy").agg(F.round(F.avg("ret") / F.stddev_pop("ret") * 252 ** 0.5, 8).alias("s"), F.count("*").alias("n_days"))
 
 
+_REGS = """rg AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS run_id, 'c' || o_custkey AS input_name, 'signal' AS input_type, CASE o_orderstatus WHEN 'F' THEN 'ic' WHEN 'O' THEN 'spread' ELSE 'sharpe' END AS evaluation, CASE WHEN o_orderkey % 2 = 0 THEN 5 ELSE -1 END AS horizon,
+   substr(o_orderpriority, 1, 1) AS statistic, o_totalprice / 1e6 AS value, 100 AS n, 'u' || o_custkey % 3 AS universe_hash, CAST(o_orderdate AS DATE) AS created_at, o_orderkey AS ok FROM orders),
+  bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY input_name, evaluation, horizon, statistic ORDER BY created_at DESC, value DESC) AS rn FROM rg) WHERE rn = 1)"""
+
+
+_DSR = f"""tp AS (SELECT 'all' AS population, value FROM (SELECT *, row_number() OVER (PARTITION BY input_name ORDER BY created_at DESC, value DESC) AS rn FROM rg WHERE statistic = '3') WHERE rn = 1 UNION ALL SELECT 'one', max(value) FROM rg WHERE statistic = '3'),
+  ts AS (SELECT population, count(*) AS n, var_samp(value / sqrt(252)) AS v FROM tp GROUP BY 1), t0 AS (SELECT *, CASE WHEN n >= 2 THEN sqrt(v) * ((1 - {RS.EULER_GAMMA!r}::DOUBLE) * {normal_quantile('(1 - 1.0::DOUBLE / n)')} + {RS.EULER_GAMMA!r}::DOUBLE * {normal_quantile('(1 - 1 / (n * exp(1::DOUBLE)))')}) END AS sr0 FROM ts),
+  mo AS (SELECT strategy, count(*) AS n_days, avg(ret) AS m, stddev_pop(ret) AS sd FROM sr GROUP BY 1), mz AS (SELECT strategy, any_value(n_days) AS n_days, any_value(m / sd) AS s, avg(pow((ret - m) / sd, 3)) AS sk, avg(pow((ret - m) / sd, 4)) AS ku FROM sr JOIN mo USING (strategy) GROUP BY 1),
+  ds AS (SELECT *, (s - sr0) * sqrt(n_days - 1) / sqrt(1 - sk * s + (ku - 1) / 4 * s * s) AS z FROM mz, t0)"""
+
+
+@query("Q15_deflated_sharpe", f"""WITH {STRAT_SQL}, {_REGS}, {_DSR} SELECT population, strategy, n_days, n AS n_trials, {R('s * sqrt(252)')} AS sharpe_ann, CASE WHEN n >= 2 THEN {R('sr0 * sqrt(252)')} END AS sr0_ann, CASE WHEN n >= 2 AND n_days >= 30 THEN {R(f"CASE WHEN z > 0 THEN 1 - {normal_tail('z')} ELSE {normal_tail('z')} END")} END AS dsr_prob,
+  CASE WHEN n < 2 THEN 'registry population too small (n=' || n || ' < 2)' WHEN n_days < 30 THEN 'only ' || n_days || ' days (< 30)' END AS dsr_reason FROM ds""")
+def _(spark, d):
+    """Strategies against the recorded population and against a population of one."""
+    reg, s = registry(spark, d).select("input_name", "statistic", "value", "created_at"), strategies(spark, d)
+    one = reg.where("statistic = '3'").agg(F.max("value").alias("value"))
+    parts = [RS.deflated_sharpe(s, p).withColumn("population", F.lit(n)) for n, p in (("all", RG.population(reg, "3")), ("one", one))]
+    return rounded(parts[0].unionByName(parts[1]), ["sharpe_ann", "sr0_ann", "dsr_prob"])
+
+
 @query("Q16_significance_tier", f"WITH {_BH} SELECT name, CASE WHEN p IS NULL THEN 'n/a' WHEN p < 0.01 THEN 'significant' WHEN p < 0.05 THEN 'weak' ELSE 'noise' END AS tier FROM pp")
 def _(spark, d):
     return _pvalues(spark, d).select("name", X.significance_tier("p").alias("tier"))
@@ -216,11 +237,6 @@ def _(spark, d):
 
 # --- registry --------------------------------------------------------------------------------
 
-_REGS = """rg AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS run_id, 'c' || o_custkey AS input_name, 'signal' AS input_type, CASE o_orderstatus WHEN 'F' THEN 'ic' WHEN 'O' THEN 'spread' ELSE 'sharpe' END AS evaluation, CASE WHEN o_orderkey % 2 = 0 THEN 5 ELSE -1 END AS horizon,
-   substr(o_orderpriority, 1, 1) AS statistic, o_totalprice / 1e6 AS value, 100 AS n, 'u' || o_custkey % 3 AS universe_hash, CAST(o_orderdate AS DATE) AS created_at, o_orderkey AS ok FROM orders),
-  bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY input_name, evaluation, horizon, statistic ORDER BY created_at DESC, value DESC) AS rn FROM rg) WHERE rn = 1)"""
-
-
 def registry(spark, d):
     o, k = A.table(spark, d, "orders"), F.col("o_orderkey")
     return o.select(F.year("o_orderdate").cast("string").alias("run_id"), F.concat(F.lit("c"), F.col("o_custkey")).alias("input_name"), F.lit("signal").alias("input_type"),
@@ -281,6 +297,14 @@ def _(spark, d):
     return t.select("input_name", F.col("1").alias("pnl"), F.col("2").alias("p_value"), F.col("3").alias("cost_pnl"), "split", F.coalesce((F.col("1") > 0.25) & (F.col("3") < 0.25), F.lit(False)).alias("cost_fragile"))
 
 
+@query("Q19_survivors", f"""WITH {_REGS}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY input_name ORDER BY created_at DESC, value DESC) AS rn FROM rg WHERE statistic = '2') WHERE rn = 1), k AS (SELECT input_name, value * value AS p, row_number() OVER (ORDER BY value * value, input_name) AS k, count(*) OVER () AS m FROM l),
+  ad AS (SELECT *, least(1, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_adj FROM k) SELECT input_name, {R('p', 9)} AS p, {R('p_adj', 9)} AS p_adj FROM ad WHERE k <= coalesce((SELECT max(k) FROM ad WHERE p <= 0.08 * k / m), 0)""")
+def _(spark, d):
+    reg = registry(spark, d).select("input_name", "statistic", "value", "created_at")
+    t = RG.campaign(reg, ["2"], F.lit("dev")).withColumn("p_value", F.col("2") * F.col("2"))
+    return rounded(RG.survivors(t, alpha=0.08), ["p", "p_adj"], 9)
+
+
 @query("R2_evaluate_signal", f"""WITH {PANEL}, {_ic_sql('ph', 'horizon, date')}, s AS ({_sum_sql('horizon')}), {_spread_sql('ph', ['horizon'])}, sp AS (SELECT horizon, {_SPC} FROM q4)
   SELECT 'ic' AS evaluation, horizon, unnest(['mean_daily_ic', 'ic_t_stat']) AS statistic, unnest([mean_daily_ic, ic_t_stat]) AS value, ic_days AS n FROM s UNION ALL SELECT 'spread', horizon, unnest(['spread_pct', 'spread_t']), unnest([spread_pct, spread_t]), top_n FROM sp""")
 def _(spark, d):
@@ -295,3 +319,15 @@ def _(spark, d):
 def _(spark, d):
     ev = A.news(spark, d).select("symbol", "date", F.col("topic").alias("label")).distinct()
     return RG.EventSet(ev, "news").frame.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("R3_contract_violations", f"""WITH {NEWS}, e AS (SELECT symbol, date, CASE WHEN symbol % 7 = 0 THEN NULL ELSE score END AS value, topic AS label FROM news), s AS (SELECT symbol, date, count(*) AS c, count(*) FILTER (value IS NULL) AS b FROM e GROUP BY 1, 2),
+  n AS (SELECT count(DISTINCT date) AS n FROM e), c("contract", "check", severity, n) AS (SELECT 'scores', 'duplicate_keys', 'error', count(*) FILTER (c > 1) FROM s UNION ALL SELECT 'scores', 'missing_values', 'error', sum(b) FROM s UNION ALL SELECT unnest(['scores', 'topics']), 'few_dates', 'warning', CASE WHEN n < 250 THEN n ELSE 0 END FROM n UNION ALL
+  SELECT 'topics', 'missing_values', 'error', count(*) FILTER (label IS NULL) FROM e UNION ALL SELECT 'bars', 'missing_columns', 'error', 2 FROM n UNION ALL SELECT 'topics', 'negative_lag', 'error', 1 FROM n UNION ALL SELECT 'scores', 'direction', 'error', 1 FROM n UNION ALL
+  SELECT unnest(['scores', 'topics']), 'missing_columns', 'error', 0 FROM n UNION ALL SELECT unnest(['scores', 'bars']), 'negative_lag', 'error', 0 FROM n UNION ALL SELECT unnest(['scores', 'topics', 'bars']), 'time_zone', 'error', 0 FROM n UNION ALL SELECT 'bars', 'direction', 'error', 0 FROM n)
+  SELECT "contract", "check", CASE WHEN n > 0 THEN severity ELSE 'ok' END AS severity, n::BIGINT AS n FROM c""")
+def _(spark, d):
+    """A signal with repeated keys, missing values and an odd direction, an event set with a negative lag, a table without its value column."""
+    e = A.news(spark, d).select("symbol", "date", F.when(F.col("symbol") % 7 != 0, F.col("score")).alias("value"), F.col("topic").alias("label"))
+    parts = [RG.contract_violations(e, "signal", "scores", direction=2), RG.contract_violations(e, "event_set", "topics", lag_days=-1), RG.contract_violations(A.bars(spark, d).select("symbol", F.col("date").alias("day")), "signal", "bars")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -141,7 +141,7 @@ RATE_SQL = f"""{IND_SQL}, ri AS (SELECT symbol, date, open, high, low, close, vo
 
 def rated(spark, d):
     ind = TE.indicators(A.bars(spark, d))
-    ind = ind.withColumns({c: F.round(c, 8) for c in _ROUND_COLS})
+    ind = ind.withColumns({c: F.round(c, 8) for c in [*_ROUND_COLS, *TE.BEFORE, *TE.BEFORE_FINITE]})
     return TE.ratings(ind).withColumn("rating_all", F.round("rating_all", 8)).withColumn("rating_label", TE.rating_bin("rating_all"))
 
 
@@ -163,7 +163,7 @@ def _(spark, d):
 @query("T20_rating_panel", f"WITH RECURSIVE {RATE_SQL.replace('FROM bars)', 'FROM bars WHERE date >= DATE ' + chr(39) + '1999-01-01' + chr(39) + ' - 320)', 1)} SELECT symbol, date, {R('rating_all')} AS rating_all, {_BIN} AS rating_label FROM rt WHERE date >= DATE '1999-01-01'")
 def _(spark, d):
     b = A.bars(spark, d)
-    ind = TE.indicators(b.where("date >= date_sub(date'1999-01-01', 320)")).withColumns({c: F.round(c, 8) for c in _ROUND_COLS})
+    ind = TE.indicators(b.where("date >= date_sub(date'1999-01-01', 320)")).withColumns({c: F.round(c, 8) for c in [*_ROUND_COLS, *TE.BEFORE, *TE.BEFORE_FINITE]})
     p = TE.ratings(ind).withColumn("rating_all", F.round("rating_all", 8)).withColumn("rating_label", TE.rating_bin("rating_all")).where("date >= date'1999-01-01'")
     return p.select("symbol", "date", r("rating_all").alias("rating_all"), "rating_label")
 

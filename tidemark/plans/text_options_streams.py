@@ -9,6 +9,7 @@ from tidemark.operators import dedup as D, features as FE, options as OP, report
 from tidemark.plans.base import query, r, rounded
 from tidemark.plans.reports import _DTE, _MNY, _ZONE, _binned
 from tidemark.plans.sqlbits import BARS, CONTRACTS, NEWS, POSITIONS, R, normal_tail as _TAIL
+from tidemark.plans.windows import market
 from tidemark.sources import adapters as A
 from tidemark.sources.workspace import fresh_path
 from tidemark.streaming import alerts as AL, feeds as SF
@@ -125,10 +126,14 @@ def _(spark, d):
 
 
 def option_base(spark, d):
-    """Every bar that has its volatility estimates."""
-    b = FE.yang_zhang(A.bars(spark, d), 30).withColumn("_lr", F.log(F.col("close") / F.lag("close").over(FE.by_symbol())))
-    b = b.withColumn("sigma_cc", FE.full(F.col("_lr"), F.stddev_samp("_lr"), FE.trailing(30), 30) * 252 ** 0.5).where("sigma_cc is not null")
-    return b.select("symbol", "date", F.col("close").alias("spot"), F.round("sigma_cc", 6).alias("sigma_cc"), F.round("yz_vol", 6).alias("sigma_yz"), F.lit(0.01).alias("q"), curve_column("date").alias("curve"))
+    """Every bar that has its close-to-close estimate, with the estimates of all three methods."""
+    bars = A.bars(spark, d)
+    b = FE.overlay_vol(FE.yang_zhang(bars, 30), market(bars).withColumnRenamed("bench", "level"), 30).where("cc_vol is not null")
+    return b.select("symbol", "date", F.col("close").alias("spot"), F.lit(0.01).alias("q"), *[F.round(c, 6).alias(s) for c, s in (("cc_vol", "sigma_cc"), ("yz_vol", "sigma_yz"), ("vix_vol", "sigma_vix"))])
+
+
+def rates(base):
+    return OP.rate_table(base.select("date").distinct().withColumn("curve", curve_column("date")), DTES)
 
 
 MNY, DTES = [0.8, 0.9, 1.0, 1.1, 1.2], [7, 30, 90]
@@ -143,9 +148,27 @@ _GRID = f"""{BARS}, lr AS (SELECT symbol, date, close, ln(close / lag(close) OVE
 @query("O1_option_grid_european", f"""WITH {_GRID} SELECT symbol, date, moneyness, dte, contract_type, {R('s * (spot * exp(-0.01 * t) * n1 - strike * exp(-r * t) * n2)')} AS theo_price, {R('s * exp(-0.01 * t) * n1')} AS delta, {R('exp(-0.01 * t) * pdf / (spot * sigma * sqrt(t))', 8)} AS gamma,
   {R('(-(spot * pdf * sigma * exp(-0.01 * t)) / (2 * sqrt(t)) - s * r * strike * exp(-r * t) * n2 + s * 0.01 * spot * exp(-0.01 * t) * n1) / 365')} AS theta, {R('spot * exp(-0.01 * t) * pdf * sqrt(t) / 100')} AS vega, {R('s * strike * t * exp(-r * t) * n2 / 100')} AS rho FROM g3""")
 def _(spark, d):
-    g = OP.option_grid(option_base(spark, d), MNY, DTES).withColumn("sigma", F.col("sigma_cc"))
-    p = PR.european(g)
-    return p.select("symbol", "date", "moneyness", "dte", "contract_type", *[r(c, 8 if c == "gamma" else 6).alias(c) for c in ("theo_price", "delta", "gamma", "theta", "vega", "rho")])
+    base = option_base(spark, d)
+    p = PR.european_both(OP.option_grid(base, rates(base), MNY, DTES, {"close_to_close": "sigma_cc"}))
+    return p.select("symbol", "date", "moneyness", "dte", "contract_type", *[r(c, 8 if c == "gamma" else 6).alias(c) for c in PR.GREEKS])
+
+
+_METHODS = {"close_to_close": "sigma_cc", "yang_zhang": "sigma_yz", "index_overlay": "sigma_vix"}
+_GRID3 = _GRID[_GRID.index(" gd AS"):].replace(" FROM lt,", ", vol_method FROM lt,")
+
+
+@query("O1_option_grid_vol_methods", f"""WITH {BARS}, bm AS (SELECT date, sum(CAST(close * 10000 AS BIGINT)) / count(*)::DOUBLE / 10000 AS lv FROM bars GROUP BY 1), ov AS (SELECT date, CASE WHEN count(*) OVER w >= 7 THEN lv / avg(lv) OVER w END AS overlay FROM bm WINDOW w AS (ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+  x AS (SELECT symbol, date, close, ln(close / lag(close) OVER w) AS lr, ln(open / lag(close) OVER w) AS o, ln(close / open) AS c, ln(high / open) * (ln(high / open) - ln(close / open)) + ln(low / open) * (ln(low / open) - ln(close / open)) AS rs FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+  m AS (SELECT symbol, date, close AS spot, CASE WHEN count(lr) OVER w >= 30 THEN stddev_samp(lr) OVER w END * sqrt(252) AS cc, CASE WHEN count(o) OVER w >= 30 THEN
+    sqrt(greatest(var_samp(o) OVER w + (0.34 / (1.34 + 31.0 / 29.0))::DOUBLE * var_samp(c) OVER w + (1 - 0.34 / (1.34 + 31.0 / 29.0))::DOUBLE * avg(rs) OVER w, 0) * 252) END AS yz FROM x WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+  lt AS (SELECT symbol, date, spot, vol_method, sigma FROM (SELECT symbol, date, spot, unnest(['close_to_close', 'yang_zhang', 'index_overlay']) AS vol_method, unnest([round(cc, 6), round(yz, 6), round(cc * overlay, 6)]) AS sigma FROM m JOIN ov USING (date) WHERE cc IS NOT NULL) WHERE sigma IS NOT NULL),{_GRID3}
+  SELECT date, moneyness, dte, contract_type, vol_method, count(*) AS n, {R('sum(sigma)')} AS sigma_total, {R('avg(s * (spot * exp(-0.01 * t) * n1 - strike * exp(-r * t) * n2))', 5)} AS theo_price, {R('avg(s * exp(-0.01 * t) * n1)', 5)} AS delta, {R('avg(spot * exp(-0.01 * t) * pdf * sqrt(t) / 100)', 5)} AS vega FROM g3 GROUP BY ALL""")
+def _(spark, d):
+    """All contracts under three volatility methods, averaged over the symbols of a day."""
+    base = option_base(spark, d)
+    p = PR.european_both(OP.option_grid(base, rates(base), MNY, DTES, _METHODS))
+    out = p.groupBy("date", "moneyness", "dte", "contract_type", "vol_method").agg(F.count("*").alias("n"), r(F.sum("sigma")).alias("sigma_total"), *[F.avg(c).alias(c) for c in ("theo_price", "delta", "vega")])
+    return rounded(out, ["theo_price", "delta", "vega"], 5)
 
 
 @query("O4_iv_source_fallback", f"""WITH {CONTRACTS}, c AS (SELECT *, CASE WHEN symbol % 3 = 0 THEN 'broker_chain' ELSE 'vendor_chain' END AS source, CASE WHEN symbol % 3 = 0 THEN iv * 2 ELSE iv END AS vol FROM contracts), n AS (SELECT symbol, max(snapshot_date) AS date FROM contracts GROUP BY 1)
