@@ -1,18 +1,23 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Method: vectors are projected onto a few random orthonormal directions and shifted by a random offset, once for each curve;
-the Hilbert key of the projected point orders all rows, and near rows are mostly near in some order.  Spark range-sorts
-the rows of each curve; rows are numbered along the curve and cut into blocks, and a query meets the rows of its
-own block and of ``reach`` blocks on either side.  Candidates of all curves are merged and ranked by the exact distance on the original vectors.
+the Hilbert key of the projected point orders all rows, and near rows are mostly near in some order.  Spark numbers the
+rows along each curve and cuts it into segments of ``SEGMENT`` rows; a query meets the rows at most ``width`` places away on each
+curve.  The windows of all curves are merged and ranked by the exact distance on the original vectors.
 
-The reach follows from a measured recall: for ``PROBES`` queries the true nearest rows are found by one pass over all rows, and
-the reach is the least with which the share ``recall`` of them is met on some curve.  Where the windows of all curves together
-would hold as many rows as the table, the table is searched whole instead, once and exactly.  So recall does not fall as
-the table grows; on vectors without structure the work of a query grows with the table instead.
+The width is a function of a measured recall, at every size of the table alike: for ``PROBES`` points the true nearest ones are
+found by one pass over all rows, and the width is the least with which the share ``recall`` of them lies in a window of
+some curve.  On vectors without structure a window of the needed recall is a share of the table, so the work of a query
+grows with it there; with structure it does not.
+
+A segment holds each row as 8-bit numbers with its own scale and its rounding error, so that a curve costs a quarter of the
+vectors.  Distances from them have exact bounds; whatever may be among the k nearest of a window goes on, and the
+survivors of all windows, some tens a query, are measured on the original vectors.
 
 The index is fitted on a bounded sample (``SAMPLE`` vectors: means and principal directions only) and holds every row.
 Equal vectors are one point with its smallest ids: of more than k + 1 equal vectors only the k + 1 smallest ids can be among
-anyone's k nearest (ties go to the smaller id), so nothing is lost and a vector that a third of all rows share is one row.
+anyone's k nearest (ties go to the smaller id), so nothing is lost and a vector that a third of all rows share is one row.  Equal
+queries are one query, whose result is given to each of their ids.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite numbers take no part;
 repeated ids are candidates each, a query never finds its own id; fewer than k candidates give as many rows as there are;
@@ -29,13 +34,11 @@ from pyspark.sql.functions import pandas_udf
 from tidemark.sources.workspace import materialise
 
 SAMPLE = 5000
-CURVES, DIMENSIONS, DEPTH = 20, 10, 6
-#: Rows of a block; a query meets three blocks on each curve at least.
-BLOCK = 1024
-#: Share of the true neighbours of the probed queries that the windows must hold, and queries probed for it.
-RECALL, PROBES = 0.95, 200
-#: Where the table is searched whole: blocks of rows that meet at once, and queries that meet them.
-WHOLE, TOGETHER = 8, 4096
+CURVES, DIMENSIONS, DEPTH = 40, 10, 6
+#: Rows of a segment of a curve: what one group holds.
+SEGMENT = 4096
+#: Share of the true neighbours of the probed points that the windows must hold, and points probed for it.
+RECALL, PROBES = 0.96, 200
 
 
 def hilbert_keys(cells: np.ndarray, depth: int) -> np.ndarray:
@@ -73,8 +76,8 @@ def clean(df: DataFrame, vector: str, key: str) -> DataFrame:
     return df.select(key, v.alias("v")).where(F.col(key).isNotNull()).where(usable)
 
 
-def reach_for(points: DataFrame, placed: DataFrame, probes: list, k: int, recall: float) -> int:
-    """Blocks on either side within which the share ``recall`` of the probes' k nearest points lie on some curve."""
+def width_for(points: DataFrame, placed: DataFrame, probes: list, k: int, recall: float) -> int:
+    """Places on either side within which the share ``recall`` of the probes' k nearest points lie on some curve."""
     if not probes:
         return 1
     names, at = np.array([p["point"] for p in probes], np.int64), np.array([p["v"] for p in probes], float)
@@ -96,20 +99,29 @@ def reach_for(points: DataFrame, placed: DataFrame, probes: list, k: int, recall
         yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(names[:, None], some.shape)[some]), pa.array(best[1][some]), pa.array(best[0][some])], names=["probe", "near", "far"])
     pairs = points.select("point", "v").mapInArrow(closest, "probe bigint, near bigint, far double")
     pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("probe").orderBy("far", "near"))).where(F.col("r") <= k)
-    here = pairs.join(placed.select(F.col("point").alias("probe"), "curve", F.col("block").alias("here")), "probe")
-    there = here.join(placed.select(F.col("point").alias("near"), "curve", "block"), ["near", "curve"])
-    gaps = sorted(r["gap"] for r in there.groupBy("probe", "near").agg(F.min(F.abs(F.col("here") - F.col("block"))).alias("gap")).collect())  # at most PROBES x k
+    here = pairs.join(placed.select(F.col("point").alias("probe"), "curve", F.col("no").alias("here")), "probe")
+    there = here.join(placed.select(F.col("point").alias("near"), "curve", "no"), ["near", "curve"])
+    gaps = sorted(r["gap"] for r in there.groupBy("probe", "near").agg(F.min(F.abs(F.col("here") - F.col("no"))).alias("gap")).collect())  # at most PROBES x k
     return max([1, *gaps[:int(np.ceil(recall * len(gaps)))][-1:]])
 
 
-def search(df: DataFrame, queries, k: int = 10, vector: str = "embedding", key: str = "vec_id", curves: int = CURVES, block: int = BLOCK, seed: int = 7, recall: float = RECALL) -> DataFrame:
-    """query_id, rank, key, score: for each row with ``queries`` (a Column) its k nearest other rows, nearest first."""
+def packed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """8-bit numbers of each row, the row's scale, and a bound of the distance between the row and what they stand for."""
+    scale = np.maximum(np.abs(x).max(1), 1e-300) / 127
+    small = np.rint(x / scale[:, None]).astype(np.int8)
+    return small, scale, np.sqrt(((x - small * scale[:, None]) ** 2).sum(1)) * (1 + 1e-9) + 1e-12 * scale
+
+
+def search(df: DataFrame, queries, k: int = 10, vector: str = "embedding", key: str = "vec_id", curves: int = CURVES, segment: int = SEGMENT, seed: int = 7, recall: float = RECALL, width: int | None = None) -> DataFrame:
+    """query_id, rank, key, score: for each row with ``queries`` (a Column) its k nearest other rows, nearest first.
+
+    A given ``width`` replaces the measured one."""
     rows = clean(df, vector, key)
-    width = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").head()
+    common = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").head()
     schema = f"query_id bigint, {key} bigint, score double"
-    if width is None:
+    if common is None:
         return df.sparkSession.createDataFrame([], schema).selectExpr("query_id", "cast(0 as int) AS rank", key, "score")
-    d = width["d"]
+    d = common["d"]
     rows = rows.where(F.size("v") == d)
     fitted = np.array([r["v"] for r in rows.orderBy(F.xxhash64(key), key).limit(SAMPLE).select("v").toLocalIterator()])
     mean = fitted.mean(0)
@@ -134,45 +146,67 @@ def search(df: DataFrame, queries, k: int = 10, vector: str = "embedding", key:
         out = [hilbert_keys(np.clip((x @ q - low) / span * (1 << DEPTH), 0, (1 << DEPTH) - 1).astype(np.int64), DEPTH) for q, low, span in frames]
         return v.__class__(list(np.stack(out, 1)))
 
-    def along_curves() -> DataFrame:
-        filed = points.select("point", F.posexplode(curve_keys("v")).alias("curve", "place"))
-        # numbers along each curve: buckets of the key (a pure function of it), counts before, places within
-        span = F.shiftright("place", max(0, m * DEPTH - 16))
-        filed = materialise(filed.withColumn("bucket", span), "curve")
-        counts = filed.groupBy("curve", "bucket").agg(F.count("*").alias("n"))
-        before = counts.select("curve", "bucket", (F.sum("n").over(Window.partitionBy("curve").orderBy("bucket")) - F.col("n")).alias("before"))
-        numbered = filed.join(before, ["curve", "bucket"]).withColumn("no", F.col("before") + F.row_number().over(Window.partitionBy("curve", "bucket").orderBy("place", "point")) - 1)
-        return materialise(numbered.select("point", "curve", F.floor(F.col("no") / block).alias("block")), "placed")
-    asks = df.where(queries).select(F.col(key).alias("query_id")).distinct()
-    asked = rows.join(asks, rows[key] == asks["query_id"]).select("query_id", "v").withColumn("point", F.xxhash64("v"))
-    n, placed = points.count(), None
-    if 3 * block * curves < n:
-        placed = along_curves()
-        reach = reach_for(points, placed, asked.orderBy(F.xxhash64("query_id"), "query_id").limit(PROBES).select("point", "v").distinct().collect(), k, recall)
-    if placed is not None and (2 * reach + 1) * block * curves < n:
-        asking = asked.join(placed, "point").select("query_id", F.col("v").alias("qv"), "curve", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"))
-        members = placed.join(points.select("point", "v", "ids"), "point").select(F.col("curve").alias("c"), F.col("block").alias("b"), "v", "ids")
-    else:
-        # every query meets every row once: "curve" numbers bundles of queries
-        parts, bundles = -(-n // (WHOLE * block)), max(1, -(-asked.count() // TOGETHER))
-        asking = asked.select("query_id", F.col("v").alias("qv"), F.pmod(F.xxhash64("query_id"), F.lit(bundles)).alias("curve"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("block"))
-        members = points.select(F.explode(F.sequence(F.lit(0), F.lit(bundles - 1))).alias("c"), F.pmod("point", F.lit(parts)).alias("b"), "v", "ids")
-
-    def nearest(keys, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = ([], [], [])
+    filed = points.select("point", F.posexplode(curve_keys("v")).alias("curve", "place"))
+    # numbers along each curve: buckets of the key (a pure function of it), counts before, places within
+    filed = materialise(filed.withColumn("bucket", F.shiftright("place", max(0, m * DEPTH - 16))), "curve")
+    counts = filed.groupBy("curve", "bucket").agg(F.count("*").alias("n"))
+    before = counts.select("curve", "bucket", (F.sum("n").over(Window.partitionBy("curve").orderBy("bucket")) - F.col("n")).alias("before"))
+    numbered = filed.join(before, ["curve", "bucket"]).withColumn("no", F.col("before") + F.row_number().over(Window.partitionBy("curve", "bucket").orderBy("place", "point")) - 1)
+    placed = materialise(numbered.select("point", F.col("curve").cast("int").alias("curve"), F.col("no").cast("long").alias("no")), "placed")
+    if width is None:
+        width = width_for(points, placed, points.orderBy(F.xxhash64("point"), "point").limit(PROBES).select("point", "v").collect(), k, recall)
+    asks = rows.where(queries).select(F.col(key).alias("query_id"), F.xxhash64("v").alias("point")).distinct()
+    own = points.join(asks.select("point").distinct(), "point").select("point", "v")
+    asking = own.join(placed, "point").select("curve", "no", F.col("point").alias("query"), F.col("v").alias("qv"), F.explode(F.sequence(F.floor(F.greatest(F.col("no") - width, F.lit(0)) / segment), F.floor((F.col("no") + width) / segment))).alias("part"))
+
+    def shrink(batches):
+        for b in batches:
+            x = np.asarray(b.column(1).flatten()).astype(float).reshape(-1, d)
+            small, scale, error = packed(x)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in small], pa.binary()), pa.array(scale), pa.array(error)], names=["point", "small", "scale", "error"])
+    short = points.select("point", "v").mapInArrow(shrink, "point bigint, small binary, scale double, error double")
+    members = placed.join(short, "point").select(F.col("curve").alias("c"), F.floor(F.col("no") / segment).alias("p"), F.col("no").alias("there"), F.col("point").alias("near"), "small", "scale", "error")
+
+    def windows(keys, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = ([], [], [], [])
         if len(left) and len(right):
+            no = np.asarray(right.column("there").combine_chunks())
+            order = np.argsort(no)
+            no, names = no[order], np.asarray(right.column("near").combine_chunks())[order]
+            scale, error = (np.asarray(right.column(c).combine_chunks())[order] for c in ("scale", "error"))
+            x = np.frombuffer(b"".join(right.column("small").to_pylist()), np.int8).reshape(-1, d)[order].astype(np.float32) * scale[:, None].astype(np.float32)
+            square = (x.astype(float) ** 2).sum(1)
+            at = np.asarray(left.column("no").combine_chunks())
             q = np.asarray(left.column("qv").combine_chunks().flatten()).astype(float).reshape(len(left), d)
-            x = np.asarray(right.column("v").combine_chunks().flatten()).astype(float).reshape(len(right), d)
-            names, square = right.column("ids").to_pylist(), (x ** 2).sum(1)
-            for name, row in zip(left.column("query_id").to_pylist(), q):
-                rough = square - 2 * (x @ row)
-                limit = np.partition(rough, min(k, len(rough) - 1))[min(k, len(rough) - 1)]
-                near = np.flatnonzero(rough <= limit + 1e-9 * (abs(limit) + row @ row))
-                exact = np.sqrt(((x[near] - row) ** 2).sum(1))
-                pairs = sorted((e, i) for e, j in zip(exact, near) for i in names[j] if i != name)[:k]
-                for column, values in zip(out, ([name] * len(pairs), [p[1] for p in pairs], [float(p[0]) for p in pairs])):
-                    column.extend(values)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), key: pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-    found = asking.groupBy("curve", "block").cogroup(members.groupBy("c", "b")).applyInArrow(nearest, schema).distinct()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", key))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), key, "score")
+            lo, hi = np.searchsorted(no, at - width), np.searchsorted(no, at + width, "right")
+            for i, name in enumerate(left.column("query").to_pylist()):
+                a, z = lo[i], hi[i]
+                if a == z:
+                    continue
+                far = square[a:z] - 2 * (x[a:z] @ q[i].astype(np.float32)).astype(float) + q[i] @ q[i]
+                slack = error[a:z] + 1e-5 * (np.sqrt(square[a:z]) + np.sqrt(q[i] @ q[i]))  # rounding of the products included
+                far = np.sqrt(np.maximum(far, 0))
+                least, most = far - slack - np.sqrt(1e-6 * (square[a:z] + q[i] @ q[i])), far + slack + np.sqrt(1e-6 * (square[a:z] + q[i] @ q[i]))
+                limit = np.partition(most, min(k, z - a - 1))[min(k, z - a - 1)]
+                near = np.flatnonzero(least <= limit)
+                for column, values in zip(out, ([name] * len(near), names[a:z][near], least[near], most[near])):
+                    column.append(np.asarray(values))
+        kinds = (np.int64, np.int64, float, float)
+        return pa.table({c: pa.array(np.concatenate(v) if v else np.zeros(0, t)) for c, v, t in zip(("query", "point", "least", "most"), out, kinds)})
+    met = asking.groupBy("curve", "part").cogroup(members.groupBy("c", "p")).applyInArrow(windows, "query bigint, point bigint, least double, most double")
+    # a point met on several curves counts once; a query keeps what its k + 1 nearest points may be (its own vector is one of them)
+    met = met.groupBy("query", "point").agg(F.max("least").alias("least"), F.min("most").alias("most"))
+    w = Window.partitionBy("query").orderBy("most", "point")  # some tens of points a curve
+    met = met.withColumn("limit", F.nth_value("most", k + 1).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("limit IS NULL OR least <= limit")
+
+    @pandas_udf("double")
+    def distance(v, q):
+        x, y = np.stack(v.to_numpy()).astype(float), np.stack(q.to_numpy()).astype(float)
+        return v.__class__(np.sqrt(((x - y) ** 2).sum(1)))
+    near = met.select("query", "point").join(points, "point").join(own.select(F.col("point").alias("query"), F.col("v").alias("qv")), "query").select("query", "ids", distance("v", "qv").alias("score"))
+    listed = near.select("query", "score", F.explode("ids").alias(key))
+    first = listed.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("score", key))).where(F.col("r") <= k + 1)
+    lists = first.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("score", F.col(key).alias("id")))).alias("near"))  # k + 1 entries
+    # every id of a query's vector gets its list, less itself
+    answers = asks.join(lists, asks["point"] == lists["query"]).select("query_id", F.posexplode(F.slice(F.filter("near", lambda e: e["id"] != F.col("query_id")), 1, k)).alias("rank", "e"))
+    return answers.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("e.id").alias(key), F.col("e.score").alias("score"))
