@@ -66,6 +66,7 @@ def test_tables_beyond_the_aligned_depth_keep_their_text():
 
 def test_formulas_are_visible_drawings_are_not():
     assert htmltext.render("<p>so <math><mi>x</mi><annotation>tex</annotation></math> is<svg><text>no</text></svg>") == "so x is"
+    assert htmltext.render("a<script>x</script>b<div hidden>y<p>z</div> c") == "ab c"
 
 
 @pytest.mark.parametrize("unit", ["<div>", "<div>a", "<ul><li>", "<ul><li>a", "<table><tr><td>a", "<table><tr><td>a<td>", "<p><button>", "<blockquote>a", "<b><div>", "<dl><dd>a"])

@@ -178,11 +178,11 @@ class Page:
         box = self.boxes.pop()
         if name in self.held:
             self.held[name].pop()
+        if box.hidden:
+            return
         box.flush()
         above = self.boxes[-1]
         above.flush()
-        if box.hidden:
-            return
         if name in ("td", "th"):
             holder = self.holder("tr", "table")
             if holder is not None and len(self.held["table"]) <= TABLES:
