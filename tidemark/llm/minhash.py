@@ -9,8 +9,10 @@ left is decided on the full shingle sets, so every link is exact.
 
 Pairs inside a group are never all formed.  Texts with the same set are one node.  First the members of a bucket meet
 the bucket's centres only (the least member under a few orders); confirmed links are joined to components; then only
-pairs of one bucket whose components still differ are compared.  Nothing is capped: a pair of a bucket is either
-connected already, or compared.
+members of one bucket whose components still differ are left.  In a bucket of at most ``SMALL`` of them all are compared.
+Members of larger ones meet where they share a shingle of their prefixes: a set's rarest shingles, so many that two sets
+over the threshold have one in common for certain.  Where many share one, they must share the bucket and be of neighbouring
+size classes too.  Nothing is capped: a link of a bucket is either connected already, or compared.
 
 Chances: a link at the threshold 0.8 shares no band of 40 x 5 with probability 1.2e-7; the estimate loses one of
 128 x 2 bits with less than 1e-7, as it is let through from five standard deviations below the threshold on.
@@ -28,7 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import bytetext as bt
 from tidemark.llm.components import components
-from tidemark.llm.textmap import lists, over_texts
+from tidemark.llm.spread import left_join
+from tidemark.llm.textmap import lists, over_texts, total_counts
 from tidemark.sources.workspace import materialise
 
 BANDS, ROWS = 40, 5
@@ -37,6 +40,10 @@ BITS, SIGNED = 2, 128
 PARITY = 16
 #: Orders of the members of a bucket, each with its own centre.
 ORDERS = 4
+#: Members of a group that are all compared with each other.
+SMALL = 32
+#: Counters of the table whose counts order the shingles of a set, rare ones first; more shingles share them, and any order is exact.
+COUNTERS = 1 << 18
 SIGNATURE = [*(f"s{k}" for k in range(4)), *(f"p{k}" for k in range(PARITY))]
 #: Pairs of alternating bits.
 _ODD_BITS = 0x5555555555555555
@@ -130,6 +137,43 @@ def confirmed(pairs: DataFrame, df: DataFrame, nodes: DataFrame, text: str, key:
     return both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("n")).where(F.col("c") * 100 >= percent * (F.col("n") - F.col("c"))).select("a", "b")
 
 
+def prefixes(df: DataFrame, nodes: DataFrame, asked: DataFrame, text: str, key: str, size: int, lower: bool, percent: int) -> DataFrame:
+    """node and token, the rarest shingles of its set: as many as a similar set cannot all do without."""
+    holders = nodes.join(asked, "node", "left_semi").select(key).distinct()
+    texts = materialise(df.select(key, text).join(holders, df[key].eqNullSafe(holders[key]), "left_semi").select(text), "texts")
+
+    def count(texts):
+        sets = shingle_sets(bt.split(texts, lower=lower), size)
+        return np.bincount((np.concatenate([*sets, np.zeros(0, np.uint64)]) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+    often = total_counts(texts, text, COUNTERS, count)
+
+    def prepare():
+        def work(texts):
+            sets = shingle_sets(bt.split(texts, lower=lower), size)
+            rare = [s[np.lexsort((s, often[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:len(s) + 1 + -percent * len(s) // 100]] if len(s) else s for s in sets]
+            return [pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), lists(bt.signed(np.concatenate([*rare, np.zeros(0, np.uint64)])), np.append(0, np.cumsum([len(x) for x in rare])))]
+        return work
+    return over_texts(texts, text, [], "node bigint, tokens array<bigint>", prepare).join(asked, "node", "left_semi").dropDuplicates(["node"]).select("node", F.explode("tokens").alias("token"))
+
+
+def meetings(members: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may be similar. members: k, node, label, n_shingles; tokens: node, token.
+
+    Small groups of a token are compared as they are; larger ones are split by bucket and size class.  A class spans a little
+    more than the ratio of sizes that the threshold allows, so similar sets are of the same class or of neighbouring ones.
+    """
+    one = members.select("node", "label", "n_shingles").distinct()
+    filed = materialise(tokens.join(one, "node").withColumn("class", F.floor(F.log("n_shingles") / float(np.log(100 / percent) * 1.0001))), "prefixes")
+    crowd = filed.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("token", "n")
+    crowd = materialise(crowd, "tokens")
+    p = filed.join(crowd.where(F.col("n") <= SMALL), "token", "left_semi")
+    q = p.select("token", F.col("node").alias("other"), F.col("label").alias("far"))
+    direct = p.join(q, "token").where("label < far")
+    p = filed.join(crowd.where(F.col("n") > SMALL), "token", "left_semi").join(members.select("k", "node"), "node").select(F.xxhash64("token", "k").alias("g"), "node", "label", "class")
+    q = p.select("g", F.col("node").alias("other"), F.col("label").alias("far"), F.explode(F.array(*(F.col("class") + i for i in (-1, 0, 1)))).alias("class"))
+    return direct.select(F.col("node").alias("a"), F.col("other").alias("b")).unionAll(p.join(q, ["g", "class"]).where("label < far").select("node", "other")).distinct()
+
+
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", lower: bool = True) -> DataFrame:
     """key, n_shingles, component_id (smallest key that links reach), kept (key is component_id), one row for each row."""
     s = materialise(sketches(df, text, key, size, lower), "sketches")
@@ -148,12 +192,20 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, text: str =
     known = shared.select("k", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = known.groupBy("k").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("k")
     open_ = materialise(known.join(mixed, "k", "left_semi").join(sign, "node"), "open")
-    p, q = open_.alias("p"), open_.alias("q")
+    large = materialise(open_.groupBy("k").count().where(F.col("count") > SMALL).select("k"), "large")
+    p = open_.join(large, "k", "left_anti").alias("p")
+    q = p.alias("q")
     others = p.join(q, (F.col("p.k") == F.col("q.k")) & (F.col("p.label") < F.col("q.label")) & near("p", "q", percent)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+    if not large.isEmpty():
+        members = open_.join(large, "k", "left_semi").select("k", "node", "label", "n_shingles")
+        met = meetings(members, prefixes(df, nodes, members.select("node").distinct(), text, key, size, lower, percent), percent)
+        met = met.join(sign.alias("p"), F.col("p.node") == met["a"]).join(sign.alias("q"), F.col("q.node") == met["b"]).where(near("p", "q", percent)).select("a", "b")
+        others = others.unionAll(met)
     more = materialise(confirmed(others, df, nodes, text, key, size, lower, percent), "links")
     if not more.isEmpty():
         label = components(links.unionAll(more))
-    rows = s.select(key, "n_shingles", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = rows.where("label is not null").groupBy("label").agg(F.min(key).alias("least"))
-    out = rows.join(least, "label", "left").select(key, "n_shingles", F.coalesce("least", key).alias("component_id"))
+    nodes = materialise(nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "nodes")
+    least = nodes.groupBy("label").agg(F.min(key).alias("least"))
+    held = left_join(s.select(key, "n_shingles", "node"), materialise(left_join(nodes.select("node", "label"), least, "label").select("node", "least"), "components"), "node")
+    out = held.select(key, "n_shingles", F.coalesce("least", key).alias("component_id"))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
