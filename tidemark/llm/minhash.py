@@ -11,8 +11,8 @@ Pairs inside a group are never all formed.  Texts with the same set are one node
 the bucket's centres only (the least member under a few orders); confirmed links are joined to components; then only
 members of one bucket whose components still differ are left.  In a bucket of at most ``SMALL`` of them all are compared.
 Members of larger ones meet where they share a shingle of their prefixes: a set's rarest shingles, so many that two sets
-over the threshold have one in common for certain.  Where many share one, they must share the bucket and be of neighbouring
-size classes too.  Nothing is capped: a link of a bucket is either connected already, or compared.
+over the threshold have one in common for certain.  Members with a prefix shingle that many others share are compared with
+such members of their bucket.  Nothing is capped: a link of a bucket is either connected already, or compared.
 
 Chances: a link at the threshold 0.8 shares no band of 40 x 5 with probability 1.2e-7; the estimate loses one of
 128 x 2 bits with less than 1e-7, as it is let through from five standard deviations below the threshold on.
@@ -156,22 +156,18 @@ def prefixes(df: DataFrame, nodes: DataFrame, asked: DataFrame, text: str, key:
     return over_texts(texts, text, [], "node bigint, tokens array<bigint>", prepare).join(asked, "node", "left_semi").dropDuplicates(["node"]).select("node", F.explode("tokens").alias("token"))
 
 
-def meetings(members: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that may be similar. members: k, node, label, n_shingles; tokens: node, token.
+def meetings(members: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes of different components that share a token few have, and the nodes with a token that many have.
 
-    Small groups of a token are compared as they are; larger ones are split by bucket and size class.  A class spans a little
-    more than the ratio of sizes that the threshold allows, so similar sets are of the same class or of neighbouring ones.
+    members: node, label; tokens: node, token.
     """
-    one = members.select("node", "label", "n_shingles").distinct()
-    filed = materialise(tokens.join(one, "node").withColumn("class", F.floor(F.log("n_shingles") / float(np.log(100 / percent) * 1.0001))), "prefixes")
+    filed = materialise(tokens.join(members.select("node", "label").distinct(), "node"), "prefixes")
     crowd = filed.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("token", "n")
     crowd = materialise(crowd, "tokens")
     p = filed.join(crowd.where(F.col("n") <= SMALL), "token", "left_semi")
-    q = p.select("token", F.col("node").alias("other"), F.col("label").alias("far"))
-    direct = p.join(q, "token").where("label < far")
-    p = filed.join(crowd.where(F.col("n") > SMALL), "token", "left_semi").join(members.select("k", "node"), "node").select(F.xxhash64("token", "k").alias("g"), "node", "label", "class")
-    q = p.select("g", F.col("node").alias("other"), F.col("label").alias("far"), F.explode(F.array(*(F.col("class") + i for i in (-1, 0, 1)))).alias("class"))
-    return direct.select(F.col("node").alias("a"), F.col("other").alias("b")).unionAll(p.join(q, ["g", "class"]).where("label < far").select("node", "other")).distinct()
+    pairs = p.join(p.select("token", F.col("node").alias("other"), F.col("label").alias("far")), "token").where("label < far")
+    common = filed.join(crowd.where(F.col("n") > SMALL), "token", "left_semi").select("node").distinct()
+    return pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), common
 
 
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", lower: bool = True) -> DataFrame:
@@ -190,15 +186,16 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, text: str =
     label = components(links)
     # buckets in which more than one component is left
     known = shared.select("k", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = known.groupBy("k").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("k")
-    open_ = materialise(known.join(mixed, "k", "left_semi").join(sign, "node"), "open")
-    large = materialise(open_.groupBy("k").count().where(F.col("count") > SMALL).select("k"), "large")
-    p = open_.join(large, "k", "left_anti").alias("p")
-    q = p.alias("q")
+    mixed = known.groupBy("k").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n")).where("l < h").select("k", "n")
+    open_ = materialise(known.join(mixed, "k").join(sign, "node"), "open")
+    members = open_.where(F.col("n") > SMALL)
+    small, met = open_.where(F.col("n") <= SMALL), None
+    if not members.isEmpty():
+        met, common = meetings(members, prefixes(df, nodes, members.select("node").distinct(), text, key, size, lower, percent))
+        small = small.unionAll(members.join(common, "node", "left_semi").select(*small.columns))
+    p, q = small.alias("p"), small.alias("q")
     others = p.join(q, (F.col("p.k") == F.col("q.k")) & (F.col("p.label") < F.col("q.label")) & near("p", "q", percent)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
-    if not large.isEmpty():
-        members = open_.join(large, "k", "left_semi").select("k", "node", "label", "n_shingles")
-        met = meetings(members, prefixes(df, nodes, members.select("node").distinct(), text, key, size, lower, percent), percent)
+    if met is not None:
         met = met.join(sign.alias("p"), F.col("p.node") == met["a"]).join(sign.alias("q"), F.col("q.node") == met["b"]).where(near("p", "q", percent)).select("a", "b")
         others = others.unionAll(met)
     more = materialise(confirmed(others, df, nodes, text, key, size, lower, percent), "links")
