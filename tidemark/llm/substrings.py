@@ -1,20 +1,24 @@
 """Exact removal of word passages that an earlier document has as well.
 
 Method: prefix-partitioned suffix trees.  A passage repeats if the suffix at its first word shares ``size`` words with
-another suffix, which is an internal node of the suffix tree at that depth.  The tree is never built whole.  Suffixes are
-split by a run of their own words into groups that fit in memory, and each group grows the part of the tree that lies
-below its run.  The splitting run has variable length: normally it is the one run of ``RUN`` words, among those in the
-suffix's first ``size`` words, whose hash is least.  Equal suffixes choose the same run, neighbouring suffixes mostly
-share one, and so one row carries all of them.  Where a run is so frequent that its group would not fit, the run is
-lengthened to all ``size`` words; such a group is a single node.  Below a run a node is told by the whole 64-bit hash of its
-``size`` words, which every open window sends.  Each node at the depth keeps its least document; merging the covered places of
-a document gives its maximal repeats.
+another suffix, that is below an internal node of the suffix tree of that depth or more.  The tree is never built whole.
+Suffixes are split by a run of their own words into groups that fit in memory, and each group builds its part of the
+tree: its suffixes are sorted by their words, neighbours in that order share as many words as their lowest common
+ancestor is deep, and stretches of neighbours that share ``size`` words are the deep nodes.  Each keeps its least
+document; merging the covered places of a document gives its maximal repeats.
 
-Rows of a slice that go to one group travel as one parcel, so the shuffle moves few large rows.
+The splitting run has variable length: normally it is the one run of ``RUN`` words, among those in the suffix's first
+``size`` words, whose hash is least.  Equal suffixes choose the same run, neighbouring suffixes mostly share one, and so
+one row carries the words of all of them; a run that had to be the first words of each suffix would send every word
+``size`` times.  Where a run is so frequent that its group would not fit, it is lengthened to the first ``size`` words.
 
-Skew: equal suffixes within a task are merged before the shuffle, and only the least document of each goes on, so a
-passage that a third of all documents share costs one row a task.  How full the groups get is counted over all
-documents, in a table of fixed size.
+Hashes only choose the group.  That two suffixes are equal is always decided by their words, byte by byte.
+
+Rows of a slice that go to one group travel as one parcel with their compressed words, so the shuffle moves few large rows.
+
+Skew: equal suffixes within a slice are merged before the shuffle, and only the least document of each goes on, so a
+passage that a third of all documents share costs one row a slice.  How full the groups get is counted over all
+documents, in a table that grows with the rows up to ``_MOST`` counters.
 
 Defined results: null and empty texts lose nothing; documents with a null key lose nothing and take nothing; rows with
 equal keys do not remove from each other; texts shorter than ``size`` words are kept whole; windows are judged on the
@@ -27,6 +31,8 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import bytetext as bt
@@ -35,7 +41,9 @@ from tidemark.llm.textmap import lists, over_texts, total_counts
 RUN = 5
 #: Rows of a group: what one task holds at once.
 GROUP_ROWS = 50_000
+#: Counters of the table of runs: at first, and at most.  There are four for each full group, so that a crowded run stands out.
 _COUNTERS = 1 << 16
+_MOST = 1 << 22
 _SLICE = 2 << 20
 
 
@@ -51,9 +59,26 @@ def _least_run(run: np.ndarray, width: int) -> np.ndarray:
     return (u & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
 
 
+def _spaced(words: bt.Words) -> tuple[np.ndarray, np.ndarray]:
+    """All words of a slice, each followed by one space, and where each begins."""
+    n = words.end - words.start + 1
+    begin = np.append(0, np.cumsum(n))
+    data = np.append(words.data, np.uint8(32))[np.arange(begin[-1]) + np.repeat(words.start - begin[:-1], n)]
+    data[begin[1:] - 1] = 32
+    return data, begin
+
+
+def _names(data, begin: np.ndarray) -> tuple[np.ndarray, int]:
+    """A number for each word, in the order of their bytes, and how many different ones there are."""
+    coded = pa.Array.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin), pa.py_buffer(data)]).dictionary_encode()
+    rank = np.empty(len(coded.dictionary), np.int64)
+    rank[np.asarray(pc.sort_indices(coded.dictionary))] = np.arange(len(rank))
+    return rank[np.asarray(coded.indices)], len(rank)
+
+
 def _suffixes(texts: pa.Array, keys: pa.Array, size: int, resolve: bool):
     """Windows of a slice: words, hash, first word, text, key, whether an earlier document of the slice has it (if asked),
-    rows (first window, end), run hash of each row, place of the run of each window."""
+    rows (first window, end), run hash of each row, place of the run of each window, spaced words and their places (if asked)."""
     words = bt.split(texts)
     h = words.hashes()
     w, at, doc = bt.windows(words, size, h)
@@ -63,29 +88,45 @@ def _suffixes(texts: pa.Array, keys: pa.Array, size: int, resolve: bool):
     key = np.asarray(keys.fill_null(0)).astype(np.int64)[doc]
     known = np.zeros(len(w), bool)
     if not len(w):
-        return words, w, at, doc, key, known, np.zeros(0, np.int64), np.zeros(0, np.int64), w, at
+        return words, w, at, doc, key, known, np.zeros(0, np.int64), np.zeros(0, np.int64), w, at, w, at
+    data = begin = None
     if resolve:
+        data, begin = _spaced(words)
         order = np.argsort(w)
-        first = np.flatnonzero(np.append(True, w[order][1:] != w[order][:-1]))
-        least = np.repeat(np.minimum.reduceat(key[order], first), np.diff(np.append(first, len(order))))
-        known[order] = key[order] > least
+        new = np.append(True, w[order][1:] != w[order][:-1])
+        alike = np.cumsum(new) - 1
+        late = key[order] > np.minimum.reduceat(key[order], np.flatnonzero(new))[alike]
+        if late.any():
+            holder = np.empty(alike[-1] + 1, np.int64)
+            holder[alike[~late]] = order[~late]
+            x, y = order[late], holder[alike[late]]
+            name, _ = _names(data, begin)
+            same = np.ones(len(x), bool)
+            for i in range(size):
+                same &= name[at[x] + i] == name[at[y] + i]
+            known[x[same]] = True
     n = np.arange(len(h) - RUN + 1)
     run = bt.run_hashes(h, n, n + RUN)
     place = _least_run(run, size - RUN + 1)[at]
     start = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])))
-    return words, w, at, doc, key, known, start, np.append(start[1:], len(w)), run[place[start]], place
+    return words, w, at, doc, key, known, start, np.append(start[1:], len(w)), run[place[start]], place, data, begin
+
+
+#: Bits that tell rows with equal keys and different texts apart.
+_TAG = (1 << 23) - 1
+_LEVEL = 3
 
 
-def _counter(run: np.ndarray) -> np.ndarray:
-    return (run >> np.uint64(48)).astype(np.int64)
+def _counter(run: np.ndarray, counters: int) -> np.ndarray:
+    return (run >> np.uint64(65 - counters.bit_length())).astype(np.int64)
 
 
-def _fill(df: DataFrame, text: str, key: str, size: int) -> np.ndarray:
-    """How many rows fall on each counter: all documents count, the table has a fixed size."""
-    return total_counts(df, text, _COUNTERS, lambda texts, keys: np.bincount(_counter(_suffixes(texts, keys, size, False)[8]), minlength=_COUNTERS), (key,), _SLICE)
+def _fill(df: DataFrame, text: str, key: str, size: int, counters: int) -> np.ndarray:
+    """How many rows fall on each counter, a power of two of them: all documents count."""
+    return total_counts(df, text, counters, lambda texts, keys: np.bincount(_counter(_suffixes(texts, keys, size, False)[8], counters), minlength=counters), (key,), _SLICE)
 
 
-#: Arrays of a parcel: the rows that one slice sends to one group. meta: windows, known ones. The hashes of the open windows follow.
+#: Arrays of a parcel: the rows that one slice sends to one group. meta: windows, known ones. The words of each row from its first open window to its last follow.
 _PARCEL = (("key", np.int64), ("place", np.int64), ("meta", np.int32))
 
 
@@ -94,28 +135,29 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
-def _unpacked(parcels: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    found, tails = {c: [] for c, _ in _PARCEL}, []
+def _unpacked(parcels: list[bytes]) -> tuple[dict[str, np.ndarray], bytes]:
+    found, texts, unzip = {c: [] for c, _ in _PARCEL}, [], zstandard.ZstdDecompressor()
     for p in parcels:
         n, at = int.from_bytes(p[:4], "little"), 4
         for c, kind in _PARCEL:
             size = np.dtype(kind).itemsize
             found[c].append(np.ascontiguousarray(np.frombuffer(p, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel())
             at += n * size
-        tails.append(np.frombuffer(p, "<u8", -1, at))
-    return {c: np.concatenate(x) for c, x in found.items()}, np.concatenate(tails)
+        if at < len(p):
+            texts.append(unzip.decompress(memoryview(p)[at:]))
+    return {c: np.concatenate(x) for c, x in found.items()}, b"".join(texts)
 
 
 def _rows(df: DataFrame, text: str, key: str, size: int, crowded: np.ndarray, groups: int) -> DataFrame:
     """g, parcel: the suffix rows of each slice, by group."""
     def work(texts, keys):
-        words, w, at, doc, own, known, start, end, run, _ = _suffixes(texts, keys, size, True)
+        words, w, at, doc, own, known, start, end, run, _, spaced, begin = _suffixes(texts, keys, size, True)
         ends = np.zeros(len(texts) + 1, np.int64)
         if not len(w):
             return [lists(np.zeros(0, np.int32), ends), lists(pa.array([], pa.binary()), ends)]
         data, offsets = memoryview(np.ascontiguousarray(words.data)), words.offsets
-        tag = np.array([zlib.crc32(data[a:b]) & 0xFFFF for a, b in zip(offsets[:-1], offsets[1:])], np.int64)
-        full = crowded[_counter(run)]
+        tag = np.array([zlib.crc32(data[a:b]) & _TAG for a, b in zip(offsets[:-1], offsets[1:])], np.int64)
+        full = crowded[_counter(run, len(crowded))]
         # rows of crowded runs fall apart into their windows
         each = np.where(full, end - start, 1)
         row = np.repeat(np.arange(len(start)), each)
@@ -127,50 +169,79 @@ def _rows(df: DataFrame, text: str, key: str, size: int, crowded: np.ndarray, gr
         open_ = np.add.reduceat((~known).astype(np.int64), s)
         k = np.where(full[row], w[s], run[row])
         k = np.where(open_ == 0, bt.mix((own[s] + at[s]).astype(np.uint64)), k)  # nothing open: any group will do
-        sums = np.append(0, np.cumsum(~known))
-        tail = w.astype("<u8")[~known]
         g = (k % np.uint64(groups)).astype(np.int64)
         order = np.argsort(g, kind="stable")
-        count = open_[order]
-        first_tail = sums[s][order]
-        n_tails = np.cumsum(count)
-        tails = tail[np.repeat(first_tail - (n_tails - count), count) + np.arange(int(n_tails[-1]))]
+        # words from the first open window of a row to the end of its last one
+        opened = np.append(np.flatnonzero(~known), 0)
+        before = np.append(0, np.cumsum(~known))[s]
+        low = np.where(open_ > 0, begin[at[opened[before]]], 0)[order].tolist()
+        high = np.where(open_ > 0, begin[at[opened[np.maximum(before + open_ - 1, 0)]] + size], 0)[order].tolist()
+        view, zipped = memoryview(spaced), zstandard.ZstdCompressor(level=_LEVEL)
         columns = {"key": own[s][order], "place": (tag[doc[s]] << 40 | at[s] - words.first[doc[s]])[order],
                    "meta": (e - s | flags << 4)[order].astype(np.int32)}
         names, first = np.unique(g[order], return_index=True)
-        bounds, t_at = np.append(first, len(order)), np.append(0, n_tails)
-        parcels = [b"".join([int(y - x).to_bytes(4, "little"), *(_planes(columns[c][x:y]) for c, _ in _PARCEL), tails[t_at[x]:t_at[y]].tobytes()]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        parcels = []
+        for x, y in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
+            carried = b"".join([view[i:j] for i, j in zip(low[x:y], high[x:y])])
+            parcels.append(b"".join([(y - x).to_bytes(4, "little"), *(_planes(columns[c][x:y]) for c, _ in _PARCEL), zipped.compress(carried) if carried else b""]))
         ends[1:] = len(names)
         return [lists(names.astype(np.int32), ends), lists(pa.array(parcels, pa.binary()), ends)]
     found = over_texts(df, text, [], "g array<int>, parcel array<binary>", lambda: work, beside=(key,), limit=_SLICE)
     return found.select(F.explode(F.arrays_zip("g", "parcel")).alias("r")).select("r.g", "r.parcel")
 
 
-def _nodes(table: pa.Table) -> pa.Table:
-    """The tree below each run of a group: nodes at full depth, their least document, and the suffixes of later ones."""
-    c, tails = _unpacked([p.as_py() for p in table.column("parcel")])
+def _late(name: np.ndarray, names: int, at: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
+    """Which of the suffixes at places ``at`` lie below a node of depth ``size`` or more that a smaller key has too."""
+    bits = max(1, (names - 1).bit_length())
+    width, prefix = 63 // bits, []
+    for i in range(0, size, width):
+        x = name[at + i]
+        for j in range(i + 1, min(i + width, size)):
+            x = x << bits | name[at + j]
+        prefix.append(x)
+    order = np.lexsort(prefix[::-1])
+    # neighbours in suffix order that share fewer words end a node
+    fresh = np.zeros(len(order), bool)
+    fresh[0] = True
+    for x in prefix:
+        x = x[order]
+        fresh[1:] |= x[1:] != x[:-1]
+    node, own = np.cumsum(fresh) - 1, key[order]
+    late = np.empty(len(order), bool)
+    late[order] = own > np.minimum.reduceat(own, np.flatnonzero(fresh))[node]
+    return late
+
+
+def _nodes(table: pa.Table, *, size: int = 13) -> pa.Table:
+    """The part of the tree that belongs to a group: suffixes in order of their words, the deep nodes, and the suffixes of later documents."""
+    c, text = _unpacked([p.as_py() for p in table.column("parcel")])
     key, meta = c["key"], c["meta"].astype(np.int64)
-    n, known = meta & 15, meta >> 4 & 0xFFF
-    row = np.repeat(np.arange(len(n)), n)
-    j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    late = (known[row] >> j & 1) > 0
-    at = np.flatnonzero(~late)
-    if len(at):
-        order = np.argsort(tails)
-        first = np.flatnonzero(np.append(True, tails[order][1:] != tails[order][:-1]))
-        k = key[row[at]][order]
-        late[at[order]] = k > np.repeat(np.minimum.reduceat(k, first), np.diff(np.append(first, len(order))))
-    mask = np.bincount(row, weights=np.where(late, 1 << j, 0), minlength=len(n)).astype(np.int64)
+    j = np.arange(12)
+    inside = j < (meta & 15)[:, None]
+    known = inside & (meta[:, None] >> 4 >> j & 1 > 0)
+    late, open_ = known, inside & ~known
+    if open_.any():
+        data = np.frombuffer(text, np.uint8)
+        name, names = _names(text, np.append(0, np.flatnonzero(data == 32) + 1))
+        first = open_.argmax(1)
+        carried = np.where(open_.any(1), 12 - open_[:, ::-1].argmax(1) - 1 - first + size, 0)
+        begin = np.cumsum(carried) - carried
+        row, at = np.nonzero(open_)
+        late[row, at] = _late(name, names, begin[row] + at - first[row], key[row], size)
+    mask = (late << j).sum(1)
     some = mask > 0
     return pa.table({"key": key[some], "place": c["place"][some], "mask": pa.array(mask[some], pa.int32())})
 
 
 def repeats(df: DataFrame, size: int = 13, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, place, mask): windows that start in a document with a smaller key, as bits from a first window on."""
-    total = _fill(df, text, key, size)
-    crowded = total > max(GROUP_ROWS, 4 * total.mean())
+    total = _fill(df, text, key, size, _COUNTERS)
+    wanted = 1 << (4 * int(total.sum()) // GROUP_ROWS).bit_length()
+    if wanted > _COUNTERS:
+        total = _fill(df, text, key, size, min(wanted, _MOST))
+    crowded = total > max(GROUP_ROWS, 4 * total.mean())  # the mean counts only where _MOST counters are too few
     groups = max(-(-int(total.sum()) // GROUP_ROWS), 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return _rows(df, text, key, size, crowded, groups).groupBy("g").applyInArrow(_nodes, "key bigint, place bigint, mask int")
+    return _rows(df, text, key, size, crowded, groups).groupBy("g").applyInArrow(lambda table: _nodes(table, size=size), "key bigint, place bigint, mask int")
 
 
 def without_repeats(df: DataFrame, size: int = 13, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = (), joined: bool = False) -> DataFrame:
@@ -195,7 +266,7 @@ def without_repeats(df: DataFrame, size: int = 13, text: str = "text", key: str
             hidden = np.zeros(b - a, bool)
             if c.is_valid and b > a:
                 place, mask = (np.asarray(c.values.field(i)) for i in (0, 1))
-                own = place >> 40 == zlib.crc32(data[lo:hi]) & 0xFFFF
+                own = place >> 40 == zlib.crc32(data[lo:hi]) & _TAG
                 place, mask = place[own] & (1 << 40) - 1, mask[own]
                 at = np.concatenate([place[mask >> j & 1 > 0] + j for j in range(12)])
                 hidden = bt.covered(b - a, at, size)
