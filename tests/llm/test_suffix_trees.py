@@ -83,7 +83,7 @@ def test_counters_follow_the_rows():
         assert (substrings._counter(run, 1 << bits) == (run >> np.uint64(64 - bits)).astype(np.int64)).all()
 
 
-@pytest.mark.parametrize("size", [5, 8, 16])
+@pytest.mark.parametrize("size", [3, 8, 16, 25])
 def test_other_sizes(spark, size):
     texts = some_texts(size, ["a", "b", "c"])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)

@@ -7,7 +7,7 @@ tree: its suffixes are sorted by their words, neighbours in that order share as
 ancestor is deep, and stretches of neighbours that share ``size`` words are the deep nodes.  Each keeps its least
 document; merging the covered places of a document gives its maximal repeats.
 
-The splitting run has variable length: normally it is the one run of ``RUN`` words, among those in the suffix's first
+The splitting run has variable length: normally it is the one run of a few words, among those in the suffix's first
 ``size`` words, whose hash is least.  Equal suffixes choose the same run, neighbouring suffixes mostly share one, and so
 one row carries the words of all of them; a run that had to be the first words of each suffix would send every word
 ``size`` times.  Where a run is so frequent that its group would not fit, it is lengthened to the first ``size`` words.
@@ -38,7 +38,8 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm import bytetext as bt
 from tidemark.llm.textmap import lists, over_texts, total_counts
 
-RUN = 5
+#: Words of a splitting run, more where ``size`` is over 14: a row has at most 12 windows.
+RUN = 3
 #: Rows of a group: what one task holds at once.
 GROUP_ROWS = 50_000
 #: Counters of the table of runs: at first, and at most.  There are four for each full group, so that a crowded run stands out.
@@ -105,16 +106,17 @@ def _suffixes(texts: pa.Array, keys: pa.Array, size: int, resolve: bool):
             for i in range(size):
                 same &= name[at[x] + i] == name[at[y] + i]
             known[x[same]] = True
-    n = np.arange(len(h) - RUN + 1)
-    run = bt.run_hashes(h, n, n + RUN)
-    place = _least_run(run, size - RUN + 1)[at]
+    length = max(RUN, size - 11)
+    n = np.arange(len(h) - length + 1)
+    run = bt.run_hashes(h, n, n + length)
+    place = _least_run(run, size - length + 1)[at]
     start = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])))
     return words, w, at, doc, key, known, start, np.append(start[1:], len(w)), run[place[start]], place, data, begin
 
 
 #: Bits that tell rows with equal keys and different texts apart.
 _TAG = (1 << 23) - 1
-_LEVEL = 3
+_LEVEL = 6
 
 
 def _counter(run: np.ndarray, counters: int) -> np.ndarray:
@@ -250,8 +252,8 @@ def without_repeats(df: DataFrame, size: int = 13, text: str = "text", key: str
     With joined=True the remaining words are joined by one space; otherwise the text between and around them stays as it
     is, but for the space before each removed word.
     """
-    if size - RUN + 1 > 12 or size < RUN:
-        raise ValueError("size must be between 5 and 16")
+    if size < RUN:
+        raise ValueError(f"size must be at least {RUN}")
     cuts = repeats(df, size, text, key).groupBy("key").agg(F.collect_list(F.struct("place", "mask")).alias("__cuts"))  # bounded by the document's own words
     rows = df.join(cuts.withColumnRenamed("key", "__key"), F.col(key) == F.col("__key"), "left")
 
