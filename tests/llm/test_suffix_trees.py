@@ -64,7 +64,7 @@ def test_equal_hashes_within_a_group(spark, monkeypatch):
     monkeypatch.setattr(bt.Words, "hashes", lambda self: np.full(len(self.start), 7, np.uint64))
     monkeypatch.setattr(substrings, "over_texts", lambda df, text, keep, new, prepare, **_: work.setdefault("f", prepare()) and df)
     try:
-        substrings._rows(spark.createDataFrame([], "g array<int>, parcel array<binary>"), "parcel", "g", 13, np.zeros(1 << 16, bool), 3)
+        substrings._rows(spark.createDataFrame([], "g array<int>, parcel array<binary>"), "parcel", "g", 13, (), 3)
     except Exception as e:  # noqa: BLE001
         raise AssertionError("rows are planned without reading") from e
     for d, t in enumerate(texts):  # each text a slice of its own, so that nothing is merged before
@@ -83,8 +83,9 @@ def test_counters_follow_the_rows():
         assert (substrings._counter(run, 1 << bits) == (run >> np.uint64(64 - bits)).astype(np.int64)).all()
 
 
-@pytest.mark.parametrize("size", [3, 8, 16, 25])
-def test_other_sizes(spark, size):
+@pytest.mark.parametrize("size", [3, 8, 13, 16, 25])
+def test_other_sizes_and_crowded_groups(spark, monkeypatch, size):
+    monkeypatch.setattr(substrings, "GROUP_ROWS", 20)  # most runs are too frequent, some longer ones as well
     texts = some_texts(size, ["a", "b", "c"])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: r["n_removed"] for r in substrings.without_repeats(df, size).collect()}

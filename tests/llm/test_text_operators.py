@@ -208,9 +208,11 @@ def test_repeated_passages(docs):
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in got) == without_repeats_by_hand(messy())
 
 
-def test_crowded_runs_become_single_nodes(spark, docs):
+@pytest.mark.parametrize("still", ["every", "none", "some"])
+def test_crowded_runs_are_lengthened(spark, docs, still):
     every = np.ones(1 << 16, bool)
-    rows = substrings._rows(docs.select("doc_id", "text"), "text", "doc_id", 13, every, 4)
+    some = {"every": every, "none": ~every, "some": np.arange(1 << 16) % 2 == 0}[still]
+    rows = substrings._rows(docs.select("doc_id", "text"), "text", "doc_id", 13, (every if still != "some" else np.arange(1 << 16) % 3 > 0, some), 4)
     nodes = rows.groupBy("g").applyInArrow(substrings._nodes, "key bigint, place bigint, mask int")
     plain = substrings.repeats(docs, 13)
     covers = lambda df: {(r["key"], (r["place"] & (1 << 40) - 1) + j) for r in df.collect() for j in range(12) if r["mask"] >> j & 1}

@@ -10,7 +10,9 @@ document; merging the covered places of a document gives its maximal repeats.
 The splitting run has variable length: normally it is the one run of a few words, among those in the suffix's first
 ``size`` words, whose hash is least.  Equal suffixes choose the same run, neighbouring suffixes mostly share one, and so
 one row carries the words of all of them; a run that had to be the first words of each suffix would send every word
-``size`` times.  Where a run is so frequent that its group would not fit, it is lengthened to the first ``size`` words.
+``size`` times.  Where a run is so frequent that its group would not fit, it is lengthened by the words after it (by those
+before it in suffixes that end too soon) to half way between its length and ``size``, and where that is still too
+frequent, to the first ``size`` words.
 
 Hashes only choose the group.  That two suffixes are equal is always decided by their words, byte by byte.
 
@@ -77,7 +79,7 @@ def _names(data, begin: np.ndarray) -> tuple[np.ndarray, int]:
     return rank[np.asarray(coded.indices)], len(rank)
 
 
-def _suffixes(texts: pa.Array, keys: pa.Array, size: int, resolve: bool):
+def _suffixes(texts: pa.Array, keys: pa.Array, size: int, resolve: bool, crowded: tuple[np.ndarray, ...] = ()):
     """Windows of a slice: words, hash, first word, text, key, whether an earlier document of the slice has it (if asked),
     rows (first window, end), run hash of each row, place of the run of each window, spaced words and their places (if asked)."""
     words = bt.split(texts)
@@ -110,8 +112,23 @@ def _suffixes(texts: pa.Array, keys: pa.Array, size: int, resolve: bool):
     n = np.arange(len(h) - length + 1)
     run = bt.run_hashes(h, n, n + length)
     place = _least_run(run, size - length + 1)[at]
-    start = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])))
-    return words, w, at, doc, key, known, start, np.append(start[1:], len(w)), run[place[start]], place, data, begin
+    name = run[place]
+    fresh = np.append(True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]))
+    if crowded:
+        longer = (size + length) // 2
+        ahead = place - at <= size - longer
+        full = crowded[0][_counter(name, len(crowded[0]))]
+        # equal suffixes have their run at the same distance, and so choose the same longer one
+        x = np.flatnonzero(full)
+        first = np.where(ahead[x], place[x], place[x] + length - longer)
+        name[x] = bt.run_hashes(h, first, first + longer)
+        fresh[1:] |= full[1:] & (ahead[1:] != ahead[:-1])
+        for still in crowded[1:]:
+            full &= still[_counter(name, len(still))]
+            name[full], fresh[full] = w[full], True
+            fresh[1:] |= full[:-1] & ~full[1:]
+    start = np.flatnonzero(fresh)
+    return words, w, at, doc, key, known, start, np.append(start[1:], len(w)), name[start], place, data, begin
 
 
 #: Bits that tell rows with equal keys and different texts apart.
@@ -123,9 +140,11 @@ def _counter(run: np.ndarray, counters: int) -> np.ndarray:
     return (run >> np.uint64(65 - counters.bit_length())).astype(np.int64)
 
 
-def _fill(df: DataFrame, text: str, key: str, size: int, counters: int) -> np.ndarray:
+def _fill(df: DataFrame, text: str, key: str, size: int, counters: int, crowded: tuple[np.ndarray, ...] = ()) -> np.ndarray:
     """How many rows fall on each counter, a power of two of them: all documents count."""
-    return total_counts(df, text, counters, lambda texts, keys: np.bincount(_counter(_suffixes(texts, keys, size, False)[8], counters), minlength=counters), (key,), _SLICE)
+    def work(texts, keys):
+        return np.bincount(_counter(_suffixes(texts, keys, size, False, crowded)[8], counters), minlength=counters)
+    return total_counts(df, text, counters, work, (key,), _SLICE)
 
 
 #: Arrays of a parcel: the rows that one slice sends to one group. meta: windows, known ones. The words of each row from its first open window to its last follow.
@@ -150,37 +169,29 @@ def _unpacked(parcels: list[bytes]) -> tuple[dict[str, np.ndarray], bytes]:
     return {c: np.concatenate(x) for c, x in found.items()}, b"".join(texts)
 
 
-def _rows(df: DataFrame, text: str, key: str, size: int, crowded: np.ndarray, groups: int) -> DataFrame:
+def _rows(df: DataFrame, text: str, key: str, size: int, crowded: tuple[np.ndarray, ...], groups: int) -> DataFrame:
     """g, parcel: the suffix rows of each slice, by group."""
     def work(texts, keys):
-        words, w, at, doc, own, known, start, end, run, _, spaced, begin = _suffixes(texts, keys, size, True)
+        words, w, at, doc, own, known, start, end, run, _, spaced, begin = _suffixes(texts, keys, size, True, crowded)
         ends = np.zeros(len(texts) + 1, np.int64)
         if not len(w):
             return [lists(np.zeros(0, np.int32), ends), lists(pa.array([], pa.binary()), ends)]
         data, offsets = memoryview(np.ascontiguousarray(words.data)), words.offsets
         tag = np.array([zlib.crc32(data[a:b]) & _TAG for a, b in zip(offsets[:-1], offsets[1:])], np.int64)
-        full = crowded[_counter(run, len(crowded))]
-        # rows of crowded runs fall apart into their windows
-        each = np.where(full, end - start, 1)
-        row = np.repeat(np.arange(len(start)), each)
-        step = np.where(full[row], np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each), 0)
-        s = start[row] + step
-        e = np.where(full[row], s + 1, end[row])
         bit = np.int64(1) << (np.arange(len(w)) - np.repeat(start, end - start))
-        flags = np.add.reduceat(np.where(known, bit, 0), s) >> step
-        open_ = np.add.reduceat((~known).astype(np.int64), s)
-        k = np.where(full[row], w[s], run[row])
-        k = np.where(open_ == 0, bt.mix((own[s] + at[s]).astype(np.uint64)), k)  # nothing open: any group will do
+        flags = np.add.reduceat(np.where(known, bit, 0), start)
+        open_ = np.add.reduceat((~known).astype(np.int64), start)
+        k = np.where(open_ == 0, bt.mix((own[start] + at[start]).astype(np.uint64)), run)  # nothing open: any group will do
         g = (k % np.uint64(groups)).astype(np.int64)
         order = np.argsort(g, kind="stable")
         # words from the first open window of a row to the end of its last one
         opened = np.append(np.flatnonzero(~known), 0)
-        before = np.append(0, np.cumsum(~known))[s]
+        before = np.append(0, np.cumsum(~known))[start]
         low = np.where(open_ > 0, begin[at[opened[before]]], 0)[order].tolist()
         high = np.where(open_ > 0, begin[at[opened[np.maximum(before + open_ - 1, 0)]] + size], 0)[order].tolist()
         view, zipped = memoryview(spaced), zstandard.ZstdCompressor(level=_LEVEL)
-        columns = {"key": own[s][order], "place": (tag[doc[s]] << 40 | at[s] - words.first[doc[s]])[order],
-                   "meta": (e - s | flags << 4)[order].astype(np.int32)}
+        columns = {"key": own[start][order], "place": (tag[doc[start]] << 40 | at[start] - words.first[doc[start]])[order],
+                   "meta": (end - start | flags << 4)[order].astype(np.int32)}
         names, first = np.unique(g[order], return_index=True)
         parcels = []
         for x, y in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
@@ -237,11 +248,17 @@ def _nodes(table: pa.Table, *, size: int = 13) -> pa.Table:
 
 def repeats(df: DataFrame, size: int = 13, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, place, mask): windows that start in a document with a smaller key, as bits from a first window on."""
-    total = _fill(df, text, key, size, _COUNTERS)
+    counters, crowded = _COUNTERS, ()
+    total = _fill(df, text, key, size, counters)
     wanted = 1 << (4 * int(total.sum()) // GROUP_ROWS).bit_length()
-    if wanted > _COUNTERS:
-        total = _fill(df, text, key, size, min(wanted, _MOST))
-    crowded = total > max(GROUP_ROWS, 4 * total.mean())  # the mean counts only where _MOST counters are too few
+    if wanted > counters:
+        counters = min(wanted, _MOST)
+        total = _fill(df, text, key, size, counters)
+    # the mean counts only where the most counters are too few
+    full = total > max(GROUP_ROWS, 4 * total.mean())
+    if full.any():
+        total = _fill(df, text, key, size, counters, (full,))
+        crowded = full, total > max(GROUP_ROWS, 4 * total.mean())
     groups = max(-(-int(total.sum()) // GROUP_ROWS), 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return _rows(df, text, key, size, crowded, groups).groupBy("g").applyInArrow(lambda table: _nodes(table, size=size), "key bigint, place bigint, mask int")
 
