@@ -160,7 +160,8 @@ def _(spark, d):
 
 @query("N19_rating_labels", """WITH s AS (SELECT c_custkey, CASE WHEN c_nationkey <> 3 THEN round(c_acctbal / 5000 - 1, 1) END AS x FROM customer) SELECT c_custkey, CASE WHEN x IS NULL THEN 'unknown' WHEN x >= .5 THEN 'strong_buy' WHEN x >= .1 THEN 'buy' WHEN x > -.1 THEN 'neutral' WHEN x > -.5 THEN 'sell' ELSE 'strong_sell' END AS label FROM s""")
 def _(spark, d):
-    x = F.when(F.col("c_nationkey") != 3, F.round(F.col("c_acctbal") / 5000 - 1, 1))
+    # scaled before it is rounded: 2750 / 5000 - 1 lies a hair above -0.45, ten times it is -4.5
+    x = F.when(F.col("c_nationkey") != 3, F.round((F.col("c_acctbal") / 5000 - 1) * 10) / 10)
     return A.table(spark, d, "customer").select("c_custkey", X.vendor_rating_label(x).alias("label"))
 
 
