@@ -44,12 +44,31 @@ def _offsets(counts: DataFrame, group: list[str]) -> DataFrame:
     return counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
 
 
+#: Rows of a group that one task sorts; larger groups are cut by value.
+SORTED_ROWS = 1_000_000
+
+
+def by_size(df: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of groups up to SORTED_ROWS rows, and those of larger ones.  Joins and the windows after them go by the
+    same keys, so that the first part is dealt once; the second is dropped at run time where no group is that large."""
+    large = df.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > SORTED_ROWS).select(*group)
+    return df.join(large, group, "left_anti").where(reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in group])), df.join(large, group, "left_semi")
+
+
 def position_within(df: DataFrame, group: list[str], value: str, tie: str, out: str, descending: bool = False) -> DataFrame:
     """1-based position by (value, tie) inside each group, NULL and NaN values excluded, plus the group
-    size as ``<out>_of``.  Rows are counted per value and tie bucket first; only rows of one value and one
-    tie bucket are sorted in one task, so one group and one value may hold any share of the rows."""
+    size as ``<out>_of``.  Groups up to SORTED_ROWS rows are sorted by a window, larger ones cut by value."""
     v = -F.col(value) if descending else F.col(value)
-    keyed = df.where(number(F.col(value))).withColumn("_v", v.cast("double")).withColumns({"_b": value_bucket(F.col("_v")), "_t": tie_bucket(df, tie)})
+    sorted_, cut = by_size(df.where(number(F.col(value))).withColumn("_v", v.cast("double")), group)
+    w = W.partitionBy(*group)
+    ranked = sorted_.withColumns({out: F.row_number().over(w.orderBy("_v", tie)).cast("bigint"), out + "_of": F.count("*").over(w)}).drop("_v")
+    return ranked.unionByName(_position_cut(cut, group, tie, out).select(*ranked.columns))
+
+
+def _position_cut(df: DataFrame, group: list[str], tie: str, out: str) -> DataFrame:
+    """Positions by (_v, tie).  Rows are counted per value and tie bucket first; only rows of one value and one
+    tie bucket are sorted in one task, so one group and one value may hold any share of the rows."""
+    keyed = df.withColumns({"_b": value_bucket(F.col("_v")), "_t": tie_bucket(df, tie)})
     cell = [*group, "_b", "_v", "_t"]
     counts = keyed.groupBy(*cell).agg(F.count("*").alias("_n"))
     per = _offsets(counts.groupBy(*group, "_b").agg(F.sum("_n").alias("_n")), group)
@@ -81,7 +100,17 @@ def average_rank(df: DataFrame, group: list[str], value: str, out: str) -> DataF
 
 
 def average_ranks(df: DataFrame, group: list[str], values: dict[str, str]) -> DataFrame:
-    """Several ranks at once; each table is built from df itself, not from the joins before it."""
+    """Several ranks at once, NULL and NaN values excluded.  Groups up to SORTED_ROWS rows are ranked by windows of one shuffle;
+    for larger ones each table is built from the rows themselves, not from the joins before it."""
+    rows = df.where(reduce(lambda a, b: a & b, [number(F.col(v)) for v in values]))
+    if not group:
+        return _ranks_joined(df, group, values)
+    sorted_, cut = by_size(rows, group)
+    ranked = calendar_ranks(sorted_, group, values)
+    return ranked.unionByName(_ranks_joined(cut, group, values).select(*ranked.columns))
+
+
+def _ranks_joined(df: DataFrame, group: list[str], values: dict[str, str]) -> DataFrame:
     out = df
     for value, name in values.items():
         out = out.join(rank_table(df, group, value, name), [*group, value])

@@ -24,10 +24,12 @@ def draw(parts: list, modulus: Column | int) -> Column:
 
 def spearman(df: DataFrame, group: list[str], x: str, y: str, min_n: int, calendar_bound: bool = False) -> DataFrame:
     """Rank correlation per group: average ranks, then a mergeable correlation aggregate.  Say
-    ``calendar_bound`` for groups of at most one row per day (a symbol at one horizon)."""
+    ``calendar_bound`` for groups of at most one row per day (a symbol at one horizon).  Equal ranks have no correlation:
+    no error."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     d = (calendar_ranks if calendar_bound else average_ranks)(d, group, {x: "_rx", y: "_ry"})
-    agg = (d.groupBy(*group) if group else d.groupBy()).agg(F.count("*").alias("n"), F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"), F.corr("_rx", "_ry").alias("_c"))
+    agg = (d.groupBy(*group) if group else d.groupBy()).agg(F.count("*").alias("n"), F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"),
+                                                               (F.covar_pop("_rx", "_ry") / F.nullif(F.stddev_pop("_rx") * F.stddev_pop("_ry"), F.lit(0.0))).alias("_c"))
     ok = (F.col("n") >= min_n) & (F.col("_x0") < F.col("_x1")) & (F.col("_y0") < F.col("_y1"))
     reason = F.when(F.col("n") < min_n, "too few pairs").when(~ok, "no variance")
     return agg.select(*group, "n", F.when(ok, F.col("_c")).alias("ic"), reason.alias("reason"))
