@@ -49,9 +49,10 @@ SORTED_ROWS = 1_000_000
 
 
 def by_size(df: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The rows of groups up to SORTED_ROWS rows, and those of larger ones.  Joins and the windows after them go by the
-    same keys, so that the first part is dealt once; the second is dropped at run time where no group is that large."""
-    large = df.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > SORTED_ROWS).select(*group)
+    """The rows of groups up to SORTED_ROWS rows, and those of larger ones.  The list of large groups has at most one row per
+    SORTED_ROWS rows, so it is broadcast and no row is dealt by a group that one task would have to read; the second part is
+    dropped at run time where no group is that large."""
+    large = F.broadcast(df.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > SORTED_ROWS).select(*group))
     return df.join(large, group, "left_anti").where(reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in group])), df.join(large, group, "left_semi")
 
 
@@ -101,19 +102,32 @@ def average_rank(df: DataFrame, group: list[str], value: str, out: str) -> DataF
 
 def average_ranks(df: DataFrame, group: list[str], values: dict[str, str]) -> DataFrame:
     """Several ranks at once, NULL and NaN values excluded.  Groups up to SORTED_ROWS rows are ranked by windows of one shuffle;
-    for larger ones each table is built from the rows themselves, not from the joins before it."""
+    larger ones are cut by value."""
     rows = df.where(reduce(lambda a, b: a & b, [number(F.col(v)) for v in values]))
     if not group:
-        return _ranks_joined(df, group, values)
+        return _ranks_cut(rows, group, values)
     sorted_, cut = by_size(rows, group)
     ranked = calendar_ranks(sorted_, group, values)
-    return ranked.unionByName(_ranks_joined(cut, group, values).select(*ranked.columns))
+    return ranked.unionByName(_ranks_cut(cut, group, values).select(*ranked.columns))
 
 
-def _ranks_joined(df: DataFrame, group: list[str], values: dict[str, str]) -> DataFrame:
-    out = df
+def _ranks_cut(df: DataFrame, group: list[str], values: dict[str, str]) -> DataFrame:
+    """Ranks of large groups: rows are dealt once a value, by value bucket, and ranked there by a window behind the rows of the
+    buckets before.  Buckets over SORTED_ROWS rows (a hot value) are ranked from counted distinct values instead."""
+    # the same filter everywhere, so that the counts of a value are made once
+    df = df.where(reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in group], F.lit(True)))
+    out, cell = df, [*group, "_cell"]
     for value, name in values.items():
-        out = out.join(rank_table(df, group, value, name), [*group, value])
+        b = value_bucket(F.col(value))
+        counts = df.groupBy(*group, b.alias("_b")).agg(F.count("*").alias("_n"))
+        before = _offsets(counts, group).select(*group, F.col("_b").alias("_cell"), "_before")
+        crowded = F.broadcast(counts.where(F.col("_n") > SORTED_ROWS).select(*group, F.col("_b").alias("_cell")))
+        keyed = out.withColumn("_cell", b)
+        place = (F.col("_before") + F.col("_in")).alias(name)
+        ranked = calendar_ranks(keyed.join(crowded, cell, "left_anti").join(before, cell), cell, {value: "_in"}).select(*out.columns, place)
+        hot = df.withColumn("_cell", b).join(crowded, cell, "left_semi")
+        table = rank_table(hot, cell, value, "_in").join(before, cell).select(*cell, value, place)
+        out = ranked.unionByName(keyed.join(crowded, cell, "left_semi").join(table, [*cell, value]).select(*out.columns, name))
     return out
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.distributions import normal_probability, normal_quantile
 from tidemark.operators.relational import average_rank, average_ranks, calendar_ranks, position_within, value_bucket
+from tidemark.sources.workspace import materialise
 
 
 def draw(parts: list, modulus: Column | int) -> Column:
@@ -42,6 +43,13 @@ def daily_ic(panel: DataFrame, value: str, fwd: str, keys: list[str] = (), min_n
     return ic_summary(ics, keys, min_days)
 
 
+def daily_ic_on(panel: DataFrame, value: str, fwd: str, days: DataFrame, keys: list[str], min_names: int = 5, min_days: int = 5) -> DataFrame:
+    """``daily_ic`` per key of ``days`` (date, keys), where a day may have several keys: a day's rank IC is worked out once, and
+    the days meet their keys, not the rows."""
+    ics = spearman(panel, ["date"], value, fwd, min_names).where("ic is not null")
+    return ic_summary(ics.join(days, "date"), keys, min_days)
+
+
 def ic_summary(ics: DataFrame, keys: list[str], min_days: int = 5) -> DataFrame:
     agg = (ics.groupBy(*keys) if keys else ics.groupBy()).agg(F.count("*").alias("ic_days"), F.avg("ic").alias("_m"), F.stddev_samp("ic").alias("_s"), F.avg((F.col("ic") > 1e-12).cast("double")).alias("_p"))
     ok = lambda e: F.when(F.col("ic_days") >= min_days, e)
@@ -55,9 +63,10 @@ def bucketed(panel: DataFrame, value: str, fwd: str, keys: list[str] = (), q: fl
     keys = list(keys)
     d = panel.where(F.col(value).isNotNull() & F.col(fwd).isNotNull())
     spread = d.groupBy(*keys, "date").agg(F.min(value).alias("_a"), F.max(value).alias("_b")).where("_a < _b").select(*keys, "date")
-    pos = position_within(d.join(spread, [*keys, "date"], "left_semi"), [*keys, "date"], value, "symbol", "_p")
+    pos = position_within(d, [*keys, "date"], value, "symbol", "_p")
     k = F.greatest(F.lit(1), F.bround(F.col("_p_of") * q)).cast("bigint")
-    return pos.withColumns({"top": F.col("_p") > F.col("_p_of") - k, "bottom": F.col("_p") <= k}).drop("_p", "_p_of").where("top or bottom")
+    cut = pos.withColumns({"top": F.col("_p") > F.col("_p_of") - k, "bottom": F.col("_p") <= k}).drop("_p", "_p_of").where("top or bottom")
+    return cut.join(spread, [*keys, "date"], "left_semi")
 
 
 def welch(mt, vt, nt, mb, vb, nb) -> tuple[Column, Column]:
@@ -80,7 +89,8 @@ def quantile_spread(panel: DataFrame, value: str, fwd: str, keys: list[str] = ()
 
 def to_horizons(panel: DataFrame, ids: list[str], horizons: list[int]) -> DataFrame:
     """fwd_1d, fwd_5d ... columns to (horizon, fwd) rows, so the horizon is a group key."""
-    return panel.unpivot(ids, [f"fwd_{h}d" for h in horizons], "_h", "fwd").withColumn("horizon", F.regexp_extract("_h", r"(\d+)", 1).cast("int")).drop("_h")
+    cells = F.array(*[F.struct(F.col(f"fwd_{h}d").alias("fwd"), F.lit(h).alias("horizon")) for h in horizons])
+    return panel.select(*ids, F.explode(cells).alias("_h")).select(*ids, "_h.*")
 
 
 def indexed_days(df: DataFrame, keys: list[str], date: str = "date") -> DataFrame:
@@ -92,7 +102,8 @@ def bootstrap_spread(panel: DataFrame, value: str, fwd: str, n_boot: int = 200,
     """Resample whole days: draws are generated per replicate and joined to the per-day means."""
     b = bucketed(panel, value, fwd, [], q)
     days = b.groupBy("date").agg(F.avg(F.when(F.col("top"), F.col(fwd))).alias("t"), F.avg(F.when(F.col("bottom"), F.col(fwd))).alias("b")).withColumn("_k", F.lit(0))
-    days = indexed_days(days, ["_k"])
+    # read by the draws and by the picks: one row a day, written once
+    days = materialise(indexed_days(days, ["_k"]), "days")
     draws = days.select("_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep")).withColumn("_d", draw([seed, F.col("rep"), F.col("_i")], F.col("_n")))
     picked = draws.select("rep", F.col("_d").alias("_i")).join(days.select(F.col("_i").cast("bigint").alias("_i"), "t", "b", "_n"), "_i")
     reps = picked.groupBy("rep").agg((F.avg("t") - F.avg("b")).alias("s"), F.max("_n").alias("n"))
@@ -213,7 +224,7 @@ def walk_forward(panel: DataFrame, value: str, fwd: str, n_folds: int = 4, min_t
     days = indexed_days(d.select("date").distinct().withColumn("_k", F.lit(0)), ["_k"])
     fold = split_index(F.col("_i") - min_train, F.col("_n") - min_train, n_folds) + 1
     days = days.where((F.col("_i") >= min_train) & (F.col("_n") >= min_train + n_folds * 21)).select("date", F.explode(F.array(F.lit(0), fold)).alias("fold"))
-    return daily_ic(d.join(days, "date"), value, fwd, ["fold"])
+    return daily_ic_on(d, value, fwd, days, ["fold"])
 
 
 def population_percentile(df: DataFrame, key: str, value: str) -> DataFrame:
