@@ -11,7 +11,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 _R, _L = 1, 2  # side order at equal time: right rows first when equality matches
 
@@ -23,10 +23,13 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
 
     ``right`` has one row per (by, right_on).  Output columns: those of left, then ``values``.  A NULL key matches
     nothing.  ``repeated``: left may have any number of rows per (by, left_on); its distinct pairs are matched and the rows
-    joined back, so no pair is sorted with all its rows.
+    joined back, so no pair is sorted with all its rows.  On dates the pairs and the right rows of a key are bounded by the
+    calendar, so they are not cut by time bucket: one shuffle by key.
     """
     if repeated:
         points = left.select(*by, left_on).distinct()
+        if points.schema[left_on].dataType == right.schema[right_on].dataType == T.DateType():
+            split = None
         hits = asof_join(points, right, by, left_on, right_on, values, forward=forward, strict=strict, split=split)
         hits = hits.where(reduce(and_, (F.col(c).isNotNull() for c in [*by, left_on])))
         plain = [left[c] == hits[c] for c in [*by, left_on]]
