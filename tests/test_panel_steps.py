@@ -3,11 +3,22 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import features as FE, relational as RL, research_stats as RS
 
 
+@pytest.fixture
+def no_guess(spark):
+    """At size the planner cannot see that a side is small."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, -1)
+    yield
+    spark.conf.set(key, before)
+
+
 def _bars(spark):
     rnd = random.Random(5)
     rows = [(s, dt.date(2020, 1, 1) + dt.timedelta(days=i), 50 + rnd.randrange(900) / 100) for s, n in ((1, 40), (2, 11), (3, 12), (4, 60), (5, 25)) for i in sorted(rnd.sample(range(90), n))]
@@ -18,7 +29,7 @@ def _bench(b):
     return b.where("symbol < 5").groupBy("date").agg(F.avg("close").alias("bench"))
 
 
-def test_own_bars_give_the_panel_of_the_as_of_join(spark):
+def test_own_bars_give_the_panel_of_the_as_of_join(spark, no_guess):
     b = _bars(spark).localCheckpoint()
     valued = FE.returns(b, (5,)).withColumn("value", F.when(F.col("symbol") + F.dayofmonth("date") != 9, F.round("ret_5d", 9)))
     want = FE.return_panel(valued.where("value is not null").select("symbol", "date", "value"), b, _bench(b), [1, 5, 10], daily=True).where("entry_date is not null")
@@ -30,7 +41,7 @@ def test_own_bars_give_the_panel_of_the_as_of_join(spark):
     assert "BroadcastHashJoin [date" in plan and "SortMergeJoin" not in plan
 
 
-def test_rows_are_not_dealt_by_a_large_group(spark):
+def test_rows_are_not_dealt_by_a_large_group(spark, no_guess):
     rows = spark.range(2000).selectExpr("id % 2 as g", "id % 37 * 1.0D as x", "hash(id) * 1.0D as y")
     plan = RL.average_ranks(rows, ["g"], {"x": "rx", "y": "ry"})._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "SortMergeJoin [g" in line and "], [g" in line and line.split("SortMergeJoin ")[1].split("]")[0].count("#") == 1]
@@ -57,3 +68,24 @@ def test_a_day_of_several_keys_is_ranked_once(spark):
     got = RS.daily_ic_on(p, "value", "fwd", days, ["k"]).collect()
     show = lambda rs: sorted((r.k, r.ic_days, r.mean_daily_ic and round(r.mean_daily_ic, 12), r.daily_reason) for r in rs)
     assert show(got) == show(want)
+
+
+def test_repeated_dates_are_matched_without_time_buckets(spark):
+    from tidemark.operators.asof import asof_join
+    b = _bars(spark).localCheckpoint()
+    left = b.select("symbol", F.date_sub("date", 3).alias("day")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    right = b.select("symbol", F.col("date").alias("entry"), "close")
+    got = asof_join(left, right, ["symbol"], "day", "entry", ["entry", "close"], forward=True, strict=True, repeated=True)
+    assert "date_trunc" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    bars = sorted((r.symbol, r.date, r.close) for r in b.collect())
+    first = lambda s, day: next(((d, c) for k, d, c in bars if k == s and d > day), (None, None))
+    rows = got.collect()
+    assert len(rows) == left.count() and all((r.entry, r.close) == first(r.symbol, r.day) for r in rows)
+
+
+def test_option_grid_keeps_bars_where_they_are(spark, no_guess):
+    from tidemark.operators import options as OP
+    base = spark.range(50).selectExpr("id as symbol", "date_add(date'2020-01-01', cast(id % 5 as int)) as date", "50.0D as spot", "0.01D as q", "0.2D as s")
+    rates = base.select("date").distinct().withColumn("rates", F.array(F.lit(0.03)))
+    plan = OP.option_grid(base, rates, [1.0], [30], {"cc": "s"})._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [date" in plan and "SortMergeJoin" not in plan
