@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from tidemark.operators.asof import asof_join
 from tidemark.operators.features import by_symbol, decluster
 from tidemark.operators.relational import calendar_ranks, exact_quantile
 
@@ -23,15 +22,33 @@ def _path(w, col: str, pre: int, post: int, lag: int) -> Column:
 def event_paths(events: DataFrame, bars: DataFrame, pre: int, post: int, benchmark: DataFrame | None = None, entry_lag: int = 0) -> DataFrame:
     """Each event with day 0 (first bar on or after it, plus entry_lag bars) and its return path.
 
-    The path is read with lead/lag on the bars and then attached by one forward as-of join, so no
-    event x bar pairs are made.  ``benchmark`` is (date, bench), one row per day; its own path from
+    The distinct (symbol, date) pairs of the events are numbered among the bars of their symbol in one shuffle of thin rows. The
+    closes of a symbol (one a calendar day) become an array there, of which each pair takes its slice: paths are made for the
+    pairs, not for every bar, and no event x bar pairs are.  ``benchmark`` is (date, bench), one row per day; its own path from
     day 0 is subtracted.  Events without a whole window, or too far from day 0, are dropped."""
-    w = by_symbol()
-    full = lambda p: F.when(~F.exists(p, lambda x: x.isNull()), p)
-    b = bars.select("symbol", "date", "close").withColumn("path", full(_path(w, "close", pre, post, entry_lag))).withColumn("day0", F.lag("date", -entry_lag).over(w) if entry_lag else F.col("date"))
-    hit = asof_join(events, b.select("symbol", F.col("date").alias("_d"), "day0", "path"), ["symbol"], "date", "_d", ["day0", "path"], forward=True, repeated=True)
-    hit = hit.where(F.col("path").isNotNull() & (F.datediff("day0", "date") <= 10 + 5 * entry_lag))
+    day = F.col("date")
+    points = events.select("symbol", "date").where("symbol IS NOT NULL AND date IS NOT NULL").distinct()
+    thin = bars.where("symbol IS NOT NULL").select("symbol", day.alias("_t"), F.struct(day.alias("day"), "close").alias("_bar"))
+    rows = thin.unionByName(points.select("symbol", day.alias("_t")), allowMissingColumns=True)
+    is_bar = F.col("_bar").isNotNull()
+    before = W.partitionBy("symbol").orderBy("_t", is_bar).rowsBetween(W.unboundedPreceding, 0)  # a bar of the same day comes after the pair
+    rows = rows.withColumn("_at", F.count_if(is_bar).over(before).cast("int"))
+    own = rows.groupBy("symbol").agg(F.sort_array(F.collect_list("_bar")).alias("_bars"), F.collect_list(F.when(~is_bar, F.struct(F.col("_t").alias("_event"), "_at"))).alias("_points"))
+    n = F.size("_bars")
+
+    def cut(p: Column) -> Column:
+        """Day 0, base and closes of a pair; slices are taken before pairs become rows, which then do not carry the symbol's bars."""
+        first, base = p["_at"] + (entry_lag + pre), p["_at"] + (entry_lag - 1)
+        whole = (F.least(first, base) >= 0) & (F.greatest(first + (post - pre), base) < n)
+        found = F.struct(p["_event"].alias("_event"), F.get("_bars", p["_at"] + entry_lag)["day"].alias("day0"), F.get("_bars", base)["close"].alias("_base"), F.slice("_bars", first + 1, F.lit(post - pre + 1))["close"].alias("_c"))
+        return F.when(whole, found)
+
+    hit = own.where(F.size("_points") > 0).select("symbol", F.inline(F.array_compact(F.transform("_points", cut))))
+    hit = hit.where(F.datediff("day0", "_event") <= 10 + 5 * entry_lag).where(F.col("_base").isNotNull() & ~F.exists("_c", lambda x: x.isNull()))
+    hit = hit.select(F.col("symbol").alias("_symbol"), "_event", "day0", F.transform("_c", lambda x: x / F.col("_base") - 1).alias("path"))
+    hit = events.join(hit, (events["symbol"] == hit["_symbol"]) & (events["date"] == hit["_event"])).drop("_symbol", "_event")
     if benchmark is not None:
+        full = lambda p: F.when(~F.exists(p, lambda x: x.isNull()), p)
         days = benchmark.withColumn("_k", F.lit(0))
         bw = W.partitionBy("_k").orderBy("date")  # one row per day
         days = days.select(F.col("date").alias("day0"), full(_path(bw, "bench", pre, post, 0)).alias("bpath"))

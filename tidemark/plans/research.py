@@ -183,8 +183,13 @@ def event_set(spark, d):
     return A.news(spark, d).where("score > 0.2").select("article_id", "symbol", "date", F.col("topic").alias("label"))
 
 
+def closes(spark, d):
+    """Daily closes, written once: the paths and the market read them."""
+    return materialise(A.bars(spark, d).select("symbol", "date", "close"), "closes")
+
+
 def paths(spark, d):
-    b = A.bars(spark, d)
+    b = closes(spark, d)
     # summaries read the paths for several aggregates and for the exact median
     return materialise(ST.event_paths(event_set(spark, d), b, PRE, POST, market(b), entry_lag=1), "paths")
 
@@ -251,7 +256,8 @@ _OSC = ["win_rate_pct", "avg_return_pct", "median_return_pct", "best_pct", "wors
 
 @query("E5_outcome_summary", f"WITH {_OUT} SELECT signal, {_OS} FROM oc GROUP BY 1")
 def _(spark, d):
-    return rounded(ST.outcome_summary(outcomes(spark, d), ["signal"]), _OSC, 4)
+    out = materialise(outcomes(spark, d).select("signal", "exit_reason", "ret"), "outcomes")  # read for the aggregate and for the exact median
+    return rounded(ST.outcome_summary(out, ["signal"]), _OSC, 4)
 
 
 @query("E6_date_level_stats", f"WITH {EV_SQL}, p AS (SELECT rel, date, avg(car) AS m FROM car GROUP BY 1, 2) SELECT rel, count(*) AS n_dates, {R('100 * avg(m)', 4)} AS mean_pct, {R('avg(m) / (stddev_samp(m) / sqrt(count(*)))', 4)} AS t_stat FROM p GROUP BY 1")
@@ -277,11 +283,12 @@ _OUT21 = _OUT.replace("dd.i + 10", "dd.i + 21").replace("count(*) = 13", "count(
   m AS (SELECT signal, "window", {_OS}, {R('100 * avg(round(far, 9))', 4)} AS car21_mean_pct, {R('avg(round(far, 9)) / (stddev_samp(round(far, 9)) / sqrt(count(*)))', 4)} AS car21_tstat FROM w GROUP BY 1, 2), f AS (SELECT signal, max(n_trades) FILTER ("window" = '1y') AS n, max(win_rate_pct) FILTER ("window" = 'full') - max(win_rate_pct) FILTER ("window" = '1y') AS dr, max(profit_factor) FILTER ("window" = '1y') AS pf FROM m GROUP BY 1)
   SELECT m.*, coalesce(n >= 10 AND (dr > 10 OR pf < 1), false) AS degraded FROM m JOIN f USING (signal)""")
 def _(spark, d):
-    """One path table of 21 bars gives the exit outcomes and the 21-bar abnormal return of every window."""
-    b = A.bars(spark, d)
-    p = materialise(ST.event_paths(event_set(spark, d), b, PRE, 21, market(b), entry_lag=1), "paths")
+    """One path of 21 bars an event gives its exit outcome and 21-bar abnormal return; these few columns are written once, for every window."""
+    b = closes(spark, d)
+    p = ST.event_paths(event_set(spark, d), b, PRE, 21, market(b), entry_lag=1)
     p = p.withColumn("path", F.slice(F.transform("path", lambda x: F.round(x, 9)), 1 - PRE, 22))
     out = ST.exit_outcomes(p.withColumnRenamed("label", "signal").withColumn("far", F.get("path", F.lit(21))), POST, 5, 8, 1, 0.001)
+    out = materialise(out.select("signal", "date", "far", "exit_reason", "ret"), "outcomes")
     h = ST.signal_health(out, "2000-12-31", car="far").withColumnsRenamed({"car_mean_pct": "car21_mean_pct", "car_tstat": "car21_tstat"})
     return rounded(h, [*_OSC, "car21_mean_pct", "car21_tstat"], 4)
 
@@ -375,7 +382,7 @@ def _(spark, d):
     stock, drv, mkt = exposure_inputs(spark, d)
     ev = A.macro(spark, d).where("series_id = 'click' and value > 120").select("date").distinct()
     legs = ST.trailing_exposure(stock, drv.where("driver = 'click'"), mkt, ev, 3, 40, 1.0)
-    b = A.bars(spark, d)
+    b = closes(spark, d)
     p = ST.event_paths(legs, b, 0, 5, market(b), entry_lag=1)
     grid = p.withColumn("min_t", F.explode(F.array(*[F.lit(x) for x in (1.0, 1.5, 2.0)]))).where(F.abs("t_ex_mkt") > F.col("min_t"))
     cells = ST.date_level(ST.car_rows(grid, 0, ["sign", "min_t", "date"]), ["sign", "min_t"])
@@ -393,5 +400,5 @@ def _(spark, d):
     from tidemark.operators import registry as RG
     n, s = A.news(spark, d).where("score > 0.2 AND (symbol = 1 OR symbol % 5 = 0)"), F.col("symbol")
     ev = RG.EventSet(n.select("symbol", "date", F.when(s == 1, "rare").otherwise(F.col("topic")).alias("label")).distinct(), "news", lag_days=2, min_events=30)
-    b = A.bars(spark, d)
+    b = closes(spark, d)
     return rounded(ST.evaluate_events(ev.frame, b, market(b), min_events=ev.min_events, lag_days=ev.lag_days), ["value"], 4)
