@@ -27,10 +27,10 @@ def feature_matrix(bars: DataFrame, facts: DataFrame | None = None, metrics: lis
                    macro: DataFrame | None = None, macro_ids: list[str] = ()) -> DataFrame:
     """(symbol, date) panel with price features and every block that is given.
 
-    All per-symbol sources are unioned with the bars on one (symbol, day) axis after each has been
+    All per-symbol sources are unioned with the bars on one (symbol, date) axis after each has been
     combined to at most one row per symbol and day: one shuffle by symbol serves the as-of columns
-    (last non-NULL so far) and the trailing sums (range frames over day numbers)."""
-    panel = FE.price_features(bars)
+    (last non-NULL so far), the trailing sums (range frames of days) and, on the bars that are left, the price
+    features.  Columns stay flat, so what the caller does not read is neither dealt nor worked out."""
     sides, asof_cols = [], []
     if facts is not None:
         wide = AS.latest_period_facts(facts, list(metrics), form)
@@ -46,10 +46,10 @@ def feature_matrix(bars: DataFrame, facts: DataFrame | None = None, metrics: lis
     if news is not None:
         sides.append(news.where("score is not null").groupBy("symbol", "date").agg(F.sum("score").alias("_ns"), F.count("*").alias("_nc")))
     if sides:
-        rows = panel.select("symbol", "date", F.struct(*[c for c in panel.columns if c not in ("symbol", "date")]).alias("_bar"))
-        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [rows, *sides]).withColumn("_day", F.unix_date("date"))
-        upto = W.partitionBy("symbol").orderBy("_day").rangeBetween(W.unboundedPreceding, 0)
-        span = lambda n: W.partitionBy("symbol").orderBy("_day").rangeBetween(-(n - 1), 0)
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [bars.withColumn("_bar", F.lit(True)), *sides])
+        rows = rows.withColumn("date", F.unix_date("date"))  # day numbers, so that frames of rows and of days need one sort
+        upto = FE.by_symbol().rangeBetween(W.unboundedPreceding, 0)
+        span = lambda n: FE.by_symbol().rangeBetween(-(n - 1), 0)
         new = {c: F.last(c, ignorenulls=True).over(upto) for c in asof_cols}
         if short_interest is not None:
             new["_si"] = F.last("_si", ignorenulls=True).over(upto)
@@ -57,8 +57,8 @@ def feature_matrix(bars: DataFrame, facts: DataFrame | None = None, metrics: lis
             new[f"insider_net_{INSIDER_DAYS}d"] = F.sum("_ins").over(span(INSIDER_DAYS)).cast("double")
         if news is not None:
             new["_ws"], new["_wc"] = F.sum("_ns").over(span(NEWS_DAYS)), F.sum("_nc").over(span(NEWS_DAYS))
-        rows = rows.withColumns(new).where("_bar is not null")
-        out = ["symbol", "date", F.col("_bar.*"), *asof_cols]
+        rows = FE.price_features(rows.withColumns(new).where("_bar"))
+        out = [*bars.columns, *[c for c in rows.columns if c not in bars.columns and c not in new and not c.startswith("_")], *asof_cols]
         if short_interest is not None:
             out += [F.col("_si.si_days_to_cover").alias("si_days_to_cover"), F.col("_si.si_shares_short").alias("si_shares_short")]
         if insider is not None:
@@ -66,7 +66,9 @@ def feature_matrix(bars: DataFrame, facts: DataFrame | None = None, metrics: lis
         if news is not None:
             out += [(F.col("_ws") / F.when(F.col("_wc") > 0, F.col("_wc"))).alias(f"news_score_{NEWS_DAYS}d"),
                     F.coalesce("_wc", F.lit(0)).alias(f"news_count_{NEWS_DAYS}d")]
-        panel = rows.select(*out)
+        panel = rows.withColumn("date", F.date_from_unix_date("date")).select(*out)
+    else:
+        panel = FE.price_features(bars)
     return AS.broadcast_by_date(panel, macro, list(macro_ids)) if macro is not None else panel
 
 
@@ -95,11 +97,13 @@ def raw_factors(fm: DataFrame) -> DataFrame:
 
 
 def signal_panel(raw: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Cross-sectional z-scores per date and their weighted mean over the factors that are present."""
+    """Cross-sectional z-scores per date and their weighted mean over the factors that are present; a factor without weight
+    takes no part in the mean."""
     cols = [c for c in FACTORS if c in raw.columns]
+    used = [c for c in cols if weights.get(c)]
     z = FE.zscore_by(raw.select("symbol", "date", *cols), "date", cols)
-    num = reduce(lambda a, b: a + b, [F.coalesce(F.col(c) * float(weights.get(c, 0.0)), F.lit(0.0)) for c in cols])
-    den = reduce(lambda a, b: a + b, [F.when(F.col(c).isNotNull(), float(weights.get(c, 0.0))).otherwise(0.0) for c in cols])
+    num = reduce(lambda a, b: a + b, [F.coalesce(F.col(c) * float(weights[c]), F.lit(0.0)) for c in used], F.lit(0.0))
+    den = reduce(lambda a, b: a + b, [F.when(F.col(c).isNotNull(), float(weights[c])).otherwise(0.0) for c in used], F.lit(0.0))
     return z.withColumn("composite", num / F.when(den != 0, den))
 
 

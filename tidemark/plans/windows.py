@@ -322,9 +322,11 @@ PANEL_SQL = f"""{RAW_SQL}, z AS (SELECT symbol, date, {", ".join(_Z(c) for c in
   panel AS (SELECT *, ({" + ".join(f"coalesce({c}, 0)" for c in _USED)}) / nullif({" + ".join(f"({c} IS NOT NULL)::INT" for c in _USED)}, 0) AS composite FROM z)"""
 
 
-def panel(spark, d):
+def panel(spark, d, factors=tuple(FA.FACTORS)):
+    """z-scores and composite; ``factors``: those that the caller reads, the others are not worked out."""
+    raw = FA.raw_factors(feature_matrix(spark, d, macro=False)).select("symbol", "date", *factors)
     # z-scores and ranks read the factors several times: write them once rather than redo every join
-    return FA.signal_panel(materialise(FA.raw_factors(feature_matrix(spark, d, macro=False)), "factors"), WEIGHTS)
+    return FA.signal_panel(materialise(raw, "factors"), WEIGHTS)
 
 
 @query("P3_signal_panel", f"WITH {PANEL_SQL} SELECT symbol, date, {', '.join(f'{R(c, 5)} AS {c}' for c in [*FA.FACTORS, 'composite'])} FROM panel")
@@ -336,10 +338,10 @@ def _(spark, d):
   FROM panel WHERE composite IS NOT NULL""")
 def _(spark, d):
     # positions read the scored panel three times
-    p = materialise(panel(spark, d).select("symbol", "date", "composite", F.round("composite", 8).alias("c")), "composites")
+    p = materialise(panel(spark, d, [c for c in FA.FACTORS if WEIGHTS[c]]).select("symbol", "date", "composite", F.round("composite", 8).alias("c")), "composites")
     return position_within(p, ["date"], "c", "symbol", "rank", descending=True).select("symbol", "date", r("composite", 5).alias("composite"), "rank")
 
 
 @query("P4_single_factor", f"WITH {PANEL_SQL} SELECT symbol, date, {R('momentum', 5)} AS value FROM panel WHERE momentum IS NOT NULL")
 def _(spark, d):
-    return panel(spark, d).where("momentum is not null").select("symbol", "date", r("momentum", 5).alias("value"))
+    return panel(spark, d, ["momentum"]).where("momentum is not null").select("symbol", "date", r("momentum", 5).alias("value"))
