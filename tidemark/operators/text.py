@@ -62,12 +62,11 @@ WORD = r"\p{L}[\p{L}'-]*"
 def score_texts(texts: DataFrame, key: str, parts: dict[str, str], lexicon: DataFrame) -> DataFrame:
     """Valence per text part from a lexicon table (word, valence).
 
-    Words are exploded and counted per (key, part, word) before the lexicon join, so a long text or a
-    frequent word is small by the time it moves; whole texts are read."""
+    Words meet the lexicon, a broadcast word list, where the text is read; a task adds the words of a text up before
+    anything moves, so one row a text part is dealt and no row a word; whole texts are read."""
     words = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(WORD), F.lit(0)).alias("w")) for p, c in parts.items()]))
-    counted = (texts.select(key, words.alias("p")).select(key, "p.part", F.explode("p.w").alias("word")).groupBy(key, "part", "word").agg(F.count("*").alias("n")))
-    hit = counted.join(lexicon, "word", "left")
-    return hit.groupBy(key, "part").agg(F.coalesce(F.sum(F.col("n") * F.col("valence")), F.lit(0.0)).alias("valence"), F.sum("n").alias("words"), F.sum(F.when(F.col("valence").isNotNull(), F.col("n")).otherwise(0)).alias("hits"))
+    hit = texts.select(key, words.alias("p")).select(key, "p.part", F.explode("p.w").alias("word")).join(F.broadcast(lexicon), "word", "left")
+    return hit.groupBy(key, "part").agg(F.coalesce(F.sum("valence"), F.lit(0.0)).alias("valence"), F.count("*").alias("words"), F.count("valence").alias("hits"))
 
 
 def article_sentiment(texts: DataFrame, key: str, headline: str, summary: str, lexicon: DataFrame) -> DataFrame:
@@ -111,6 +110,9 @@ def alias_dictionary(names: DataFrame, manual: DataFrame | None = None) -> DataF
 
 
 SEGMENT = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+#: A word, and a word with the gap and the word that follow it (the match itself is the word, so pairs overlap).
+HEAD_WORD = r"[\p{L}\p{N}_]++"
+HEAD_PAIR = r"(?<![\p{L}\p{N}_])(?=([\p{L}\p{N}_]++[^\p{L}\p{N}_]++[\p{L}\p{N}_]++))[\p{L}\p{N}_]++"
 BEFORE, AFTER = r"(?<![\p{L}\p{N}_$])", r"(?![\p{L}\p{N}_])"
 
 
@@ -128,15 +130,11 @@ def mentions(texts: DataFrame, key: str, col: str, aliases: DataFrame) -> DataFr
     al = al.withColumn("_p", pieces(F.col("alias"))).withColumn("_p", body).withColumn(
         "head", F.when(F.size("_p") >= 3, F.array_join(F.slice("_p", 1, 3), "")).otherwise(F.get("_p", F.lit(0)))).where("head is not null").drop("_p")
     low = texts.select(key, F.lower(F.coalesce(F.col(col), F.lit(""))).alias("text"))
-    t = low.select(key, pieces(F.col("text")).alias("s"))
-    s = F.col("s")
-    first = F.when(starts_in_word(s), 0).otherwise(1)
-    at = F.filter(F.sequence(first, F.greatest(F.size(s), first), F.lit(2)), lambda i: i < F.size(s))
-    pairs = F.transform(F.filter(at, lambda i: i + 2 < F.size(s)), lambda i: F.array_join(F.slice(s, i + 1, 3), ""))
-    heads = t.select(key, F.explode(F.array_distinct(F.concat(F.transform(at, lambda i: F.get(s, i)), pairs))).alias("head"))
+    found = lambda p, g: F.regexp_extract_all("text", F.lit(p), F.lit(g))
+    heads = low.select(key, F.explode(F.array_distinct(F.concat(found(HEAD_WORD, 0), found(HEAD_PAIR, 1)))).alias("head"))
     asked = heads.join(al, "head").select(key, "symbol", "alias").distinct()
     quoted = F.concat(F.lit(BEFORE + r"\Q"), F.replace("alias", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E" + AFTER))
-    by_name = asked.join(low, key).where(F.regexp_like("text", quoted)).select(key, "symbol")
+    by_name = asked.join(low, key).where(F.contains("text", "alias") & F.regexp_like("text", quoted)).select(key, "symbol")
     forms = F.explode(F.transform(F.concat(F.regexp_extract_all(F.coalesce(F.col(col), F.lit("")), F.lit(CASHTAG), F.lit(1)), F.regexp_extract_all(F.coalesce(F.col(col), F.lit("")), F.lit(EXCHANGE_FORM), F.lit(1))), lambda x: F.upper(x)))
     by_form = texts.select(key, forms.alias("symbol")).join(al.select("symbol").distinct(), "symbol", "left_semi").select(key, "symbol")
     return by_name.unionByName(by_form).distinct()
